@@ -6,12 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import bpe, token_counts, warc
+from strataloom.llm import bpe, line_dedup, quality, sharding, token_counts, warc
 from strataloom.llm.common import scratch, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least_docs=10, least_chars=1)
+    text = F.coalesce("_lines.text", F.lit(""))
+    return out.select("_row.doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2(F.encode(text, "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -32,5 +43,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_warc, op8_token_counts, op9_bpe)}
-ORACLES: dict[str, str] = {}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
+
+
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_quality, op5_warc, op8_token_counts, op9_bpe, op10_sharding)}
+ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE, "op4_quality": quality.ORACLE}
