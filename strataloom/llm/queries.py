@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import bpe, line_dedup, quality, sharding, token_counts, warc
+from strataloom.llm import bpe, line_dedup, near_dup, quality, sharding, token_counts, warc
 from strataloom.llm.common import scratch, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least_docs=10, least_chars=1)
     text = F.coalesce("_lines.text", F.lit(""))
@@ -47,5 +51,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_quality, op5_warc, op8_token_counts, op9_bpe, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_near_dup, op3_line_dedup, op4_quality, op5_warc, op8_token_counts, op9_bpe, op10_sharding)}
 ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE, "op4_quality": quality.ORACLE}
