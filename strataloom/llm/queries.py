@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import bpe, line_dedup, near_dup, quality, sharding, token_counts, warc
+from strataloom.llm import bpe, decontaminate, line_dedup, near_dup, quality, sharding, token_counts, toxicity, warc
 from strataloom.llm.common import scratch, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "n_found", "n_changed")
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -33,6 +38,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, path).select(F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.read_ranks(RANKS))
 
@@ -51,5 +61,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dup, op3_line_dedup, op4_quality, op5_warc, op8_token_counts, op9_bpe, op10_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_near_dup, op3_line_dedup, op4_quality, op5_warc, op6_toxicity, op8_token_counts, op9_bpe, op10_sharding,
+    )
+}
 ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE, "op4_quality": quality.ORACLE}
