@@ -34,15 +34,16 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     if len(piece) <= 48:
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        get, none = ranks.get, len(ranks) + (1 << 30)
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) != none:
+            i = pairs.index(best)
+            own = parts[i] = parts[i] + parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + own, none)
+            if i < len(pairs):
+                pairs[i] = get(own + parts[i + 1], none)
         return [ranks[p] for p in parts]
     # a heap of pairs over a linked list: a pre-token of any length takes n log n steps
     n = len(piece)
@@ -206,8 +207,10 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = part.column(part.schema.get_field_index(ids_col)).to_pylist()
-                out = pa.array([None if x is None else b"".join(map(get, x)) for x in ids], pa.binary())
+                lists = part.column(part.schema.get_field_index(ids_col))
+                flat, ends = lists.flatten().to_numpy().tolist(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy()).tolist()
+                spans = zip([0, *ends[:-1]], ends, lists.is_valid().to_pylist())
+                out = pa.array([b"".join(map(get, flat[a:b])) if there else None for a, b, there in spans], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, out_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
