@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +73,54 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class BitFilter:
+    """A set of longs as bits of their hashes: 4 MB whatever the input, so it can be broadcast at any size.
+
+    It lets members through and, the fuller it is, others too: a step that thins rows before a join, not a test.
+    """
+
+    BITS = 1 << 25
+
+    def __init__(self, spark: SparkSession, bits: bytes):
+        self.bits = spark.sparkContext.broadcast(bits)
+
+    @staticmethod
+    def _places(x: np.ndarray) -> np.ndarray:
+        h = np.asarray(x, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - 25)
+
+    @classmethod
+    def of(cls, df: DataFrame, col: str) -> BitFilter:
+        """Each task sets the bits of its rows; the blocks that they touch are merged with one row for each block."""
+        block = 1 << 15
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(cls.BITS, bool)
+            for batch in batches:
+                bits[cls._places(batch.column(0).to_numpy())] = True
+            rows = bits.reshape(-1, block)
+            for k in np.flatnonzero(rows.any(axis=1)).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(rows[k], bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+        def merge(table: pa.Table) -> pa.Table:
+            rows = np.stack([np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
+            return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
+
+        held = np.zeros(cls.BITS // 8, np.uint8)
+        parts = df.select(F.col(col).cast("long")).where(F.col(col).isNotNull()).mapInArrow(run, "block long, bits binary")
+        for r in parts.groupBy("block").applyInArrow(merge, "block long, bits binary").collect():  # BITS / block rows
+            held[r.block * block // 8 : (r.block + 1) * block // 8] = np.frombuffer(r.bits, np.uint8)
+        return cls(df.sparkSession, held.tobytes())
+
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        bits, at = np.frombuffer(self.bits.value, np.uint8), self._places(x)
+        return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def where(self, df: DataFrame, col: str, held: bool = True) -> DataFrame:
+        @F.pandas_udf("boolean")
+        def test(x: pd.Series) -> pd.Series:
+            return pd.Series(self.holds(x.to_numpy(np.int64)) == held)
+
+        return df.where(test(F.col(col)))
