@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from strataloom.functions.text import base_path, make_id
 from strataloom.operators import relational as rel
 from strataloom.operators.schema_lang import crud_flows, event_endpoints
+from strataloom.plans import render
 from strataloom.plans.corpus import derived_files
 from strataloom.plans.scan import first_wins, registry, scan
 
@@ -263,3 +264,36 @@ def er_fk_inference(spark, sf):
 def scan_all(spark, sf):
     """The whole catalog of the derived tree, counted by table."""
     return rel.table_counts(scan(derived_files(spark, sf)))
+
+
+@query(f"""WITH {DEPENDENCIES} SELECT DISTINCT '    ' || source_component_id || CASE WHEN direct THEN ' --> ' ELSE ' -.-> ' END || 'part_' || artifact_id AS line FROM dep
+UNION ALL SELECT '```mermaid' UNION ALL SELECT 'graph LR'""")
+def render_dependency_graph(spark, sf):
+    return render.dependency_graph(dependencies(spark, sf)).select("line")
+
+
+@query(f"""WITH {FLOWS} SELECT DISTINCT '    ' || publisher_component_id || ' --> topic_' || regexp_replace(topic, '[^a-zA-Z0-9_]', '_', 'g') AS line FROM fl WHERE publisher_component_id IS NOT NULL
+UNION ALL SELECT DISTINCT '    topic_' || regexp_replace(topic, '[^a-zA-Z0-9_]', '_', 'g') || ' --> ' || subscriber_component_id FROM fl
+UNION ALL SELECT '```mermaid' UNION ALL SELECT 'graph LR'""")
+def render_message_flow(spark, sf):
+    return render.message_flow_graph(flows(spark, sf)).select("line")
+
+
+@query(f"""WITH {COMPONENTS}, {RELATIONSHIPS} SELECT '    ' || CASE WHEN type = 'EXTERNAL' THEN 'System_Ext' ELSE 'System' END || '(' || id || ', "' || name || '")' AS line FROM comp
+UNION ALL SELECT DISTINCT '    Rel(' || source_id || ', ' || target_id || ', "' || type || '")' FROM rl
+UNION ALL SELECT '```mermaid' UNION ALL SELECT 'C4Context'""")
+def render_c4_context(spark, sf):
+    return render.c4_context(components(spark, sf), relationships(spark, sf)).select("line")
+
+
+@query(f"""WITH {ENDPOINTS}, {COMPONENTS} SELECT DISTINCT '| ' || replace(component_id, '|', '\\|') || ' | ' || method || ' | ' || replace(path, '|', '\\|') || ' | - |' AS line FROM ep
+UNION ALL SELECT unnest(['# API catalog', '', '| Component | Method | Path | Request |', '|---|---|---|---|'])""")
+def render_api_catalog(spark, sf):
+    return render.api_catalog(endpoints(spark, sf), components(spark, sf)).select("line")
+
+
+@query(None)
+def render_all(spark, sf):
+    """Lines of every document of the derived tree's catalog, counted by document."""
+    catalog = scan(derived_files(spark, sf))
+    return render.documents(catalog, rel.table_counts(catalog)).groupBy("path").agg(F.count("*").alias("n"))
