@@ -5,9 +5,10 @@ each pair of a group of the one and a group of the other is a table key: side *
 2 * side * rows in all, about the square root. At a similarity of 0.8 and the default 9 by 9 tables of 2 + 2 hashes,
 a pair shares a key with a probability of (1 - (1 - 0.8 ** 2) ** 9) ** 2 = 0.9998.
 
-Documents with equal sets are one class from the start. In each bucket, classes are tested against the bucket's first;
-only where a bucket still holds several components are others compared, by signature and in blocks. Every link is
-confirmed on the full sets.
+Documents with equal sets are one class from the start. In each bucket, classes are tested against the bucket's first.
+Where a bucket still holds several components between which a link is likely, these become a family, and all members
+of a family are compared on their full sets, in blocks within tasks. So every link is confirmed on the full sets, and
+no step makes a row for each pair of a group.
 """
 
 from __future__ import annotations
@@ -20,19 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import written
+from strataloom.llm.common import BitFilter, written
 from strataloom.llm.components import connected
 from strataloom.llm.shingles import C1, C3, digest, mix, shingle_sets, similar
 
 SIDE, ROWS = 9, 2
 #: Standard deviations below the expected agreement of signatures at which a pair is left out: 1 of 50,000 links.
 SIGMAS = 4.2
-#: Classes of a bucket that are compared in one block.
-BLOCK = 1500
-#: Rounds in which each class meets its best untested partner of another component; after them it meets all.
-BEST_ROUNDS = 2
-#: Bits of the filter that picks the texts of candidates: a fixed 4 MB, whatever the input.
-FILTER_BITS = 1 << 25
+#: Classes that are compared in one block: of a bucket by signature, of a family by their full sets.
+BLOCK, FAMILY_BLOCK = 1500, 400
+#: Shingles of a family that are counted in one matrix product.
+COLUMNS = 4096
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, side: int, rows: int) -> DataFrame:
@@ -104,31 +103,16 @@ def _best(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def _texts(df: DataFrame, id_col: str, text_col: str, pairs: DataFrame) -> DataFrame:
-    """(id, text) of the documents in pairs, picked by a bit filter of fixed size before anything is shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    maps = ids.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
-    held = np.zeros(FILTER_BITS // 8 + 8192, np.uint8)
-    for r in maps:
-        held[(r.k - 1) * 4096 : (r.k - 1) * 4096 + len(r.m)] |= np.frombuffer(bytes(r.m), np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast(held.tobytes())
-
-    @F.pandas_udf("boolean")
-    def in_filter(b: pd.Series) -> pd.Series:
-        bits = np.frombuffer(shared.value, np.uint8)
-        x = b.to_numpy(np.int64)
-        return pd.Series((bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
-
+def _texts(df: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ids, thinned by a filter of fixed size before anything is shuffled."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-    where = (F.bitmap_bucket_number(bit) - 1) * 32768 + F.bitmap_bit_position(bit)
-    picked = rows.where(in_filter(where))
-    return picked.join(ids, "id", "left_semi")
+    return BitFilter.of(ids, "id").where(rows, "id").join(ids, "id", "left_semi")
 
 
 def _confirmed(df: DataFrame, id_col: str, text_col: str, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar."""
-    texts = written(_texts(df, id_col, text_col, pairs), "candidate-texts")
+    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "id")
+    texts = written(_texts(df, id_col, text_col, ids), "candidate-texts")
     side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
@@ -143,36 +127,66 @@ def _confirmed(df: DataFrame, id_col: str, text_col: str, pairs: DataFrame, widt
     return both.mapInArrow(run, "a long, b long")
 
 
-def _across(unresolved: DataFrame, percent: int, n: int) -> DataFrame:
-    """(a, b, agree): likely pairs of one bucket and different components.
+def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Deals each key's rows out to blocks of about `size` and repeats them for each pair (p, q) of blocks."""
+    per_key = rows.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("nb"))
+    dealt = rows.join(per_key, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return dealt.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("other", "nb")
 
-    Signatures are compared within tasks, in blocks: a bucket of more than BLOCK classes is dealt out to several.
-    """
+
+def _likely_across(unresolved: DataFrame, percent: int, n: int) -> DataFrame:
+    """(a, b): components that share a bucket and hold classes there whose signatures make a link likely."""
     least = _least_agreement(percent, n)
-    per_key = unresolved.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    rows = unresolved.join(per_key, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
 
     def run(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("id").to_numpy())
-        ids, comp, size, own = (group.column(c).to_numpy()[order] for c in ("id", "comp", "n", "own"))
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, n)[order]
-        apart = group.column("p")[0].as_py() != group.column("q")[0].as_py()
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for k in range(1, len(ids)):
+        comp, size = (group.column(c).to_numpy() for c in ("comp", "n"))
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, n)
+        found: set[tuple[int, int]] = set()
+        for k in range(1, len(comp)):
             ok = (comp[:k] != comp[k]) & (100 * np.minimum(size[:k], size[k]) >= percent * np.maximum(size[:k], size[k]))
-            if apart:
-                ok &= own[:k] != own[k]
             at = np.flatnonzero(ok)
             if len(at):
-                agree = (sig[at] == sig[k]).sum(axis=1)
-                keep = agree >= least
-                out.append((ids[at[keep]], np.full(keep.sum(), ids[k]), agree[keep].astype(np.int32)))
-        cols = [np.concatenate([o[c] for o in out]) if out else np.empty(0, np.int32 if c == 2 else np.int64) for c in range(3)]
-        return pa.Table.from_arrays([pa.array(c) for c in cols], ["a", "b", "agree"])
+                at = at[(sig[at] == sig[k]).sum(axis=1) >= least]
+                found.update((min(int(c), int(comp[k])), max(int(c), int(comp[k]))) for c in np.unique(comp[at]))
+        a, b = (pa.array([x[c] for x in found], pa.int64()) for c in (0, 1))
+        return pa.Table.from_arrays([a, b], ["a", "b"])
+
+    return _blocks(unresolved, "key", BLOCK).groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
 
-    return rows.groupBy("key", "p", "q").applyInArrow(run, "a long, b long, agree int").distinct()
+
+def _links_within(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): one link for any two components of a family that have one, all pairs being compared on their full sets.
+
+    Members (family, comp, id, text) are compared block by block within tasks: intersections are products of 0/1
+    matrices, so a pair costs no row. One row a pair of components and block leaves a task.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        comp, ids = group.column("comp").to_numpy(), group.column("id").to_numpy()
+        sets = shingle_sets([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in group.column("text")], width)
+        sizes = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        number = np.cumsum(np.concatenate(([0], flat[1:] != flat[:-1]))) if len(flat) else flat
+        common = np.bincount(number.astype(np.int64)) > 1  # a shingle of one member meets no other
+        keep = common[number.astype(np.int64)]
+        column = (np.cumsum(common) - 1)[number.astype(np.int64)][keep]
+        owner = owner[keep]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(common.sum()), COLUMNS):
+            a, b = np.searchsorted(column, (at, at + COLUMNS))
+            part = np.zeros((len(sets), COLUMNS), np.float32)
+            part[owner[a:b], column[a:b] - at] = 1
+            both += part @ part.T
+        linked = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (comp[:, None] < comp[None, :])
+        found = {(int(comp[i]), int(comp[j])): (int(ids[i]), int(ids[j])) for i, j in np.argwhere(linked)}
+        a, b = (pa.array([x[c] for x in found.values()], pa.int64()) for c in (0, 1))
+        return pa.Table.from_arrays([a, b], ["a", "b"])
+
+    return _blocks(members, "family", FAMILY_BLOCK).groupBy("family", "p", "q").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -197,23 +211,17 @@ def near_duplicates(
     heads = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").drop("z")
     buckets = written(keys.join(heads, "key").withColumnRenamed("id", "b"), "buckets")  # only those of two or more
     stars = buckets.where("a <> b").select("a", "b").distinct()
-    tested = written(_best(_promising(stars, classes, percent, n_sig)), "tested")
-    links = written(_confirmed(df, id_col, text_col, tested, width, percent), "links")
+    nearest = written(_best(_promising(stars, classes, percent, n_sig)), "nearest")
+    links = written(_confirmed(df, id_col, text_col, nearest, width, percent), "links")
     labels = connected(links)
-    members = buckets.select("key", F.col("b").alias("id"))
-    for k in range(BEST_ROUNDS + 1):
-        named = members.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        rest = named.join(several, "key").join(classes.select("id", "n", "sig"), "id")
-        found = _across(rest, percent, n_sig).join(tested, ["a", "b"], "left_anti")
-        pairs = written(_best(found) if k < BEST_ROUNDS else found.select("a", "b"), "pairs")
-        if pairs.isEmpty():
-            break
-        tested = tested.unionByName(pairs)
-        new = written(_confirmed(df, id_col, text_col, pairs, width, percent), "links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = connected(links)
+    named = buckets.select("key", F.col("b").alias("id")).join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    rest = named.join(several, "key").join(classes.select("id", "n", "sig"), "id")
+    families = connected(_likely_across(rest, percent, n_sig)).select(F.col("id").alias("comp"), F.col("comp").alias("family"))
+    members = written(classes.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")).join(families, "comp"), "members")
+    if not members.isEmpty():
+        texts = _texts(df, id_col, text_col, members.select("id"))
+        labels = connected(links.unionByName(written(_links_within(members.join(texts, "id"), width, percent), "links")))
     placed = shingled.join(classes.where("n > 0").select("d1", "d2", F.col("id").alias("first")), ["d1", "d2"], "left")
     placed = placed.withColumn("first", F.when(F.col("n_shingles") > 0, F.col("first")))
     named = placed.join(labels.withColumnsRenamed({"id": "first"}), "first", "left")

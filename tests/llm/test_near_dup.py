@@ -77,6 +77,8 @@ def test_chains_groups_and_copies_by_brute_force(spark):
 
 def test_a_bucket_of_several_components_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 4)
+    monkeypatch.setattr(near_dup, "FAMILY_BLOCK", 7)
+    monkeypatch.setattr(near_dup, "COLUMNS", 16)
     rng = random.Random(4)
     base = [f"w{k}" for k in range(60)]
     rows = [(k, edited(rng, base, 3 + k % 5)) for k in range(60)]
