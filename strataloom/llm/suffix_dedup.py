@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +25,11 @@ from pyspark.sql import functions as F
 from strataloom.llm.common import BitFilter, written
 from strataloom.llm.shingles import C1, C2, mix
 
-LENGTH, ANCHOR = 100, 20
+LENGTH, ANCHOR = 100, 48
 #: Bytes that are worked on at a time, and bits that number them.
 SLICE, PLACE_BITS = 1 << 20, 22
-#: Bytes of contexts over which one suffix array is built, unless one anchor's contexts are more.
-BATCH = 1 << 15
+#: Contexts over which one suffix array is built, or more if one anchor has more.
+BATCH_CONTEXTS = 256
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -128,9 +129,9 @@ def _hashes(raw: np.ndarray, k: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(bytes, key, text, from, to, shift) by slices: the runs of windows with one anchor, and the anchor's hash.
+    """(bytes, key, text, from, to, anchor, shift) by slices: the runs of windows with one anchor, and the anchor's hash.
 
-    from and to are places in the slice's bytes; with shift added they are places in the text.
+    from, to and anchor are places in the slice's bytes; with shift added they are places in the text.
     """
     pieces = [(t, a) for t, x in enumerate(texts) for a in range(0, max(0, len(x) - length + 1), SLICE - length + 1)]
     at = 0
@@ -165,7 +166,7 @@ def anchors(texts: list[bytes], length: int, k: int) -> Iterator[tuple[np.ndarra
         which = np.searchsorted(begin, lo, "right") - 1
         shift = np.array([a for _, a, _ in own])[which] - begin[which]
         doc = np.array([t for t, _, _ in own])[which]
-        yield raw, h[place[lo]].view(np.int64), doc, lo, hi, shift
+        yield raw, h[place[lo]].view(np.int64), doc, lo, hi, place[lo], shift
 
 
 def _bytes(batch: pa.RecordBatch) -> list[bytes]:
@@ -175,29 +176,72 @@ def _bytes(batch: pa.RecordBatch) -> list[bytes]:
 def _keys(rows: DataFrame, length: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, key, _, _, _, _ in anchors(_bytes(batch), length, k):
+            for _, key, *_ in anchors(_bytes(batch), length, k):
                 yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
 
     return rows.mapInArrow(run, "key long")
 
 
-def _contexts(rows: DataFrame, length: int, k: int, wanted: BitFilter) -> DataFrame:
-    """(key, digest, doc, sub, lo, hi, bytes) of the contexts whose anchor passes the filter."""
+def _tag(digest: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """One number for a context at a place."""
+    d, t, x = (np.asarray(v, np.int64).view(np.uint64) for v in (digest, doc, lo))
+    return mix(mix(d ^ C1) ^ (t * C2) ^ mix(x + C2)).view(np.int64)
+
+
+def _contexts(rows: DataFrame, length: int, k: int, wanted: BitFilter, told: BitFilter | None = None) -> DataFrame:
+    """(key, digest, doc, sub, lo, hi) of the contexts whose anchor passes the filter.
+
+    With `told`, only those whose tag passes it, with mid, the anchor's place in the context, and their bytes.
+    """
+    more = {"mid": "int", "bytes": "binary"} if told else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, subs = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for raw, key, doc, lo, hi, shift in anchors(_bytes(batch), length, k):
+            for raw, key, doc, lo, hi, anchor, shift in anchors(_bytes(batch), length, k):
                 at = np.flatnonzero(wanted.holds(key))
                 data = raw.tobytes()
                 parts = [data[a:b] for a, b in zip(lo[at].tolist(), (hi[at] + length).tolist(), strict=True)]
-                digests = [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in parts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at]), pa.array(digests, pa.int64()), pa.array(docs[doc[at]]), pa.array(subs[doc[at]]), pa.array(lo[at] + shift[at]), pa.array(hi[at] + shift[at]), pa.array(parts, pa.binary())],
-                    ["key", "digest", "doc", "sub", "lo", "hi", "bytes"],
-                )
+                digests = np.array([int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in parts], np.int64)
+                if told:
+                    held = np.flatnonzero(told.holds(_tag(digests, docs[doc[at]], lo[at] + shift[at])))
+                    at, digests, parts = at[held], digests[held], [parts[i] for i in held]
+                cols = [key[at], digests, docs[doc[at]], subs[doc[at]], lo[at] + shift[at], hi[at] + shift[at]]
+                out = [pa.array(c) for c in cols]
+                if told:
+                    out += [pa.array((anchor - lo)[at].astype(np.int32)), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, ["key", "digest", "doc", "sub", "lo", "hi", *more])
+
+    names = {c: "long" for c in ("key", "digest", "doc", "sub", "lo", "hi")} | more
+    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in names.items()))
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """How many leading bytes agree."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return n - ((int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() + 7) // 8
 
-    return rows.mapInArrow(run, "key long, digest long, doc long, sub long, lo long, hi long, bytes binary")
+
+def _trimmed(group: list[tuple[int, int, int, int, bytes]], length: int) -> list[tuple[int, int, int, bytes]]:
+    """(doc, sub, lo, bytes) of one anchor's contexts, cut down to what agrees with some other of them.
+
+    Contexts are aligned at the anchor, so no common window reaches further to a side than the longest agreement there.
+    """
+    reach = []
+    for side in ([b[:mid][::-1] for *_, mid, b in group], [b[mid:] for *_, mid, b in group]):
+        order = sorted(range(len(side)), key=side.__getitem__)
+        best = [0] * len(side)
+        for i, j in zip(order, order[1:]):
+            n = _common(side[i], side[j])
+            best[i], best[j] = max(best[i], n), max(best[j], n)
+        reach.append(best)
+    out = []
+    for (doc, sub, lo, mid, b), left, right in zip(group, *reach, strict=True):
+        if left + right >= length:
+            out.append((doc, sub, lo + mid - left, b[mid - left : mid + right]))
+    return out
 
 
 def _repeats_within(firsts: DataFrame, length: int) -> DataFrame:
@@ -213,19 +257,22 @@ def _repeats_within(firsts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[int, int, int, bytes]] = []
-        size, last = 0, None
+        own: list[tuple[int, int, int, int, bytes]] = []
+        last = None
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if key != last and size >= BATCH:
-                    yield solve(waiting)
-                    waiting, size = [], 0
-                waiting.append(tuple(row))
-                size += len(row[-1])
-                last = key
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if key != last:
+                    waiting += _trimmed(own, length)
+                    own, last = [], key
+                    if len(waiting) >= BATCH_CONTEXTS:
+                        yield solve(waiting)
+                        waiting = []
+                own.append(tuple(row))
+        waiting += _trimmed(own, length)
         if waiting:
             yield solve(waiting)
 
-    sorted_rows = firsts.select("key", "doc", "sub", "lo", "bytes").repartition("key").sortWithinPartitions("key")
+    sorted_rows = firsts.select("key", "doc", "sub", "lo", "mid", "bytes").repartition("key").sortWithinPartitions("key")
     return sorted_rows.mapInArrow(run, "doc long, sub long, lo long, hi long")
 
 
@@ -234,12 +281,18 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, k: int = ANCHOR) ->
     twice = _keys(rows, length, k).groupBy("key").count().where("count > 1").select("key")
     met = written(_contexts(rows, length, k, BitFilter.of(twice, "key")), "contexts")
     firsts = written(met.groupBy("key", "digest").agg(F.min(F.struct("doc", "sub", "lo")).alias("first"), F.count("*").alias("n")), "first-contexts")
-    copies = met.select("key", "digest", "doc", "sub", "lo", "hi").join(firsts.where("n > 1").select("key", "digest", "first"), ["key", "digest"])
+    copies = met.join(firsts.where("n > 1").select("key", "digest", "first"), ["key", "digest"])
     copies = copies.where(F.struct("doc", "sub", "lo") != F.col("first")).select("doc", "sub", "lo", "hi")
     several = written(firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
-    likely = BitFilter.of(several, "key").where(met, "key")
-    own = firsts.join(several, "key", "left_semi").select("key", "digest", "first.doc", "first.sub", "first.lo")
-    distinct = likely.join(own, ["key", "digest", "doc", "sub", "lo"]).dropDuplicates(["key", "digest"])
+    own = written(firsts.join(several, "key", "left_semi").select("key", "digest", "first.doc", "first.sub", "first.lo"), "distinct-contexts")
+
+    @F.pandas_udf("long")
+    def tag(digest: pd.Series, doc: pd.Series, lo: pd.Series) -> pd.Series:
+        return pd.Series(_tag(digest.to_numpy(), doc.to_numpy(), lo.to_numpy()))
+
+    told = BitFilter.of(own.select(tag("digest", "doc", "lo").alias("tag")), "tag")
+    likely = _contexts(rows, length, k, BitFilter.of(several, "key"), told)
+    distinct = likely.join(own, ["key", "digest", "doc", "sub", "lo"], "left_semi").dropDuplicates(["key", "digest"])
     return copies.unionByName(_repeats_within(distinct, length))
 
 
