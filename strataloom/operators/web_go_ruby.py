@@ -144,7 +144,7 @@ def _routes(text: str) -> Iterator[tuple[str, str, str]]:
     plural = [(a, "PATCH" if a == "update" else m, s) for a, m, s in ACTIONS]
     stack: list[str] = []
     for line in text.split("\n"):
-        line = re.sub(r"#.*$", "", line).strip()
+        line = re.sub(r"(^|\s)#.*$", "", line).strip()  # in 'home#index' it is no comment
         opens = bool(re.search(r"\bdo\b(\s*\|.*\|)?$", line))
         base = "".join(stack)
         pushed = ""
