@@ -139,7 +139,10 @@ def judge(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None =
         rules = order_rules(written(measures(drawn, text_col), "quality-sample"), rules)
     judged = measures(own, text_col).withColumn("base_failed", base_failed())
     judged = judged.withColumn("rejected_by", F.when(~F.col("base_failed"), cascade(rules)))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+    judged = judged.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+    # A generator between the verdict and what uses it: a filter on the verdict, pushed below, would be written out with
+    # every measure in full wherever it occurs, which the optimizer does not end with in reasonable time.
+    return judged.select(*(F.col(f"`{c}`") for c in own.columns), F.inline(F.array(F.struct(*ADDED))))
 
 
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept"]
