@@ -15,9 +15,8 @@ def connected(edges: DataFrame) -> DataFrame:
     between the nodes pointed to. Chains halve at least, stars end at once. A hub's edges are reduced to one row a task
     before they are shuffled. No edges give no rows; loops and repeated edges do no harm.
     """
-    labels = None
     left = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    nodes = written(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
+    nodes = written(left.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
     labels = nodes.withColumn("comp", F.col("id"))
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -136,19 +136,32 @@ def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def _likely_across(unresolved: DataFrame, percent: int, n: int) -> DataFrame:
-    """(a, b): components that share a bucket and hold classes there whose signatures make a link likely."""
+    """(a, b): edges that join components which share a bucket and hold classes there that are likely to be linked.
+
+    What is joined through others gets no edge of its own: families are all that is asked for.
+    """
     least = _least_agreement(percent, n)
 
     def run(group: pa.Table) -> pa.Table:
         comp, size = (group.column(c).to_numpy() for c in ("comp", "n"))
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, n)
-        found: set[tuple[int, int]] = set()
+        root = {int(c): int(c) for c in comp}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
         for k in range(1, len(comp)):
             ok = (comp[:k] != comp[k]) & (100 * np.minimum(size[:k], size[k]) >= percent * np.maximum(size[:k], size[k]))
             at = np.flatnonzero(ok)
             if len(at):
                 at = at[(sig[at] == sig[k]).sum(axis=1) >= least]
-                found.update((min(int(c), int(comp[k])), max(int(c), int(comp[k]))) for c in np.unique(comp[at]))
+                for c in np.unique(comp[at]).tolist():
+                    x, y = top(c), top(int(comp[k]))
+                    root[max(x, y)] = min(x, y)
+        found = [(top(c), c) for c in root if top(c) != c]  # a row for each component at most, however many pairs
         a, b = (pa.array([x[c] for x in found], pa.int64()) for c in (0, 1))
         return pa.Table.from_arrays([a, b], ["a", "b"])
 
