@@ -3,7 +3,8 @@
 Texts are made templates: numbers, names and units become typed placeholders, letters lower case, punctuation goes.
 Windows of WIDTH tokens of the benchmark's templates are hash-joined with those of the documents'. Where a document
 agrees with an item along one alignment, the values in the slots must fit: one value of the item stands for one value
-in the document throughout. So a question with other numbers or names in it is found like its literal copy.
+in the document throughout. So a question with other numbers or names in it is found like its literal copy. Windows
+come in several forms, which differ in the words that are names; a place of an item is met if one of them is.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ UNITS = (
     "w|kw|mw|v|kv|a|ma|j|kj|kcal|cal|n|pa|kpa|°c|°f|k|percent|dollars?|euros?|cents?|usd|eur|gbp"
 )
 MARKS = f"{NUMBER}-{UNIT}"
+# What stands around a name until a form takes it for one or not.
+MIDDLE, END = "\ue004", "\ue006"
+FORMS = ("named", "plain")
 TOKEN = rf"[\p{{L}}\p{{N}}{MARKS}]"
 RK = ["_rk_id", "_rk_text"]
 
@@ -35,20 +39,36 @@ def raw_tokens(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_CLASS), lambda x: x.rlike(TOKEN))
 
 
-def template_tokens(text: Column) -> Column:
-    """A name is a capitalised word after a word that ends in a small letter, digit, comma, colon or semicolon."""
-    t = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll}\p{N},;:]\s{1,3}.)\p{L}*", NAME)
-    t = F.regexp_replace(t, r"[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
+def template_tokens(text: Column) -> dict[str, Column]:
+    """The tokens of each form, place for place those of raw_tokens. Numbers and units are placeholders in all forms.
+
+    named: a name is a capitalised word after a word that ends in a small letter, digit, comma, colon or semicolon.
+    plain: no names, so that the case of letters does not matter.
+    """
+    t = F.regexp_replace(text, r"[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
     t = F.regexp_replace(t, rf"(?i)(?<={NUMBER}\s)(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
-    t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{MARKS}\s]+", "")
-    return F.filter(F.split(t, SPACE_CLASS), lambda x: x != "")
+    t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[\p{{Ll}}\p{{N}},;:{NUMBER}{UNIT}]\s{{1,3}}.)\p{{L}}*", f"{MIDDLE}$0{END}")
+    t = F.regexp_replace(fold(t), rf"[^\p{{L}}\p{{N}}{MARKS}{MIDDLE}{END}\s]+", "")
+    forms = {"named": F.regexp_replace(t, rf"{MIDDLE}\p{{L}}*{END}", NAME), "plain": t}
+    return {k: _split(F.regexp_replace(v, f"[{MIDDLE}{END}]", "")) for k, v in forms.items()}
+
+
+def fold(text: Column) -> Column:
+    """Small letters that are the same for all cases of a text, sharp s and final sigma among them."""
+    return F.replace(F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss")), F.lit("\u03c2"), F.lit("\u03c3"))
+
 
+def _split(text: Column) -> Column:
+    return F.filter(F.split(text, SPACE_CLASS), lambda x: x != "")
 
-def _windows(tokens: Column, width: int) -> Column:
-    """A hash of each window; null for windows with too few plain tokens."""
-    n = F.size(tokens) - width + 1
-    hashed = lambda i: F.xxhash64(F.slice(tokens, i, F.lit(width)))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), hashed)).otherwise(F.array().cast("array<bigint>"))
+
+def _hash(tokens: Column, at: Column, width: int) -> Column:
+    """The hash of the window of `width` tokens at `at`, counted from 0; null where it does not fit."""
+    return F.when(at + width <= F.size(tokens), F.xxhash64(F.slice(tokens, at + 1, F.lit(width))))
+
+
+def _places(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1))).otherwise(F.array().cast("array<int>"))
 
 
 def _is_slot(token: Column) -> Column:
@@ -56,16 +76,26 @@ def _is_slot(token: Column) -> Column:
 
 
 def benchmark_windows(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(hash, item, pos, n, slots, values): the windows of each item, their number, the places and values of slots."""
+    """(hash, item, pos, form, slots, values, in_named, n, n_named): the windows of each item in each form.
+
+    slots and values: the places and values of slots. n: places of the item's windows. in_named, n_named: whether the
+    window in the form with names is one with enough plain tokens, and how many are.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = bench.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), template_tokens(text).alias("tok"), raw_tokens(text).alias("raw"))
-    each = rows.select("item", "tok", "raw", F.posexplode(_windows(F.col("tok"), width)).alias("pos", "hash"))
-    places = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: _is_slot(F.get("tok", F.col("pos") + k)))
-    each = each.withColumn("slots", places).where(width - F.size("slots") >= min(LEAST_PLAIN, width))
-    each = each.withColumn("values", F.transform("slots", lambda k: F.get("raw", F.col("pos") + k)))
-    # what stands before an item's first word decides whether that word is a name, so its window only counts alone
-    each = each.where((F.col("pos") > 0) | (F.size("tok") == width)).drop("tok", "raw").distinct()
-    return each.join(each.groupBy("item").agg(F.countDistinct("pos").alias("n")), "item")
+    rows = bench.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), raw_tokens(text).alias("raw"), *(v.alias(k) for k, v in template_tokens(text).items()))
+    at = rows.select("*", F.explode(_places(F.size("raw") - width + 1)).alias("pos"))
+    # what stands before an item's first word decides whether that word is a name or unit, so its window only counts alone
+    at = at.where((F.col("pos") > 0) | (F.size("raw") == width))
+    each = None
+    for form in FORMS:
+        places = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: _is_slot(F.get(form, F.col("pos") + k)))  # noqa: B023
+        part = at.select("item", "raw", "pos", F.lit(form).alias("form"), _hash(F.col(form), F.col("pos"), width).alias("hash"), places.alias("slots"))
+        part = part.where(width - F.size("slots") >= min(LEAST_PLAIN, width))
+        each = part if each is None else each.unionByName(part)
+    each = each.withColumn("values", F.transform("slots", lambda k: F.get("raw", F.col("pos") + k))).drop("raw").distinct()
+    by_pos = each.groupBy("item", "pos").agg(F.bool_or(F.col("form") == "named").alias("in_named"))
+    sizes = by_pos.groupBy("item").agg(F.count("*").alias("n"), F.count_if("in_named").alias("n_named"))
+    return each.join(by_pos, ["item", "pos"]).join(sizes, "item")
 
 
 def leaks(
@@ -74,15 +104,20 @@ def leaks(
 ) -> DataFrame:
     """(_rk_id, _rk_text, id, item_id, n_windows, n_found, n_changed) of each document and item found in it.
 
-    An item is found if at least `percent` per cent of its windows are in the document, on alignments whose slots are
-    consistent. n_changed is the number of slot values that differ: 0 for literal copies. Items with a null id or text
-    or fewer than `width` tokens are never found. Null and empty documents hold nothing. Rows of equal id and text
-    count once. Empty tables give no rows. Columns with other names are not read.
+    An item is found if at least `percent` per cent of its windows, or of those with enough plain tokens beside names,
+    are in the document in one of the forms, on alignments whose slots are consistent within the form. n_changed is the
+    number of slot values that differ: 0 for literal copies. Items with a null id or text or fewer than `width` tokens
+    are never found. Null and empty documents hold nothing. Rows of equal id and text count once. Empty tables give no
+    rows. Columns with other names are not read.
     """
     items = benchmark_windows(bench, item_col, item_text_col, width)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("_id"), F.split(text, SPACE_CLASS).alias("_words"), template_tokens(text).alias("_tok"))
-    each = rows.select(*RK, "_id", "_words", F.posexplode(_windows(F.col("_tok"), width)).alias("at", "hash"))
+    rows = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("_id"), F.split(text, SPACE_CLASS).alias("_words"), *(v.alias(f"_{k}") for k, v in template_tokens(text).items()))
+    # most windows are the same in several forms and come once
+    hashes = lambda i: F.array_distinct(F.array(*(_hash(F.col(f"_{k}"), i, width) for k in FORMS)))
+    n = F.size("_plain") - width + 1
+    each = rows.select(*RK, "_id", "_words", F.posexplode(F.transform(_places(n), hashes)).alias("at", "_hashes"))
+    each = each.select(*RK, "_id", "_words", "at", F.explode("_hashes").alias("hash"))
     if items.count() <= BROADCAST_WINDOWS:
         met = each.join(F.broadcast(items), "hash")  # in one pass with the windows: only matches keep their words
     else:
@@ -90,15 +125,21 @@ def leaks(
     raw = F.filter("_words", lambda x: x.rlike(TOKEN))
     met = met.withColumn("_own", F.slice(raw, F.col("at") + 1, F.lit(width)))
     theirs = F.transform("slots", lambda k: F.get("_own", k)).alias("theirs")
-    met = met.select(*RK, "_id", "item", "n", "pos", (F.col("at") - F.col("pos")).alias("shift"), theirs, "values")
+    met = met.select(*RK, "_id", "item", "n", "n_named", "in_named", "form", "pos", (F.col("at") - F.col("pos")).alias("shift"), theirs, "values")
     each_pos = met.distinct()
-    slots = each_pos.select(*RK, "item", "shift", F.explode(F.arrays_zip("values", "theirs")).alias("v"))
-    by_value = slots.groupBy(*RK, "item", "shift", "v.values").agg(F.min("v.theirs").alias("a"), F.max("v.theirs").alias("z"))
-    by_shift = by_value.groupBy(*RK, "item", "shift").agg(F.bool_or(F.col("a") != F.col("z")).alias("torn"), F.count_if(F.col("a") != F.col("values")).alias("changed"))
-    fit = each_pos.join(by_shift, [*RK, "item", "shift"], "left").where(~F.coalesce("torn", F.lit(False)))
-    found = fit.groupBy(*RK, "_id", "item", "n").agg(F.countDistinct("pos").alias("n_found"), F.max(F.coalesce("changed", F.lit(0))).cast("long").alias("n_changed"))
-    found = found.where(100 * F.col("n_found") >= percent * F.col("n"))
-    return found.select(*RK, F.col("_id").alias(id_col), F.col("item").alias("item_id"), F.col("n").alias("n_windows"), "n_found", "n_changed")
+    aligned = [*RK, "item", "form", "shift"]
+    slots = each_pos.select(*aligned, F.explode(F.arrays_zip("values", "theirs")).alias("v"))
+    by_value = slots.groupBy(*aligned, "v.values").agg(F.min("v.theirs").alias("a"), F.max("v.theirs").alias("z"))
+    by_shift = by_value.groupBy(*aligned).agg(F.bool_or(F.col("a") != F.col("z")).alias("torn"), F.count_if(F.col("a") != F.col("values")).alias("changed"))
+    fit = each_pos.join(by_shift, aligned, "left").where(~F.coalesce("torn", F.lit(False)))
+    found = fit.groupBy(*RK, "_id", "item", "n", "n_named").agg(
+        F.countDistinct("pos").alias("met"), F.countDistinct(F.when(F.col("in_named"), F.col("pos"))).alias("met_named"),
+        F.max(F.coalesce("changed", F.lit(0))).cast("long").alias("n_changed"),
+    )
+    whole = 100 * F.col("met") >= percent * F.col("n")
+    found = found.where(whole | ((F.col("n_named") > 0) & (100 * F.col("met_named") >= percent * F.col("n_named"))))
+    count = lambda a, b, name: F.when(whole, F.col(a)).otherwise(F.col(b)).alias(name)
+    return found.select(*RK, F.col("_id").alias(id_col), F.col("item").alias("item_id"), count("n", "n_named", "n_windows"), count("met", "met_named", "n_found"), "n_changed")
 
 
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -98,3 +98,12 @@ def test_query_scores_every_document(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     rows = queries.op6_toxicity(spark, SF).collect()
     assert len(rows) == n and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+
+
+def test_copies_in_another_case_are_found(spark):
+    name_rich = "Yesterday my friend Anna and her cousin Boris met the baker Carl near Vienna, where Dora sold 24 kg of bread to Emil for 30 euros and then Frieda went home with Gustav."
+    texts = [(1, QUESTION), (2, name_rich), (3, "Auf der Straße trafen wir 12 große Hunde, die Anna und Boris dort seit dem Morgen lange gesucht hatten.")]
+    docs = [(10 * i + k, f"so it began. {case(t)} and so it ends.") for i, t in texts for k, case in enumerate((str, str.upper, str.lower, str.title))]
+    got = found(spark, docs, texts)
+    assert set(got) == {(10 * i + k, i) for i, _ in texts for k in range(4)}
+    assert all(r.n_changed == 0 for (d, _), r in got.items() if d % 10 == 0)
