@@ -28,8 +28,8 @@ UNITS = (
 )
 MARKS = f"{NUMBER}-{UNIT}"
 # What stands around a name until a form takes it for one or not.
-MIDDLE, END = "\ue004", "\ue006"
-FORMS = ("named", "plain")
+MIDDLE, FIRST, END = "\ue004", "\ue005", "\ue006"
+FORMS = ("named", "any", "plain")
 TOKEN = rf"[\p{{L}}\p{{N}}{MARKS}]"
 RK = ["_rk_id", "_rk_text"]
 
@@ -43,14 +43,17 @@ def template_tokens(text: Column) -> dict[str, Column]:
     """The tokens of each form, place for place those of raw_tokens. Numbers and units are placeholders in all forms.
 
     named: a name is a capitalised word after a word that ends in a small letter, digit, comma, colon or semicolon.
+    any: every capitalised word is a name, as one that opens a sentence may be.
     plain: no names, so that the case of letters does not matter.
     """
     t = F.regexp_replace(text, r"[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
     t = F.regexp_replace(t, rf"(?i)(?<={NUMBER}\s)(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
     t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[\p{{Ll}}\p{{N}},;:{NUMBER}{UNIT}]\s{{1,3}}.)\p{{L}}*", f"{MIDDLE}$0{END}")
-    t = F.regexp_replace(fold(t), rf"[^\p{{L}}\p{{N}}{MARKS}{MIDDLE}{END}\s]+", "")
-    forms = {"named": F.regexp_replace(t, rf"{MIDDLE}\p{{L}}*{END}", NAME), "plain": t}
-    return {k: _split(F.regexp_replace(v, f"[{MIDDLE}{END}]", "")) for k, v in forms.items()}
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{MIDDLE}])\p{{Lu}}\p{{L}}*", f"{FIRST}$0{END}")
+    t = F.regexp_replace(fold(t), rf"[^\p{{L}}\p{{N}}{MARKS}{MIDDLE}-{END}\s]+", "")
+    name = lambda marks: F.regexp_replace(t, rf"[{marks}]\p{{L}}*{END}", NAME)
+    forms = {"named": name(MIDDLE), "any": name(MIDDLE + FIRST), "plain": t}
+    return {k: _split(F.regexp_replace(v, f"[{MIDDLE}-{END}]", "")) for k, v in forms.items()}
 
 
 def fold(text: Column) -> Column:

@@ -107,3 +107,17 @@ def test_copies_in_another_case_are_found(spark):
     got = found(spark, docs, texts)
     assert set(got) == {(10 * i + k, i) for i, _ in texts for k in range(4)}
     assert all(r.n_changed == 0 for (d, _), r in got.items() if d % 10 == 0)
+
+
+def test_names_that_open_sentences_may_differ(spark):
+    toms = "Tom has 3 apples and 5 pears. Tom buys 4 more apples at the market. How many apples does Tom have now?"
+    change = lambda t, pairs: re.sub("|".join(pairs), lambda m: pairs[m.group()], t)
+    numbers = {"3": "8", "5": "6", "4": "9"}
+    docs = [
+        (1, change(toms, {"Tom": "Anna", **numbers})),
+        (2, "So it began. " + change(toms, {"Tom": "Anna"}) + " And so it ends."),
+        (3, change(toms, numbers).replace("Tom has", "Anna has").replace("Tom buys", "Ben buys").replace("does Tom", "does Carl")),
+    ]
+    got = found(spark, docs, [(7, toms)])
+    assert set(got) == {(1, 7), (2, 7)}
+    assert got[(1, 7)].n_changed == 4 and got[(2, 7)].n_changed == 1
