@@ -5,6 +5,7 @@ Windows of WIDTH tokens of the benchmark's templates are hash-joined with those
 agrees with an item along one alignment, the values in the slots must fit: one value of the item stands for one value
 in the document throughout. So a question with other numbers or names in it is found like its literal copy. Windows
 come in several forms, which differ in the words that are names; a place of an item is met if one of them is.
+Windows with too few tokens beside placeholders are compared as they are.
 """
 
 from __future__ import annotations
@@ -56,6 +57,12 @@ def template_tokens(text: Column) -> dict[str, Column]:
     return {k: _split(F.regexp_replace(v, f"[{MIDDLE}-{END}]", "")) for k, v in forms.items()}
 
 
+def literal_tokens(text: Column) -> Column:
+    """The tokens without placeholders; marks between digits stay, so 3.5 is not 35."""
+    other = rf"[^\p{{L}}\p{{N}}{MARKS}\s]+"
+    return _split(F.regexp_replace(fold(text), rf"(?<![0-9]){other}|{other}(?![0-9])", ""))
+
+
 def fold(text: Column) -> Column:
     """Small letters that are the same for all cases of a text, sharp s and final sigma among them."""
     return F.replace(F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss")), F.lit("\u03c2"), F.lit("\u03c3"))
@@ -79,22 +86,30 @@ def _is_slot(token: Column) -> Column:
 
 
 def benchmark_windows(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(hash, item, pos, form, slots, values, in_named, n, n_named): the windows of each item in each form.
+    """(hash, item, pos, form, wide, slots, values, in_named, n, n_named): the windows of each item in each form.
 
+    Where even the plain form has too few plain tokens, the window is literal; items of up to `width` tokens are one
+    literal window of their own width. wide: the width of literal windows.
     slots and values: the places and values of slots. n: places of the item's windows. in_named, n_named: whether the
     window in the form with names is one with enough plain tokens, and how many are.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = bench.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), raw_tokens(text).alias("raw"), *(v.alias(k) for k, v in template_tokens(text).items()))
+    rows = bench.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), raw_tokens(text).alias("raw"), literal_tokens(text).alias("literal"), *(v.alias(k) for k, v in template_tokens(text).items()))
     at = rows.select("*", F.explode(_places(F.size("raw") - width + 1)).alias("pos"))
     # what stands before an item's first word decides whether that word is a name or unit, so its window only counts alone
     at = at.where((F.col("pos") > 0) | (F.size("raw") == width))
     each = None
     for form in FORMS:
         places = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: _is_slot(F.get(form, F.col("pos") + k)))  # noqa: B023
-        part = at.select("item", "raw", "pos", F.lit(form).alias("form"), _hash(F.col(form), F.col("pos"), width).alias("hash"), places.alias("slots"))
-        part = part.where(width - F.size("slots") >= min(LEAST_PLAIN, width))
+        part = at.select("item", "raw", "pos", F.lit(form).alias("form"), _hash(F.col(form), F.col("pos"), width).alias("hash"), places.alias("slots"), F.lit(None).cast("int").alias("wide"))
+        enough = width - F.size("slots") >= min(LEAST_PLAIN, width)
+        if form == "plain":
+            literal = at.select("*", places.alias("slots")).where((F.size("raw") > width) & ~enough).select("item", "raw", "pos", F.lit(width).alias("wide"), _hash(F.col("literal"), F.col("pos"), width).alias("hash"))
+        part = part.where(enough)
         each = part if each is None else each.unionByName(part)
+    short = rows.where(F.size("raw").between(1, width)).select("item", "raw", F.lit(0).alias("pos"), F.size("raw").alias("wide"), F.xxhash64("literal").alias("hash"))
+    literal = literal.unionByName(short).withColumns({"form": F.lit("literal"), "slots": F.array().cast("array<int>")})
+    each = each.unionByName(literal)
     each = each.withColumn("values", F.transform("slots", lambda k: F.get("raw", F.col("pos") + k))).drop("raw").distinct()
     by_pos = each.groupBy("item", "pos").agg(F.bool_or(F.col("form") == "named").alias("in_named"))
     sizes = by_pos.groupBy("item").agg(F.count("*").alias("n"), F.count_if("in_named").alias("n_named"))
@@ -109,19 +124,22 @@ def leaks(
 
     An item is found if at least `percent` per cent of its windows, or of those with enough plain tokens beside names,
     are in the document in one of the forms, on alignments whose slots are consistent within the form. n_changed is the
-    number of slot values that differ: 0 for literal copies. Items with a null id or text or fewer than `width` tokens
-    are never found. Null and empty documents hold nothing. Rows of equal id and text count once. Empty tables give no
-    rows. Columns with other names are not read.
+    number of slot values that differ: 0 for literal copies. Windows thick with numbers and items of up to
+    `width` tokens are found as literal copies, case and punctuation aside. Items with a null id or without tokens are
+    never found. Null and empty documents hold nothing. Rows of equal id and text count once. Empty tables give no rows.
+    Columns with other names are not read.
     """
     items = benchmark_windows(bench, item_col, item_text_col, width)
+    size = items.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("wide")).alias("widths")).first()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("_id"), F.split(text, SPACE_CLASS).alias("_words"), *(v.alias(f"_{k}") for k, v in template_tokens(text).items()))
-    # most windows are the same in several forms and come once
-    hashes = lambda i: F.array_distinct(F.array(*(_hash(F.col(f"_{k}"), i, width) for k in FORMS)))
-    n = F.size("_plain") - width + 1
+    rows = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("_id"), F.split(text, SPACE_CLASS).alias("_words"), *(v.alias(f"_{k}") for k, v in template_tokens(text).items()), literal_tokens(text).alias("_literal"))
+    # most windows are the same in several forms and come once; literal ones only in the widths that items have
+    kinds = [*((k, width) for k in FORMS), *(("literal", w) for w in size.widths)]
+    hashes = lambda i: F.array_distinct(F.array(*(_hash(F.col(f"_{k}"), i, w) for k, w in kinds)))
+    n = F.size("_plain") - min(w for _, w in kinds) + 1
     each = rows.select(*RK, "_id", "_words", F.posexplode(F.transform(_places(n), hashes)).alias("at", "_hashes"))
     each = each.select(*RK, "_id", "_words", "at", F.explode("_hashes").alias("hash"))
-    if items.count() <= BROADCAST_WINDOWS:
+    if size.n <= BROADCAST_WINDOWS:
         met = each.join(F.broadcast(items), "hash")  # in one pass with the windows: only matches keep their words
     else:
         met = each.drop("_words").join(items, "hash").join(rows.select(*RK, "_words"), RK)

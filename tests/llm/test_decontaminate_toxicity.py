@@ -121,3 +121,15 @@ def test_names_that_open_sentences_may_differ(spark):
     got = found(spark, docs, [(7, toms)])
     assert set(got) == {(1, 7), (2, 7)}
     assert got[(1, 7)].n_changed == 4 and got[(2, 7)].n_changed == 1
+
+
+def test_short_items_and_windows_thick_with_slots_are_found_as_literal_copies(spark):
+    bench = [(1, "What is 3 + 4?"), (2, "2 3 5 7 11 13 17 19 23"), (3, "Anna Boris Clara Dora Emil Frieda Gustav"), (4, "Why"), (5, "Solve 3.5 x 2"), (6, ""), (7, "!?")]
+    docs = [
+        (1, "We asked: what is 3 + 4? Nobody knew."), (2, "We asked: what is 3 + 5? Nobody knew."),
+        (3, "The row 2, 3, 5, 7, 11, 13, 17, 19, 23 is known."), (4, "The row 2, 3, 5, 8, 11, 13, 18, 19, 24 is known."),
+        (5, "ANNA, BORIS, CLARA, DORA, EMIL, FRIEDA, GUSTAV"), (6, "in 48 why not"), (7, "why"), (8, "solve 3.5 x 2 now"), (9, "Solve 35 x 2 now"),
+    ]
+    got = found(spark, docs, bench)
+    assert set(got) == {(1, 1), (3, 2), (5, 3), (6, 4), (7, 4), (8, 5)}
+    assert all(r.n_changed == 0 for r in got.values())
