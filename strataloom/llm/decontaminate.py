@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import SPACE_CLASS, row_key
+from strataloom.llm.common import SPACE_CLASS, row_key, written
 
 WIDTH, PERCENT = 5, 80
 #: Tokens of a window that must not be placeholders, for it to count.
@@ -147,7 +147,7 @@ def leaks(
     met = met.withColumn("_own", F.slice(raw, F.col("at") + 1, F.lit(width)))
     theirs = F.transform("slots", lambda k: F.get("_own", k)).alias("theirs")
     met = met.select(*RK, "_id", "item", "n", "n_named", "in_named", "form", "pos", (F.col("at") - F.col("pos")).alias("shift"), theirs, "values")
-    each_pos = met.distinct()
+    each_pos = written(met.distinct(), "met")  # read twice below
     aligned = [*RK, "item", "form", "shift"]
     slots = each_pos.select(*aligned, F.explode(F.arrays_zip("values", "theirs")).alias("v"))
     by_value = slots.groupBy(*aligned, "v.values").agg(F.min("v.theirs").alias("a"), F.max("v.theirs").alias("z"))
