@@ -90,20 +90,30 @@ def grpc_service_dotnet(files: DataFrame) -> dict[str, DataFrame]:
 SQL_TYPES = {"int": "INTEGER", "long": "BIGINT", "short": "SMALLINT", "byte": "TINYINT", "string": "VARCHAR", "bool": "BOOLEAN", "decimal": "DECIMAL", "double": "DOUBLE", "float": "FLOAT", "DateTime": "TIMESTAMP", "DateTimeOffset": "TIMESTAMP", "DateOnly": "DATE", "Guid": "UUID", "byte[]": "BLOB"}
 
 
-def _closure(known: DataFrame, inherits: DataFrame, depth: int = 8) -> DataFrame:
-    """Classes whose chain of bases reaches a known one within depth steps; no order of files matters."""
-    out, edge = known, known
-    for _ in range(depth):
-        edge = inherits.join(edge.withColumnRenamed("name", "base"), "base").select("name")
-        out = out.unionByName(edge)
-    return out.distinct()
+def _held(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: in the checkpoint folder, where there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
 
 
-def entity_framework(files: DataFrame, depth: int = 2) -> dict[str, DataFrame]:
+def _closure(known: DataFrame, inherits: DataFrame) -> DataFrame:
+    """Classes whose chain of bases reaches a known one; no order of files matters, and circles end."""
+    inherits, out = _held(inherits), _held(known.distinct())
+    edge = out
+    while not edge.isEmpty():
+        edge = _held(inherits.join(edge.withColumnRenamed("name", "base"), "base").select("name").distinct().join(out, "name", "left_anti"))
+        out = _held(out.unionByName(edge))
+    return out
+
+
+#: Bases that make a class an entity: names that end in BaseEntity, Entity, AuditableEntity and the like, or EntityBase.
+ENTITY_BASE = r"class\s+(\w+)\s*:\s*(?:[\w.]+(?:<[^<>]*>)?\s*,\s*)*(?:\w+\.)*\w*(?:Entity|EntityBase)\b"
+
+
+def entity_framework(files: DataFrame) -> dict[str, DataFrame]:
     own = select_files(files, CS)
-    known = matches(own, r"(?:DbSet<|\.Entity<)(\w+)>", ["name"]).select("name").unionByName(matches(own, r"class\s+(\w+)\s*:\s*(?:\w+\.)*(?:BaseEntity|EntityBase)\b", ["name"]).select("name")).distinct()
+    known = matches(own, r"(?:DbSet<|\.Entity<)(\w+)>", ["name"]).select("name").unionByName(matches(own, ENTITY_BASE, ["name"]).select("name")).distinct()
     inherits = matches(own, r"class\s+(\w+)\s*:\s*(?:\w+\.)*(\w+)", ["name", "base"]).select("name", "base").where("base NOT IN ('DbContext')").distinct()
-    names = _closure(known, inherits, depth)
+    names = _closure(known, inherits)
     made = classes(files, ["class"]).join(names.withColumnRenamed("name", "cls"), "cls", "left_semi")
     found = matches(made, r"((?:\[[^\]]*\]\s*)*)public\s+(?:virtual\s+|required\s+)*([\w<>\[\]?.]+)\s+(\w+)\s*\{\s*get;", ["notes", "kind", "field"], "body", ["part", "fqn", "cls"])
     many = first(F.col("kind"), r"^(?:ICollection|List|IList|IEnumerable|HashSet)<(\w+)>")
