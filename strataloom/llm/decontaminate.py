@@ -1,166 +1,213 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
-Texts are made templates: numbers, names and units become typed placeholders, letters lower case, punctuation goes.
-Windows of WIDTH tokens of the benchmark's templates are hash-joined with those of the documents'. Where a document
-agrees with an item along one alignment, the values in the slots must fit: one value of the item stands for one value
-in the document throughout. So a question with other numbers or names in it is found like its literal copy. Windows
-come in several forms, which differ in the words that are names; a place of an item is met if one of them is.
-Windows with too few tokens beside placeholders are compared as they are.
+Texts are made templates: numbers, names and units become typed placeholders, letters lower case, punctuation goes. The
+names are those of the benchmark: a capitalised word, or up to three in a row, marks a slot there, and in a document any
+one to three words may stand in that slot, in any case and at a sentence's start. Windows of the benchmark's templates
+are hash-joined with those of the documents'. Where a document agrees with an item along one alignment, the values in the
+slots must fit: one value of the item stands for one value in the document throughout, and two names never for one.
+So a question with other numbers or names in it is found like its literal copy.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import SPACE_CLASS, row_key, written
+from strataloom.llm.common import row_key, written
 
 WIDTH, PERCENT = 5, 80
-#: Tokens of a window that must not be placeholders, for it to count.
-LEAST_PLAIN = 3
+#: Tokens that must not be numbers or units, for a window to count: of WIDTH in a row, of the four around a name.
+LEAST_PLAIN, LEAST_AROUND = 3, 2
+#: Words that may stand in the slot of a name.
+NAME_WORDS = (1, 2, 3)
+#: Per cent of an item's tokens that windows with slots for names must cover, for these windows to count alone.
+LEAST_COVER = 60
+#: Tokens by which neighbouring windows of one alignment may drift apart.
+DRIFT = 4
 #: Windows of the benchmark up to which it is broadcast; beyond, both sides are shuffled by the window's hash.
 BROADCAST_WINDOWS = 500_000
-# The placeholders, from the private use area, and the units known after a number.
-NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
-UNITS = (
-    "km|m|cm|mm|mi|miles?|ft|feet|in|inch|inches|yd|yards?|kg|g|mg|lbs?|pounds?|oz|ounces?|tons?|t|l|ml|litres?|liters?|gallons?|"
-    "s|sec|secs|seconds?|min|mins|minutes?|h|hrs?|hours?|days?|weeks?|months?|years?|hz|khz|mhz|ghz|kb|mb|gb|tb|"
-    "w|kw|mw|v|kv|a|ma|j|kj|kcal|cal|n|pa|kpa|°c|°f|k|percent|dollars?|euros?|cents?|usd|eur|gbp"
-)
-MARKS = f"{NUMBER}-{UNIT}"
-# What stands around a name until a form takes it for one or not.
-MIDDLE, FIRST, END = "\ue004", "\ue005", "\ue006"
-FORMS = ("named", "any", "plain")
-TOKEN = rf"[\p{{L}}\p{{N}}{MARKS}]"
+# The units known after a number.
+UNITS = [
+    "km", "m", "cm", "mm", "mi", "mile", "miles", "ft", "feet", "inch", "inches", "yd", "yard", "yards",
+    "kg", "g", "mg", "lb", "lbs", "pound", "pounds", "oz", "ounce", "ounces", "ton", "tons",
+    "l", "ml", "litre", "litres", "liter", "liters", "gallon", "gallons",
+    "sec", "secs", "second", "seconds", "min", "mins", "minute", "minutes", "h", "hr", "hrs", "hour", "hours",
+    "day", "days", "week", "weeks", "month", "months", "year", "years",
+    "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "w", "kw", "mw", "kv", "kj", "kcal", "cal", "pa", "kpa",
+    "percent", "dollar", "dollars", "euro", "euros", "cent", "cents", "usd", "eur", "gbp",
+]
+PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
+TOKEN = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*|\p{L}[\p{L}\p{M}]*"
 RK = ["_rk_id", "_rk_text"]
 
 
-def raw_tokens(text: Column) -> Column:
-    """The words that hold a letter, a digit or a placeholder: one for each token of the template."""
-    return F.filter(F.split(text, SPACE_CLASS), lambda x: x.rlike(TOKEN))
+def fold(text: Column) -> Column:
+    """Small letters that are the same for all cases of a text, sharp s and final sigma among them."""
+    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
-def template_tokens(text: Column) -> dict[str, Column]:
-    """The tokens of each form, place for place those of raw_tokens. Numbers and units are placeholders in all forms.
+def tokens(text: Column) -> Column:
+    """Numbers, with the marks between their digits, and runs of letters, all letters small."""
+    return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
 
-    named: a name is a capitalised word after a word that ends in a small letter, digit, comma, colon or semicolon.
-    any: every capitalised word is a name, as one that opens a sentence may be.
-    plain: no names, so that the case of letters does not matter.
-    """
-    t = F.regexp_replace(text, r"[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
-    t = F.regexp_replace(t, rf"(?i)(?<={NUMBER}\s)(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
-    t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[\p{{Ll}}\p{{N}},;:{NUMBER}{UNIT}]\s{{1,3}}.)\p{{L}}*", f"{MIDDLE}$0{END}")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{MIDDLE}])\p{{Lu}}\p{{L}}*", f"{FIRST}$0{END}")
-    t = F.regexp_replace(fold(t), rf"[^\p{{L}}\p{{N}}{MARKS}{MIDDLE}-{END}\s]+", "")
-    name = lambda marks: F.regexp_replace(t, rf"[{marks}]\p{{L}}*{END}", NAME)
-    forms = {"named": name(MIDDLE), "any": name(MIDDLE + FIRST), "plain": t}
-    return {k: _split(F.regexp_replace(v, f"[{MIDDLE}-{END}]", "")) for k, v in forms.items()}
 
+def _kind(token: Column, before: Column) -> Column:
+    number = lambda x: x.between("0", ":")
+    return F.when(number(token), NUMBER).when(F.coalesce(number(before), F.lit(False)) & token.isin(UNITS), UNIT).otherwise(PLAIN)
 
-def literal_tokens(text: Column) -> Column:
-    """The tokens without placeholders; marks between digits stay, so 3.5 is not 35."""
-    other = rf"[^\p{{L}}\p{{N}}{MARKS}\s]+"
-    return _split(F.regexp_replace(fold(text), rf"(?<![0-9]){other}|{other}(?![0-9])", ""))
 
+def kinds(of: str) -> Column:
+    """NUMBER, UNIT or PLAIN for each token of the column."""
+    return F.transform(of, lambda x, i: _kind(x, F.get(of, i - 1)))
 
-def fold(text: Column) -> Column:
-    """Small letters that are the same for all cases of a text, sharp s and final sigma among them."""
-    return F.replace(F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss")), F.lit("\u03c2"), F.lit("\u03c3"))
 
+def template(of: str) -> Column:
+    """A hash for each token of the column, one and the same for all numbers and for all units."""
+
+    def hashed(x: Column, i: Column) -> Column:
+        kind = _kind(x, F.get(of, i - 1))
+        return F.when(kind == PLAIN, F.xxhash64(x)).otherwise(kind.cast("long"))
 
-def _split(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE_CLASS), lambda x: x != "")
+    return F.transform(of, hashed)
 
 
-def _hash(tokens: Column, at: Column, width: int) -> Column:
-    """The hash of the window of `width` tokens at `at`, counted from 0; null where it does not fit."""
-    return F.when(at + width <= F.size(tokens), F.xxhash64(F.slice(tokens, at + 1, F.lit(width))))
+def _row_hash(template: str, at: Column) -> Column:
+    """WIDTH tokens of the template in a row."""
+    return F.xxhash64(F.lit(1), *(F.get(template, at + k) for k in range(WIDTH)))
 
 
-def _places(n: Column) -> Column:
-    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1))).otherwise(F.array().cast("array<int>"))
+def _name_hash(template: str, at: Column, words: int, seed: int) -> Column:
+    """Two tokens, a name of `words` words, two tokens; the name is left out."""
+    return F.xxhash64(F.lit(10 + seed), *(F.get(template, at + k) for k in (0, 1, 2 + words, 3 + words)))
 
 
-def _is_slot(token: Column) -> Column:
-    return token.rlike(f"[{MARKS}]")
+def _literal_hash(tokens: str, at: Column, width: int) -> Column:
+    return F.xxhash64(F.lit(20 + width), *(F.get(tokens, at + k) for k in range(width)))
 
 
-def benchmark_windows(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(hash, item, pos, form, wide, slots, values, in_named, n, n_named): the windows of each item in each form.
+def _benchmark_tokens(bench: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item, copy, low, kind, template): each item's tokens; names have a kind of their own.
 
-    Where even the plain form has too few plain tokens, the window is literal; items of up to `width` tokens are one
-    literal window of their own width. wide: the width of literal windows.
-    slots and values: the places and values of slots. n: places of the item's windows. in_named, n_named: whether the
-    window in the form with names is one with enough plain tokens, and how many are.
+    A capitalised word is a name, but at a sentence's start only if the benchmark has it nowhere in small letters.
+    """
+    rows = bench.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).distinct()
+    opened = F.lit(rf"(?:[.?!][^\p{{L}}\p{{Nd}}]*)?(?:{TOKEN})")
+    each = rows.select("item", F.xxhash64("text").alias("copy"), F.posexplode(F.regexp_extract_all("text", opened, F.lit(0))).alias("i", "found"))
+    each = each.select("item", "copy", "i", ((F.col("i") == 0) | F.col("found").rlike("^[.?!]")).alias("opens"), F.regexp_replace("found", r"^[^\p{L}\p{Nd}]+", "").alias("raw"))
+    each = each.withColumn("low", fold(F.col("raw")))
+    small = each.where((F.col("raw") == F.col("low"))).select("low", F.lit(True).alias("small")).distinct()
+    name = F.col("raw").rlike(r"^\p{Lu}") & (~F.col("opens") | F.col("small").isNull())
+    each = each.join(small, "low", "left").select("item", "copy", F.struct("i", "low", name.alias("name")).alias("t"))
+    rows = each.groupBy("item", "copy").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    rows = rows.select("item", "copy", F.col("t.low").alias("low"), F.col("t.name").alias("name"))
+    rows = rows.select("*", kinds("low").alias("own"), template("low").alias("template"))
+    kind = F.zip_with("own", "name", lambda k, named: F.when((k == PLAIN) & named, NAME).otherwise(k))
+    return rows.select("item", "copy", "low", kind.alias("kind"), "template")
+
+
+def benchmark_windows(bench: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The windows of each item: (hash, item, copy, pos, place, as_is, slotted, slots, wide, n_as_is, n_slotted).
+
+    as_is windows hold WIDTH tokens in a row, names as they are; with fewer than LEAST_PLAIN words they are literal,
+    numbers included, and items of up to WIDTH tokens are one literal window. slotted windows are those of them
+    without names, and those of two tokens, a name of up to three words and two tokens. place numbers the windows,
+    n_as_is and n_slotted count them; n_slotted is 0 if they cover less than LEAST_COVER of the item. slots: type,
+    place, words and value. wide: the width of literal windows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = bench.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), raw_tokens(text).alias("raw"), literal_tokens(text).alias("literal"), *(v.alias(k) for k, v in template_tokens(text).items()))
-    at = rows.select("*", F.explode(_places(F.size("raw") - width + 1)).alias("pos"))
-    # what stands before an item's first word decides whether that word is a name or unit, so its window only counts alone
-    at = at.where((F.col("pos") > 0) | (F.size("raw") == width))
-    each = None
-    for form in FORMS:
-        places = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: _is_slot(F.get(form, F.col("pos") + k)))  # noqa: B023
-        part = at.select("item", "raw", "pos", F.lit(form).alias("form"), _hash(F.col(form), F.col("pos"), width).alias("hash"), places.alias("slots"), F.lit(None).cast("int").alias("wide"))
-        enough = width - F.size("slots") >= min(LEAST_PLAIN, width)
-        if form == "plain":
-            literal = at.select("*", places.alias("slots")).where((F.size("raw") > width) & ~enough).select("item", "raw", "pos", F.lit(width).alias("wide"), _hash(F.col("literal"), F.col("pos"), width).alias("hash"))
-        part = part.where(enough)
-        each = part if each is None else each.unionByName(part)
-    short = rows.where(F.size("raw").between(1, width)).select("item", "raw", F.lit(0).alias("pos"), F.size("raw").alias("wide"), F.xxhash64("literal").alias("hash"))
-    literal = literal.unionByName(short).withColumns({"form": F.lit("literal"), "slots": F.array().cast("array<int>")})
-    each = each.unionByName(literal)
-    each = each.withColumn("values", F.transform("slots", lambda k: F.get("raw", F.col("pos") + k))).drop("raw").distinct()
-    by_pos = each.groupBy("item", "pos").agg(F.bool_or(F.col("form") == "named").alias("in_named"))
-    sizes = by_pos.groupBy("item").agg(F.count("*").alias("n"), F.count_if("in_named").alias("n_named"))
-    return each.join(by_pos, ["item", "pos"]).join(sizes, "item")
+    rows = _benchmark_tokens(bench, item_col, text_col)
+    n = F.size("low")
+    at = rows.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos"))
+    kind = lambda k: F.get("kind", F.col("pos") + k)
+    plain = lambda places: sum((F.coalesce(kind(k) % NAME == PLAIN, F.lit(False))).cast("int") for k in places)
+    # names count as words where they stand as they are
+
+    def slot(k: int, moved: int = 0) -> Column:
+        value = F.struct(kind(k).alias("type"), F.lit(k + moved).alias("off"), F.lit(1).alias("words"), F.get("low", F.col("pos") + k).alias("value"))
+        return F.when(kind(k).isin(NUMBER, UNIT), value)
+
+    def windows(df: DataFrame, hashed: Column, place: int, as_is: Column, slotted: Column, slots: list[Column], width: int, wide: Column) -> DataFrame:
+        none = F.expr("cast(array() as array<struct<type:int,off:int,words:int,value:string>>)")
+        return df.select(
+            "item", "copy", "pos", hashed.alias("hash"), (F.col("pos") * 2 + place).alias("place"), as_is.alias("as_is"), slotted.alias("slotted"),
+            (F.array_compact(F.array(*slots)) if slots else none).alias("slots"), F.sequence(F.col("pos"), F.col("pos") + width - 1).alias("cover"), n.alias("n_tokens"), wide.alias("wide"),
+        )
+
+    yes, no, row = F.lit(True), F.lit(False), range(WIDTH)
+    fits = at.where((n > WIDTH) & (F.col("pos") + WIDTH <= n))
+    nameless = ~sum((kind(k) == NAME).cast("int") for k in row).cast("boolean")
+    each = windows(fits.where(plain(row) >= LEAST_PLAIN), _row_hash("template", F.col("pos")), 0, yes, nameless, [slot(k) for k in row], WIDTH, F.lit(None).cast("int"))
+    each = each.unionByName(windows(fits.where(plain(row) < LEAST_PLAIN), _literal_hash("low", F.col("pos"), WIDTH), 0, yes, no, [], WIDTH, F.lit(WIDTH)))
+    for w in range(1, WIDTH + 1):
+        each = each.unionByName(windows(at.where((F.col("pos") == 0) & (n == w)), _literal_hash("low", F.lit(0), w), 0, yes, no, [], w, F.lit(w)))
+    for words in NAME_WORDS:
+        around = [0, 1, 2 + words, 3 + words]
+        holds = sum(F.coalesce(kind(k) != NAME, F.lit(False)).cast("int") for k in around) + sum(F.coalesce(kind(2 + k) == NAME, F.lit(False)).cast("int") for k in range(words))
+        of_words = at.where((n > WIDTH) & (holds == 4 + words) & (plain(around) >= LEAST_AROUND))
+        name = F.array_join(F.slice("low", F.col("pos") + 3, F.lit(words)), " ")
+        for other in NAME_WORDS:
+            value = F.struct(F.lit(NAME).alias("type"), F.lit(2).alias("off"), F.lit(other).alias("words"), name.alias("value"))
+            slots = [slot(0), slot(1), value, *(slot(k, other - words) for k in around[2:])]
+            each = each.unionByName(windows(of_words, _name_hash("template", F.col("pos"), words, other), 1, no, yes, slots, 4 + words, F.lit(None).cast("int")))
+    count = lambda which: F.count_distinct(F.when(F.col(which), F.col("place")))
+    covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("slotted"), F.col("cover"))))))
+    sizes = each.groupBy("item", "copy").agg(
+        count("as_is").alias("n_as_is"), F.when(100 * covered >= LEAST_COVER * F.first("n_tokens"), count("slotted")).otherwise(0).alias("n_slotted")
+    )
+    return each.drop("cover", "n_tokens").join(sizes, ["item", "copy"])
 
 
 def leaks(
     docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
+    item_text_col: str = "text", percent: int = PERCENT,
 ) -> DataFrame:
     """(_rk_id, _rk_text, id, item_id, n_windows, n_found, n_changed) of each document and item found in it.
 
-    An item is found if at least `percent` per cent of its windows, or of those with enough plain tokens beside names,
-    are in the document in one of the forms, on alignments whose slots are consistent within the form. n_changed is the
-    number of slot values that differ: 0 for literal copies. Windows thick with numbers and items of up to
-    `width` tokens are found as literal copies, case and punctuation aside. Items with a null id or without tokens are
-    never found. Null and empty documents hold nothing. Rows of equal id and text count once. Empty tables give no rows.
-    Columns with other names are not read.
+    An item is found if at least `percent` per cent of its windows, names as they are or in slots, are in the document
+    on alignments whose slots are consistent: a number, unit or name of the item stands for one value throughout, and
+    two names for two. n_changed is the number of slot values that differ: 0 for literal copies. Windows thick with
+    numbers and items of up to WIDTH tokens are found as literal copies, case and punctuation aside. Items with a null
+    id or without tokens are never found. Null and empty documents hold nothing; very long ones are read whole. Rows of
+    equal id and text count once. Empty tables give no rows. Columns with other names are not read.
     """
-    items = benchmark_windows(bench, item_col, item_text_col, width)
+    items = written(benchmark_windows(bench, item_col, item_text_col), "benchmark-windows")
     size = items.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("wide")).alias("widths")).first()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("_id"), F.split(text, SPACE_CLASS).alias("_words"), *(v.alias(f"_{k}") for k, v in template_tokens(text).items()), literal_tokens(text).alias("_literal"))
-    # most windows are the same in several forms and come once; literal ones only in the widths that items have
-    kinds = [*((k, width) for k in FORMS), *(("literal", w) for w in size.widths)]
-    hashes = lambda i: F.array_distinct(F.array(*(_hash(F.col(f"_{k}"), i, w) for k, w in kinds)))
-    n = F.size("_plain") - min(w for _, w in kinds) + 1
-    each = rows.select(*RK, "_id", "_words", F.posexplode(F.transform(_places(n), hashes)).alias("at", "_hashes"))
-    each = each.select(*RK, "_id", "_words", "at", F.explode("_hashes").alias("hash"))
+    rows = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("_id"), tokens(F.col(text_col)).alias("_tokens"))
+    rows = rows.select("*", template("_tokens").alias("_template")).where(F.size("_tokens") > 0)
+    at = F.col("at")
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("_tokens") - 1)).alias("at"))
+    hashes = [_row_hash("_template", at), *(_name_hash("_template", at, w, w) for w in NAME_WORDS), *(_literal_hash("_tokens", at, w) for w in size.widths)]
+    each = each.select("*", F.explode(F.array(*hashes)).alias("hash"))
+    own = F.slice("_tokens", at + 1, F.lit(4 + max(NAME_WORDS))).alias("_own")
     if size.n <= BROADCAST_WINDOWS:
-        met = each.join(F.broadcast(items), "hash")  # in one pass with the windows: only matches keep their words
+        met = each.join(F.broadcast(items), "hash").select(*RK, "_id", "at", own, *items.columns)  # in one pass: only matches keep tokens
     else:
-        met = each.drop("_words").join(items, "hash").join(rows.select(*RK, "_words"), RK)
-    raw = F.filter("_words", lambda x: x.rlike(TOKEN))
-    met = met.withColumn("_own", F.slice(raw, F.col("at") + 1, F.lit(width)))
-    theirs = F.transform("slots", lambda k: F.get("_own", k)).alias("theirs")
-    met = met.select(*RK, "_id", "item", "n", "n_named", "in_named", "form", "pos", (F.col("at") - F.col("pos")).alias("shift"), theirs, "values")
-    each_pos = written(met.distinct(), "met")  # read twice below
-    aligned = [*RK, "item", "form", "shift"]
-    slots = each_pos.select(*aligned, F.explode(F.arrays_zip("values", "theirs")).alias("v"))
-    by_value = slots.groupBy(*aligned, "v.values").agg(F.min("v.theirs").alias("a"), F.max("v.theirs").alias("z"))
-    by_shift = by_value.groupBy(*aligned).agg(F.bool_or(F.col("a") != F.col("z")).alias("torn"), F.count_if(F.col("a") != F.col("values")).alias("changed"))
-    fit = each_pos.join(by_shift, aligned, "left").where(~F.coalesce("torn", F.lit(False)))
-    found = fit.groupBy(*RK, "_id", "item", "n", "n_named").agg(
-        F.countDistinct("pos").alias("met"), F.countDistinct(F.when(F.col("in_named"), F.col("pos"))).alias("met_named"),
-        F.max(F.coalesce("changed", F.lit(0))).cast("long").alias("n_changed"),
+        met = each.select(*RK, "at", "hash").join(items, "hash").join(rows.select(*RK, "_id", "_tokens"), RK).select(*RK, "_id", "at", own, *items.columns)
+    met = written(met, "met")
+    value = lambda s: F.array_join(F.slice("_own", s["off"] + 1, s["words"]), " ")
+    values = F.transform("slots", lambda s: F.struct(s["type"].alias("type"), s["value"].alias("value"), value(s).alias("theirs")))
+    pair = [*RK, "item", "copy"]
+    met = met.select(*pair, "_id", "place", "as_is", "slotted", "n_as_is", "n_slotted", (at - F.col("pos")).alias("shift"), values.alias("values"))
+    along = Window.partitionBy(*pair).orderBy("shift", "place")
+    torn_off = F.when(F.col("shift") - F.lag("shift").over(along) > DRIFT, 1).otherwise(0)
+    met = met.withColumn("_off", torn_off).withColumn("alignment", F.sum("_off").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    places = lambda which: F.collect_set(F.when(F.col(which), F.col("place"))).alias(which)
+    aligned = met.groupBy(*pair, "alignment").agg(
+        F.first("_id").alias("_id"), F.first("n_as_is").alias("n_as_is"), F.first("n_slotted").alias("n_slotted"), places("as_is"), places("slotted"),
+        F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"),
     )
-    whole = 100 * F.col("met") >= percent * F.col("n")
-    found = found.where(whole | ((F.col("n_named") > 0) & (100 * F.col("met_named") >= percent * F.col("n_named"))))
-    count = lambda a, b, name: F.when(whole, F.col(a)).otherwise(F.col(b)).alias(name)
-    return found.select(*RK, F.col("_id").alias(id_col), F.col("item").alias("item_id"), count("n", "n_named", "n_windows"), count("met", "met_named", "n_found"), "n_changed")
+    one_each = F.size(F.array_distinct(F.transform("values", lambda v: F.struct(v["type"], v["value"])))) == F.size("values")
+    names = F.filter("values", lambda v: v["type"] == NAME)
+    names_apart = F.size(F.array_distinct(F.transform(names, lambda v: v["theirs"]))) == F.size(names)
+    changed = F.size(F.filter("values", lambda v: v["value"] != v["theirs"]))
+    fit = aligned.where(one_each & names_apart).withColumn("n_changed", changed.cast("long"))
+    union = lambda which: F.size(F.array_distinct(F.flatten(F.collect_list(which)))).cast("long").alias(f"met_{which}")
+    found = fit.groupBy(*pair).agg(F.first("_id").alias("_id"), F.first("n_as_is").alias("n_as_is"), F.first("n_slotted").alias("n_slotted"), union("as_is"), union("slotted"), F.max("n_changed").alias("n_changed"))
+    whole = 100 * F.col("met_as_is") >= percent * F.col("n_as_is")
+    found = found.where(whole | ((F.col("n_slotted") > 0) & (100 * F.col("met_slotted") >= percent * F.col("n_slotted"))))
+    count = lambda name, kind: F.when(whole, F.col(f"{kind}_as_is")).otherwise(F.col(f"{kind}_slotted")).cast("long").alias(name)
+    found = found.select(*RK, F.col("_id").alias(id_col), F.col("item").alias("item_id"), count("n_windows", "n"), count("n_found", "met"), "n_changed")
+    return found.dropDuplicates([*RK, "item_id"])
 
 
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
