@@ -50,13 +50,15 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a new one of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset, as in tests on one machine, a new one of our own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
@@ -76,46 +78,49 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 class BitFilter:
-    """A set of longs as bits of their hashes: 4 MB whatever the input, so it can be broadcast at any size.
+    """A set of longs as bits of their hashes, 16 for each but 32 MB in all at most, so it can be broadcast at any size.
 
-    It lets members through and, the fuller it is, others too: a step that thins rows before a join, not a test.
+    It lets members through and, the fuller it is, others too: a step that thins rows before a join, not a test. Of more
+    members than a few 10 ** 7 it thins less and less, and what follows has more rows to look at.
     """
 
-    BITS = 1 << 25
+    LEAST, MOST, BLOCK = 20, 28, 15
 
-    def __init__(self, spark: SparkSession, bits: bytes):
-        self.bits = spark.sparkContext.broadcast(bits)
+    def __init__(self, spark: SparkSession, bits: bytes, log: int):
+        self.bits, self.log = spark.sparkContext.broadcast(bits), log
 
     @staticmethod
-    def _places(x: np.ndarray) -> np.ndarray:
+    def _places(x: np.ndarray, log: int) -> np.ndarray:
         h = np.asarray(x, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return ((h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - 25)
+        return ((h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - log)
 
     @classmethod
-    def of(cls, df: DataFrame, col: str) -> BitFilter:
-        """Each task sets the bits of its rows; the blocks that they touch are merged with one row for each block."""
-        block = 1 << 15
+    def of(cls, df: DataFrame, col: str, n: int) -> BitFilter:
+        """Of a column with about n longs. Members meet by blocks of bits, and a block comes to the driver as one row."""
+        log = min(cls.MOST, max(cls.LEAST, int(16 * n).bit_length()))
+        size = 1 << cls.BLOCK
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(cls.BITS, bool)
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bits[cls._places(batch.column(0).to_numpy())] = True
-            rows = bits.reshape(-1, block)
-            for k in np.flatnonzero(rows.any(axis=1)).tolist():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(rows[k], bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+                at = np.unique(cls._places(batch.column(0).to_numpy(), log)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((at >> cls.BLOCK).astype(np.int32)), pa.array((at & (size - 1)).astype(np.int32))], ["block", "bit"])
 
-        def merge(table: pa.Table) -> pa.Table:
-            rows = np.stack([np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
-            return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
-
-        held = np.zeros(cls.BITS // 8, np.uint8)
-        parts = df.select(F.col(col).cast("long")).where(F.col(col).isNotNull()).mapInArrow(run, "block long, bits binary")
-        for r in parts.groupBy("block").applyInArrow(merge, "block long, bits binary").collect():  # BITS / block rows
-            held[r.block * block // 8 : (r.block + 1) * block // 8] = np.frombuffer(r.bits, np.uint8)
-        return cls(df.sparkSession, held.tobytes())
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, own in zip(*(batch.column(c) for c in (0, 1)), strict=True):
+                    bits = np.zeros(size, bool)
+                    bits[own.values.to_numpy()] = True
+                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+        held = np.zeros((1 << log) // 8, np.uint8)
+        at = df.select(F.col(col).cast("long")).where(F.col(col).isNotNull()).mapInArrow(places, "block int, bit int")
+        blocks = at.groupBy("block").agg(F.collect_set("bit")).mapInArrow(packed, "block int, bits binary")
+        for r in blocks.collect():  # 2 ** (MOST - BLOCK) rows of 4 KB at most
+            held[r.block * size // 8 : (r.block + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
+        return cls(df.sparkSession, held.tobytes(), log)
 
     def holds(self, x: np.ndarray) -> np.ndarray:
-        bits, at = np.frombuffer(self.bits.value, np.uint8), self._places(x)
+        bits, at = np.frombuffer(self.bits.value, np.uint8), self._places(x, self.log)
         return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
     def where(self, df: DataFrame, col: str, held: bool = True) -> DataFrame:

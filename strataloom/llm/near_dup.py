@@ -106,7 +106,7 @@ def _best(pairs: DataFrame) -> DataFrame:
 def _texts(df: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
     """(id, text) of the documents in ids, thinned by a filter of fixed size before anything is shuffled."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-    return BitFilter.of(ids, "id").where(rows, "id").join(ids, "id", "left_semi")
+    return BitFilter.of(ids, "id", ids.count()).where(rows, "id").join(ids, "id", "left_semi")
 
 
 def _confirmed(df: DataFrame, id_col: str, text_col: str, pairs: DataFrame, width: int, percent: int) -> DataFrame:

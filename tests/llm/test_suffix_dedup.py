@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -31,19 +32,27 @@ def brute(rows, length):
     return out
 
 
-def test_repeats_of_contexts():
+def test_repeats_of_pieces():
     rng = random.Random(1)
-    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 60))) for _ in range(8)]
-    got = sorted(sorted((x >> 20, x & (1 << 20) - 1) for x in g) for g in suffix_dedup.repeats(texts, 6))
-    places = {}
-    for k, t in enumerate(texts):
-        for s in range(len(t) - 5):
-            places.setdefault(t[s : s + 6], []).append((k, s))
-    assert got == sorted(sorted(p) for p in places.values() if len(p) > 1)
+    for slack in (1, 3, 5):
+        some = lambda: bytes(rng.choice(b"ab") for _ in range(rng.randint(0, slack)))  # noqa: B023, E731
+        pieces = [(some(), rng.randrange(3), some()) for _ in range(40)]
+        seen, want = set(), []
+        for k, (left, core, right) in enumerate(pieces):
+            for i in range(max(0, slack - len(right)), min(slack, len(left)) + 1):
+                w = (left[len(left) - i :], core, right[: slack - i])
+                if w in seen:
+                    want.append((k, len(left) - i))
+                seen.add(w)
+        got = suffix_dedup.repeats(pieces, slack)
+        assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(want)
 
 
-def test_removal_by_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_removal_by_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "SLICE", 3000)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BATCH_SYMBOLS", 500)
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
     passages = [" ".join(word() for _ in range(40)) for _ in range(4)]
