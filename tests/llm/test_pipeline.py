@@ -2,6 +2,7 @@ import hashlib
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 from test_decontaminate_toxicity import QUESTION
 from test_lines_quality_shards import deduped, measured
 from test_near_dup import brute
@@ -47,6 +48,19 @@ def test_stages_take_effect_one_by_one(spark):
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in out)
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    t, u, z, q = (" ".join(f"{x}{k}" for k in range(40)) for x in "tuzq")
+    rows = [(1, t), (3, t), (3, u), (4, z), (4, q), (None, u), (None, "short"), (None, None), (4, z)]
+    docs = spark.createDataFrame([(*r, "own", k) for k, r in enumerate(rows)], "doc_id long, text string, key string, `a.b` int")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert left.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    texts = [x for _, x in got]
+    assert sorted(map(str, texts)) == sorted(map(str, [t, u, z, q, "short", None])) and len(set(got)) == len(got)
+    unique = docs.where("`a.b` IN (1, 0, 4)").withColumn("doc_id", F.col("`a.b`").cast("long"))
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, unique, SF).collect()) == [0, 4]
+
+
 def test_nulls_repeats_clashes_and_no_rows(spark, tmp_path):
     good = " ".join(f"word{k} and then" for k in range(30))
     rows = [(1, good, "en", "s", None, "x"), (1, good, "en", "s", None, "x"), (2, good, None, None, 5, "y"), (None, good + " more", "en", "s", 1, "z"), (4, None, "en", "s", 0, "q"), (5, "", "en", "s", 0, None), (6, "filler text goes here " + QUESTION, "en", "s", 0, "b")]
@@ -54,7 +68,7 @@ def test_nulls_repeats_clashes_and_no_rows(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, QUESTION)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert sorted(str(r.doc_id) for r in out) == ["1", "None"]
+    assert [r.doc_id for r in out] == [1]
     docs.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/empty/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
