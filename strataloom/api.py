@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,36 +14,88 @@ from strataloom.functions.text import text_or_null
 from strataloom.model import KEYS
 from strataloom.operators.relational import table_counts
 from strataloom.plans import render
-from strataloom.plans.scan import registry, scan
+from strataloom.plans.scan import registry, scan_with_runs
 from strataloom.sources.files import read_files
 
 
 @dataclass(frozen=True)
 class Config:
-    """mode: auto, groups or explicit; groups are languages or subjects. Unknown keys of from_dict() are ignored."""
+    """mode: auto, groups or explicit; groups are languages or subjects. Unknown keys of from_dict() are ignored.
+
+    repositories: (name, path) of trees that are scanned beside the root, each below its name. generators: the kinds of
+    documents that are written (mermaid, markdown, json), all if empty.
+    """
 
     project: str = "project"
     mode: str = "auto"
     enabled: list[str] = field(default_factory=list)
     groups: list[str] = field(default_factory=list)
     detect_crud: bool = True
+    description: str = ""
+    version: str = ""
+    repositories: list[tuple[str, str]] = field(default_factory=list)
+    generators: list[str] = field(default_factory=list)
+    include_external: bool = True
+    output: str | None = None
+    index: bool = True
+    settings: dict = field(default_factory=dict)
 
     @classmethod
     def from_dict(cls, given: dict) -> Config:
-        scanners = given.get("scanners") or {}
+        part = lambda d, k: d.get(k) if isinstance(d.get(k), dict) else {}
+        scanners, project, generators, output = (part(given, k) for k in ("scanners", "project", "generators", "output"))
         enabled, groups = list(scanners.get("enabled") or []), list(scanners.get("groups") or [])
         mode = str(scanners.get("mode") or ("groups" if groups else "explicit" if enabled else "auto")).lower()
-        crud = ((scanners.get("config") or {}).get("rest-event-flow") or {}).get("detectCrudPatterns", True)
-        return cls(str((given.get("project") or {}).get("name") or "project"), mode, enabled, groups, bool(crud))
+        crud = part(part(scanners, "config"), "rest-event-flow").get("detectCrudPatterns", True)
+        repositories = [(str(r["name"]), str(r["path"])) for r in given.get("repositories") or [] if isinstance(r, dict) and r.get("name") and r.get("path")]
+        return cls(
+            str(project.get("name") or "project"), mode, enabled, groups, bool(crud), str(project.get("description") or ""), str(project.get("version") or ""),
+            repositories, list(generators.get("enabled") or []), bool(generators.get("includeExternal", True)), output.get("directory"), bool(output.get("generateIndex", True)), part(scanners, "config"),
+        )
+
+    @classmethod
+    def from_file(cls, spark: SparkSession, path: str) -> Config:
+        """The configuration in a YAML or JSON file, wherever Spark can read it; the default if there is none or it is bad.
+
+        YAML needs a YAML library; without one the file must be JSON, which is YAML too.
+        """
+        try:
+            import yaml
+
+            load, bad = yaml.safe_load, yaml.YAMLError
+        except ImportError:
+            load, bad = json.loads, ValueError
+        try:
+            text = spark.read.text(path, wholetext=True).first()
+            given = load(text.value) if text else None
+        except (bad, AnalysisException):
+            return cls()
+        return cls.from_dict(given) if isinstance(given, dict) else cls()
+
+    def get(self, scanner: str, key: str, default: object = None) -> object:
+        """A setting of a scanner, or the default."""
+        own = self.settings.get(scanner)
+        return own.get(key, default) if isinstance(own, dict) else default
 
 
 def scan_tree(spark: SparkSession, root: str, config: Config | None = None, output: str | None = None) -> dict[str, DataFrame]:
-    """The catalog of the files below root; with output, its documents are written there."""
+    """The catalog of the files below root and of the configured repositories, and `scan_runs`, the scanners' runs.
+
+    With an output folder, given here or in the configuration, the documents are written there.
+    """
     config = config or Config()
-    catalog = scan(read_files(spark, root), config.mode, config.enabled, config.groups, config.detect_crud)
-    if output:
-        render.write_documents(render.documents(catalog, table_counts(catalog), config.project), output)
-    return catalog
+    files = read_files(spark, root)
+    for name, path in config.repositories:
+        files = files.unionByName(read_files(spark, path).withColumn("rel_path", F.concat(F.lit(f"{name}/"), "rel_path")))
+    catalog, runs = scan_with_runs(files, config.mode, config.enabled, config.groups, config.detect_crud)
+    if folder := output or config.output:
+        pages = render.documents(catalog, table_counts(catalog), config.project, runs, config.include_external, config.description, config.version)
+        if config.generators:
+            pages = pages.where(F.split_part("path", F.lit("/"), F.lit(1)).isin(config.generators))
+        if not config.index:
+            pages = pages.where("path <> 'markdown/index.md'")
+        render.write_documents(pages, folder)
+    return catalog | {"scan_runs": runs}
 
 
 #: What marks a project, in the order in which it is looked for.

@@ -99,6 +99,73 @@ def join_paths(base: Column, path: Column) -> Column:
     return F.when(bare == "", F.lit("/")).otherwise(bare)
 
 
+def method_path(base: Column, path: Column) -> Column:
+    """A method's path below a controller's: the base as it is where the method has none, and nothing put before it."""
+    return (
+        F.when(F.coalesce(base, F.lit("")) == "", F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), F.coalesce(path, F.lit("")))))
+        .when(F.coalesce(path, F.lit("")) == "", base)
+        .otherwise(F.concat(F.regexp_replace(base, "/$", ""), F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))))
+    )
+
+
+def resource_path(base: Column, path: Column) -> Column:
+    """As method_path, but "/" where both are empty."""
+    return F.when((F.coalesce(base, F.lit("")) == "") & (F.coalesce(path, F.lit("")) == ""), F.lit("/")).otherwise(method_path(base, path))
+
+
+def group_path(prefix: Column, path: Column) -> Column:
+    """A route below the prefix of its group; the route as it is without a prefix."""
+    return F.when(F.coalesce(prefix, F.lit("")) == "", path).otherwise(join_paths(prefix, path))
+
+
+def template_path(base: Column, path: Column) -> Column:
+    """An action's template below a controller's; one that begins with a slash or tilde stands for itself."""
+    return F.when(path.rlike("^[/~]"), F.regexp_replace(path, "^~", "")).otherwise(join_paths(base, path))
+
+
+def first_per_line(text: Column, pattern: str, group: int = 1) -> Column:
+    """The first match of each line that has one, in order."""
+    return F.array_compact(F.transform(F.split(text, "\r?\n", -1), lambda x: first(x, pattern, group)))
+
+
+def unquoted(col: Column) -> Column:
+    """Without blanks and one pair of quotes around it."""
+    return F.regexp_replace(F.trim(col), r"^(['\"`])(.*)\1$", "$2")
+
+
+def is_comment(line: Column) -> Column:
+    return F.ltrim(line).rlike(r"^(//|#|--|/\*|\*)")
+
+
+def part_of(text: Column, start: int, stop: int) -> Column:
+    """The characters from start, counted from 0, to before stop; as many as there are."""
+    return F.coalesce(F.substring(text, max(0, start) + 1, max(0, stop - max(0, start))), F.lit(""))
+
+
+def extension(path: Column) -> Column:
+    """In small letters, without the dot; empty if there is none."""
+    return F.lower(F.regexp_extract(file_name(path), r"\.([^.]+)$", 1))
+
+
+def xml_attribute(text: Column, name: str) -> Column:
+    """The attribute of a tag's text, null without it."""
+    return first(text, rf"\b{re.escape(name)}\s*=\s*[\"']([^\"']*)[\"']")
+
+
+def json_text(text: Column, path: str) -> Column:
+    """The value at a path of JSON text; null where the text is no JSON or has no such value."""
+    return F.get_json_object(text, path)
+
+
+def json_list(text: Column) -> Column:
+    """A JSON array as its elements' texts, anything else as an array of one, null as none."""
+    return F.when(text.isNull(), F.array().cast("array<string>")).when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(F.array(text))
+
+
+def coverage_text(found: Column, expected: Column, percent: Column) -> Column:
+    return F.format_string("%d/%d (%.0f%%)", found.cast("long"), expected.cast("long"), percent.cast("double"))
+
+
 def base_path(path: Column) -> Column:
     """The path without `{x}` and `:x` segments and without a slash at the end."""
     bare = F.regexp_replace(F.regexp_replace(path, r"/\{[^}]+\}", ""), "/:[^/]+", "")

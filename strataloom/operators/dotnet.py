@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.functions.text import file_stem, first, folder_name, join_paths, make_id, one_of, plural, some
+from strataloom.functions.text import file_stem, first, folder_name, make_id, one_of, plural, some, template_path
 from strataloom.model import FIELDS, rows
 from strataloom.operators.jvm import streams
-from strataloom.sources.files import matches, segments, select_files
+from strataloom.sources.files import in_order, matches, segments, select_files
+from strataloom.sources.tables import written
 
 CS = ["**/*.cs"]
 CLASS = r"\n\s*(?:\[[^\n]*\]\s*\n\s*)*(?:public\s+|internal\s+)(?:abstract\s+|sealed\s+|static\s+|partial\s+)*class\s+(\w+)(?:\s*:\s*([\w<>., ]+))?"
@@ -31,9 +34,9 @@ def nuget_dependencies(files: DataFrame) -> dict[str, DataFrame]:
     attr = lambda n, col="attrs": first(F.col(col), rf"\b{n}\s*=\s*\"([^\"]*)\"")
     modern = refs.select("rel_path", "pos", "project", F.coalesce(attr("Include"), attr("Update")).alias("name"), F.coalesce(attr("Version"), first(F.col("rest"), r"<Version>\s*([^<\s]+)"), F.lit("*")).alias("version"))
     old = matches(own, r"<Reference\s+Include=\"([^\",]+)([^\"]*)\"[^>]*?(?:/>|>((?s).*?)</Reference>)", ["name", "attrs", "rest"], keep=["project"]).where(~F.col("name").rlike(r"^(System(\..*)?|mscorlib|Microsoft\.CSharp)$"))
-    old = old.select("rel_path", (F.col("pos") + 10_000).alias("pos"), "project", "name", F.coalesce(first(F.col("attrs"), r"Version=(\d+\.\d+\.\d+)"), first(F.col("rest"), r"<HintPath>[^<]*?\.(\d+\.\d+(?:\.\d+)?)[\\/]"), F.lit("*")).alias("version"))
-    config = matches(own, r"<package\s+([^>]*?)/?>", ["attrs"], keep=["project"]).select("rel_path", (F.col("pos") + 20_000).alias("pos"), "project", attr("id").alias("name"), F.coalesce(attr("version"), F.lit("*")).alias("version"))
-    deps = modern.unionByName(old).unionByName(config).where("name IS NOT NULL")
+    old = old.select("rel_path", "pos", "project", "name", F.coalesce(first(F.col("attrs"), r"Version=(\d+\.\d+\.\d+)"), first(F.col("rest"), r"<HintPath>[^<]*?\.(\d+\.\d+(?:\.\d+)?)[\\/]"), F.lit("*")).alias("version"))
+    config = matches(own, r"<package\s+([^>]*?)/?>", ["attrs"], keep=["project"]).select("rel_path", "pos", "project", attr("id").alias("name"), F.coalesce(attr("version"), F.lit("*")).alias("version"))
+    deps = in_order([modern, old, config]).where("name IS NOT NULL")
     projects = own.where(F.col("rel_path").endswith(".csproj"))
     source = make_id("nuget", F.col("project"))
     return {
@@ -44,7 +47,7 @@ def nuget_dependencies(files: DataFrame) -> dict[str, DataFrame]:
 
 def dotnet_solution(files: DataFrame) -> dict[str, DataFrame]:
     own = select_files(files, ["**/*.sln"])
-    found = matches(own, r"Project\(\"\{[^}]+\}\"\)\s*=\s*\"([^\"]+)\"\s*,\s*\"([^\"]+)\"\s*,\s*\"(\{[^}]+\})\"", ["name", "path", "guid"]).where(~F.col("path").endswith(".sln") & F.col("path").rlike(r"proj$"))
+    found = matches(own, r"(?m)^\s*Project\(\"[^\"]*\"\)[ =]*\"([^\"]*)\"[ ,]*\"([^\"]*)\"", ["name", "path"]).where(~F.col("path").endswith(".sln") & F.col("path").rlike(r"proj$"))
     once = found.withColumn("rn", F.row_number().over(Window.partitionBy("rel_path", "name").orderBy("pos"))).where("rn = 1")
     kind = one_of(F.lower("path"), [("web", "SERVICE"), ("api", "SERVICE"), ("mvc", "SERVICE"), ("test", "MODULE"), ("infra", "MODULE"), ("data", "MODULE"), ("core", "MODULE")], F.lit("LIBRARY"))
     return {"components": rows("components", once, "dotnet-solution", id=make_id("dotnet-project", F.col("name")), name=F.col("name"), type=kind, technology=".NET")}
@@ -70,7 +73,7 @@ def aspnetcore_rest(files: DataFrame) -> dict[str, DataFrame]:
     base = F.coalesce(F.regexp_replace(first(F.col("head"), r"\[Route\(\"([^\"]*)\"\)\]"), r"\[controller\]", F.lit("\u0001")), F.concat(F.lit("api/"), short))
     own = own.withColumn("base", F.replace(base, F.lit("\u0001"), short)).withColumn("rest", F.expr("substr(body, length(head) + 1)"))
     found = matches(own, r"\[Http(Get|Post|Put|Delete|Patch)(?:\(\s*\"([^\"]*)\"[^\]]*)?\)?\]\s*(?:\[[^\]]*\]\s*)*public\s+(?:async\s+|virtual\s+)*(?:Task<)?([\w<>\[\]?.]+?)>?\s+(\w+)\s*\(([^)]*)\)", ["verb", "path", "ret", "action", "args"], "rest", ["fqn", "base"])
-    whole = F.when(F.col("path").rlike("^[/~]"), F.regexp_replace("path", "^~", "")).otherwise(join_paths(F.col("base"), F.col("path")))
+    whole = template_path(F.col("base"), F.col("path"))
     out = rows("api_endpoints", found, "aspnetcore-rest", component_id=F.col("fqn"), type="REST", path=whole, method=F.upper("verb"), description=F.concat(F.lit("Action "), F.col("action")), request_schema=_parameters(F.col("args"), whole), response_schema=F.regexp_replace("ret", r"^ActionResult<(.*)$", "$1"))
     minimal = matches(select_files(files, CS, [".MapGet", ".MapPost", ".MapPut", ".MapDelete"]).withColumn("fqn", file_stem(F.col("rel_path"))), r"\.Map(Get|Post|Put|Delete|Patch)\s*\(\s*\"([^\"]*)\"", ["verb", "path"], keep=["fqn"])
     out = out.unionByName(rows("api_endpoints", minimal, "aspnetcore-rest", component_id=F.col("fqn"), type="REST", path=F.col("path"), method=F.upper("verb"), description="Minimal API"))
@@ -86,22 +89,37 @@ def grpc_service_dotnet(files: DataFrame) -> dict[str, DataFrame]:
     return {"api_endpoints": rows("api_endpoints", found, "grpc-service-dotnet", component_id=F.col("fqn"), type="GRPC", path=F.concat(F.lit("/"), "service", F.lit("/"), "rpc"), method="POST", request_schema=F.col("req"), response_schema=F.col("res"))}
 
 
-#: SQL types of C# types.
-SQL_TYPES = {"int": "INTEGER", "long": "BIGINT", "short": "SMALLINT", "byte": "TINYINT", "string": "VARCHAR", "bool": "BOOLEAN", "decimal": "DECIMAL", "double": "DOUBLE", "float": "FLOAT", "DateTime": "TIMESTAMP", "DateTimeOffset": "TIMESTAMP", "DateOnly": "DATE", "Guid": "UUID", "byte[]": "BLOB"}
-
-
-def _held(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: in the checkpoint folder, where there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+# SQL types of C# types, in small letters; others stay, in capitals.
+SQL_TYPES = {
+    "int": "INTEGER",
+    "int32": "INTEGER",
+    "long": "BIGINT",
+    "int64": "BIGINT",
+    "short": "SMALLINT",
+    "int16": "SMALLINT",
+    "byte": "TINYINT",
+    "bool": "BOOLEAN",
+    "boolean": "BOOLEAN",
+    "string": "NVARCHAR",
+    "datetime": "DATETIME",
+    "datetimeoffset": "DATETIMEOFFSET",
+    "decimal": "DECIMAL",
+    "double": "FLOAT",
+    "float": "REAL",
+    "single": "REAL",
+    "guid": "UNIQUEIDENTIFIER",
+    "byte[]": "VARBINARY",
+    "timespan": "TIME",
+}
 
 
 def _closure(known: DataFrame, inherits: DataFrame) -> DataFrame:
     """Classes whose chain of bases reaches a known one; no order of files matters, and circles end."""
-    inherits, out = _held(inherits), _held(known.distinct())
+    inherits, out = written(inherits, "inherits"), written(known.distinct(), "known")
     edge = out
     while not edge.isEmpty():
-        edge = _held(inherits.join(edge.withColumnRenamed("name", "base"), "base").select("name").distinct().join(out, "name", "left_anti"))
-        out = _held(out.unionByName(edge))
+        edge = written(inherits.join(edge.withColumnRenamed("name", "base"), "base").select("name").distinct().join(out, "name", "left_anti"), "edge")
+        out = written(out.unionByName(edge), "known")
     return out
 
 
@@ -119,29 +137,39 @@ def entity_framework(files: DataFrame) -> dict[str, DataFrame]:
     many = first(F.col("kind"), r"^(?:ICollection|List|IList|IEnumerable|HashSet)<(\w+)>")
     found = found.withColumns({"many": many, "bare": F.regexp_replace("kind", r"\?$", "")})
     sql = F.create_map(*(F.lit(x) for kv in SQL_TYPES.items() for x in kv))
-    plain = found.withColumn("sql", F.try_element_at(sql, F.col("bare"))).where("sql IS NOT NULL")
-    nullable = F.col("kind").endswith("?") | ((F.col("kind") == "string") & ~F.coalesce("notes", F.lit("")).contains("[Required"))
+    navigates = F.col("many").isNotNull() | F.col("known")
+    found = found.join(names.select(F.col("name").alias("bare"), F.lit(True).alias("known")), "bare", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    plain = found.where(~navigates).withColumn("sql", F.coalesce(F.try_element_at(sql, F.lower("bare")), F.upper("bare")))
+    nullable = F.col("kind").contains("?")
     is_key = F.coalesce("notes", F.lit("")).contains("[Key]") | (F.col("field") == "Id") | (F.col("field") == F.concat("cls", F.lit("Id")))
     entry = F.struct(F.col("pos"), F.struct(F.col("field").alias("name"), F.col("sql").alias("data_type"), nullable.alias("nullable")).alias("f"))
     grouped = plain.groupBy("rel_path", "part", "fqn", "cls").agg(F.array_sort(F.collect_list(entry)).alias("fs"), F.min_by("field", F.when(is_key, F.col("pos"))).alias("pk")).withColumn("fields", F.transform("fs", lambda x: x["f"]).cast(FIELDS))
     targets = found.withColumn("target", F.coalesce("many", "bare")).join(names.withColumnRenamed("name", "target"), "target", "left_semi")
     return {
         "data_entities": rows("data_entities", grouped, "entity-framework", component_id=F.col("fqn"), name=plural(F.col("cls")), type="table", fields=F.col("fields"), primary_key=F.col("pk")),
-        "relationships": rows("relationships", targets, "entity-framework", source_id=F.col("fqn"), target_id=F.col("target"), type="DEPENDS_ON", description=F.when(F.col("many").isNotNull(), "one-to-many").otherwise("many-to-one"), technology="Entity Framework"),
+        "relationships": rows("relationships", targets, "entity-framework", source_id=F.col("cls"), target_id=F.col("target"), type="DEPENDS_ON", description=F.when(F.col("many").isNotNull(), "one-to-many").otherwise("many-to-one"), technology="Entity Framework"),
     }
 
 
 def dotnet_kafka_messaging(files: DataFrame) -> dict[str, DataFrame]:
-    own = select_files(files, CS, ["Confluent.Kafka", "KafkaConsumer", "ProduceAsync"]).withColumns({"ns": namespace(F.col("content")), "cls": first(F.col("content"), r"class\s+(\w+)")})
-    own = own.withColumn("fqn", F.concat(F.coalesce(F.concat("ns", F.lit(".")), F.lit("")), F.coalesce("cls", file_stem(F.col("rel_path")))))
-    keep = ["fqn"]
-    consumes = matches(own, r"\[KafkaConsumer\(\s*\"([^\"]+)\"", ["topic"], keep=keep).unionByName(matches(own, r"\.(?:Subscribe|Consume)\s*\(\s*\"([^\"]+)\"", ["topic"], keep=keep))
-    produces = matches(own, r"\[KafkaProducer\(\s*\"([^\"]+)\"", ["topic"], keep=keep).unionByName(matches(own, r"\.Produce(?:Async)?\s*\(\s*\"([^\"]+)\"", ["topic"], keep=keep))
-    held = matches(own, r"\bI(Consumer|Producer)<[^>]+>\s+\w+\s*[;{=]", ["side"], keep=keep).withColumn("topic", F.lit("unknown-topic"))
-    flow = lambda df, pub, sub: rows("message_flows", df, "dotnet-kafka-messaging", topic=F.col("topic"), broker="kafka", publisher_component_id=pub, subscriber_component_id=sub)
-    no_pub, no_sub, me = F.lit("unknown-publisher"), F.lit("unknown-subscriber"), F.col("fqn")
-    out = flow(consumes, no_pub, me).unionByName(flow(produces, me, no_sub))
-    return {"message_flows": out.unionByName(flow(held.where("side = 'Consumer'"), no_pub, me)).unionByName(flow(held.where("side = 'Producer'"), me, no_sub))}
+    """Flows of each class: attributes by class; fields and calls, which are the file's, for each of its classes."""
+    own = select_files(files, CS, ["Confluent.Kafka", "KafkaConsumer", "KafkaProducer", "ProduceAsync"]).withColumn("ns", namespace(F.col("content")))
+    prefix = F.coalesce(F.concat("ns", F.lit(".")), F.lit(""))
+    cls = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?m)^[^/\n]*?\bclass\s+(\w+)"), F.lit(1)))
+    named = F.when(F.size(cls) > 0, cls).otherwise(F.array(file_stem(F.col("rel_path"))))
+    each = own.select("rel_path", F.explode(named).alias("cls"), prefix.alias("ns_prefix")).select("rel_path", F.concat("ns_prefix", "cls").alias("fqn"))
+    of_class = segments(own.withColumn("content", F.concat(F.lit("\n"), "content")), CLASS, ["cls", "bases"], keep=["ns"]).withColumn("fqn", F.concat(prefix, "cls"))
+    marked = lambda kind: matches(of_class, rf"\[Kafka{kind}\(\s*\"([^\"]+)\"", ["topic"], "body", ["fqn"])
+    of_file = lambda pattern, names: matches(own, pattern, names).join(each, "rel_path")
+    calls = of_file(r"\.(Subscribe|Consume|Produce|ProduceAsync)\s*\(\s*\"([^\"]+)\"", ["call", "topic"])
+    held = of_file(r"\bI(Consumer|Producer)<[^>]+>\s+\w+\s*[;{=]", ["side"]).withColumn("topic", F.lit("unknown-topic"))
+    reads = F.col("call").isin("Subscribe", "Consume")
+    columns = ["rel_path", "pos", "fqn", "topic"]
+    consumes = [marked("Consumer"), calls.where(reads), held.where("side = 'Consumer'")]
+    produces = [marked("Producer"), calls.where(~reads), held.where("side = 'Producer'")]
+    flow = lambda df, pub, sub: rows("message_flows", df.select(*columns), "dotnet-kafka-messaging", topic=F.col("topic"), broker="kafka", publisher_component_id=pub, subscriber_component_id=sub)
+    parts = [flow(df, F.lit("unknown-publisher"), F.col("fqn")) for df in consumes] + [flow(df, F.col("fqn"), F.lit("unknown-subscriber")) for df in produces]
+    return {"message_flows": reduce(DataFrame.unionByName, parts)}
 
 
 def streamiz_kafka(files: DataFrame) -> dict[str, DataFrame]:

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.functions.text import capitalised, file_stem, first, folder_name, join_paths, make_id, snake_case, some
+from strataloom.functions.text import capitalised, file_stem, first, folder_name, make_id, method_path, resource_path, snake_case, some
 from strataloom.model import FIELDS, rows
 from strataloom.sources.files import matches, segments, select_files
 
 JAVA = ["**/*.java"]
 CLASS = r"(?:public\s+|abstract\s+|final\s+)*class\s+(\w+)"
+#: What stands between parentheses, with others nested once. Possessive, so matching goes on in a loop, not on the stack.
+INSIDE = r"(?:[^()]++|\([^()]*+\))*+"
 #: A class with the annotations before it.
-ANNOTATED = r"(?:@\w+(?:\((?:[^()]|\([^()]*\))*\))?\s+)+(?:public\s+|abstract\s+|final\s+)*class\s+(\w+)"
-VERBS = "Get|Post|Put|Delete|Patch"
+ANNOTATED = rf"(?:@\w+(?:\({INSIDE}\))?\s+)++(?:public\s+|abstract\s+|final\s+)*class\s+(\w+)"
+#: A method with the annotations before it: annotations, return type, name, parameters.
+METHOD = rf"((?:@\w+(?:\s*\({INSIDE}\))?\s*+)++)(?:(?:public|protected|private|final|static|synchronized)\s+)*+([\w.<>\[\], ?]+?)\s+(\w+)\s*\(({INSIDE})\)"
+#: One text or several in braces.
+TEXTS = r"(\{\s*(?:\"[^\"]*\"\s*,?\s*)*+\}|\"[^\"]*\")"
 
 
 def package(content: Column) -> Column:
@@ -37,21 +42,40 @@ def classes(files: DataFrame, words: list[str]) -> DataFrame:
     return cut.withColumns({"fqn": qualified(F.col("pkg"), F.col("cls")), "head": F.regexp_extract("body", f"^({ANNOTATED})", 1)})
 
 
+_DEPENDENCY = "dependency array<struct<groupId:string,artifactId:string,version:string,scope:string>>"
+POM = (
+    f"artifactId string, groupId string, version string, packaging string, parent struct<groupId:string,version:string>, "
+    f"dependencies struct<{_DEPENDENCY}>, dependencyManagement struct<dependencies:struct<{_DEPENDENCY}>>"
+)
+
+
 def maven_dependencies(files: DataFrame) -> dict[str, DataFrame]:
+    """Project and management dependencies; those of plugins are not the project's.
+
+    Of a file that is no XML the dependencies are found by pattern, outside of plugins; it gives no component.
+    """
     poms = select_files(files, ["**/pom.xml"], ["<project"])
-    text = F.regexp_replace("content", r"<project\s[^>]*>", "<project>")
-    value = lambda path: some(F.trim(F.xpath_string(text, F.lit(path))))
-    own = poms.select(
-        "rel_path", text.alias("xml"), value("/project/artifactId").alias("artifact"), value("/project/packaging").alias("packaging"),
-        F.coalesce(value("/project/groupId"), value("/project/parent/groupId")).alias("grp"),
-        F.coalesce(value("/project/version"), value("/project/parent/version")).alias("ver"),
-        F.regexp_extract(text, r"(?s)<properties>(.*?)</properties>", 1).alias("props"),
+    own = poms.select("rel_path", "content", F.from_xml("content", POM).alias("p"))
+    value = lambda c: some(F.trim(c))
+    own = own.select(
+        "rel_path", "content", value("p.artifactId").alias("artifact"), value("p.packaging").alias("packaging"),
+        F.coalesce(value("p.groupId"), value("p.parent.groupId")).alias("grp"),
+        F.coalesce(value("p.version"), value("p.parent.version")).alias("ver"),
+        F.concat(F.coalesce("p.dependencies.dependency", F.array()), F.coalesce("p.dependencyManagement.dependencies.dependency", F.array())).alias("listed"),
+        F.regexp_extract("content", r"(?s)<properties>(.*?)</properties>", 1).alias("props"),
     )
     names, values = (F.regexp_extract_all("props", F.lit(r"(?s)<([\w.-]+)>\s*(.*?)\s*</\1>"), F.lit(g)) for g in (1, 2))
-    builtin = F.map_from_arrays(F.array(*(F.lit(f"project.{k}") for k in ("groupId", "artifactId", "version"))), F.array(*(F.coalesce(c, F.lit("")) for c in ("grp", "artifact", "ver"))))
-    own = own.withColumn("known", F.map_concat(F.map_from_arrays(F.array_distinct(names), F.slice(values, F.lit(1), F.size(F.array_distinct(names)))), builtin))
-    blocks = matches(own, r"(?s)<dependency>(.*?)</dependency>", ["dep"], text="xml", keep=["artifact", "known"])
-    tag = lambda t: some(F.trim(F.regexp_extract("dep", rf"(?s)<{t}>(.*?)</{t}>", 1)))
+    once = F.array_distinct(names)
+    given = F.map_from_arrays(once, F.transform(once, lambda n: F.element_at(values, F.array_position(names, n).cast("int"))))
+    builtin = {"project.groupId": "grp", "project.artifactId": "artifact", "project.version": "ver"}
+    built = F.map_from_arrays(F.array(*(F.lit(k) for k in builtin)), F.array(*(F.coalesce(c, F.lit("")) for c in builtin.values())))
+    own = own.withColumn("known", F.map_concat(F.map_filter(given, lambda k, _: ~k.isin(list(builtin))), built))
+    good = own.where("artifact IS NOT NULL")
+    parsed = good.select("rel_path", "artifact", "known", F.posexplode("listed").alias("pos", "d")).select("rel_path", "artifact", "known", "pos", "d.*")
+    broken = own.where("artifact IS NULL").withColumn("content", F.regexp_replace("content", r"(?s)<plugins>.*?</plugins>", ""))
+    blocks = matches(broken, r"(?s)<dependency>(.*?)</dependency>", ["dep"], keep=["known"])
+    tag = lambda t: some(F.trim(F.regexp_extract("dep", rf"(?s)<{t}>(.*?)</{t}>", 1))).alias(t)
+    matched = blocks.select("rel_path", F.lit("unknown").alias("artifact"), "known", "pos", *(tag(t) for t in ("groupId", "artifactId", "version", "scope")))
 
     def filled(col: Column) -> Column:
         """Each ${property} once by its value, or left as it is."""
@@ -59,9 +83,14 @@ def maven_dependencies(files: DataFrame) -> dict[str, DataFrame]:
         put = lambda s, k: F.replace(s, F.concat(F.lit("${"), k, F.lit("}")), F.coalesce(F.try_element_at("known", k), F.concat(F.lit("${"), k, F.lit("}"))))
         return F.when(col.isNull(), col).otherwise(F.aggregate(asked, col, put))
 
-    deps = blocks.select("*", *(filled(tag(t)).alias(t) for t in ("groupId", "artifactId", "version", "scope"))).where("groupId IS NOT NULL AND artifactId IS NOT NULL")
-    component = rows("components", own, "maven-dependencies", id=make_id("maven", F.col("grp"), F.col("artifact")), name=F.col("artifact"), type=F.when(F.coalesce("packaging", F.lit("jar")) == "jar", "LIBRARY").otherwise("SERVICE"), technology="Maven")
-    return {"components": component, "dependencies": rows("dependencies", deps, "maven-dependencies", source_component_id=F.col("artifact"), group_id=F.col("groupId"), artifact_id=F.col("artifactId"), version=F.col("version"), scope=F.col("scope"))}
+    deps = parsed.unionByName(matched)
+    deps = deps.select("rel_path", "artifact", "pos", *(filled(value(F.col(t))).alias(t) for t in ("groupId", "artifactId", "version", "scope")))
+    deps = deps.where("groupId IS NOT NULL AND artifactId IS NOT NULL")
+    kind = F.when(F.coalesce("packaging", F.lit("jar")) == "jar", "LIBRARY").otherwise("SERVICE")
+    return {
+        "components": rows("components", good, "maven-dependencies", id=make_id("maven", F.col("grp"), F.col("artifact")), name=F.col("artifact"), type=kind, technology="Maven"),
+        "dependencies": rows("dependencies", deps, "maven-dependencies", source_component_id=F.col("artifact"), group_id=F.col("groupId"), artifact_id=F.col("artifactId"), version=F.col("version"), scope=F.col("scope")),
+    }
 
 
 CONFIGURATIONS = "implementation|api|compileOnly|runtimeOnly|testImplementation|testRuntimeOnly|annotationProcessor"
@@ -81,28 +110,77 @@ def gradle_dependencies(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def spring_components(files: DataFrame) -> dict[str, DataFrame]:
+    """One component for each simple class name and kind of id: of several classes of one name the first path's stays."""
     kind = first(F.col("head"), r"@(RestController|Controller|Service|Repository|Component|Configuration)\b")
     found = classes(files, ["org.springframework"]).withColumn("kind", kind).where("kind IS NOT NULL")
+    found = found.select("rel_path", "fqn", "cls", "kind").dropDuplicates(["rel_path", "fqn"])
     service = F.col("kind").isin("RestController", "Controller", "Service")
     return {"components": rows("components", found, "spring-components", id=make_id(F.col("fqn")), name=F.col("cls"), type=F.when(service, "SERVICE").otherwise("MODULE"), technology="Spring")}
 
 
+def _methods(own: DataFrame, keep: list[str]) -> DataFrame:
+    """(rel_path, pos, notes, ret, method_name, params) of the annotated methods of class bodies, with the kept columns."""
+    return matches(own.withColumn("rest", F.expr("substr(body, length(head) + 1)")), METHOD, ["notes", "ret", "method_name", "params"], "rest", keep)
+
+
+def _parameters(params: Column, annotations: str) -> Column:
+    """`Annotation:name:Type` of each annotated parameter, joined by commas; null without any."""
+    one = rf"@({annotations})\b(?:\s*\({INSIDE}\))?\s*(?:@\w+(?:\({INSIDE}\))?\s*+)*+(?:final\s+)?([\w.]+(?:<[^()]*?>)?(?:\[\])?)\s+(\w+)\s*(?=,|$)"
+    names = F.regexp_extract_all(F.coalesce(params, F.lit("")), F.lit(one), F.lit(0))
+    return some(F.array_join(F.transform(names, lambda x: F.concat_ws(":", *(F.regexp_extract(x, one, k) for k in (1, 3, 2)))), ", "))
+
+
+def _texts(args: Column, attributes: str) -> Column:
+    """The texts of an annotation's attribute, or of its only value: one or several; [""] without any."""
+    some_text = F.coalesce(first(args, rf"\b(?:{attributes})\s*=\s*{TEXTS}"), first(args, rf"^\s*{TEXTS}"))
+    texts = F.regexp_extract_all(some_text, F.lit(r'"([^"]*)"'), F.lit(1))
+    return F.when(F.coalesce(F.size(texts), F.lit(0)) > 0, texts).otherwise(F.array(F.lit("")))
+
+
 def spring_rest_api(files: DataFrame) -> dict[str, DataFrame]:
+    """A row for each method, path and HTTP method; braces in paths are kept."""
     own = classes(files, ["RestController", "Controller"]).where(F.col("head").rlike(r"@(Rest)?Controller\b"))
-    own = own.withColumns({"base": first(F.col("head"), r"@RequestMapping\s*\([^)]*?\"([^\"]*)\""), "rest": F.expr("substr(body, length(head) + 1)")})
-    keep = ["fqn", "base"]
-    direct = matches(own, rf"@({VERBS})Mapping\b(?:\s*\((?:[^()\"]*\"([^\"]*)\")?[^)]*\))?\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:public\s+)?([\w<>\[\], ?]+?)\s+(\w+)\s*\(", ["verb", "path", "ret", "method_name"], "rest", keep)
-    general = matches(own, r"@RequestMapping\s*\(([^)]*)\)\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:public\s+)?([\w<>\[\], ?]+?)\s+(\w+)\s*\(", ["args", "ret", "method_name"], "rest", keep)
-    general = general.select("rel_path", (F.col("pos") + 10_000).alias("pos"), *keep, F.coalesce(first(F.col("args"), r"RequestMethod\.(\w+)"), F.lit("GET")).alias("verb"), first(F.col("args"), r"\"([^\"]*)\"").alias("path"), "ret", "method_name")
-    both = direct.unionByName(general)
-    return {"api_endpoints": rows("api_endpoints", both, "spring-rest-api", component_id=F.col("fqn"), type="REST", path=join_paths(F.col("base"), F.col("path")), method=F.upper("verb"), description=F.concat(F.lit("Handler "), F.col("method_name")), response_schema=F.trim("ret"))}
+    own = own.withColumn("base", F.element_at(_texts(first(F.col("head"), rf"@RequestMapping\s*\(({INSIDE})\)"), "value|path"), 1))
+    found = _methods(own, ["fqn", "base"])
+    mapping = rf"@(Get|Post|Put|Delete|Patch|Request)Mapping\b(?:\s*\(({INSIDE})\))?"
+    found = found.withColumns({"verb": first(F.col("notes"), mapping), "args": F.regexp_extract("notes", mapping, 2)}).where("verb IS NOT NULL")
+    listed = F.regexp_extract_all("args", F.lit(r"RequestMethod\.(\w+)|(?<==\s{0,3})(GET|POST|PUT|DELETE|PATCH)\b"), F.lit(0))
+    verbs = F.when(F.col("verb") != "Request", F.array(F.upper("verb"))).when(F.size(listed) > 0, F.transform(listed, lambda x: F.regexp_replace(x, r"^RequestMethod\.", ""))).otherwise(F.array(F.lit("GET")))
+    each = found.withColumn("method", F.explode(verbs)).withColumn("path", F.explode(_texts(F.col("args"), "value|path")))
+    return {"api_endpoints": rows("api_endpoints", each, "spring-rest-api", component_id=F.col("fqn"), type="REST", path=method_path(F.col("base"), F.col("path")), method=F.col("method"), description=F.concat("fqn", F.lit("."), "method_name"), request_schema=_parameters(F.col("params"), "PathVariable|RequestParam|RequestBody|RequestHeader"), response_schema=F.trim("ret"))}
+
+
+# The constants for content types.
+MEDIA_TYPES = {
+    "MediaType.APPLICATION_JSON": "application/json",
+    "MediaType.APPLICATION_XML": "application/xml",
+    "MediaType.TEXT_PLAIN": "text/plain",
+    "MediaType.TEXT_HTML": "text/html",
+    "MediaType.MULTIPART_FORM_DATA": "multipart/form-data",
+    "MediaType.APPLICATION_FORM_URLENCODED": "application/x-www-form-urlencoded",
+    "MediaType.APPLICATION_OCTET_STREAM": "application/octet-stream",
+}
+
+
+def _content_type(notes: Column, annotation: str) -> Column:
+    """The content types of @Produces or @Consumes, without quotes and braces; null without any."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(notes, rf"@{annotation}\s*\(({INSIDE})\)", 1), r"^\s*value\s*=\s*", ""), r"[\"'{}\[\]]", ""))
+    for name, value in MEDIA_TYPES.items():
+        bare = F.replace(bare, F.lit(name), F.lit(value))
+    return some(bare)
 
 
 def jaxrs_api(files: DataFrame) -> dict[str, DataFrame]:
-    own = classes(files, ["javax.ws.rs", "jakarta.ws.rs"]).withColumns({"base": first(F.col("head"), r"@Path\s*\(\s*\"([^\"]*)\""), "rest": F.expr("substr(body, length(head) + 1)")}).where("base IS NOT NULL")
-    found = matches(own, r"@(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b((?:\s*@\w+(?:\([^)]*\))?)*)\s*(?:public\s+)?([\w<>\[\], ?]+?)\s+(\w+)\s*\(", ["verb", "notes", "ret", "method_name"], "rest", ["fqn", "base"])
-    path = first(F.col("notes"), r"@Path\s*\(\s*\"([^\"]*)\"")
-    return {"api_endpoints": rows("api_endpoints", found, "jaxrs-api", component_id=F.col("fqn"), type="REST", path=join_paths(F.col("base"), path), method=F.col("verb"), description=F.concat(F.lit("Handler "), F.col("method_name")), response_schema=F.trim("ret"))}
+    own = classes(files, ["javax.ws.rs", "jakarta.ws.rs"])
+    own = own.withColumns({"base": first(F.col("head"), r"@Path\s*\(\s*(?:value\s*=\s*)?\"([^\"]*)\""), "produces": _content_type(F.col("head"), "Produces"), "consumes": _content_type(F.col("head"), "Consumes")}).where("base IS NOT NULL")
+    found = _methods(own, ["fqn", "base", "produces", "consumes"])
+    notes = F.col("notes")
+    found = found.withColumn("verb", first(notes, r"@(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b")).where("verb IS NOT NULL")
+    path = first(notes, r"@Path\s*\(\s*(?:value\s*=\s*)?\"([^\"]*)\"")
+    params = _parameters(F.col("params"), "PathParam|QueryParam|FormParam|HeaderParam|MatrixParam|CookieParam")
+    produces = F.coalesce(_content_type(notes, "Produces"), "produces")
+    response = F.concat(F.trim("ret"), F.coalesce(F.concat(F.lit(" ("), produces, F.lit(")")), F.lit("")))
+    return {"api_endpoints": rows("api_endpoints", found, "jaxrs-api", component_id=F.col("fqn"), type="REST", path=resource_path(F.col("base"), path), method=F.col("verb"), description=F.concat("fqn", F.lit("."), "method_name"), request_schema=F.coalesce(params, _content_type(notes, "Consumes"), "consumes"), response_schema=response)}
 
 
 def grpc_service(files: DataFrame) -> dict[str, DataFrame]:
@@ -151,7 +229,7 @@ def kafka_streams(files: DataFrame) -> dict[str, DataFrame]:
 
 
 RELATIONS = "OneToMany|ManyToOne|OneToOne|ManyToMany"
-FIELD = r"((?:@\w+(?:\([^)]*\))?\s+)*)(?:private|protected|public)\s+([\w.]+(?:<[^>]+>)?)\s+(\w+)\s*(?:=[^;]*)?;"
+FIELD = rf"((?:@\w+(?:\({INSIDE}\))?\s+)*+)(?:private|protected|public)\s+([\w.]+(?:<[^>]+>)?)\s+(\w+)\s*(?:=[^;]*)?;"
 
 
 def _fields(own: DataFrame, name: Column, nullable: Column, plain: Column, pk: Column, keep: list[str]) -> DataFrame:

@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.functions.text import first, folder_name, make_id, one_of, snake_case
+from strataloom.functions.text import first, folder_name, make_id, one_of, snake_case, unquoted
 from strataloom.model import FIELDS, rows
 from strataloom.sources.files import lines, matches, segments, select_files
 
 PY = ["**/*.py"]
 #: The function a decorator stands before.
 DEF = r"(?:async\s+)?def\s+(\w+)\s*\(([^)]*)\)"
+#: Other decorators between one and its function.
+MORE = r"\s*(?:@[^\n]++\s*+)*+"
+#: What stands between parentheses, with others nested once; possessive, so matching does not use the stack.
+INSIDE = r"(?:[^()]++|\([^()]*+\))*+"
 CLASS = r"\bclass\s+(\w+)\s*\(([^)]*)\)\s*:"
 
 
@@ -58,6 +62,19 @@ def toml_requirements(texts: pd.Series) -> pd.Series:
     return texts.map(read)
 
 
+@F.pandas_udf(T.BooleanType())
+def is_toml(texts: pd.Series) -> pd.Series:
+    """Whether a text is TOML; null counts as such."""
+
+    def good(text: str | None) -> bool:
+        try:
+            return text is None or tomllib.loads(text) is not None
+        except tomllib.TOMLDecodeError:
+            return False
+
+    return texts.map(good).astype(bool)
+
+
 def pip_poetry_dependencies(files: DataFrame) -> dict[str, DataFrame]:
     named = select_files(files, ["**/requirements*.txt"])
     plain = lines(named).where(~F.col("line").rlike(r"^\s*(#|-e|-r|$)"))
@@ -91,7 +108,7 @@ PRIMITIVE = "^(str|int|float|bool|dict|list|bytes|None|Optional|List|Dict|Reques
 
 def fastapi_rest(files: DataFrame) -> dict[str, DataFrame]:
     own = select_files(files, PY, ["fastapi", "FastAPI"]).withColumn("component", module(F.col("rel_path")))
-    found = matches(own, rf"@\w+\.(get|post|put|delete|patch)\s*\(\s*['\"]([^'\"]*)['\"](?:[^()]|\([^()]*\))*\)\s*(?:@[^\n]+\s*)*{DEF}", ["verb", "path", "fn", "args"], keep=["component"])
+    found = matches(own, rf"@\w+\.(get|post|put|delete|patch)\s*\(\s*['\"]([^'\"]*)['\"]{INSIDE}\){MORE}{DEF}", ["verb", "path", "fn", "args"], keep=["component"])
     in_path = F.regexp_extract_all("path", F.lit(r"\{(\w+)"), F.lit(1))
     params = F.transform(F.filter(F.split(F.coalesce("args", F.lit("")), r",\s*"), lambda a: a.contains(":")), lambda a: F.struct(F.trim(F.regexp_extract(a, r"^([^:]+):", 1)).alias("n"), F.trim(F.regexp_extract(a, r":\s*([^=]+)", 1)).alias("t")))
     shown = lambda label, keep: F.concat(F.lit(f"{label}: "), F.array_join(F.transform(F.filter(params, keep), lambda p: F.concat(p["n"], F.lit(": "), p["t"])), ", "))
@@ -104,7 +121,7 @@ def fastapi_rest(files: DataFrame) -> dict[str, DataFrame]:
 
 def flask_rest(files: DataFrame) -> dict[str, DataFrame]:
     own = select_files(files, PY, ["flask", "Flask", "Blueprint"]).withColumn("component", module(F.col("rel_path")))
-    found = matches(own, rf"@\w+\.(get|post|put|delete|patch|route)\s*\(\s*['\"]([^'\"]+)['\"]((?:[^()]|\([^()]*\))*)\)\s*(?:@[^\n]+\s*)*{DEF}", ["verb", "path", "rest", "fn", "args"], keep=["component"])
+    found = matches(own, rf"@\w+\.(get|post|put|delete|patch|route)\s*\(\s*['\"]([^'\"]+)['\"]({INSIDE})\){MORE}{DEF}", ["verb", "path", "rest", "fn", "args"], keep=["component"])
     listed = F.regexp_extract_all(F.regexp_extract(F.coalesce("rest", F.lit("")), r"methods\s*=\s*[\[(]([^\])]*)", 1), F.lit(r"['\"](\w+)['\"]"), F.lit(1))
     verbs = F.when(F.col("verb") != "route", F.array(F.upper("verb"))).when(F.size(listed) > 0, F.transform(listed, F.upper)).otherwise(F.array(F.lit("GET")))
     each = found.withColumn("method", F.explode(verbs))
@@ -112,24 +129,29 @@ def flask_rest(files: DataFrame) -> dict[str, DataFrame]:
     return {"api_endpoints": rows("api_endpoints", each, "flask-rest", component_id=F.col("component"), type="REST", path=F.col("path"), method=F.col("method"), description=F.concat(F.lit("Handler "), F.col("fn")), request_schema=F.nullif(F.array_join(shown, ", "), F.lit("")))}
 
 
+#: A text in either quotes, and one given to a keyword.
+STRING = r"(\"[^\"\n]+\"|'[^'\n]+')"
+KEYWORD = r"\b{}\s*=\s*(\"[^\"\n]+\"|'[^'\n]+')"
+
+
 def celery_tasks(files: DataFrame) -> dict[str, DataFrame]:
     own = select_files(files, PY, ["celery", "shared_task", ".delay", ".apply_async"]).withColumn("component", module(F.col("rel_path")))
-    defined = matches(own, rf"@(?:\w+\.)?(?:shared_task|task)\b\s*(?:\(([^)]*)\))?\s*(?:@[^\n]+\s*)*{DEF}", ["args", "fn", "params"], keep=["component"])
+    defined = matches(own, rf"@(?:[\w.]+\.)?(?:shared_task|task)\b[ \t]*(?:\(({INSIDE})\))?{MORE}{DEF}", ["args", "fn", "params"], keep=["component"])
     args = F.coalesce("args", F.lit(""))
-    defined = defined.select("rel_path", "fn", F.col("component").alias("definer"), F.coalesce(first(args, r"queue\s*=\s*['\"]([^'\"]+)['\"]"), F.lit("celery")).alias("queue"), F.coalesce(first(args, r"\bname\s*=\s*['\"]([^'\"]+)['\"]"), F.concat("component", F.lit("."), "fn")).alias("task"))
+    defined = defined.select("rel_path", "fn", F.col("component").alias("definer"), F.coalesce(unquoted(first(args, KEYWORD.format("queue"))), F.lit("celery")).alias("queue"), F.coalesce(unquoted(first(args, KEYWORD.format("name"))), F.concat("component", F.lit("."), "fn")).alias("task"))
     last = defined.withColumn("rn", F.row_number().over(Window.partitionBy("fn").orderBy(F.desc("rel_path")))).where("rn = 1").drop("rn", "rel_path")  # one row a task name
     calls = matches(own, r"(\w+)\.(?:delay|apply_async)\s*\(([^\n]*)", ["fn", "rest"], keep=["component"])
     joined = calls.join(last, "fn")
-    override = first(F.coalesce("rest", F.lit("")), r"queue\s*=\s*['\"]([^'\"]+)['\"]")
+    override = unquoted(first(F.coalesce("rest", F.lit("")), KEYWORD.format("queue")))
     return {"message_flows": rows("message_flows", joined, "celery-tasks", publisher_component_id=F.col("component"), subscriber_component_id=F.col("definer"), topic=F.coalesce(override, F.col("queue")), message_type=F.col("task"), broker="celery")}
 
 
 def faust_streaming(files: DataFrame) -> dict[str, DataFrame]:
     own = select_files(files, PY, ["faust"]).withColumn("component", module(F.col("rel_path")))
-    topics = matches(own, r"(\w+)\s*=\s*\w+\.topic\s*\(\s*['\"]([^'\"]+)['\"]", ["var", "topic"]).groupBy("rel_path", "var").agg(F.min_by("topic", "pos").alias("topic"))
+    topics = matches(own, rf"\b(\w+)(?:\s*:\s*[\w.\[\], ]+)?\s*=\s*[\w.]+\.topic\(\s*(?:topics\s*=\s*)?{STRING}", ["var", "topic"]).withColumn("topic", unquoted(F.col("topic"))).groupBy("rel_path", "var").agg(F.min_by("topic", "pos").alias("topic"))
     agents = matches(own, rf"@\w+\.agent\s*\(\s*(\w+)[^)]*\)\s*{DEF}", ["var", "fn", "args"], keep=["component"]).join(topics, ["rel_path", "var"], "left")
     sends = matches(own, r"(\w+)\.send\s*\(", ["var"], keep=["component"]).join(topics, ["rel_path", "var"], "left")
-    direct = matches(own, r"\w+\.stream\s*\(\s*['\"]([^'\"]+)['\"]", ["topic"], keep=["component"])
+    direct = matches(own, rf"\.stream\(\s*{STRING}", ["topic"], keep=["component"]).withColumn("topic", unquoted(F.col("topic")))
     flow = lambda df, topic, **side: rows("message_flows", df, "faust-streaming", topic=topic, broker="kafka", **side)
     named = F.coalesce("topic", "var")
     out = flow(agents, named, subscriber_component_id=F.concat("component", F.lit("."), "fn"))
@@ -153,13 +175,29 @@ def _field(name: Column, kind: Column, nullable: Column) -> Column:
 SQLA_TYPES = [("BigInteger", "BIGINT"), ("Integer", "INTEGER"), ("String", "VARCHAR"), ("Text", "TEXT"), ("Boolean", "BOOLEAN"), ("DateTime", "TIMESTAMP"), ("Float", "FLOAT")]
 
 
+# Column types of Python types, in small letters; others stay as they are.
+HINT_TYPES = {
+    "int": "Integer",
+    "str": "String",
+    "float": "Float",
+    "bool": "Boolean",
+    "datetime": "DateTime",
+    "datetime.datetime": "DateTime",
+    "date": "Date",
+    "datetime.date": "Date",
+    "decimal": "Numeric",
+    "decimal.decimal": "Numeric",
+}
+
+
 def sqlalchemy_entities(files: DataFrame) -> dict[str, DataFrame]:
     own = select_files(files, PY, ["sqlalchemy", "sqlmodel"]).where(~F.col("content").rlike(r"(?m)^(from|import)\s+django")).withColumn("mod", module(F.col("rel_path")))
     cut = segments(own, CLASS, ["cls", "bases"], keep=["mod"]).where((F.trim("bases") == "Base") | F.col("bases").rlike(r"table\s*=\s*True"))
     cut = cut.withColumns({"fqn": F.concat("mod", F.lit("."), "cls"), "tbl": F.coalesce(first(F.col("body"), r"__tablename__\s*=\s*['\"]([^'\"]+)['\"]"), snake_case(F.col("cls")))})
     found = _columns(cut, r"(?m)^[ \t]+(\w+)\s*(?::\s*(?:Mapped\[)?([\w\[\], |.]+?)\]?)?\s*=\s*(?:\w+\.)?(Column|mapped_column|Field)\s*\(([^\n]*)", ["field", "kind", "maker", "args"], ["fqn", "tbl"])
     args = F.coalesce("args", F.lit(""))
-    kind = F.coalesce(F.regexp_replace(F.regexp_replace("kind", r"^Optional\[(.*)\]?$", "$1"), r"[\[\]]|\s*\|\s*None", ""), one_of(first(args, r"^\s*(?:['\"][^'\"]*['\"]\s*,\s*)?(?:\w+\.)?(\w+)"), SQLA_TYPES, F.coalesce(first(args, r"^\s*(\w+)"), F.lit("VARCHAR"))))
+    hint = F.regexp_replace(F.regexp_replace("kind", r"^Optional\[(.*)\]?$", "$1"), r"[\[\]]|\s*\|\s*None", "")
+    kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in HINT_TYPES.items() for x in kv)), F.lower(hint)), hint, one_of(first(args, r"^\s*(?:['\"][^'\"]*['\"]\s*,\s*)?(?:\w+\.)?(\w+)"), SQLA_TYPES, F.coalesce(first(args, r"^\s*(\w+)"), F.lit("VARCHAR"))))
     made = _entities(found, ["fqn", "tbl"], _field(F.col("field"), kind, ~args.rlike(r"nullable\s*=\s*False|primary_key\s*=\s*True")), args.rlike(r"primary_key\s*=\s*True"))
     fks = _columns(cut, r"ForeignKey\s*\(\s*['\"](\w+)\.\w+['\"]", ["target"], ["fqn"]).withColumn("what", F.lit("Foreign key"))
     rels = _columns(cut, r"relationship\s*\(\s*['\"](\w+)['\"]", ["target"], ["fqn"]).withColumn("what", F.lit("Relationship"))
@@ -169,8 +207,24 @@ def sqlalchemy_entities(files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-#: Fixed values, in the order in which they are tried: the first that the field's class contains decides.
-DJANGO_TYPES = [("CharField", "VARCHAR"), ("TextField", "TEXT"), ("IntegerField", "INTEGER"), ("FloatField", "FLOAT"), ("DecimalField", "DECIMAL"), ("BooleanField", "BOOLEAN"), ("DateTimeField", "TIMESTAMP"), ("DateField", "DATE"), ("TimeField", "TIME"), ("EmailField", "VARCHAR"), ("URLField", "VARCHAR"), ("SlugField", "VARCHAR"), ("UUIDField", "UUID"), ("JSONField", "JSON"), ("FileField", "VARCHAR"), ("ImageField", "VARCHAR"), ("BinaryField", "BLOB")]
+# Fixed values, in the order in which they are tried: the first that the field's class contains decides; others stay.
+DJANGO_TYPES = [
+    ("CharField", "VARCHAR"),
+    ("TextField", "VARCHAR"),
+    ("EmailField", "VARCHAR"),
+    ("URLField", "VARCHAR"),
+    ("IntegerField", "INTEGER"),
+    ("BooleanField", "BOOLEAN"),
+    ("DateTimeField", "DATETIME"),
+    ("DateField", "DATE"),
+    ("TimeField", "TIME"),
+    ("DecimalField", "DECIMAL"),
+    ("FloatField", "FLOAT"),
+    ("BinaryField", "BLOB"),
+    ("JSONField", "JSON"),
+    ("UUIDField", "UUID"),
+    ("AutoField", "SERIAL"),
+]
 
 
 def django_orm(files: DataFrame) -> dict[str, DataFrame]:
@@ -180,7 +234,7 @@ def django_orm(files: DataFrame) -> dict[str, DataFrame]:
     related = F.col("kind").isin("ForeignKey", "OneToOneField", "ManyToManyField")
     args = F.coalesce("args", F.lit(""))
     plain = found.where(~related)
-    made = _entities(plain, ["fqn", "cls"], _field(F.col("field"), one_of(F.col("kind"), DJANGO_TYPES, F.upper("kind")), args.rlike(r"(null|blank)\s*=\s*True")), args.rlike(r"primary_key\s*=\s*True"))
+    made = _entities(plain, ["fqn", "cls"], _field(F.col("field"), one_of(F.col("kind"), DJANGO_TYPES, F.col("kind")), args.rlike(r"(null|blank)\s*=\s*True")), args.rlike(r"primary_key\s*=\s*True"))
     implicit = F.array(F.struct(F.lit("id"), F.lit("INTEGER"), F.lit(False)).cast(FIELDS.removeprefix("array<")[:-1]))
     fields = F.when(F.col("pk").isNull(), F.concat(implicit, "fields")).otherwise(F.col("fields"))
     edges = found.where(related).withColumn("target", first(F.col("args"), r"^\s*(?:to\s*=\s*)?['\"]?(?:\w+\.)?(\w+)"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import glob_regex
@@ -110,6 +110,18 @@ def quality_gaps(runs: DataFrame, most_failures: float = 20.0) -> DataFrame:
     return failed.unionByName(warned).unionByName(rated)
 
 
+def error_details(outcomes: DataFrame, most: int = 10) -> DataFrame:
+    """(error_type, n, details): the first `most` details of each error type, in order; the limit is the report's.
+
+    Each task keeps no more than the first of its own, so a frequent error gathers nothing unbounded.
+    """
+    order = Window.partitionBy("error_type").orderBy("detail")
+    counted = outcomes.where(F.col("error_type").isNotNull()).groupBy("error_type", "detail").agg(F.count("*").alias("n"))
+    ranked = counted.withColumn("rank", F.row_number().over(order))
+    listed = ranked.groupBy("error_type").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.col("detail")))).alias("details"))
+    return listed
+
+
 def error_histogram(outcomes: DataFrame, most: int = 10) -> DataFrame:
     """(error_type, n): the most frequent errors; the limit is the report's."""
     return outcomes.where(F.col("error_type").isNotNull()).groupBy("error_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error_type").limit(most)
@@ -131,10 +143,3 @@ def confidence(spark: SparkSession, counts: DataFrame) -> DataFrame:
     """(level, n): all findings but dependencies and relationships count as HIGH."""
     n = counts.where(~F.col("entity").isin("dependencies", "relationships")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     return n.select(F.explode(F.array(*(F.struct(F.lit(x).alias("level"), (F.col("n") if x == "HIGH" else F.lit(0).cast("long")).alias("n")) for x in ("HIGH", "MEDIUM", "LOW")))).alias("c")).select("c.*")
-
-
-def either(*conditions: Column) -> Column:
-    out = F.lit(False)
-    for c in conditions:
-        out = out | c
-    return out

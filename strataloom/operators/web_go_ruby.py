@@ -8,13 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.functions.text import file_stem, first, folder_name, join_paths, make_id, snake_case
+from strataloom.functions.text import file_stem, first, folder_name, group_path, make_id, snake_case, unquoted
 from strataloom.model import FIELDS, rows
-from strataloom.sources.files import lines, matches, segments, select_files
+from strataloom.sources.files import in_order, matches, segments, select_files
+from strataloom.sources.tables import written
 
 
 def npm_dependencies(files: DataFrame) -> dict[str, DataFrame]:
-    own = select_files(files, ["**/package.json"]).where(~F.col("rel_path").contains("node_modules/"))
+    own = select_files(files, ["**/package.json"]).where(~F.col("rel_path").contains("node_modules/") & F.try_parse_json("content").isNotNull())
     kinds = {"dependencies": "compile", "devDependencies": "test", "peerDependencies": "provided"}
     parsed = own.select("rel_path", F.from_json("content", "name string, version string, " + ", ".join(f"{k} map<string,string>" for k in kinds)).alias("p")).select("rel_path", F.coalesce("p.name", folder_name(F.col("rel_path"))).alias("name"), "p.version", *(f"p.{k}" for k in kinds))
     each = None
@@ -37,9 +38,9 @@ def express_api(files: DataFrame) -> dict[str, DataFrame]:
 def go_modules(files: DataFrame) -> dict[str, DataFrame]:
     own = files.where(F.col("rel_path").rlike(r"(^|/)go\.mod$")).withColumn("module", first(F.col("content"), r"(?m)^module\s+(\S+)"))
     blocks = matches(own, r"require\s*\(([^)]+)\)", ["body"], keep=["module"]).withColumnRenamed("pos", "block")
-    inside = matches(blocks, r"([\w./-]+)\s+(v[\w.+-]+)([^\n]*)", ["path", "version", "note"], "body", ["module", "block"]).withColumn("pos", F.col("block") * 1000 + F.col("pos")).drop("block")
-    single = matches(own, r"(?m)^require\s+([\w./-]+)\s+(v[\w.+-]+)([^\n]*)", ["path", "version", "note"], keep=["module"]).withColumn("pos", F.col("pos") + 1_000_000)
-    deps = inside.unionByName(single)
+    inside = matches(blocks, r"([\w./-]+)\s+(v[\w.+-]+)([^\n]*)", ["path", "version", "note"], "body", ["module", "block"]).withColumn("pos", F.row_number().over(Window.partitionBy("rel_path").orderBy("block", "pos"))).drop("block")
+    single = matches(own, r"(?m)^require\s+([\w./-]+)\s+(v[\w.+-]+)([^\n]*)", ["path", "version", "note"], keep=["module"])
+    deps = in_order([inside, single])
     # a version suffix stays with the name before it: a/b/v2 -> a, b/v2
     group, artifact = F.regexp_extract("path", r"^(.*?)/?([^/]+(?:/v\d+)?)$", 1), F.regexp_extract("path", r"^(.*?)/?([^/]+(?:/v\d+)?)$", 2)
     return {
@@ -52,22 +53,35 @@ def go_package(content: Column) -> Column:
     return F.coalesce(first(content, r"(?m)^package\s+(\w+)"), F.lit("main"))
 
 
-#: Groups within groups that prefixes are followed through.
-GROUP_DEPTH = 4
+#: A Go string, interpreted or raw.
+GO_STRING = r"(\"[^\"\n]*\"|`[^`]*`)"
+GO_VERBS = "GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|Get|Post|Put|Delete|Patch|Head|Options"
+
+
+def _whole_prefixes(groups: DataFrame) -> DataFrame:
+    """(rel_path, var, prefix): each group's prefix with those of all groups around it before it; circles end."""
+    full = written(groups.withColumn("seen", F.array("var")), "groups")
+    outer = groups.select("rel_path", F.col("var").alias("parent"), F.col("parent").alias("_up"), F.col("prefix").alias("_pre"))
+    while True:
+        step = full.join(outer, ["rel_path", "parent"], "left").withColumn("_up", F.when(~F.array_contains("seen", F.col("parent")), F.col("_up")))
+        if step.where("_up IS NOT NULL").isEmpty():
+            return full.select("rel_path", "var", "prefix")
+        on = F.col("_up").isNotNull()
+        full = written(step.select("rel_path", "var", F.when(on, F.col("_up")).alias("parent"), F.when(on, group_path(F.col("_pre"), F.col("prefix"))).otherwise(F.col("prefix")).alias("prefix"), F.when(on, F.array_append("seen", F.col("parent"))).otherwise(F.col("seen")).alias("seen")), "groups")
 
 
 def go_http_router(files: DataFrame) -> dict[str, DataFrame]:
     own = select_files(files, ["**/*.go"], ["gin-gonic", "labstack/echo", "go-chi", "gorilla/mux", "gofiber", "net/http"]).withColumn("component", go_package(F.col("content")))
-    groups = matches(own, r"(\w+)\s*:?=\s*(\w+)\.Group\(\"([^\"]*)\"", ["var", "parent", "prefix"]).groupBy("rel_path", "var").agg(F.min_by(F.struct("parent", "prefix"), "pos").alias("g")).select("rel_path", "var", "g.parent", "g.prefix")
-    full = groups
-    for _ in range(GROUP_DEPTH):  # each step puts the next outer prefix in front
-        outer = groups.select("rel_path", F.col("var").alias("parent"), F.col("parent").alias("_up"), F.col("prefix").alias("_pre"))
-        full = full.join(outer, ["rel_path", "parent"], "left").select("rel_path", "var", F.coalesce("_up", F.lit("")).alias("parent"), F.concat(F.coalesce("_pre", F.lit("")), F.coalesce("prefix", F.lit(""))).alias("prefix"))
-    verbs = matches(own, r"(\w+)\.(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|Get|Post|Put|Delete|Patch|Head|Options)\(\"([^\"]*)\",\s*([\w.]+)", ["var", "verb", "path", "fn"], keep=["component"])
-    mux = matches(own, r"(\w+)\.HandleFunc\(\"([^\"]+)\",\s*([\w.]+)\)\.Methods\(\"([^\"]+)\"", ["var", "path", "fn", "verb"], keep=["component"])
-    plain = matches(own, r"\b(http)\.HandleFunc\(\"([^\"]+)\",\s*([\w.]+)", ["var", "path", "fn"], keep=["component"]).withColumn("verb", F.lit("GET"))
-    routes = verbs.unionByName(mux).unionByName(plain).join(full.select("rel_path", "var", "prefix"), ["rel_path", "var"], "left")
-    return {"api_endpoints": rows("api_endpoints", routes, "go-http-router", component_id=F.col("component"), type="REST", path=F.when(F.col("prefix").isNull(), F.col("path")).otherwise(join_paths(F.col("prefix"), F.col("path"))), method=F.upper("verb"), description=F.concat(F.lit("Handler "), "fn"))}
+    groups = matches(own, rf"\b(\w+)\s*:?=\s*(\w+)\s*\.\s*Group\s*\(\s*{GO_STRING}", ["var", "parent", "prefix"])
+    groups = groups.groupBy("rel_path", "var").agg(F.min_by(F.struct("parent", unquoted(F.col("prefix")).alias("prefix")), "pos").alias("g")).select("rel_path", "var", "g.parent", "g.prefix")
+    full = _whole_prefixes(groups)
+    fn = r"\s*,\s*([\w.]+)"
+    verbs = matches(own, rf"\b(\w+)\s*\.\s*({GO_VERBS})\s*\(\s*{GO_STRING}{fn}", ["var", "verb", "path", "fn"], keep=["component"])
+    mux = matches(own, rf"\b(\w+)\s*\.\s*HandleFunc\s*\(\s*{GO_STRING}{fn}\s*\)\s*\.\s*Methods\s*\(([^)]*)\)", ["var", "path", "fn", "verb"], keep=["component"])
+    mux = mux.withColumn("verb", F.explode(F.regexp_extract_all("verb", F.lit(r"(?:\"|Method)(\w+)"), F.lit(1))))
+    plain = matches(own, rf"\b(http)\s*\.\s*HandleFunc\s*\(\s*{GO_STRING}{fn}", ["var", "path", "fn"], keep=["component"]).withColumn("verb", F.lit("GET"))
+    routes = in_order([verbs, mux.select(verbs.columns), plain.select(verbs.columns)]).join(full, ["rel_path", "var"], "left")
+    return {"api_endpoints": rows("api_endpoints", routes, "go-http-router", component_id=F.col("component"), type="REST", path=group_path(F.col("prefix"), unquoted(F.col("path"))), method=F.upper("verb"), description=F.concat(F.lit("Handler "), "fn"))}
 
 
 def grpc_service_go(files: DataFrame) -> dict[str, DataFrame]:
@@ -76,9 +90,23 @@ def grpc_service_go(files: DataFrame) -> dict[str, DataFrame]:
     return {"api_endpoints": rows("api_endpoints", found, "grpc-service-go", component_id=F.col("component"), type="GRPC", path=F.concat(F.lit("/"), "service", F.lit("/"), "rpc"), method="POST", request_schema=F.col("req"), response_schema=F.col("res"))}
 
 
-#: SQL types of Go types.
-GO_TYPES = {"string": "VARCHAR", "int": "INTEGER", "int32": "INTEGER", "uint": "INTEGER", "int64": "BIGINT", "uint64": "BIGINT", "bool": "BOOLEAN", "float64": "DOUBLE", "float32": "FLOAT", "time.Time": "TIMESTAMP", "[]byte": "BLOB"}
-GORM_FIELDS = [("ID", "INTEGER", False), ("CreatedAt", "TIMESTAMP", False), ("UpdatedAt", "TIMESTAMP", False), ("DeletedAt", "TIMESTAMP", True)]
+# SQL types of Go types; others stay as they are.
+GO_TYPES = {
+    "int": "INTEGER",
+    "int32": "INTEGER",
+    "int64": "INTEGER",
+    "uint": "INTEGER",
+    "uint32": "INTEGER",
+    "uint64": "INTEGER",
+    "string": "VARCHAR",
+    "bool": "BOOLEAN",
+    "float32": "FLOAT",
+    "float64": "FLOAT",
+    "time.Time": "TIMESTAMP",
+    "[]byte": "BLOB",
+}
+# The fields that gorm.Model embeds.
+GORM_FIELDS = [("id", "INTEGER", False), ("created_at", "TIMESTAMP", True), ("updated_at", "TIMESTAMP", True), ("deleted_at", "TIMESTAMP", True)]
 
 
 def go_struct(files: DataFrame) -> dict[str, DataFrame]:
@@ -87,34 +115,45 @@ def go_struct(files: DataFrame) -> dict[str, DataFrame]:
     found = matches(structs, r"(?m)^\s*([A-Z]\w*)[ \t]+([\w.\[\]*]+)[ \t]*`([^`]*)`", ["field", "kind", "tags"], "body", ["part", "component", "name"])
     tag = lambda p: first(F.col("tags"), p)
     column = F.coalesce(tag(r"xorm:\"[^\"]*'(\w+)'"), tag(r"gorm:\"[^\"]*column:(\w+)"), tag(r"\bdb:\"(\w+)"), tag(r"\bsql:\"(\w+)"), snake_case(F.col("field")))
-    bare = F.regexp_replace("kind", r"^\*", "")
-    kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in GO_TYPES.items() for x in kv)), bare), F.lit("VARCHAR"))
+    bare = F.regexp_replace("kind", r"\*", "")
+    kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in GO_TYPES.items() for x in kv)), bare), bare)
     is_key = F.lower("tags").rlike(r"primary_?key|\bpk\b")
     entry = F.struct(F.col("pos"), F.struct(column.alias("name"), kind.alias("data_type"), (~F.lower("tags").rlike(r"not ?null|primary_?key|\bpk\b")).alias("nullable")).alias("f"))
     grouped = found.withColumn("column", column).groupBy("rel_path", "part").agg(F.array_sort(F.collect_list(entry)).alias("fs"), F.min_by("column", F.when(is_key, F.col("pos"))).alias("pk"))
     base = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(t).alias("data_type"), F.lit(x).alias("nullable")) for n, t, x in GORM_FIELDS)).cast(FIELDS)
     made = structs.join(grouped, ["rel_path", "part"], "left").withColumn("gorm", F.col("body").contains("gorm.Model"))
     fields = F.concat(F.when(F.col("gorm"), base).otherwise(F.array().cast(FIELDS)), F.coalesce(F.transform("fs", lambda x: x["f"]).cast(FIELDS), F.array().cast(FIELDS)))
-    return {"data_entities": rows("data_entities", made, "go-struct", component_id=F.col("component"), name=F.concat(snake_case(F.col("name")), F.lit("s")), type="table", fields=fields, primary_key=F.coalesce("pk", F.when(F.col("gorm"), "ID")))}
+    return {"data_entities": rows("data_entities", made, "go-struct", component_id=F.col("component"), name=F.concat(snake_case(F.col("name")), F.lit("s")), type="table", fields=fields, primary_key=F.coalesce("pk", F.when(F.col("gorm"), "id")))}
+
+
+def _gemfile(lines_: Column) -> Column:
+    """For each line the groups that are open there, joined by commas: a fold with the open blocks as its state."""
+    opens = lambda x: x.rlike(r"^\s*[a-z]\w*\b.*\bdo\b(\s*\|[^|]*\|)?\s*(#.*)?$")
+    groups = lambda x: F.when(x.rlike(r"^\s*group\b"), F.array_join(F.regexp_extract_all(F.regexp_extract(x, r"^\s*group\b(.*?)\bdo\b", 1), F.lit(r"[:'\"](\w+)"), F.lit(1)), ",")).otherwise(F.lit(""))
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        pop = F.slice(s["open"], F.lit(1), F.greatest(F.lit(0), F.size(s["open"]) - 1))
+        now = F.when(opens(x), F.array_append(s["open"], groups(x))).when(x.rlike(r"^\s*end\b"), pop).otherwise(s["open"])
+        return F.struct(now.alias("open"), F.array_append(s["out"], F.array_join(F.filter(s["open"], lambda g: g != ""), ",")).alias("out"))
+
+    return F.aggregate(lines_, start, step, lambda s: s["out"])
 
 
 def bundler_dependencies(files: DataFrame) -> dict[str, DataFrame]:
     gemfiles = files.where(F.col("rel_path").rlike("(^|/)Gemfile$"))
-    each = lines(gemfiles).withColumn("folder", F.regexp_replace("rel_path", "[^/]*$", ""))
-    mark = F.when(F.col("line").rlike(r"^\s*group\s+.*\bdo\b"), F.regexp_extract("line", r"group\s+:?(\w+)", 1)).when(F.col("line").rlike(r"^\s*end\b"), F.lit(""))
-    order = Window.partitionBy("rel_path").orderBy("line_no")
-    # the group that the last opening or closing line has left
-    each = each.withColumn("open", F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    gems = each.select("rel_path", "folder", "line_no", "open", first(F.col("line"), r"^\s*gem\s+['\"]([^'\"]+)['\"]").alias("name"), first(F.col("line"), r"^\s*gem\s+['\"][^'\"]+['\"]\s*,\s*['\"]([^'\"]+)['\"]").alias("asked"), first(F.col("line"), r"group:?\s*(?:=>\s*)?:(\w+)").alias("inline")).where("name IS NOT NULL")
+    split = gemfiles.select("rel_path", F.regexp_replace("rel_path", "[^/]*$", "").alias("folder"), F.split("content", "\r?\n", -1).alias("lines"))
+    each = split.select("rel_path", "folder", F.posexplode(F.arrays_zip(F.col("lines").alias("line"), _gemfile(F.col("lines")).alias("open"))).alias("line_no", "x")).select("rel_path", "folder", "line_no", "x.*")
+    gems = each.select("rel_path", "folder", "line_no", "open", first(F.col("line"), r"^\s*gem\s*\(?\s*['\"]([^'\"]+)['\"]").alias("name"), first(F.col("line"), r"^\s*gem\s*\(?\s*['\"][^'\"]+['\"]\s*,\s*['\"]([^'\"]+)['\"]").alias("asked"), F.nullif(F.array_join(F.regexp_extract_all(F.regexp_extract("line", r"\bgroups?:?\s*(?:=>\s*)?(\[[^\]]*\]|:\w+)", 1), F.lit(r":(\w+)"), F.lit(1)), ","), F.lit("")).alias("inline")).where("name IS NOT NULL")
     gems = gems.withColumn("rn", F.row_number().over(Window.partitionBy("rel_path", "name").orderBy(F.desc("line_no")))).where("rn = 1")
     locks = files.where(F.col("rel_path").rlike(r"(^|/)Gemfile\.lock$"))
     locked = matches(locks, r"(?m)^ {4}([\w.-]+) \(([^)]+)\)", ["name", "locked"]).select(F.regexp_replace("rel_path", "[^/]*$", "").alias("folder"), "name", "locked").groupBy("folder", "name").agg(F.max("locked").alias("locked"))
     deps = gems.join(locked, ["folder", "name"], "left").withColumnRenamed("line_no", "pos")
-    group = F.coalesce("inline", F.nullif("open", F.lit("")))
+    group = F.split(F.coalesce("inline", "open"), ",")
     project = folder_name(F.col("rel_path"))
     return {
         "components": rows("components", gemfiles, "bundler-dependencies", id=make_id("bundler", project), name=project, type="SERVICE", technology="Ruby"),
-        "dependencies": rows("dependencies", deps, "bundler-dependencies", source_component_id=make_id("bundler", project), group_id="rubygems", artifact_id=F.col("name"), version=F.coalesce("locked", "asked", F.lit("*")), scope=F.when(group.isin("test", "development"), "test").otherwise("compile")),
+        "dependencies": rows("dependencies", deps, "bundler-dependencies", source_component_id=make_id("bundler", project), group_id="rubygems", artifact_id=F.col("name"), version=F.coalesce("locked", "asked", F.lit("*")), scope=F.when(F.arrays_overlap(group, F.array(F.lit("test"), F.lit("development"))), "test").otherwise("compile")),
     }
 
 
@@ -163,8 +202,11 @@ def _routes(text: str) -> Iterator[tuple[str, str, str]]:
                 if (not only or action in named(only)) and (not skip or action not in named(skip)):
                     yield verb, f"{base}/{m[2]}{suffix}", f"{m[2]}#{action}"
             pushed = f"/{m[2]}" + ("/:id" if m[1] == "resources" else "")
-        elif m := re.match(r"(get|post|put|patch|delete)\s+['\"]([^'\"]+)['\"](?:.*?(?:to:|=>)\s*['\"]([^'\"]+)['\"])?", line):
-            yield m[1].upper(), f"{base}/{m[2].strip('/')}", m[3] or m[2]
+        elif m := re.match(r"(get|post|put|patch|delete)\b(.*)", line):
+            texts = re.findall(r"['\"]([^'\"]*)['\"]", m[2])
+            named_path = texts[0] if texts else next(iter(re.findall(r"^[\s(]*:(\w+)", m[2])), "")
+            if named_path:
+                yield m[1].upper(), f"{base}/{named_path.strip('/')}", texts[1] if len(texts) > 1 and re.search(r"\bto:|=>", m[2]) else named_path
         elif m := re.match(r"match\s+['\"]([^'\"]+)['\"]", line):
             for verb in re.findall(r":(get|post|put|patch|delete)\b", line.partition("via:")[2]):
                 yield verb.upper(), f"{base}/{m[1].strip('/')}", m[1]
@@ -196,7 +238,7 @@ def sidekiq_jobs(files: DataFrame) -> dict[str, DataFrame]:
     outer = F.array_join(F.regexp_extract_all("content", F.lit(r"(?m)^\s*module\s+([A-Z]\w*)"), F.lit(1)), "::")
     named = own.withColumn("outer", outer)
     workers = segments(named, r"(?m)^[ \t]*class\s+([A-Z][\w:]*)", ["cls"], keep=["outer"]).withColumn("name", F.when(F.col("outer") != "", F.concat("outer", F.lit("::"), "cls")).otherwise(F.col("cls")))
-    defined = workers.where(F.col("body").rlike(r"include\s+(Sidekiq::(Worker|Job)|ApplicationWorker)")).select("name", F.coalesce(first(F.col("body"), r"sidekiq_options\s+.*?queue:\s*[:'\"]([^'\"\s,}]+)"), F.lit("default")).alias("queue")).groupBy("name").agg(F.min("queue").alias("queue"))
-    calls = matches(workers, r"([A-Z]\w*(?:::[A-Z]\w*)*)\.perform_(?:async|in|at)\s*\(", ["callee"], "body", ["name"]).withColumnRenamed("name", "caller")
+    defined = workers.where(F.col("body").rlike(r"include\s+(Sidekiq::(Worker|Job)|ApplicationWorker)")).select("name", F.coalesce(first(F.col("body"), r"\bsidekiq_options\b[^\n]*?\bqueue:?\s*(?:=>)?\s*(?::|['\"])([\w-]+)"), F.lit("default")).alias("queue")).groupBy("name").agg(F.min("queue").alias("queue"))
+    calls = matches(workers, r"\b((?:[A-Z]\w*::)*+[A-Z]\w*)\s*\.\s*(?:set\([^)]*\)\s*\.\s*)?perform_(?:async|in|at|bulk)\b", ["callee"], "body", ["name"]).withColumnRenamed("name", "caller")
     found = calls.join(defined, calls.callee == defined.name)
     return {"message_flows": rows("message_flows", found, "sidekiq-jobs", publisher_component_id=F.col("caller"), subscriber_component_id=F.col("name"), topic=F.col("queue"), message_type=F.col("name"), broker="sidekiq")}

@@ -15,15 +15,21 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Sample:
-    """files: (path, text); finds: table -> (columns, rows)."""
+    """files: (path, text); finds: table -> (columns, rows); when: (m, r): only for suppliers whose key modulo m is r.
+
+    also: what other scanners find in these files.
+    """
 
     scanner: str
     files: list[tuple[str, str]]
     finds: dict[str, tuple[str, list[tuple]]]
+    when: tuple[int, int] = (1, 0)
+    also: tuple[tuple[str, str, str, tuple], ...] = ()
 
 
 P = "s@K@"
 API = "component_id path method"
+CALL = API + " request_schema response_schema"
 FLOW = "publisher_component_id subscriber_component_id topic"
 DEP = "source_component_id group_id artifact_id version scope"
 ENT = "component_id name primary_key fields"
@@ -35,9 +41,9 @@ SAMPLES = [
 <artifactId>shop@K@</artifactId><properties><jackson.version>2.17</jackson.version></properties>
 <dependencies><dependency><groupId>com.fasterxml</groupId><artifactId>jackson</artifactId><version>${jackson.version}</version></dependency>
 <dependency><groupId>${project.groupId}</groupId><artifactId>common</artifactId><version>${project.version}</version><scope>test</scope></dependency>
-<dependency><groupId>org.open</groupId><artifactId>thing</artifactId><version>${nowhere}</version></dependency></dependencies></project>""")],
+<dependency><groupId>org.springframework</groupId><artifactId>spring-web</artifactId><version>${nowhere}</version></dependency></dependencies></project>""")],
         {"components": (COMP, [("sha:maven|org.s@K@|shop@K@", "shop@K@", "LIBRARY")]),
-         "dependencies": (DEP, [("shop@K@", "com.fasterxml", "jackson", "2.17", "compile"), ("shop@K@", "org.s@K@", "common", "1.@K@", "test"), ("shop@K@", "org.open", "thing", "${nowhere}", "compile")])}),
+         "dependencies": (DEP, [("shop@K@", "com.fasterxml", "jackson", "2.17", "compile"), ("shop@K@", "org.s@K@", "common", "1.@K@", "test"), ("shop@K@", "org.springframework", "spring-web", "${nowhere}", "compile")])}),
     Sample("gradle-dependencies", [("gradle/app@K@/build.gradle", "dependencies {\n  implementation 'com.google:guava:@K@.1'\n  testImplementation(\"org.junit:junit:5\")\n  compileOnly group: 'org.x', name: 'y', version: '3'\n}")],
         {"components": (COMP, [("sha:gradle|app@K@", "app@K@", "SERVICE")]),
          "dependencies": (DEP, [("app@K@", "com.google", "guava", "@K@.1", "compile"), ("app@K@", "org.junit", "junit", "5", "test"), ("app@K@", "org.x", "y", "3", "provided")])}),
@@ -63,9 +69,9 @@ SAMPLES = [
     Sample("django-apps", [("dj@K@/site/settings.py", "INSTALLED_APPS = [\n  'django.contrib.admin',\n  'orders@K@',\n  'rest_framework@K@',\n]\n"), ("dj@K@/orders@K@/__init__.py", ""), ("dj@K@/orders@K@/apps.py", "class C:\n    verbose_name = 'Orders @K@'\n")],
         {"components": (COMP, [("sha:django|orders@K@", "Orders @K@", "MODULE"), ("sha:django|rest_framework@K@", "rest_framework@K@", "LIBRARY")])}),
     Sample("spring-rest-api", [(f"{P}/java/OrderController.java", 'package com.s@K@;\n@RestController\n@RequestMapping("/api/orders@K@")\npublic class OrderController {\n  @GetMapping("/{id}")\n  public Order get(@PathVariable Long id) { return null; }\n  @PostMapping\n  public Order create(@RequestBody Order o) { return o; }\n  @RequestMapping(value = "/all", method = RequestMethod.DELETE)\n  public void clear() {}\n}\n')],
-        {"api_endpoints": (API, [("com.s@K@.OrderController", "/api/orders@K@/{id}", "GET"), ("com.s@K@.OrderController", "/api/orders@K@", "POST"), ("com.s@K@.OrderController", "/api/orders@K@/all", "DELETE")])}),
+        {"api_endpoints": (CALL, [("com.s@K@.OrderController", "/api/orders@K@/{id}", "GET", "PathVariable:id:Long", "Order"), ("com.s@K@.OrderController", "/api/orders@K@", "POST", "RequestBody:o:Order", "Order"), ("com.s@K@.OrderController", "/api/orders@K@/all", "DELETE", None, "void")])}),
     Sample("jaxrs-api", [(f"{P}/java/UserResource.java", 'package rs.s@K@;\nimport jakarta.ws.rs.*;\n@Path("users@K@")\npublic class UserResource {\n  @GET\n  @Path("/{id}")\n  public User one(@PathParam("id") long id) { return null; }\n  @POST\n  public User add(User u) { return u; }\n}\n')],
-        {"api_endpoints": (API, [("rs.s@K@.UserResource", "/users@K@/{id}", "GET"), ("rs.s@K@.UserResource", "/users@K@", "POST")])}),
+        {"api_endpoints": (CALL, [("rs.s@K@.UserResource", "users@K@/{id}", "GET", "PathParam:id:long", "User"), ("rs.s@K@.UserResource", "users@K@", "POST", None, "User")])}),
     Sample("grpc-service", [(f"{P}/java/PriceService.java", "package grpc.s@K@;\npublic class PriceService extends PricesGrpc.PricesImplBase {\n  @Override\n  public void quote(QuoteRequest req, StreamObserver<QuoteReply> out) {}\n}\n")],
         {"api_endpoints": (API + " request_schema response_schema", [("grpc.s@K@.PriceService", "/Prices/Quote", "POST", "QuoteRequest", "QuoteReply")])}),
     Sample("kafka-messaging", [(f"{P}/java/Consumer.java", 'package ev.s@K@;\npublic class Consumer {\n  @KafkaListener(topics = {"a@K@", "b@K@"}, groupId = "g")\n  @SendTo("c@K@")\n  public String on(String m) { kafkaTemplate.send("d@K@", m); kafkaTemplate.send(TOPIC, m); return m; }\n}\n')],
@@ -90,7 +96,7 @@ SAMPLES = [
         {"data_entities": (ENT, [("s@K@.py.tables.User@K@", "users@K@", "id", "id:INTEGER:false,name:VARCHAR:false,team_id:INTEGER:true")]),
          "relationships": (REL, [("s@K@.py.tables.User@K@", "teams@K@", "DEPENDS_ON"), ("s@K@.py.tables.User@K@", "Post@K@", "DEPENDS_ON")])}),
     Sample("django-orm", [(f"{P}/py/models.py", "from django.db import models\nclass Article(models.Model):\n    title = models.CharField(max_length=9)\n    views = models.BigIntegerField(null=True)\n    at = models.DateTimeField()\n    author = models.ForeignKey('auth.User@K@', on_delete=models.CASCADE)\n")],
-        {"data_entities": (ENT, [("s@K@.py.models.Article", "article", "id", "id:INTEGER:false,title:VARCHAR:false,views:INTEGER:true,at:TIMESTAMP:false")]),
+        {"data_entities": (ENT, [("s@K@.py.models.Article", "article", "id", "id:INTEGER:false,title:VARCHAR:false,views:INTEGER:true,at:DATETIME:false")]),
          "relationships": (REL, [("s@K@.py.models.Article", "User@K@", "DEPENDS_ON")])}),
     Sample("celery-tasks", [(f"{P}/py/tasks.py", "from celery import shared_task\n@shared_task(queue='mail@K@')\ndef send@K@(x):\n    pass\n\n@app.task\ndef work@K@(x):\n    pass\n"), (f"{P}/py/views.py", "from celery import x\ndef go():\n    send@K@.delay(1)\n    work@K@.apply_async((1,), queue='fast@K@')\n    unknown.delay(2)\n")],
         {"message_flows": (FLOW, [("s@K@.py.views", "s@K@.py.tasks", "mail@K@"), ("s@K@.py.views", "s@K@.py.tasks", "fast@K@")])}),
@@ -101,8 +107,8 @@ SAMPLES = [
     Sample("grpc-service-dotnet", [(f"{P}/net/GreeterService.cs", "namespace Grpc.S@K@;\n\npublic class GreeterService : Greeter.GreeterBase\n{\n    public override Task<HelloReply> SayHello(HelloRequest request, ServerCallContext context) { }\n}\n")],
         {"api_endpoints": (API + " request_schema response_schema", [("Grpc.S@K@.GreeterService", "/Greeter/SayHello", "POST", "HelloRequest", "HelloReply")])}),
     Sample("entity-framework", [(f"{P}/net/Db.cs", "namespace Db.S@K@;\n\npublic class ShopContext : DbContext\n{\n    public DbSet<Buyer@K@> Buyers { get; set; }\n}\n\npublic class Buyer@K@\n{\n    public int Id { get; set; }\n    public string? Name { get; set; }\n    public virtual ICollection<Basket@K@> Baskets { get; set; }\n}\n\npublic class Basket@K@ : BaseEntity\n{\n    public Guid Basket@K@Id { get; set; }\n    public Buyer@K@ Owner { get; set; }\n}\n")],
-        {"data_entities": (ENT, [("Db.S@K@.Buyer@K@", "Buyer@K@s", "Id", "Id:INTEGER:false,Name:VARCHAR:true"), ("Db.S@K@.Basket@K@", "Basket@K@s", "Basket@K@Id", "Basket@K@Id:UUID:false")]),
-         "relationships": (REL, [("Db.S@K@.Buyer@K@", "Basket@K@", "DEPENDS_ON"), ("Db.S@K@.Basket@K@", "Buyer@K@", "DEPENDS_ON")])}),
+        {"data_entities": (ENT, [("Db.S@K@.Buyer@K@", "Buyer@K@s", "Id", "Id:INTEGER:false,Name:NVARCHAR:true"), ("Db.S@K@.Basket@K@", "Basket@K@s", "Basket@K@Id", "Basket@K@Id:UNIQUEIDENTIFIER:false")]),
+         "relationships": (REL, [("Buyer@K@", "Basket@K@", "DEPENDS_ON"), ("Basket@K@", "Buyer@K@", "DEPENDS_ON")])}),
     Sample("dotnet-kafka-messaging", [(f"{P}/net/Bus.cs", 'using Confluent.Kafka;\nnamespace Bus.S@K@;\npublic class Bus\n{\n    private readonly IProducer<string, string> _p;\n    void F() { _c.Subscribe("in@K@"); _p.ProduceAsync("out@K@", m); }\n}\n')],
         {"message_flows": (FLOW, [("unknown-publisher", "Bus.S@K@.Bus", "in@K@"), ("Bus.S@K@.Bus", "unknown-subscriber", "out@K@"), ("Bus.S@K@.Bus", "unknown-subscriber", "unknown-topic")])}),
     Sample("streamiz-kafka", [(f"{P}/net/Flow.cs", 'using Streamiz.Kafka.Net;\nnamespace Flow.S@K@;\npublic class Flow\n{\n    void F() { builder.Stream<string, string>("x@K@").To("y@K@"); }\n}\n')],
@@ -114,7 +120,7 @@ SAMPLES = [
     Sample("grpc-service-go", [(f"{P}/go/server.go", 'package rpc@K@\n\nimport "google.golang.org/grpc"\n\nfunc (s *server) Say(ctx context.Context, in *pb.Ask) (*pb.Reply, error) { return nil, nil }\n\nfunc main() { pb.RegisterTalkServer(g, &server{}) }\n')],
         {"api_endpoints": (API + " request_schema response_schema", [("rpc@K@", "/Talk/Say", "POST", "Ask", "Reply")])}),
     Sample("go-struct", [(f"{P}/go/model.go", 'package model@K@\n\ntype UserAccount struct {\n\tID int64 `gorm:"primaryKey"`\n\tFullName string `gorm:"column:name;not null"`\n\tScore *float64 `db:"score"`\n}\n\ntype Plain struct {\n\tX int\n}\n')],
-        {"data_entities": (ENT, [("model@K@", "user_accounts", "id", "id:BIGINT:false,name:VARCHAR:false,score:DOUBLE:true")])}),
+        {"data_entities": (ENT, [("model@K@", "user_accounts", "id", "id:INTEGER:false,name:VARCHAR:false,score:FLOAT:true")])}),
     Sample("rails-api", [(f"{P}/rb/app/controllers/orders_controller.rb", "class Api@K@::OrderItemsController < ApplicationController\n  def index\n  end\n  def update\n  end\n  def export\n  end\n  private\n  def secret\n  end\nend\n")],
         {"components": (COMP, [("sha:rails|Api@K@::OrderItems", "Api@K@::OrderItemsController", "SERVICE")]),
          "api_endpoints": (API, [("sha:rails|Api@K@::OrderItems", "/api@K@/order_items", "GET"), ("sha:rails|Api@K@::OrderItems", "/api@K@/order_items/:id", "PUT"), ("sha:rails|Api@K@::OrderItems", "/api@K@/order_items/export", "GET")])}),
@@ -134,31 +140,75 @@ SAMPLES = [
     Sample("sql-migration", [(f"{P}/db/migrations/V@K@__init.sql", "-- first\nCREATE TABLE IF NOT EXISTS accounts (\n  id INTEGER PRIMARY KEY,\n  email VARCHAR(99) NOT NULL,\n  team_id INTEGER,\n  FOREIGN KEY (team_id) REFERENCES teams@K@(id)\n);\n")],
         {"data_entities": (ENT, [("V@K@__init", "accounts", "id", "id:INTEGER:false,email:VARCHAR(99):false,team_id:INTEGER:true")]),
          "relationships": (REL, [("accounts", "teams@K@", "DEPENDS_ON")])}),
+    Sample("maven-dependencies", [(f"{P}/torn/pom.xml", "<project><artifactId>torn@K@</artifactId><dependencies><dependency><groupId>lost.g@K@</groupId><artifactId>thing</artifactId></dependency>")],
+        {"dependencies": (DEP, [("unknown", "lost.g@K@", "thing", None, "compile")])}, when=(4, 0)),
+    Sample("maven-dependencies", [(f"{P}/plug/pom.xml", """<?xml version="1.0"?>
+<!-- build --><project><groupId>pl.g@K@</groupId><artifactId>plug@K@</artifactId><version>3</version><packaging>war</packaging>
+<dependencyManagement><dependencies><dependency><groupId>man.g@K@</groupId><artifactId>aged</artifactId><version>7</version><scope>runtime</scope></dependency></dependencies></dependencyManagement>
+<build><plugins><plugin><groupId>x</groupId><artifactId>y</artifactId><dependencies><dependency><groupId>no.g@K@</groupId><artifactId>no</artifactId></dependency></dependencies></plugin></plugins></build></project>""")],
+        {"components": (COMP, [("sha:maven|pl.g@K@|plug@K@", "plug@K@", "SERVICE")]), "dependencies": (DEP, [("plug@K@", "man.g@K@", "aged", "7", "runtime")])}, when=(4, 1)),
+    Sample("npm-dependencies", [(f"{P}/torn/package.json", '{"name": "torn@K@", "dependencies": {')], {}, when=(4, 2)),
+    Sample("bundler-dependencies", [("rb/nest@K@/Gemfile", "source 'https://rubygems.org' do\n  gem 'outer@K@'\n  group :development, :test do\n    platforms :ruby do\n      gem 'byebug@K@', '11'\n    end\n    gem 'rspec@K@', '~> 3'\n  end\n  gem 'late@K@'\nend\n")],
+        {"components": (COMP, [("sha:bundler|nest@K@", "nest@K@", "SERVICE")]),
+         "dependencies": (DEP, [("sha:bundler|nest@K@", "rubygems", "outer@K@", "*", "compile"), ("sha:bundler|nest@K@", "rubygems", "byebug@K@", "11", "test"), ("sha:bundler|nest@K@", "rubygems", "rspec@K@", "~> 3", "test"), ("sha:bundler|nest@K@", "rubygems", "late@K@", "*", "compile")])}, when=(3, 0)),
+    Sample("spring-rest-api", [(f"{P}/java/SearchController.java", 'package se.s@K@;\n@RestController\npublic class SearchController {\n  @GetMapping(value = {"/find@K@", "/search@K@"}, produces = "x/y")\n  public Map<String, Hit> find(@RequestParam(name = "q", required = false) String q, @RequestHeader("X") String x, Pageable page) { return null; }\n  @RequestMapping(path = "any@K@", method = {RequestMethod.PUT, RequestMethod.PATCH})\n  ResponseEntity<?> any(@Valid @RequestBody final Hit hit) { return null; }\n}\nclass NoController {\n  @GetMapping("/no")\n  public String no() { return ""; }\n}\n')],
+        {"api_endpoints": (CALL, [("se.s@K@.SearchController", p, "GET", "RequestParam:q:String, RequestHeader:x:String", "Map<String, Hit>") for p in ("/find@K@", "/search@K@")] + [("se.s@K@.SearchController", "/any@K@", m, "RequestBody:hit:Hit", "ResponseEntity<?>") for m in ("PUT", "PATCH")] + [("se.s@K@.SearchController", "/no", "GET", None, "String")])}, when=(3, 1)),
+    Sample("jaxrs-api", [(f"{P}/java/PetResource.java", 'package pe.s@K@;\nimport javax.ws.rs.*;\n@Path("/pets@K@")\n@Produces(MediaType.APPLICATION_JSON)\n@Consumes({"a/b", "c/d"})\npublic class PetResource {\n  @Path("list")\n  @GET\n  public List<Pet> list(@QueryParam("q") String q, @HeaderParam("h") int h, @Context Request r) { return null; }\n  @PUT\n  @Produces("text/plain")\n  public String put(Pet pet) { return ""; }\n}\n')],
+        {"api_endpoints": (CALL, [("pe.s@K@.PetResource", "/pets@K@/list", "GET", "QueryParam:q:String, HeaderParam:h:int", "List<Pet> (application/json)"), ("pe.s@K@.PetResource", "/pets@K@", "PUT", "a/b, c/d", "String (text/plain)")])}, when=(3, 2)),
+    Sample("entity-framework", [(f"{P}/net/Deep.cs", "namespace Deep.S@K@;\n\npublic class Root@K@ : AuditableEntity\n{\n    public TimeSpan Took { get; set; }\n    public Status State { get; set; }\n}\n\npublic class Mid@K@ : Root@K@\n{\n    public byte[] Raw { get; set; }\n}\n\npublic class Low@K@ : Mid@K@\n{\n    public DateTimeOffset? At { get; set; }\n}\n\npublic class Last@K@ : Low@K@\n{\n    public float Share { get; set; }\n    public List<Root@K@> Roots { get; set; }\n}\n\npublic class Other@K@ : Unrelated\n{\n    public int Id { get; set; }\n}\n")],
+        {"data_entities": (ENT, [("Deep.S@K@.Root@K@", "Root@K@s", None, "Took:TIME:false,State:STATUS:false"), ("Deep.S@K@.Mid@K@", "Mid@K@s", None, "Raw:VARBINARY:false"), ("Deep.S@K@.Low@K@", "Low@K@s", None, "At:DATETIMEOFFSET:true"), ("Deep.S@K@.Last@K@", "Last@K@s", None, "Share:REAL:false")]),
+         "relationships": (REL, [("Last@K@", "Root@K@", "DEPENDS_ON")])}, when=(2, 1)),
+    Sample("go-struct", [(f"{P}/go/wide.go", 'package wide@K@\n\ntype Order struct {\n\tgorm.Model\n\tTotal Money `gorm:"column:total"`\n\tLines uint64 `gorm:"not null"`\n\tRaw []byte `gorm:"size:9"`\n}\n')],
+        {"data_entities": (ENT, [("wide@K@", "orders", "id", "id:INTEGER:false,created_at:TIMESTAMP:true,updated_at:TIMESTAMP:true,deleted_at:TIMESTAMP:true,total:Money:true,lines:INTEGER:false,raw:BLOB:true")])}, when=(2, 0)),
+    Sample("django-orm", [(f"{P}/py/blog_models.py", "from django.db import models\nclass Post@K@(models.Model):\n    key = models.BigAutoField(primary_key=True)\n    body = models.TextField(blank=True)\n    spot = models.PointField()\n    cost = models.DecimalField(max_digits=9)\n")],
+        {"data_entities": (ENT, [("s@K@.py.blog_models.Post@K@", "post@K@", "key", "key:SERIAL:false,body:VARCHAR:true,spot:PointField:false,cost:DECIMAL:false")])}, when=(2, 1)),
+    Sample("sqlalchemy-entities", [(f"{P}/py/mapped.py", "from sqlalchemy.orm import Mapped, mapped_column\nclass Tag@K@(Base):\n    id: Mapped[int] = mapped_column(primary_key=True)\n    label: Mapped[Optional[str]] = mapped_column(String(9))\n    price: Mapped[Decimal] = mapped_column(nullable=False)\n")],
+        {"data_entities": (ENT, [("s@K@.py.mapped.Tag@K@", "tag@K@", "id", "id:Integer:false,label:String:true,price:Numeric:false")])}, when=(2, 0)),
+    Sample("dotnet-kafka-messaging", [(f"{P}/net/Two.cs", 'using Confluent.Kafka;\nnamespace Two.S@K@;\n\npublic class Hears\n{\n    [KafkaConsumer("heard@K@")]\n    public void On(string m) { }\n}\n\npublic class Says\n{\n    void F() { _p.Produce("said@K@", m); }\n}\n')],
+        {"message_flows": (FLOW, [("unknown-publisher", "Two.S@K@.Hears", "heard@K@"), ("Two.S@K@.Hears", "unknown-subscriber", "said@K@"), ("Two.S@K@.Says", "unknown-subscriber", "said@K@")])}, when=(3, 0)),
+    Sample("go-http-router", [(f"{P}/go/deep.go", 'package deep@K@\n\nimport "github.com/gorilla/mux"\n\nfunc main() {\n\ta := r.Group("/a")\n\tb := a.Group("/b")\n\tc := b.Group("/c")\n\td := c.Group("/d")\n\te := d.Group("/e")\n\tf := e.Group(`/f`)\n\tg := f.Group("/g")\n\tg.GET("/deep@K@", h)\n\tx := y.Group("/x")\n\ty := x.Group("/y")\n\tr.HandleFunc("/both@K@", h).Methods("GET", "PUT")\n}\n')],
+        {"api_endpoints": (API, [("deep@K@", "/a/b/c/d/e/f/g/deep@K@", "GET"), ("deep@K@", "/both@K@", "GET"), ("deep@K@", "/both@K@", "PUT")])}, when=(3, 1)),
+    Sample("sidekiq-jobs", [(f"{P}/rb/quoted.rb", "class Sweep@K@\n  include Sidekiq::Job\n  sidekiq_options retry: 3, queue: 'low@K@'\nend\nclass Night@K@\n  def go\n    Sweep@K@.set(wait: 3).perform_async\n  end\nend\n")],
+        {"message_flows": (FLOW, [("Night@K@", "Sweep@K@", "low@K@")])}, when=(2, 0)),
+    Sample("rails-route", [("rq@K@/config/routes.rb", 'Rails.application.routes.draw do\n  get :about@K@\n  post "/pay@K@" => "pay#now"\n  get "home" # get "no"\n  match "/m@K@", via: [:get, :delete]\nend\n')],
+        {"api_endpoints": (API, [("sha:rails-routes|rq@K@", "/about@K@", "GET"), ("sha:rails-routes|rq@K@", "/pay@K@", "POST"), ("sha:rails-routes|rq@K@", "/home", "GET"), ("sha:rails-routes|rq@K@", "/m@K@", "GET"), ("sha:rails-routes|rq@K@", "/m@K@", "DELETE")])}, when=(3, 2)),
+    Sample("kafka-messaging", [(f"{P}/java/Silent.java", 'package no.s@K@;\n// @KafkaListener is not used here\npublic class Silent {\n  public String on(String m) { return m; }\n}\n')], {}, when=(2, 0)),
 ]
-BY_SCANNER = {s.scanner: s for s in SAMPLES}
 
 
 def derived_files(spark: SparkSession, sf_dir: str, scanners: list[str] | None = None) -> DataFrame:
     """(rel_path, content): the projects of all suppliers, with the files of all or of the named scanners."""
-    chosen = [f for s in SAMPLES if scanners is None or s.scanner in scanners for f in s.files]
-    texts = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(t).alias("t")) for p, t in chosen)))
-    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"), texts.alias("f"))
+    chosen = [(p, t, *s.when) for s in SAMPLES if scanners is None or s.scanner in scanners for p, t in s.files]
+    one = [F.struct(F.lit(p).alias("p"), F.lit(t).alias("t"), F.lit(m).alias("m"), F.lit(r).alias("r")) for p, t, m, r in chosen]
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("n"), F.col("s_suppkey").cast("string").alias("k"), F.explode(F.array(*one)).alias("f"))
     put = lambda c: F.replace(c, F.lit("@K@"), F.col("k"))
-    return keys.select(put(F.col("f.p")).alias("rel_path"), put(F.col("f.t")).alias("content"))
+    return keys.where(F.col("n") % F.col("f.m") == F.col("f.r")).select(put(F.col("f.p")).alias("rel_path"), put(F.col("f.t")).alias("content"))
+
+
+def _sql(v: object) -> str:
+    if isinstance(v, bool):
+        return str(v)
+    if v is None:
+        return "CAST(NULL AS VARCHAR)"
+    made = "replace('{}', '@K@', s_suppkey::VARCHAR)".format(str(v).removeprefix("sha:").replace("'", "''"))
+    return f"substr(sha256({made}), 1, 16)" if str(v).startswith("sha:") else made
+
+
+def _rows_sql(names: list[str], row: tuple, when: tuple[int, int]) -> str:
+    return "SELECT " + ", ".join(f"{_sql(v)} AS {n}" for n, v in zip(names, row, strict=True)) + f" FROM supplier WHERE s_suppkey % {when[0]} = {when[1]}"
 
 
 def expected_sql(scanner: str, table: str) -> str:
     """SQL for what the scanner has to find in derived_files(), from the supplier table."""
-    columns, found = BY_SCANNER[scanner].finds[table]
-    names = columns.split()
-
-    def value(v: object) -> str:
-        if isinstance(v, bool):
-            return str(v)
-        if v is None:
-            return "NULL"
-        made = "replace('{}', '@K@', s_suppkey::VARCHAR)".format(str(v).removeprefix("sha:").replace("'", "''"))
-        return f"substr(sha256({made}), 1, 16)" if str(v).startswith("sha:") else made
-
-    parts = ["SELECT " + ", ".join(f"{value(v)} AS {n}" for n, v in zip(names, row, strict=True)) + " FROM supplier" for row in found]
+    parts = [_rows_sql(s.finds[table][0].split(), row, s.when) for s in SAMPLES if s.scanner == scanner and table in s.finds for row in s.finds[table][1]]
     return "\nUNION ALL ".join(parts)
+
+
+def keys_sql(table: str, key: list[str]) -> str:
+    """SQL for the distinct keys of all that scanners have to find for a table in derived_files()."""
+    parts = []
+    for s in SAMPLES:
+        for t, columns, found in [(t, c.split(), r) for t, (c, r) in s.finds.items()] + [(t, c.split(), [r]) for _, t, c, r in s.also]:
+            if t == table:
+                parts += [_rows_sql(key, tuple(dict(zip(columns, row, strict=True)).get(k) for k in key), s.when) for row in found]
+    return "\nUNION ".join(parts)

@@ -15,8 +15,9 @@ from strataloom.functions.text import base_path, make_id
 from strataloom.operators import relational as rel
 from strataloom.operators.schema_lang import crud_flows, event_endpoints
 from strataloom.plans import render
-from strataloom.plans.corpus import derived_files
-from strataloom.plans.scan import first_wins, registry, scan
+from strataloom.model import KEYS
+from strataloom.plans.corpus import derived_files, keys_sql
+from strataloom.plans.scan import first_wins, registry, scan, scan_with_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,17 +126,23 @@ def crud_patterns(spark, sf):
     return crud_flows(endpoints(spark, sf)).select("topic", "publisher_component_id", "subscriber_component_id", "broker")
 
 
-@query(f"""WITH {ENDPOINTS} SELECT page_id, component_id, path FROM ep
+#: Paths of pages, every seventh below /events and every fifth with a past-tense verb at its end.
+EVENT_PATHS = """ev AS (SELECT page_id, component_id, method, CASE WHEN page_id % 7 = 0 THEN '/events' || path
+  WHEN page_id % 5 = 0 THEN regexp_replace(path, '/$', '') || '/order-created' ELSE path END AS path FROM ep)"""
+
+
+@query(f"""WITH {ENDPOINTS}, {EVENT_PATHS} SELECT page_id, component_id, path FROM ev
 WHERE regexp_matches(lower(path), '/events/|/domain-events/|/webhooks/|/notifications/|-events/|/event/') OR (method = 'POST' AND regexp_matches(lower(path), '[-_/](created|updated|deleted|removed|completed|processed|confirmed|approved|rejected|cancelled|failed|succeeded|registered|activated|deactivated|suspended|reserved|released|allocated|assigned)([-_/]|$)'))""")
 def rest_event_endpoints(spark, sf):
-    return event_endpoints(endpoints(spark, sf)).select(F.col("pos").cast("long").alias("page_id"), F.col("subscriber_component_id").alias("component_id"), F.col("topic").alias("path"))
+    p = F.col("path")
+    path = F.when(F.col("pos") % 7 == 0, F.concat(F.lit("/events"), p)).when(F.col("pos") % 5 == 0, F.concat(F.regexp_replace(p, "/$", ""), F.lit("/order-created"))).otherwise(p)
+    return event_endpoints(endpoints(spark, sf).withColumn("path", path)).select(F.col("pos").cast("long").alias("page_id"), F.col("subscriber_component_id").alias("component_id"), F.col("topic").alias("path"))
 
 
-@query(f"WITH {DEPENDENCIES} SELECT group_id, artifact_id, version, count(*) AS n, arg_min(source_component_id, (rel_path, pos)) AS source FROM dep GROUP BY ALL")
+@query(f"WITH {DEPENDENCIES} SELECT group_id, artifact_id, version, count(*) AS n, arg_min(source_component_id, (rel_path, pos, source_component_id)) AS source FROM dep GROUP BY ALL")
 def dependency_dedup(spark, sf):
-    own = dependencies(spark, sf)
-    n = own.groupBy("group_id", "artifact_id", "version").agg(F.count("*").alias("n"))
-    return first_wins(own, "dependencies").select("group_id", "artifact_id", "version", F.col("source_component_id").alias("source")).join(n, ["group_id", "artifact_id", "version"])
+    """Of equal rows the first by path, place and source, and how many there are: one aggregate."""
+    return first_wins(dependencies(spark, sf), "dependencies", "n").select("group_id", "artifact_id", "version", "n", F.col("source_component_id").alias("source"))
 
 
 @query(f"WITH {DEPENDENCIES} SELECT source_component_id, count(*) AS n, count(DISTINCT artifact_id) AS artifacts, count(*) FILTER (direct) AS direct FROM dep GROUP BY 1")
@@ -183,9 +190,7 @@ def flow_dedup(spark, sf):
 
 @query(f"WITH {RELATIONSHIPS} SELECT source_id, target_id, type, count(*) AS n FROM rl GROUP BY ALL")
 def relationship_dedup(spark, sf):
-    own = relationships(spark, sf)
-    key = ["source_id", "target_id", "type"]
-    return first_wins(own, "relationships").select(*key).join(own.groupBy(*key).agg(F.count("*").alias("n")), key)
+    return first_wins(relationships(spark, sf), "relationships", "n").select("source_id", "target_id", "type", "n")
 
 
 @query(f"WITH {RELATIONSHIPS}, {COMPONENTS}, n AS (SELECT id, min(name) AS name FROM comp GROUP BY id) SELECT source_id, target_id, coalesce(a.name, source_id) AS source_name, coalesce(b.name, target_id) AS target_name FROM rl LEFT JOIN n a ON a.id = source_id LEFT JOIN n b ON b.id = target_id")
@@ -199,9 +204,10 @@ def dependency_gate_semi(spark, sf):
     return rel.gated(flows(spark, sf), parts.select(F.lit("a").alias("group_id"), "artifact_id"), ["a"]).select("event_id")
 
 
-@query("SELECT DISTINCT source AS scanner_id FROM documents WHERE source NOT IN (SELECT 'src' || s_suppkey FROM supplier)")
+@query("SELECT DISTINCT source AS scanner_id FROM documents WHERE source NOT IN (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND doc_id % 2 = 0)")
 def unknown_scanner_ids_anti(spark, sf):
-    known = registry(spark).select("scanner_id").unionByName(_t(spark, sf, "supplier").select(F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("scanner_id")))
+    seen = _t(spark, sf, "documents").join(_t(spark, sf, "labels").where("toxic = 1"), "doc_id").where("doc_id % 2 = 0")
+    known = registry(spark).select("scanner_id").unionByName(seen.select(F.col("source").alias("scanner_id")))
     return rel.unknown_ids(_t(spark, sf, "documents").select(F.col("source").alias("scanner_id")), known)
 
 
@@ -260,7 +266,18 @@ def er_fk_inference(spark, sf):
     return rel.inferred_keys(users.unionByName(teams)).withColumnRenamed("name", "entity_name")
 
 
-@query(None)
+def _keys(table: str) -> str:
+    """The keys of a table of the derived tree's catalog; flows with those derived from paths that are read and written."""
+    sql = keys_sql(table, KEYS[table])
+    if table != "message_flows":
+        return sql
+    base = "regexp_replace(regexp_replace(regexp_replace(path, '/\\{[^}]+\\}', '', 'g'), '/:[^/]+', '', 'g'), '(.)/$', '\\1')"
+    return f"""{sql}
+UNION SELECT CASE WHEN {base} = '' THEN '/' ELSE {base} END AS topic, 'derived', 'derived' FROM ({keys_sql("api_endpoints", ["method", "path"])})
+GROUP BY 1 HAVING bool_or(method IN ('POST', 'PUT', 'PATCH')) AND bool_or(method = 'GET')"""
+
+
+@query("\nUNION ALL ".join(f"SELECT '{t}' AS entity, count(*) AS n FROM ({_keys(t)})" for t in KEYS))
 def scan_all(spark, sf):
     """The whole catalog of the derived tree, counted by table."""
     return rel.table_counts(scan(derived_files(spark, sf)))
@@ -295,5 +312,5 @@ def render_api_catalog(spark, sf):
 @query(None)
 def render_all(spark, sf):
     """Lines of every document of the derived tree's catalog, counted by document."""
-    catalog = scan(derived_files(spark, sf))
-    return render.documents(catalog, rel.table_counts(catalog)).groupBy("path").agg(F.count("*").alias("n"))
+    catalog, runs = scan_with_runs(derived_files(spark, sf))
+    return render.documents(catalog, rel.table_counts(catalog), runs=runs).groupBy("path").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import markdown_cell, node_id
-from strataloom.operators.relational import component_counts, component_names, inferred_keys
+from strataloom.operators.relational import component_counts, component_names, external_systems, inferred_keys, quality_gaps, scan_rates
 
 LINE = "path string, part int, at string, line string"
 
@@ -117,31 +117,103 @@ def message_flow_catalog(flows: DataFrame) -> DataFrame:
     return _table(flows, "markdown/message-flow-catalog.md", "Message flows", {"Topic": c("topic"), "Broker": c("broker"), "Publisher": c("publisher_component_id"), "Subscriber": c("subscriber_component_id"), "Message": c("message_type")}, _text(c("topic"), c("publisher_component_id"), c("subscriber_component_id")))
 
 
-def quality_section(rates: DataFrame, gaps: DataFrame) -> DataFrame:
+def quality_section(rates: DataFrame, gaps: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rates, gaps and a summary of each scanner's run."""
     c = F.col
     one = _table(rates, "markdown/quality.md", "Scan quality", {"Scanner": c("scanner_id"), "Scanned": c("scanned"), "Success %": F.format_number("success_rate", 1)}, c("scanner_id"))
-    return _join(one, _lines(gaps, "markdown/quality.md", 2, _text(c("scanner_id"), c("message")), _text("- ", c("severity"), " ", c("scanner_id"), ": ", c("message"))))
+    said = _lines(runs, "markdown/quality.md", 3, c("scanner_id"), _text("- ", c("scanner_id"), ": ", c("summary")))
+    return _join(one, said, _lines(gaps, "markdown/quality.md", 2, _text(c("scanner_id"), c("message")), _text("- ", c("severity"), " ", c("scanner_id"), ": ", c("message"))))
 
 
-def index_page(counts: DataFrame) -> DataFrame:
+def index_page(counts: DataFrame, quality: bool = True) -> DataFrame:
     c = F.col
-    links = ["api-catalog", "dependency-matrix", "component-catalog", "data-catalog", "message-flow-catalog", "quality"]
+    links = ["api-catalog", "dependency-matrix", "component-catalog", "data-catalog", "message-flow-catalog"] + ["quality"] * quality
     page = _table(counts, "markdown/index.md", "Architecture", {"Table": c("entity"), "Rows": c("n")}, c("entity"))
     return _join(page, counts.sparkSession.createDataFrame([("markdown/index.md", 2, x, f"- [{x}]({x}.md)") for x in links], LINE))
 
 
-def system_json(components: DataFrame, project: str) -> DataFrame:
-    """A JSON document for each component, one a line."""
-    return _lines(components, "json/components.jsonl", 1, F.col("id"), F.to_json(F.struct(F.lit(project).alias("system"), "id", "name", "type")))
+# The extensions of a technology's sources, and those where no technology is known.
+EXTENSIONS = {
+    "java": ["java"], "spring": ["java"], "spring boot": ["java"], "maven": ["java"], "gradle": ["java"],
+    "kotlin": ["kt", "kts"],
+    "python": ["py"], "django": ["py"], "flask": ["py"], "fastapi": ["py"],
+    "javascript": ["js", "jsx"], "node.js": ["js", "jsx"], "express": ["js", "jsx"], "react": ["js", "jsx"], "vue": ["js", "jsx"],
+    "typescript": ["ts", "tsx"], "angular": ["ts", "tsx"],
+    "c#": ["cs"], ".net": ["cs"], "asp.net": ["cs"],
+    "go": ["go"], "ruby": ["rb"], "rails": ["rb"], "php": ["php"], "laravel": ["php"], "rust": ["rs"], "scala": ["scala"],
+}
+COMMON_EXTENSIONS = ["java", "py", "js", "ts", "cs", "go"]
+# Where the sources of a component of some type lie; {n} stands for its name.
+PATTERNS = {
+    "SERVICE": ["**/{n}/**", "src/main/java/{n}/**", "src/{n}/**"],
+    "MODULE": ["**/{n}/**", "src/main/java/{n}/**", "src/{n}/**"],
+    "LIBRARY": ["**/{n}/**", "lib/{n}/**"],
+    "DATABASE": ["**/migrations/**", "**/schema/**", "**/db/**"],
+    "API_GATEWAY": ["**/gateway/**", "**/api/**"],
+    "MESSAGE_BROKER": ["**/messaging/**", "**/events/**"],
+}
+
+
+def extensions(components: DataFrame) -> DataFrame:
+    """(extension): those of the components' technologies; common ones if no technology is known."""
+    spark = components.sparkSession
+    known = spark.createDataFrame([(t, e) for t, own in EXTENSIONS.items() for e in own], "technology string, extension string")
+    found = components.select(F.lower("technology").alias("technology")).distinct().join(F.broadcast(known), "technology").select("extension").distinct()
+    common = spark.createDataFrame([(e,) for e in COMMON_EXTENSIONS], "extension string")
+    some_ = found.limit(1).select(F.lit(1).alias("_some"))
+    return found.unionByName(common.withColumn("_some", F.lit(1)).join(F.broadcast(some_), "_some", "left_anti").drop("_some"))
+
+
+def path_patterns(components: DataFrame) -> DataFrame:
+    """components with `patterns`: the globs of each one's sources, by type, name and repository."""
+    bare = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
+    for suffix in ("service", "application", "api"):
+        bare = F.regexp_replace(bare, f"{suffix}$", "")
+    own = F.array(F.lit("**/{n}/**"))
+    for kind, globs in PATTERNS.items():
+        own = F.when(F.col("type") == kind, F.array(*(F.lit(g) for g in globs))).otherwise(own)
+    repository = F.regexp_replace(F.replace(F.coalesce("repository", F.lit("")), F.lit("/"), F.lit("")), r"\.git$", "")
+    whole = F.when(repository == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(repository, F.lit("/**"))))
+    return components.withColumn("_bare", bare).withColumn("patterns", F.concat(F.transform(own, lambda g: F.replace(g, F.lit("{n}"), F.col("_bare"))), whole)).drop("_bare")
+
+
+def system_json(components: DataFrame, project: str, description: str = "", version: str = "") -> DataFrame:
+    """The system's JSON configuration: metadata, extensions, scope, components with their paths, analysis and goals.
+
+    Sections are lines, so that no list is gathered in one place; all but the first of a list begin with a comma.
+    """
+    path, c = "json/system.json", F.col
+    spark = components.sparkSession
+    quoted = lambda x: F.regexp_replace(F.to_json(F.struct(x.alias("v"))), r'(?s)^\{"v":(.*)\}$', "$1")
+    fixed = lambda part, at, line: spark.createDataFrame([(path, part, at, line)], LINE)
+    meta = spark.range(1).select(F.lit(path).alias("path"), F.lit(0).alias("part"), F.lit("0").alias("at"), F.concat(F.lit('{"name":'), quoted(F.lit(project)), F.lit(',"description":'), quoted(F.lit(description)), F.lit(',"version":'), quoted(F.lit(version)), F.lit(",")).alias("line"))
+
+    def listed(df: DataFrame, part: int, at: Column, line: Column) -> DataFrame:
+        rows = _lines(df, path, part, at, line)
+        least = rows.agg(F.min("at").alias("_least")).withColumn("_one", F.lit(1))
+        return rows.withColumn("_one", F.lit(1)).join(F.broadcast(least), "_one").select("path", "part", "at", F.when(c("at") == c("_least"), c("line")).otherwise(F.concat(F.lit(","), "line")).alias("line"))
+
+    one = F.to_json(F.struct(c("name"), F.transform("patterns", lambda g: F.struct(g.alias("pathPattern"))).alias("files"), c("type"), c("technology")))
+    return _join(
+        meta, fixed(1, "0", '"extensions":['), listed(extensions(components), 2, c("extension"), quoted(c("extension"))), fixed(3, "0", "],"),
+        fixed(4, "0", '"ignore":[{"pathPattern":"**/test/**"},{"pathPattern":"**/node_modules/**"},{"pathPattern":"**/target/**"},{"pathPattern":"**/build/**"}],'),
+        fixed(5, "0", '"logicalComponents":['), listed(path_patterns(components), 6, _text(c("name"), "|", c("id")), one), fixed(7, "0", "],"),
+        fixed(8, "0", '"analysis":{"skipDuplication":false,"skipDependencies":false},"goals":[]}'),
+    )
 
 
-def documents(catalog: dict[str, DataFrame], counts: DataFrame, project: str = "project") -> DataFrame:
-    """All documents of a scanned catalog."""
+def documents(catalog: dict[str, DataFrame], counts: DataFrame, project: str = "project", runs: DataFrame | None = None, include_external: bool = True, description: str = "", version: str = "") -> DataFrame:
+    """All documents of a scanned catalog; the page on the scan's quality too if its runs are given.
+
+    Without external systems, the context diagram has the first systems only, as many as such a diagram shows.
+    """
     comp, dep, ep, fl, ent, re = (catalog[t] for t in ("components", "dependencies", "api_endpoints", "message_flows", "data_entities", "relationships"))
+    shown = comp if include_external else external_systems(comp, False)
+    pages = [quality_section(scan_rates(runs), quality_gaps(runs), runs)] if runs is not None else []
     return _join(
-        c4_context(comp, re), c4_level(comp, "container", ["SERVICE", "EXTERNAL"]), c4_level(comp, "component", ["MODULE", "LIBRARY", "SERVICE"]),
+        *pages, c4_context(shown, re), c4_level(comp, "container", ["SERVICE", "EXTERNAL"]), c4_level(comp, "component", ["MODULE", "LIBRARY", "SERVICE"]),
         dependency_graph(dep), er_diagram(ent), message_flow_graph(fl), api_sequence(ep), api_catalog(ep, comp), dependency_table(dep, comp),
-        component_catalog(comp, ep, ent), data_catalog(ent), message_flow_catalog(fl), index_page(counts), system_json(comp, project),
+        component_catalog(comp, ep, ent), data_catalog(ent), message_flow_catalog(fl), index_page(counts, runs is not None), system_json(comp, project, description, version),
     )
 
 

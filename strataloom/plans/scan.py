@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from strataloom.functions.text import text_or_null
 from strataloom.model import KEYS, ORIGIN, TABLES
 from strataloom.operators import dotnet, jvm, python_lang, schema_lang, web_go_ruby
+from strataloom.operators.gates import GATES, applicable
+from strataloom.plans.staging import own_files, scan_runs, staged
+from strataloom.sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -89,28 +92,51 @@ def union_all(spark: SparkSession, parts: Iterable[dict[str, DataFrame]]) -> dic
     return {t: out.get(t) if t in out else empty(spark, t) for t in TABLES}
 
 
-def first_wins(df: DataFrame, table: str) -> DataFrame:
+def first_wins(df: DataFrame, table: str, count: str | None = None) -> DataFrame:
     """The first row of each key, by the scanner's priority, then path and place; null in a key is a value like any.
 
+    With `count`, a column of that name tells how many rows had the key.
+
     The order is an aggregate, not a window: only the best row of a key leaves each task.
     """
     key = [text_or_null(F.col(c)).alias(f"_k{i}") for i, c in enumerate(KEYS[table])]
     priority = F.try_element_at(F.create_map(*(x for s in SCANNERS.values() for x in (F.lit(s.id), F.lit(s.priority)))), F.col("scanner_id"))
     rank = F.struct(F.coalesce(priority, F.lit(150)).alias("p"), "scanner_id", "rel_path", "pos")
-    whole = F.struct(*df.columns)
-    # the row itself settles ties, so the choice does not depend on the partitioning
-    ranked = df.select(*key, F.struct(rank.alias("r"), F.to_json(whole).alias("j"), whole.alias("row")).alias("c"))
-    return ranked.groupBy(*(f"_k{i}" for i in range(len(key)))).agg(F.min_by("c.row", F.struct("c.r", "c.j")).alias("row")).select("row.*")
+    # the row itself settles ties, column by column, so the choice does not depend on the partitioning
+    ranked = df.select(*key, F.struct(rank.alias("rank"), F.struct(*df.columns).alias("row")).alias("c"))
+    best = ranked.groupBy(*(f"_k{i}" for i in range(len(key)))).agg(F.min("c").alias("c"), F.count("*").alias("_n"))
+    return best.select("c.row.*", *([F.col("_n").alias(count)] if count else []))
 
 
-def scan(files: DataFrame, mode: str = "auto", enabled: Iterable[str] = (), groups: Iterable[str] = (), detect_crud: bool = True) -> dict[str, DataFrame]:
-    """The catalog of a source tree: each model table, one row for each key.
+def scan_with_runs(
+    files: DataFrame, mode: str = "auto", enabled: Iterable[str] = (), groups: Iterable[str] = (), detect_crud: bool = True, gated: bool = True
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The catalog of a source tree, each model table with one row for each key; and the runs of the scanners.
 
-    Nothing runs until a table is used, and then only the scanners that fill it.
+    The tree is read once. With `gated`, scanners that ask for a framework run only where the tree uses it.
     """
     spark = files.sparkSession
     chosen = scanner_ids(mode, enabled, groups)
-    found = union_all(spark, (SCANNERS[i].run(files) for i in sorted((c for c in chosen if c in SCANNERS), key=lambda c: SCANNERS[c].priority)))
+    runs = sorted((c for c in chosen if c in SCANNERS), key=lambda c: (SCANNERS[c].priority, c))
+    tree = staged(files, runs)
+    own = {i: own_files(tree, i) for i in runs}
+    first = [i for i in runs if SCANNERS[i].subject == "dependencies"]
+    found = [SCANNERS[i].run(own[i]) for i in first]
+    dependencies = written(union_all(spark, found)["dependencies"], "dependencies")
+    if gated and set(runs) & set(GATES):
+        sources = tree.where(F.col("scanned") & F.col("scanner_id").isin(list(GATES)))
+        off = {r.scanner_id for r in applicable(sources, dependencies).where("NOT applies").collect()}  # a row a scanner
+        runs = [i for i in runs if i not in off]
+    found += [SCANNERS[i].run(own[i]) for i in runs if i not in first]
+    tables = union_all(spark, found)
+    tables["dependencies"] = dependencies
+    tables = {t: df if t == "dependencies" else written(df, t) for t, df in tables.items()}
     if DERIVED in chosen:
-        found = union_all(spark, [found, schema_lang.rest_event_flow(first_wins(found["api_endpoints"], "api_endpoints"), detect_crud)])
-    return {t: first_wins(df, t) for t, df in found.items()}
+        flows = schema_lang.rest_event_flow(first_wins(tables["api_endpoints"], "api_endpoints"), detect_crud)["message_flows"]
+        tables["message_flows"] = tables["message_flows"].unionByName(flows)
+    return {t: first_wins(df, t) for t, df in tables.items()}, scan_runs(tree)
+
+
+def scan(files: DataFrame, *args, **how) -> dict[str, DataFrame]:
+    """The catalog alone; takes the arguments of scan_with_runs()."""
+    return scan_with_runs(files, *args, **how)[0]

@@ -28,8 +28,12 @@ def _query(scanner: str, table: str, columns: list[str]) -> Query:
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+_seen: dict[tuple[str, str], int] = {}
 for _sample in SAMPLES:
-    for _k, (_table, (_columns, _)) in enumerate(_sample.finds.items()):
+    for _table, (_columns, _) in _sample.finds.items():
+        if (_sample.scanner, _table) in _seen:
+            continue
+        _k = _seen[_sample.scanner, _table] = sum(s == _sample.scanner for s, _ in _seen)
         _name = f"scan_{_sample.scanner.replace('-', '_')}" + (f"_{_table}" if _k else "")
         QUERIES[_name] = _query(_sample.scanner, _table, _columns.split())
         ORACLES[_name] = expected_sql(_sample.scanner, _table)

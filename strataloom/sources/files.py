@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import glob_regex, some
@@ -60,5 +61,9 @@ def segments(df: DataFrame, header: str, names: Sequence[str], keep: Sequence[st
     return parts.select("*", *(some(F.regexp_extract("body", f"^(?:{header})", k + 1)).alias(n) for k, n in enumerate(names)))
 
 
-def xml_texts(content: Column, path: str) -> Column:
-    return F.xpath(content, F.lit(path))
+def in_order(parts: Sequence[DataFrame]) -> DataFrame:
+    """The matches of several patterns together; places go on from pattern to pattern, within each file."""
+    each = [df.withColumn("_kind", F.lit(k)) for k, df in enumerate(parts)]
+    both = reduce(DataFrame.unionByName, each)
+    order = Window.partitionBy("rel_path").orderBy("_kind", "pos")
+    return both.withColumn("pos", F.row_number().over(order) - 1).drop("_kind")

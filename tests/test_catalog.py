@@ -91,7 +91,8 @@ def test_whole_scan_of_a_tree_on_disk(spark, tmp_path):
     got = api.scan_tree(spark, str(tmp_path / "src"), api.Config.from_dict({"scanners": {"groups": ["go", "java"]}}), output=str(tmp_path / "out"))
     assert {r.technology for r in got["components"].collect()} == {"Go", "Maven", "Gradle", "Spring"}
     lines = {p.parent.name for p in (tmp_path / "out").glob("*/part-*")}
-    assert {"document=mermaid_dependency_graph_md", "document=markdown_index_md", "document=json_components_jsonl"} <= lines
+    assert {"document=mermaid_dependency_graph_md", "document=markdown_index_md", "document=json_system_json", "document=markdown_quality_md"} <= lines
+    assert got["scan_runs"].where("scanner_id = 'go-modules' AND discovered = 1 AND parsed = 1").count() == 1
     assert api.project_type(spark.createDataFrame([("go.mod",), ("a/pom.xml",)], "rel_path string")).first().type == "go"
 
 
