@@ -65,7 +65,8 @@ def measured(text):
 
 def test_measures_by_brute_force(spark):
     texts = [None, "", " \n ", "a b c d e a b c d e", "a a a a a a a a", "one\none\n two\n\n\n two", "x # * $ % & | < > y", "é " * 40, "a b c d e f " * 3 + "z", "w" * 5000, "\x0b\x0ca\rb\x85c"]
-    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, n_words string")
+    df = spark.createDataFrame([(i, t, "clash", 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, n_words string, _words int, `_w` int, `a.b` int")
+    assert quality.judge(df).columns[:5] == ["doc_id", "text", "_words", "_w", "a.b"]
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.judge(df).collect()}
     assert got == {i: measured(t) for i, t in enumerate(texts)}
     assert quality.judge(df.limit(0)).count() == 0
@@ -81,13 +82,35 @@ def test_order_of_rules_changes_no_verdict(spark):
 def test_rules_that_reject_more_for_less_come_first(spark):
     from pyspark.sql import functions as F
 
-    df = spark.range(2000).cache()
+    df = spark.range(20_000).cache()
+    slow = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda x: F.sha2((x + F.col("id")).cast("string"), 256)), lambda x: x > "f")) >= 0
+    same = [quality.Rule("slow", slow & (F.col("id") % 2 == 0)), quality.Rule("fast", F.col("id") % 2 == 0)]
+    assert [r.name for r in quality.order_rules(df, same)] == ["fast", "slow"]
+    slow_spent = quality.task_seconds(spark, lambda: df.agg(F.count_if(slow)).collect())
+    assert slow_spent > 2 * quality.task_seconds(spark, lambda: df.agg(F.count_if(F.col("id") > 3)).collect())
     rules = [quality.Rule("never", F.col("id") < 0), quality.Rule("often", F.col("id") >= 10), quality.Rule("null", F.lit(None).cast("boolean"))]
     assert quality.order_rules(df, rules)[0].name == "often"
     assert [r.name for r in quality.order_rules(df.limit(0), rules)] == ["never", "often", "null"]
     assert df.select(quality.cascade(rules).alias("r")).where("r IS NULL").count() == 10
 
 
+def test_each_rule_rejects_what_it_is_for(spark):
+    good = "\n".join(" ".join(f"word{chr(97 + k % 26)}{chr(97 + (k * j) % 26)}" for k in range(12)) for j in range(1, 9))
+    texts = {
+        None: good, "symbols": good.replace(" ", " #"), "word length": good.replace("word", "w" * 20), "upper case": good.upper(),
+        "few words with letters": good + " 1 2 3 4" * 40 + " " + " ".join(map(str, range(100, 300))), "bullets": "\n".join(f"- {x}" for x in good.split("\n")), "cut lines": good.replace("\n", " ...\n"),
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts.values())], "doc_id long, text string")
+    rules = quality.default_rules()
+    for own in (rules, rules[::-1]):
+        out = {r.doc_id: r for r in quality.judge(df, rules=own).collect()}
+        assert out[0].kept and not any(out[k].kept for k in range(1, len(texts)))
+    named = {r.name: r for r in rules}
+    for k, name in enumerate(texts):
+        if name and not out[k].base_failed:
+            assert df.where(f"doc_id = {k}").transform(quality.measures).where(named[name].fails).count() == 1, name
+
+
 def check_shards(rows, out, n):
     assert len(out) == len(rows)
     sizes = {}
@@ -112,6 +135,15 @@ def test_shards_are_even_even_with_a_hot_group(spark):
     assert sharding.shard_by_bytes(df.limit(0)).count() == 0
 
 
+def test_groups_stay_together_where_shards_stay_near_equal(spark):
+    rows = [(i, f"group {i // 20} " * 5) for i in range(8000)] + [(3, "other text of an id that comes twice")]
+    out = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=7).collect()
+    shards = collections.defaultdict(set)
+    for r in out:
+        shards[r.text_crc32].add(r.shard)
+    assert len(out) == len(rows) and all(len(x) == 1 for x in shards.values())
+
+
 def test_repeated_rows_get_a_slot_each(spark):
     df = spark.createDataFrame([(1, "same")] * 50, "doc_id long, text string")
     out = sharding.shard_by_bytes(df, n_shards=3).collect()
