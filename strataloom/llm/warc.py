@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ SKIPPABLE_SEEK_TABLE = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CRLF = b"\r\n"
 #: Bytes of records in a frame, and of frames in a bundle, from which on the next is begun.
-FRAME_BYTES, BUNDLE_BYTES = 256 * 1024, 4 * 1024 * 1024
+FRAME_BYTES, BUNDLE_BYTES = 256 * 1024, 32 * 1024 * 1024
 LEVEL = 3
 
 
@@ -57,6 +58,12 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, data[begin:end], end + 4
 
 
+def http_message(payload: bytes) -> bytes:
+    """The payload as the body of an HTTP response."""
+    head = ["HTTP/1.1 200 OK", "Content-Type: text/html; charset=UTF-8", f"Content-Length: {len(payload)}", "", ""]
+    return CRLF.join(x.encode() for x in head) + payload
+
+
 class Bundle:
     """Gathers records into frames and frames into the bytes of a bundle."""
 
@@ -115,49 +122,54 @@ def frame(data: bytes, k: int) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data[at : at + packed], max_output_size=size)
 
 
-def revisits(df: DataFrame, id_col: str, payload_col: str, least_bytes: int = 0) -> DataFrame:
-    """(_id, _digest, _first): the rows whose payload a row of larger id holds too, and that id.
+def revisits(df: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int = 0) -> DataFrame:
+    """(_id, _digest, _first, _first_url): the rows whose payload a row of larger id holds too, that id, and its url.
 
     Counts by payload are added up before the shuffle, so a payload that a third of all rows share is one row of each
     task there; joining it back is an equi-join whose large keys Spark splits.
     """
-    own = df.select(F.col(id_col).alias("_id"), F.sha1(F.coalesce(F.encode(payload_col, "UTF-8"), F.lit(b""))).alias("_digest"), F.coalesce(F.octet_length(payload_col), F.lit(0)).alias("_size"))
+    own = df.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.sha1(F.coalesce(F.encode(payload_col, "UTF-8"), F.lit(b""))).alias("_digest"), F.coalesce(F.octet_length(payload_col), F.lit(0)).alias("_size"))
     own = own.where(F.col("_size") >= least_bytes).drop("_size")
-    shared = own.groupBy("_digest").agg(F.max("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 AND _first IS NOT NULL").drop("_n")
-    return own.join(shared, "_digest").where(~F.col("_id").eqNullSafe(F.col("_first"))).select("_id", "_digest", "_first").distinct()
+    shared = own.groupBy("_digest").agg(F.max(F.struct("_id", "_url")).alias("f"), F.count("*").alias("_n"))
+    shared = shared.where("_n > 1 AND f._id IS NOT NULL").select("_digest", F.col("f._id").alias("_first"), F.col("f._url").alias("_first_url"))
+    return own.join(shared, "_digest").where(~F.col("_id").eqNullSafe(F.col("_first"))).select("_id", "_digest", "_first", "_first_url").distinct()
 
 
 def write_archives(
     df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-    least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES,
+    least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", date_col: str | None = None, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES,
 ) -> None:
     """Writes a WARC record for each row under `path`, a folder of bundles.
 
     Of rows with equal payloads of at least `least_bytes` bytes, that of the largest id is a response and the others
     are revisits of it, without a block; the rest are responses. A null payload is empty. A null id counts as smaller
     than any and leaves no id header; where all equal rows have a null id, all are responses, as are repeated rows
-    that tie for the largest id. Null urls give no target. Other columns are not read. An empty table gives a folder
+    that tie for the largest id. Null urls give no target. Records are dated by date_col where it is given and not null,
+    else by date. Other columns are not read. An empty table gives a folder
     without bundles. Rows stay in their tasks: a task holds one bundle and one record at a time.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), F.encode(payload_col, "UTF-8").alias("_payload"), F.sha1(F.coalesce(F.encode(payload_col, "UTF-8"), F.lit(b""))).alias("_digest"))
-    again = revisits(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, payload_col, least_bytes).select(F.col("_id").alias("_id2"), F.col("_digest").alias("_digest2"), "_first")
-    joined = rows.join(again, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_digest") == F.col("_digest2")), "left").select("_id", "_url", "_payload", "_first")
+    when = F.lit(date) if date_col is None else F.coalesce(F.date_format(F.to_utc_timestamp(F.col(date_col), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(date))
+    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), F.encode(payload_col, "UTF-8").alias("_payload"), F.sha1(F.coalesce(F.encode(payload_col, "UTF-8"), F.lit(b""))).alias("_digest"), when.alias("_date"))
+    again = revisits(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, url_col, payload_col, least_bytes).select(F.col("_id").alias("_id2"), F.col("_digest").alias("_digest2"), "_first", "_first_url")
+    joined = rows.join(again, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_digest") == F.col("_digest2")), "left").select("_id", "_url", "_payload", "_first", "_first_url", "_date")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle = Bundle(frame_bytes)
+        bundle, count = Bundle(frame_bytes), 0
         out = lambda: pa.RecordBatch.from_arrays([pa.array([bundle.to_bytes()[:-1]], pa.binary())], ["value"])
         for batch in batches:
-            for page, url, payload, first in zip(*(c for c in batch.columns), strict=True):
-                page, url, payload, first = page.as_py(), url.as_py(), payload.as_py() or b"", first.as_py()
+            for row in zip(*(c for c in batch.columns), strict=True):
+                page, url, payload, first, first_url, day = (x.as_py() for x in row)
+                payload = payload or b""
                 digest = digest32(payload)
-                record_id = str(uuid.uuid5(uuid.NAMESPACE_OID, f"{page}|{url}|{digest}"))
-                headers = [("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
+                count += 1  # a task that is run again gives its records the same ids, and repeated rows differ
+                record_id = str(uuid.uuid5(uuid.NAMESPACE_OID, f"{path}|{TaskContext.get().partitionId()}|{count}|{page}|{digest}"))
+                headers = [("WARC-Date", day), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
                 headers += [("WARC-Target-URI", url)] * (url is not None) + [("X-Source-ID", str(page))] * (page is not None)
                 if first is None:
-                    data = record("response", record_id, [*headers, ("Content-Type", "text/html; charset=UTF-8")], payload)
+                    block = http_message(payload)
+                    data = record("response", record_id, [*headers, ("WARC-Block-Digest", f"sha1:{digest32(block)}"), ("Content-Type", "application/http; msgtype=response")], block)
                 else:
-                    data = record("revisit", record_id, [*headers, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Source-ID", str(first))], b"")
+                    data = record("revisit", record_id, [*headers, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Date", day), ("X-Refers-To-Source-ID", str(first)), *[("WARC-Refers-To-Target-URI", first_url)] * (first_url is not None)], b"")
                 bundle.add(record_id, data)
                 if bundle.size >= bundle_bytes:
                     yield out()
@@ -168,8 +180,6 @@ def write_archives(
     packed = joined.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
     # The writer ends each row with a separator; the last byte of the footer serves as such.
     packed.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", chr(SEEKABLE_MAGIC >> 24)).text(path)
-    del spark
-
 
 def _bundles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
@@ -212,6 +222,8 @@ def read_records(spark: SparkSession, path: str, wanted: list[str] | None = None
                     for record_id, offset in own:
                         h, block, _ = parse(content, offset)
                         kind, digest = h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:")
+                        if kind == "response":
+                            block = block[block.index(CRLF + CRLF) + 4 :]
                         if kind == "response" and (digest32(block) != digest or len(block) != int(h["x-payload-length"])):
                             raise ValueError(f"the payload of {record_id} does not match its digest")
                         rows.append((record_id, whole(h.get("x-source-id")), h.get("warc-target-uri"), kind, int(h["x-payload-length"]), digest, whole(h.get("x-refers-to-source-id")), block if kind == "response" else None, k, offset))

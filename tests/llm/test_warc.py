@@ -29,7 +29,7 @@ def test_round_trip_with_nulls_ties_and_copies(spark):
     assert sorted([tuple(r) for r in got.select("source_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()], key=str) == expected(rows)
     assert {(r.source_id, bytes(r.block).decode()) for r in got.where("record_type = 'response'").collect()} == {(4, ""), (2, "<p>one</p>"), (6, "é" * 70_000), (7, "z\r\n\r\nWARC/1.1"), (None, "only")}
     index = warc.read_index(spark, path).collect()
-    assert len(index) == len(rows)
+    assert len(index) == len(rows) == len({r.record_id for r in index})
     one = random.Random(1).choice(index)
     found = warc.read_records(spark, path, [one.record_id]).collect()
     assert {(r.frame, r.offset) for r in found} <= {(r.frame, r.offset) for r in index if r.record_id == one.record_id}
@@ -39,7 +39,11 @@ def test_round_trip_with_nulls_ties_and_copies(spark):
         whole = b"".join(zstandard.ZstdDecompressor().decompressobj().decompress(data[a : a + n]) for a, n, _ in warc.seek_table(data)[:-1])
         at = 0
         while at < len(whole):
-            _, _, at = warc.parse(whole, at)
+            headers, block, at = warc.parse(whole, at)
+            if headers["warc-type"] == "response":
+                assert block.startswith(b"HTTP/1.1 200 OK") and headers["content-type"] == "application/http; msgtype=response"
+            else:
+                assert "warc-refers-to-date" in headers
         assert at == len(whole)
 
 
