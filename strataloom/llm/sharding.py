@@ -38,13 +38,14 @@ def _splitters(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def shard_by_bytes(
-    df: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, whole_groups: float = 0.01
+    df: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, whole_groups: float = 0.05
 ) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of each row, under the law `bytes`.
 
     size: UTF-8 bytes of the text plus 16; a null text has none and the CRC of nothing, 0. slot: gapless from 0 in
-    each shard. Rows with equal texts stay together where they hold at most `whole_groups` of a shard; larger groups
-    are cut like any range. Null ids sort first. Repeated rows are rows of their own. An empty table gives no rows.
+    each shard. Rows with equal texts stay together where they hold at most `whole_groups` of a shard's bytes, by which
+    shards may then differ; larger groups are cut like any range, as else shards would not be near equal. Rows that tie,
+    of one id and different texts too, are in the order of the texts' hashes. Null ids sort first. Repeated rows are rows of their own. An empty table gives no rows.
     Which boundaries the sample gives affects only the work of each task, not the result. grown_shard is null.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -75,14 +76,18 @@ def shard_by_bytes(
 
     placed = ranged(splitters)
     counts = counted(placed)
-    full = counts[counts["bytes"] > OVERFULL * max(1, total) / n_ranges]
-    if len(full):
+    while True:
+        full = counts[counts["bytes"] > OVERFULL * max(1, total) / n_ranges]
         more = []
         for r, size in zip(full["_range"], full["bytes"], strict=True):
             low = splitters[r - 1] if r > 0 else b""
             own = sample[(sample > low) & ((sample < splitters[r]) if r < len(splitters) else True)]
             more.append(_splitters(own, int(size * n_ranges // max(1, total)) + 1))
-        placed = ranged(np.unique(np.concatenate([splitters, *more])))
+        finer = np.unique(np.concatenate([splitters, *more]))
+        if len(finer) == len(splitters):  # none is overfull, or the sample has no key within those that are
+            break
+        splitters = finer
+        placed = ranged(splitters)
         counts = counted(placed)
     before = pd.DataFrame({"_range": counts["_range"].astype("int32"), "_bytes0": counts["bytes"].cumsum() - counts["bytes"], "_n0": counts["n"].cumsum() - counts["n"]})
     spark = df.sparkSession
