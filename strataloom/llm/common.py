@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.sources.tables import scratch, shared_dir, written
+
+__all__ = ["BitFilter", "ascii_lower", "row_key", "scratch", "shared_dir", "strip_spaces", "table", "words", "written"]
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -49,34 +50,6 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     ]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests on one machine, a new one of our own."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        current = sc._jsc.sc().getCheckpointDir()
-    return current.get()
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/strataloom/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class BitFilter:
     """A set of longs as bits of their hashes, 16 for each but 32 MB in all at most, so it can be broadcast at any size.
 

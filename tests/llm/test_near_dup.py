@@ -105,3 +105,22 @@ def test_components_of_paths_and_stars(spark):
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert result(queries.op2_near_dup(spark, SF)) == brute(rows, 2)
+
+
+def test_recall_at_and_just_above_the_threshold(spark):
+    """Pairs at a similarity of 0.80 to 0.86, each by itself: what is linked exactly must be found."""
+    rng = random.Random(9)
+    rows, exact = [], set()
+    for k in range(3000):
+        base = [f"w{k}x{j}" for j in range(rng.choice((109, 110, 115)))]
+        other = base[:]
+        for at in range(5, 104, 18 if k % 9 else 15):  # six words, or seven
+            other[at] = f"v{k}x{at}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        a, b = (plain_set(t, 2) for _, t in rows[-2:])
+        if 100 * len(a & b) >= 80 * len(a | b):
+            exact.add(2 * k)
+    got = {r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect() if not r.kept}
+    sims = [len(plain_set(a, 2) & plain_set(b, 2)) / len(plain_set(a, 2) | plain_set(b, 2)) for (_, a), (_, b) in zip(rows[:40:2], rows[1:40:2], strict=True)]
+    print("linked pairs", len(exact), "found", len(got & exact), "similarities", min(sims), max(sims))
+    assert min(sims) < 0.8 <= max(sims) < 0.83 and 2000 < len(exact) < 3000 and got <= exact and len(got) >= 0.999 * len(exact)
