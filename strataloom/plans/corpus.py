@@ -185,12 +185,17 @@ def derived_files(spark: SparkSession, sf_dir: str, scanners: list[str] | None =
     return keys.where(F.col("n") % F.col("f.m") == F.col("f.r")).select(put(F.col("f.p")).alias("rel_path"), put(F.col("f.t")).alias("content"))
 
 
+def text_sql(text: str) -> str:
+    """SQL for a text of the samples, with the supplier's key put in."""
+    return "replace('{}', '@K@', s_suppkey::VARCHAR)".format(text.replace("'", "''"))
+
+
 def _sql(v: object) -> str:
     if isinstance(v, bool):
         return str(v)
     if v is None:
         return "CAST(NULL AS VARCHAR)"
-    made = "replace('{}', '@K@', s_suppkey::VARCHAR)".format(str(v).removeprefix("sha:").replace("'", "''"))
+    made = text_sql(str(v).removeprefix("sha:"))
     return f"substr(sha256({made}), 1, 16)" if str(v).startswith("sha:") else made
 
 
