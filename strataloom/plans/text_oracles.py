@@ -80,4 +80,72 @@ k AS (SELECT outer_name || regexp_extract(c, 'class (\w+)', 1) AS name, c FROM p
 w AS (SELECT name, coalesce(nullif(regexp_extract(c, 'queue: [:'']([\w-]+)', 1), ''), 'default') AS queue FROM k WHERE contains(c, 'include Sidekiq::')),
 u AS (SELECT name AS caller, unnest(regexp_extract_all(c, '([\w:]+)\.(?:set\([^)]*\)\.)?perform_(?:async|in|at)', 1)) AS callee FROM k)
 SELECT caller AS publisher_component_id, name AS subscriber_component_id, queue AS topic FROM u JOIN w ON callee = name""",
+    "scan_kafka_messaging": rf"""{_files(".java")},
+j AS (SELECT {OWNER} AS me, content FROM f WHERE regexp_matches(content, 'KafkaListener|[kK]afkaTemplate|SendTo')),
+l AS (SELECT me, unnest(regexp_extract_all(content, '@KafkaListener\([^)]*\)')) AS a FROM j),
+o AS (SELECT me, unnest(regexp_extract_all(content, '@SendTo\([^)]*\)')) AS a FROM j),
+s AS (SELECT me, unnest(regexp_extract_all(content, '[kK]afkaTemplate\.send\(([^,)]+)', 1)) AS a FROM j)
+SELECT NULL AS publisher_component_id, me AS subscriber_component_id, unnest(regexp_extract_all(regexp_extract(a, 'topics = (\{{[^}}]*\}}|"[^"]*")', 1), '"([^"]+)"', 1)) AS topic FROM l
+UNION ALL SELECT me, NULL, unnest(regexp_extract_all(a, '"([^"]+)"', 1)) FROM o UNION ALL SELECT me, NULL, replace(a, '"', '') FROM s""",
+    "scan_rabbitmq_messaging": rf"""{_files(".java")},
+j AS (SELECT {OWNER} AS me, content FROM f WHERE regexp_matches(content, 'RabbitListener|[rR]abbitTemplate'))
+SELECT NULL AS publisher_component_id, me AS subscriber_component_id, unnest(regexp_extract_all(content, '@RabbitListener\(queues = "([^"]+)"', 1)) AS topic FROM j
+UNION ALL SELECT me, NULL, unnest(regexp_extract_all(content, '[rR]abbitTemplate\.(?:convertAndSend|send)\("([^"]+)"', 1)) FROM j""",
+    "scan_grpc_service": rf"""{_files(".java")},
+j AS (SELECT {OWNER} AS me, regexp_extract(content, 'extends (\w+)Grpc\.', 1) AS service, unnest(regexp_extract_all(content, 'void \w+\(\w+ \w+, StreamObserver<\w+>')) AS m FROM f WHERE contains(content, 'ImplBase'))
+SELECT me AS component_id, '/' || service || '/' || upper(regexp_extract(m, 'void (\w)', 1)) || regexp_extract(m, 'void \w(\w*)', 1) AS path, 'POST' AS method,
+  regexp_extract(m, '\((\w+)', 1) AS request_schema, regexp_extract(m, '<(\w+)>', 1) AS response_schema FROM j""",
+    "scan_grpc_service_dotnet": rf"""{_files(".cs")},
+c AS (SELECT {OWNER} AS me, regexp_extract(content, ': (\w+)\.\w+Base', 1) AS service, unnest(regexp_extract_all(content, 'override Task<\w+> \w+\(\w+')) AS m FROM f)
+SELECT me AS component_id, '/' || service || '/' || regexp_extract(m, '> (\w+)', 1) AS path, 'POST' AS method, regexp_extract(m, '\((\w+)', 1) AS request_schema, regexp_extract(m, '<(\w+)>', 1) AS response_schema
+FROM c WHERE service <> ''""",
+    "scan_grpc_service_go": rf"""{_files(".go")},
+g AS (SELECT regexp_extract(content, 'package (\w+)', 1) AS me, regexp_extract(content, 'pb\.Register(\w+)Server', 1) AS service, unnest(regexp_extract_all(content, 'func \(\w+ \*\w+\) \w+\([^)]*\) \([^)]*\)')) AS m FROM f)
+SELECT me AS component_id, '/' || service || '/' || regexp_extract(m, '\) (\w+)\(', 1) AS path, 'POST' AS method, regexp_extract(m, 'in \*pb\.(\w+)', 1) AS request_schema, regexp_extract(m, '\(\*pb\.(\w+)', 1) AS response_schema
+FROM g WHERE service <> ''""",
+    "scan_java_http_client": rf"""{_files(".java")},
+j AS (SELECT regexp_extract(content, 'package (\w+)', 1) AS me, content FROM f WHERE regexp_matches(content, 'FeignClient|[rR]estTemplate|[wW]ebClient')),
+c AS (SELECT me, unnest(regexp_extract_all(content, '@FeignClient\(name = "([^"]+)"', 1)) AS host, 'Feign' AS technology FROM j
+  UNION ALL SELECT me, unnest(regexp_extract_all(content, '[rR]estTemplate\.\w+\("https?://([^/":]+)', 1)), 'RestTemplate' FROM j
+  UNION ALL SELECT me, unnest(regexp_extract_all(content, '\.uri\("https?://([^/":]+)', 1)), 'WebClient' FROM j)
+SELECT DISTINCT me AS source_id, host AS target_id, 'CALLS' AS type, technology FROM c WHERE NOT contains(host, '.') AND host <> 'localhost'""",
+    "scan_faust_streaming": rf"""{_files(".py")},
+p AS (SELECT replace(regexp_replace(rel_path, '\.py$', ''), '/', '.') AS me, content FROM f WHERE contains(content, 'faust')),
+t AS (SELECT me, unnest(regexp_extract_all(content, '\w+ = app\.topic\(''[^'']+')) AS t FROM p),
+v AS (SELECT me, regexp_extract(t, '^(\w+)', 1) AS var, regexp_extract(t, '''(.+)$', 1) AS topic FROM t),
+a AS (SELECT me, unnest(regexp_extract_all(content, '\.agent\(\w+\)\s+async def \w+')) AS a FROM p),
+s AS (SELECT me, unnest(regexp_extract_all(content, '(\w+)\.send\(', 1)) AS var FROM p)
+SELECT NULL AS publisher_component_id, a.me || '.' || regexp_extract(a, 'def (\w+)', 1) AS subscriber_component_id, coalesce(topic, regexp_extract(a, '\((\w+)', 1)) AS topic
+FROM a LEFT JOIN v ON v.me = a.me AND var = regexp_extract(a, '\((\w+)', 1)
+UNION ALL SELECT s.me, NULL, coalesce(topic, s.var) FROM s LEFT JOIN v ON v.me = s.me AND v.var = s.var""",
+    "scan_graphql_schema": rf"""{_files(".graphql", ".gql")},
+q AS (SELECT regexp_extract(rel_path, '([^/]+)\.\w+$', 1) AS me, unnest(['Query', 'Mutation', 'Subscription']) AS root, content FROM f),
+b AS (SELECT me, upper(root) AS root, unnest(string_split(regexp_extract(content, 'type ' || root || ' \{{([^}}]*)\}}', 1), chr(10))) AS line FROM q)
+SELECT me AS component_id, regexp_extract(line, '(\w+)', 1) AS path, root AS method, nullif(regexp_extract(line, '\(([^)]*)\)', 1), '') AS request_schema, replace(regexp_extract(line, ': ([^:()]+)$', 1), '!', '') AS response_schema
+FROM b WHERE regexp_matches(line, '\w')""",
+    "scan_mongodb_relationships": rf"""{_files(".java")},
+j AS (SELECT {OWNER} AS me, unnest(regexp_extract_all(content, '@DBRef\s+private [^;]+;')) AS d FROM f WHERE contains(content, '@Document'))
+SELECT me AS source_id, coalesce(nullif(regexp_extract(d, '<(\w+)>', 1), ''), regexp_extract(d, 'private (\w+)', 1)) AS target_id, 'DEPENDS_ON' AS type FROM j""",
+    "scan_jpa_entities_relationships": rf"""{_files(".java")},
+j AS (SELECT {OWNER} AS me, unnest(regexp_extract_all(content, '@(?:OneToMany|ManyToOne|OneToOne|ManyToMany)\s+private [^;]+;')) AS d FROM f WHERE contains(content, '@Entity'))
+SELECT me AS source_id, coalesce(nullif(regexp_extract(d, '<(\w+)>', 1), ''), regexp_extract(d, 'private (\w+)', 1)) AS target_id, 'DEPENDS_ON' AS type FROM j""",
+    "scan_django_orm_relationships": rf"""{_files("models.py")},
+p AS (SELECT replace(regexp_replace(rel_path, '\.py$', ''), '/', '.') || '.' || regexp_extract(content, 'class (\w+)\(models.Model', 1) AS me,
+  unnest(regexp_extract_all(content, 'models\.(?:ForeignKey|OneToOneField|ManyToManyField)\(''[^'']+')) AS k FROM f WHERE contains(content, 'models.Model'))
+SELECT me AS source_id, regexp_extract(k, '(\w+)$', 1) AS target_id, 'DEPENDS_ON' AS type FROM p""",
+    "scan_sqlalchemy_entities_relationships": rf"""{_files(".py")},
+p AS (SELECT replace(regexp_replace(rel_path, '\.py$', ''), '/', '.') || '.' || regexp_extract(content, 'class (\w+)\(Base\)', 1) AS me, content FROM f WHERE contains(content, 'sqlalchemy'))
+SELECT me AS source_id, unnest(regexp_extract_all(content, '(?:ForeignKey|relationship)\(''(\w+)', 1)) AS target_id, 'DEPENDS_ON' AS type FROM p""",
+    "scan_go_modules": f"""{_files("go.mod")}
+SELECT substr(sha256('go|' || split_part(line, ' ', 2)), 1, 16) AS id, split_part(line, ' ', 2) AS name, 'SERVICE' AS type FROM lines WHERE line LIKE 'module %'""",
+    "scan_npm_dependencies": f"""{_files("package.json")}
+SELECT substr(sha256('npm|' || (content::JSON->>'$.name')), 1, 16) AS id, content::JSON->>'$.name' AS name, 'SERVICE' AS type FROM f WHERE json_valid(content)""",
+    "scan_gradle_dependencies": rf"""{_files("build.gradle")}, p AS (SELECT regexp_extract(rel_path, '([^/]+)/build.gradle$', 1) AS name FROM f)
+SELECT substr(sha256('gradle|' || name), 1, 16) AS id, name, 'SERVICE' AS type FROM p""",
+    "scan_protobuf_schema_data_entities": rf"""{_files(".proto")},
+m AS (SELECT regexp_extract(content, 'package ([\w.]+);', 1) AS me, unnest(regexp_extract_all(content, 'message \w+ \{{[^}}]+\}}')) AS m FROM f),
+x AS (SELECT me, regexp_extract(m, 'message (\w+)', 1) AS name, regexp_extract_all(m, '(?:(?:repeated|optional) )?[\w.]+ \w+ = \d+') AS fs FROM m)
+SELECT me AS component_id, name, NULL AS primary_key, array_to_string(list_transform(fs, lambda y: regexp_extract(y, '(\w+) =', 1) || ':' || regexp_extract(y, '([\w.]+) \w+ =', 1) || ':true'), ',') AS fields FROM x""",
+    "scan_nuget_dependencies": rf"""{_files(".csproj")}, p AS (SELECT regexp_extract(rel_path, '([^/]+)\.csproj$', 1) AS name FROM f)
+SELECT substr(sha256('nuget|' || name), 1, 16) AS id, name, 'SERVICE' AS type FROM p""",
 }
