@@ -132,7 +132,9 @@ def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
     per_key = rows.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("nb"))
     dealt = rows.join(per_key, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return dealt.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("other", "nb")
+    pairs = dealt.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("other", "nb")
+    # so many partitions, however few bytes they hold: the work on a pair of blocks is large against its bytes
+    return pairs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "p", "q")
 
 
 def _likely_across(unresolved: DataFrame, percent: int, n: int) -> DataFrame:
