@@ -59,15 +59,25 @@ GO_VERBS = "GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|Get|Post|Put|Delete|Patch|Hea
 
 
 def _whole_prefixes(groups: DataFrame) -> DataFrame:
-    """(rel_path, var, prefix): each group's prefix with those of all groups around it before it; circles end."""
+    """(rel_path, var, prefix): each group's prefix with those of all groups around it before it; circles end.
+
+    Each round puts what the parent has gathered so far in front, so its reach doubles.
+    """
     full = written(groups.withColumn("seen", F.array("var")), "groups")
-    outer = groups.select("rel_path", F.col("var").alias("parent"), F.col("parent").alias("_up"), F.col("prefix").alias("_pre"))
     while True:
-        step = full.join(outer, ["rel_path", "parent"], "left").withColumn("_up", F.when(~F.array_contains("seen", F.col("parent")), F.col("_up")))
-        if step.where("_up IS NOT NULL").isEmpty():
+        outer = full.select("rel_path", F.col("var").alias("parent"), F.col("parent").alias("_up"), F.col("prefix").alias("_pre"), F.col("seen").alias("_seen"))
+        step = full.join(outer, ["rel_path", "parent"], "left")
+        on = F.col("_seen").isNotNull() & ~F.arrays_overlap("seen", "_seen")
+        step = step.withColumn("moved", F.coalesce(on, F.lit(False)))
+        full = written(
+            step.select(
+                "rel_path", "var", F.when(F.col("moved"), F.col("_up")).alias("parent"), F.when(F.col("moved"), group_path(F.col("_pre"), F.col("prefix"))).otherwise(F.col("prefix")).alias("prefix"),
+                F.when(F.col("moved"), F.array_union("seen", "_seen")).otherwise(F.col("seen")).alias("seen"), "moved",
+            ), "groups",
+        )
+        if full.where("moved").isEmpty():
             return full.select("rel_path", "var", "prefix")
-        on = F.col("_up").isNotNull()
-        full = written(step.select("rel_path", "var", F.when(on, F.col("_up")).alias("parent"), F.when(on, group_path(F.col("_pre"), F.col("prefix"))).otherwise(F.col("prefix")).alias("prefix"), F.when(on, F.array_append("seen", F.col("parent"))).otherwise(F.col("seen")).alias("seen")), "groups")
+        full = full.drop("moved")
 
 
 def go_http_router(files: DataFrame) -> dict[str, DataFrame]:
