@@ -17,7 +17,9 @@ from strataloom.operators.schema_lang import crud_flows, event_endpoints
 from strataloom.plans import render
 from strataloom.model import KEYS
 from strataloom.plans.corpus import derived_files, keys_sql
-from strataloom.plans.scan import first_wins, registry, scan, scan_with_runs
+from strataloom.plans.scan import SCANNERS, first_wins, registry, scan, scan_with_runs
+from strataloom.plans.staging import outcomes, scan_runs, staged
+from strataloom.plans.text_oracles import runs_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -314,3 +316,47 @@ def render_all(spark, sf):
     """Lines of every document of the derived tree's catalog, counted by document."""
     catalog, runs = scan_with_runs(derived_files(spark, sf))
     return render.documents(catalog, rel.table_counts(catalog), runs=runs).groupBy("path").agg(F.count("*").alias("n"))
+
+
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    return staged(derived_files(spark, sf), list(SCANNERS))
+
+
+TREE_RUNS = runs_sql()
+
+
+@query(f"{TREE_RUNS} SELECT scanner_id, discovered, scanned, parsed, fallback, failed FROM rn")
+def tree_scan_runs(spark, sf):
+    """What became of the files of the derived tree with each scanner."""
+    return scan_runs(_tree(spark, sf)).select("scanner_id", "discovered", "scanned", "parsed", "fallback", "failed")
+
+
+@query(f"""{TREE_RUNS} SELECT scanner_id, scanned, CASE WHEN scanned = 0 THEN 0 ELSE 100.0 * parsed / scanned END AS success_rate,
+CASE WHEN scanned = 0 THEN 0 ELSE 100.0 * (parsed + fallback) / scanned END AS overall_rate, CASE WHEN scanned = 0 THEN 0 ELSE 100.0 * failed / scanned END AS failure_rate FROM rn""")
+def tree_scan_rates(spark, sf):
+    return rel.scan_rates(scan_runs(_tree(spark, sf)))
+
+
+@query(f"{TREE_RUNS} SELECT sum(scanned)::BIGINT AS files_analysed, sum(discovered)::BIGINT AS files_discovered FROM rn")
+def tree_files_analysed(spark, sf):
+    """A file counts once for each scanner that scans it."""
+    return scan_runs(_tree(spark, sf)).agg(F.sum("scanned").alias("files_analysed"), F.sum("discovered").alias("files_discovered"))
+
+
+@query(f"""{TREE_RUNS} SELECT 'HIGH' AS confidence, sum(parsed)::BIGINT AS n FROM rn UNION ALL SELECT 'MEDIUM', sum(fallback)::BIGINT FROM rn""")
+def tree_confidence(spark, sf):
+    """Scanned files by the confidence of what was found in them."""
+    return outcomes(_tree(spark, sf)).where("confidence IS NOT NULL").groupBy("confidence").agg(F.count("*").alias("n"))
+
+
+@query(f"""{TREE_RUNS} SELECT error_type, count(*) AS n, array_to_string(list_sort(list(rel_path || ': ' || error_type))[1:10], ';') AS details FROM broken GROUP BY 1""")
+def tree_error_details(spark, sf):
+    return rel.error_details(outcomes(_tree(spark, sf))).withColumn("details", F.array_join("details", ";"))
+
+
+@query(f"""{TREE_RUNS} SELECT scanner_id, 'ERROR' AS severity, failed || ' files failed' AS message FROM rn WHERE failed > 0 AND failed = scanned
+UNION ALL SELECT scanner_id, 'WARNING', concat_ws('; ', CASE WHEN failed > 0 AND failed < scanned THEN failed || ' files failed' END, CASE WHEN fallback > 0 THEN fallback || ' files by fallback' END)
+FROM rn WHERE (failed > 0 AND failed < scanned) OR fallback > 0
+UNION ALL SELECT scanner_id, 'WARNING', 'high failure rate' FROM rn WHERE scanned > 0 AND 100.0 * failed / scanned > 20""")
+def tree_quality_gaps(spark, sf):
+    return rel.quality_gaps(scan_runs(_tree(spark, sf)))

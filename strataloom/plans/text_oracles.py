@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from strataloom.functions.text import glob_regex
 from strataloom.plans.corpus import SAMPLES, text_sql
+from strataloom.plans.staging import LOOKS
 
 
 def _files(*endings: str) -> str:
@@ -12,6 +14,25 @@ def _files(*endings: str) -> str:
     return "WITH f AS (" + " UNION ALL ".join(parts) + "), lines AS (SELECT rel_path, unnest(string_split(content, chr(10))) AS line FROM f)"
 
 
+def runs_sql() -> str:
+    """SQL for the runs of all scanners over the derived tree: rn, a row a scanner; broken, a row for each broken file."""
+    parts, torn = [], []
+    for i, (globs, words) in LOOKS.items():
+        glob = "|".join(glob_regex(g) for g in globs)
+        held = " OR ".join(f"contains(content, '{w}')" for w in words) or "true"
+        xml, data = i == "maven-dependencies", i in ("npm-dependencies", "avro-schema")
+        bad = "NOT contains(content, '</project>')" if xml else "NOT json_valid(content)" if data else "false"
+        fallback = "contains(content, '<dependency>')" if xml else "false"
+        parts.append(
+            f"""SELECT '{i}' AS scanner_id, count(*) AS discovered, count(*) FILTER ({held}) AS scanned, count(*) FILTER (({held}) AND NOT {bad}) AS parsed,
+  count(*) FILTER (({held}) AND {bad} AND {fallback}) AS fallback, count(*) FILTER (({held}) AND {bad} AND NOT {fallback}) AS failed
+  FROM f WHERE regexp_matches(rel_path, '{glob}') HAVING count(*) > 0"""
+        )
+        if xml or data:
+            torn.append(f"SELECT rel_path, '{'malformed XML' if xml else 'malformed JSON'}' AS error_type FROM f WHERE regexp_matches(rel_path, '{glob}') AND ({held}) AND {bad}")
+    return _files("") + ", rn AS (" + "\nUNION ALL ".join(parts) + "), broken AS (" + " UNION ALL ".join(torn) + ")"
+
+
 #: The Java or C# class of a file, with its package or namespace.
 OWNER = r"regexp_extract(content, '(?:package|namespace) ([\w.]+)', 1) || '.' || regexp_extract(content, 'class (\w+)', 1)"
 
