@@ -180,7 +180,9 @@ def derived_files(spark: SparkSession, sf_dir: str, scanners: list[str] | None =
     """(rel_path, content): the projects of all suppliers, with the files of all or of the named scanners."""
     chosen = [(p, t, *s.when) for s in SAMPLES if scanners is None or s.scanner in scanners for p, t in s.files]
     one = [F.struct(F.lit(p).alias("p"), F.lit(t).alias("t"), F.lit(m).alias("m"), F.lit(r).alias("r")) for p, t, m, r in chosen]
-    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("n"), F.col("s_suppkey").cast("string").alias("k"), F.explode(F.array(*one)).alias("f"))
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("n"), F.col("s_suppkey").cast("string").alias("k"))
+    # keys are few bytes, and what is made of them is many: the work is spread before it begins
+    keys = suppliers.repartition(spark.sparkContext.defaultParallelism, "n").select("n", "k", F.explode(F.array(*one)).alias("f"))
     put = lambda c: F.replace(c, F.lit("@K@"), F.col("k"))
     return keys.where(F.col("n") % F.col("f.m") == F.col("f.r")).select(put(F.col("f.p")).alias("rel_path"), put(F.col("f.t")).alias("content"))
 
