@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import bpe, decontaminate, line_dedup, near_dup, quality, sharding, suffix_dedup, token_counts, toxicity, warc
+from strataloom.llm import bpe, decontaminate, line_dedup, near_dup, periodic_runs, quality, sharding, suffix_dedup, token_counts, toxicity, warc
 from strataloom.llm.common import scratch, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -66,10 +68,34 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def _planted(doc_id: int | None, text: bytes) -> list[bytes]:
+    """The words of a text; in about a tenth of the texts, by the crc32 of the id, they repeat from some place on."""
+    words = text.split()
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    unit = words[a : a + p]
+    return words[:a] + (unit * -(-(n - a) // p))[: n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), words_of=_planted)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_near_dup, op3_line_dedup, op4_quality, op5_warc, op6_toxicity, op7_suffix_dedup, op8_token_counts, op9_bpe, op10_sharding,
+        op12_periodic_runs,
     )
 }
 ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE, "op4_quality": quality.ORACLE}
