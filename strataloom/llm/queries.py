@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import bpe, decontaminate, line_dedup, near_dup, periodic_runs, quality, sharding, suffix_dedup, token_counts, toxicity, warc
+from strataloom.llm import bpe, decontaminate, hard_negatives, line_dedup, near_dup, periodic_runs, quality, sharding, suffix_dedup, token_counts, toxicity, warc
 from strataloom.llm.common import scratch, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -91,11 +91,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), label=label)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_near_dup, op3_line_dedup, op4_quality, op5_warc, op6_toxicity, op7_suffix_dedup, op8_token_counts, op9_bpe, op10_sharding,
-        op12_periodic_runs,
+        op12_periodic_runs, op13_hard_negatives,
     )
 }
 ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE, "op4_quality": quality.ORACLE}
