@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import bpe, decontaminate, hard_negatives, line_dedup, near_dup, periodic_runs, quality, sharding, suffix_dedup, token_counts, toxicity, warc
+from strataloom.llm import bpe, decontaminate, hard_negatives, line_dedup, near_dup, periodic_runs, quality, repeated_phrases, sharding, suffix_dedup, token_counts, toxicity, warc
 from strataloom.llm.common import scratch, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -68,6 +68,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op11_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_phrases.cut_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _planted(doc_id: int | None, text: bytes) -> list[bytes]:
     """The words of a text; in about a tenth of the texts, by the crc32 of the id, they repeat from some place on."""
     words = text.split()
@@ -100,7 +105,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_near_dup, op3_line_dedup, op4_quality, op5_warc, op6_toxicity, op7_suffix_dedup, op8_token_counts, op9_bpe, op10_sharding,
-        op12_periodic_runs, op13_hard_negatives,
+        op11_repeated_phrases, op12_periodic_runs, op13_hard_negatives,
     )
 }
 ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE, "op4_quality": quality.ORACLE}

@@ -20,9 +20,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word, A-Z lower-cased, of all texts in a row, and where each text's words begin (one more)."""
-    data = b"\n".join(texts).translate(_FOLD)
+def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, A-Z lower-cased unless told not to, of all texts in a row, and where each text's words begin (one more)."""
+    data = b"\n".join(texts)
+    if fold:
+        data = data.translate(_FOLD)
     raw = np.frombuffer(data + bytes(16), np.uint8)
     solid = np.zeros(len(data) + 2, np.int8)
     solid[1:-1] = ~_SPACE[raw[: len(data)]]
