@@ -7,16 +7,10 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.text import capitalised, file_stem, first, folder_name, make_id, method_path, resource_path, snake_case, some
 from strataloom.model import FIELDS, rows
-from strataloom.sources.files import matches, segments, select_files
+from strataloom.operators.declared import has_note, members, names_of, note, type_of, types
+from strataloom.sources.files import code_files, matches, select_files
 
 JAVA = ["**/*.java"]
-CLASS = r"(?:public\s+|abstract\s+|final\s+)*class\s+(\w+)"
-#: What stands between parentheses, with others nested once. Possessive, so matching goes on in a loop, not on the stack.
-INSIDE = r"(?:[^()]++|\([^()]*+\))*+"
-#: A class with the annotations before it.
-ANNOTATED = rf"(?:@\w+(?:\({INSIDE}\))?\s+)++(?:public\s+|abstract\s+|final\s+)*class\s+(\w+)"
-#: A method with the annotations before it: annotations, return type, name, parameters.
-METHOD = rf"((?:@\w+(?:\s*\({INSIDE}\))?\s*+)++)(?:(?:public|protected|private|final|static|synchronized)\s+)*+([\w.<>\[\], ?]+?)\s+(\w+)\s*\(({INSIDE})\)"
 #: One text or several in braces.
 TEXTS = r"(\{\s*(?:\"[^\"]*\"\s*,?\s*)*+\}|\"[^\"]*\")"
 
@@ -35,13 +29,6 @@ def java_class(files: DataFrame) -> DataFrame:
     return with_pkg.withColumn("fqn", qualified(F.col("pkg"), F.col("cls")))
 
 
-def classes(files: DataFrame, words: list[str]) -> DataFrame:
-    """A row for each annotated class: rel_path, part, body from its annotations on, cls, pkg, fqn, head."""
-    chosen = select_files(files, JAVA, words).withColumn("pkg", package(F.col("content")))
-    cut = segments(chosen, ANNOTATED, ["cls"], keep=["pkg"])
-    return cut.withColumns({"fqn": qualified(F.col("pkg"), F.col("cls")), "head": F.regexp_extract("body", f"^({ANNOTATED})", 1)})
-
-
 _DEPENDENCY = "dependency array<struct<groupId:string,artifactId:string,version:string,scope:string>>"
 POM = (
     f"artifactId string, groupId string, version string, packaging string, parent struct<groupId:string,version:string>, "
@@ -109,25 +96,24 @@ def gradle_dependencies(files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+STEREOTYPES = ["RestController", "Controller", "Service", "Repository", "Component", "Configuration"]
+
+
 def spring_components(files: DataFrame) -> dict[str, DataFrame]:
     """One component for each simple class name and kind of id: of several classes of one name the first path's stays."""
-    kind = first(F.col("head"), r"@(RestController|Controller|Service|Repository|Component|Configuration)\b")
-    found = classes(files, ["org.springframework"]).withColumn("kind", kind).where("kind IS NOT NULL")
-    found = found.select("rel_path", "fqn", "cls", "kind").dropDuplicates(["rel_path", "fqn"])
+    found = types(files, "java", JAVA, ["org.springframework"], ["class"])
+    found = found.select("rel_path", "fqn", F.col("name").alias("cls"), note(F.col("notes"), *STEREOTYPES)["name"].alias("kind"))
+    found = found.where("kind IS NOT NULL").dropDuplicates(["rel_path", "fqn"])
     service = F.col("kind").isin("RestController", "Controller", "Service")
     return {"components": rows("components", found, "spring-components", id=make_id(F.col("fqn")), name=F.col("cls"), type=F.when(service, "SERVICE").otherwise("MODULE"), technology="Spring")}
 
 
-def _methods(own: DataFrame, keep: list[str]) -> DataFrame:
-    """(rel_path, pos, notes, ret, method_name, params) of the annotated methods of class bodies, with the kept columns."""
-    return matches(own.withColumn("rest", F.expr("substr(body, length(head) + 1)")), METHOD, ["notes", "ret", "method_name", "params"], "rest", keep)
-
-
-def _parameters(params: Column, annotations: str) -> Column:
+def _parameters(params: Column, annotations: list[str]) -> Column:
     """`Annotation:name:Type` of each annotated parameter, joined by commas; null without any."""
-    one = rf"@({annotations})\b(?:\s*\({INSIDE}\))?\s*(?:@\w+(?:\({INSIDE}\))?\s*+)*+(?:final\s+)?([\w.]+(?:<[^()]*?>)?(?:\[\])?)\s+(\w+)\s*(?=,|$)"
-    names = F.regexp_extract_all(F.coalesce(params, F.lit("")), F.lit(one), F.lit(0))
-    return some(F.array_join(F.transform(names, lambda x: F.concat_ws(":", *(F.regexp_extract(x, one, k) for k in (1, 3, 2)))), ", "))
+    marked = F.filter(params, lambda p: has_note(p["notes"], *annotations))
+    name = lambda p: F.element_at(names_of(p["words"]), 1)
+    shown = F.transform(marked, lambda p: F.concat_ws(":", note(p["notes"], *annotations)["name"], name(p), type_of(p["words"])))
+    return some(F.array_join(shown, ", "))
 
 
 def _texts(args: Column, attributes: str) -> Column:
@@ -137,17 +123,25 @@ def _texts(args: Column, attributes: str) -> Column:
     return F.when(F.coalesce(F.size(texts), F.lit(0)) > 0, texts).otherwise(F.array(F.lit("")))
 
 
+MAPPINGS = ["GetMapping", "PostMapping", "PutMapping", "DeleteMapping", "PatchMapping", "RequestMapping"]
+
+
 def spring_rest_api(files: DataFrame) -> dict[str, DataFrame]:
     """A row for each method, path and HTTP method; braces in paths are kept."""
-    own = classes(files, ["RestController", "Controller"]).where(F.col("head").rlike(r"@(Rest)?Controller\b"))
-    own = own.withColumn("base", F.element_at(_texts(first(F.col("head"), rf"@RequestMapping\s*\(({INSIDE})\)"), "value|path"), 1))
-    found = _methods(own, ["fqn", "base"])
-    mapping = rf"@(Get|Post|Put|Delete|Patch|Request)Mapping\b(?:\s*\(({INSIDE})\))?"
-    found = found.withColumns({"verb": first(F.col("notes"), mapping), "args": F.regexp_extract("notes", mapping, 2)}).where("verb IS NOT NULL")
+    own = types(files, "java", JAVA, ["RestController", "Controller"]).where(has_note(F.col("notes"), "RestController", "Controller"))
+    own = own.withColumn("base", F.element_at(_texts(note(F.col("notes"), "RequestMapping")["args"], "value|path"), 1))
+    found = members(own, "fqn", "base").withColumn("mapping", note(F.col("notes"), *MAPPINGS)).where("params IS NOT NULL AND mapping IS NOT NULL")
+    found = found.withColumns({"verb": F.regexp_replace("mapping.name", "Mapping$", ""), "args": F.coalesce("mapping.args", F.lit(""))})
     listed = F.regexp_extract_all("args", F.lit(r"RequestMethod\.(\w+)|(?<==\s{0,3})(GET|POST|PUT|DELETE|PATCH)\b"), F.lit(0))
-    verbs = F.when(F.col("verb") != "Request", F.array(F.upper("verb"))).when(F.size(listed) > 0, F.transform(listed, lambda x: F.regexp_replace(x, r"^RequestMethod\.", ""))).otherwise(F.array(F.lit("GET")))
+    named = F.transform(listed, lambda x: F.regexp_replace(x, r"^RequestMethod\.", ""))
+    verbs = F.when(F.col("verb") != "Request", F.array(F.upper("verb"))).when(F.size(listed) > 0, named).otherwise(F.array(F.lit("GET")))
     each = found.withColumn("method", F.explode(verbs)).withColumn("path", F.explode(_texts(F.col("args"), "value|path")))
-    return {"api_endpoints": rows("api_endpoints", each, "spring-rest-api", component_id=F.col("fqn"), type="REST", path=method_path(F.col("base"), F.col("path")), method=F.col("method"), description=F.concat("fqn", F.lit("."), "method_name"), request_schema=_parameters(F.col("params"), "PathVariable|RequestParam|RequestBody|RequestHeader"), response_schema=F.trim("ret"))}
+    made = rows(
+        "api_endpoints", each, "spring-rest-api", component_id=F.col("fqn"), type="REST", path=method_path(F.col("base"), F.col("path")), method=F.col("method"),
+        description=F.concat("fqn", F.lit("."), F.element_at(names_of(F.col("words")), 1)),
+        request_schema=_parameters(F.col("params"), ["PathVariable", "RequestParam", "RequestBody", "RequestHeader"]), response_schema=type_of(F.col("words")),
+    )
+    return {"api_endpoints": made}
 
 
 # The constants for content types.
@@ -164,27 +158,35 @@ MEDIA_TYPES = {
 
 def _content_type(notes: Column, annotation: str) -> Column:
     """The content types of @Produces or @Consumes, without quotes and braces; null without any."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(notes, rf"@{annotation}\s*\(({INSIDE})\)", 1), r"^\s*value\s*=\s*", ""), r"[\"'{}\[\]]", ""))
+    args = F.coalesce(note(notes, annotation)["args"], F.lit(""))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(args, r"^\s*value\s*=\s*", ""), r"[\"'{}\[\]]", ""))
     for name, value in MEDIA_TYPES.items():
         bare = F.replace(bare, F.lit(name), F.lit(value))
     return some(bare)
 
 
+JAXRS_VERBS = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"]
+JAXRS_PARAMETERS = ["PathParam", "QueryParam", "FormParam", "HeaderParam", "MatrixParam", "CookieParam"]
+
+
 def jaxrs_api(files: DataFrame) -> dict[str, DataFrame]:
-    own = classes(files, ["javax.ws.rs", "jakarta.ws.rs"])
-    own = own.withColumns({"base": first(F.col("head"), r"@Path\s*\(\s*(?:value\s*=\s*)?\"([^\"]*)\""), "produces": _content_type(F.col("head"), "Produces"), "consumes": _content_type(F.col("head"), "Consumes")}).where("base IS NOT NULL")
-    found = _methods(own, ["fqn", "base", "produces", "consumes"])
-    notes = F.col("notes")
-    found = found.withColumn("verb", first(notes, r"@(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b")).where("verb IS NOT NULL")
-    path = first(notes, r"@Path\s*\(\s*(?:value\s*=\s*)?\"([^\"]*)\"")
-    params = _parameters(F.col("params"), "PathParam|QueryParam|FormParam|HeaderParam|MatrixParam|CookieParam")
-    produces = F.coalesce(_content_type(notes, "Produces"), "produces")
-    response = F.concat(F.trim("ret"), F.coalesce(F.concat(F.lit(" ("), produces, F.lit(")")), F.lit("")))
-    return {"api_endpoints": rows("api_endpoints", found, "jaxrs-api", component_id=F.col("fqn"), type="REST", path=resource_path(F.col("base"), path), method=F.col("verb"), description=F.concat("fqn", F.lit("."), "method_name"), request_schema=F.coalesce(params, _content_type(notes, "Consumes"), "consumes"), response_schema=response)}
+    path = lambda: first(note(F.col("notes"), "Path")["args"], r"^\s*(?:value\s*=\s*)?\"([^\"]*)\"")
+    own = types(files, "java", JAVA, ["javax.ws.rs", "jakarta.ws.rs"]).where(has_note(F.col("notes"), "Path"))
+    own = own.withColumns({"base": path(), "made": _content_type(F.col("notes"), "Produces"), "taken": _content_type(F.col("notes"), "Consumes")})
+    found = members(own.where("base IS NOT NULL"), "fqn", "base", "made", "taken")
+    found = found.withColumn("verb", note(F.col("notes"), *JAXRS_VERBS)["name"]).where("params IS NOT NULL AND verb IS NOT NULL")
+    produces = F.coalesce(_content_type(F.col("notes"), "Produces"), "made")
+    response = F.concat(type_of(F.col("words")), F.coalesce(F.concat(F.lit(" ("), produces, F.lit(")")), F.lit("")))
+    made = rows(
+        "api_endpoints", found, "jaxrs-api", component_id=F.col("fqn"), type="REST", path=resource_path(F.col("base"), path()), method=F.col("verb"),
+        description=F.concat("fqn", F.lit("."), F.element_at(names_of(F.col("words")), 1)),
+        request_schema=F.coalesce(_parameters(F.col("params"), JAXRS_PARAMETERS), _content_type(F.col("notes"), "Consumes"), "taken"), response_schema=response,
+    )
+    return {"api_endpoints": made}
 
 
 def grpc_service(files: DataFrame) -> dict[str, DataFrame]:
-    own = java_class(select_files(files, JAVA, ["ImplBase"])).withColumn("service", first(F.col("content"), r"extends\s+(?:\w+\.)*?(\w+?)(?:Grpc\.\w+)?ImplBase"))
+    own = java_class(code_files(files, JAVA, ["ImplBase"])).withColumn("service", first(F.col("content"), r"extends\s+(?:\w+\.)*?(\w+?)(?:Grpc\.\w+)?ImplBase"))
     found = matches(own, r"(?:@Override\s+)?public\s+void\s+(\w+)\s*\(\s*(\w+)\s+\w+\s*,\s*StreamObserver<(\w+)>", ["rpc", "req", "res"], keep=["fqn", "service"])
     return {"api_endpoints": rows("api_endpoints", found, "grpc-service", component_id=F.col("fqn"), type="GRPC", path=F.concat(F.lit("/"), F.col("service"), F.lit("/"), capitalised(F.col("rpc"))), method="POST", request_schema=F.col("req"), response_schema=F.col("res"))}
 
@@ -194,7 +196,7 @@ def _topics(found: DataFrame, args: str) -> DataFrame:
 
 
 def kafka_messaging(files: DataFrame) -> dict[str, DataFrame]:
-    own = java_class(select_files(files, JAVA, ["KafkaListener", "KafkaTemplate", "kafkaTemplate", "SendTo"]))
+    own = java_class(code_files(files, JAVA, ["KafkaListener", "KafkaTemplate", "kafkaTemplate", "SendTo"]))
     listen = _topics(matches(own, r"@KafkaListener\s*\([^)]*?topics\s*=\s*(\{[^}]*\}|\"[^\"]*\")", ["args"], keep=["fqn"]), "args")
     reply = _topics(matches(own, r"@SendTo\s*\(\s*(\{[^}]*\}|\"[^\"]*\")", ["args"], keep=["fqn"]), "args")
     send = matches(own, r"(?i:kafkaTemplate)\.send\s*\(\s*([^,)]+)", ["arg"], keep=["fqn"])
@@ -205,7 +207,7 @@ def kafka_messaging(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def rabbitmq_messaging(files: DataFrame) -> dict[str, DataFrame]:
-    own = java_class(select_files(files, JAVA, ["RabbitListener", "RabbitTemplate", "rabbitTemplate"]))
+    own = java_class(code_files(files, JAVA, ["RabbitListener", "RabbitTemplate", "rabbitTemplate"]))
     listen = _topics(matches(own, r"@RabbitListener\s*\([^)]*?queues\s*=\s*(\{[^}]*\}|\"[^\"]*\")", ["args"], keep=["fqn"]), "args")
     declared = _topics(matches(own, r"queuesToDeclare\s*=\s*@Queue\s*\(([^)]*)\)", ["args"], keep=["fqn"]), "args")
     send = matches(own, r"(?i:rabbitTemplate)\.(?:convertAndSend|send)\s*\(\s*([^,)]+)", ["arg"], keep=["fqn"])
@@ -224,60 +226,75 @@ def streams(own: DataFrame, scanner_id: str, reads: str, writes: str, through: s
 
 
 def kafka_streams(files: DataFrame) -> dict[str, DataFrame]:
-    own = java_class(select_files(files, JAVA, ["StreamsBuilder"]))
+    own = java_class(code_files(files, JAVA, ["StreamsBuilder"]))
     return streams(own, "kafka-streams", r"\.(?:stream|table|globalTable)\s*\(\s*\"([^\"]+)\"", r"\.to\s*\(\s*\"([^\"]+)\"", r"\.through\s*\(\s*\"([^\"]+)\"")
 
 
-RELATIONS = "OneToMany|ManyToOne|OneToOne|ManyToMany"
-FIELD = rf"((?:@\w+(?:\({INSIDE}\))?\s+)*+)(?:private|protected|public)\s+([\w.]+(?:<[^>]+>)?)\s+(\w+)\s*(?:=[^;]*)?;"
+RELATIONS = ["OneToMany", "ManyToOne", "OneToOne", "ManyToMany"]
 
 
-def _fields(own: DataFrame, name: Column, nullable: Column, plain: Column, pk: Column, keep: list[str]) -> DataFrame:
-    """Fields by class, in their order, and the first key among them."""
-    found = matches(own.withColumn("rest", F.expr("substr(body, length(head) + 1)")), FIELD, ["notes", "kind", "field"], "rest", ["part", *keep])
-    found = found.withColumns({"notes": F.coalesce("notes", F.lit("")), "own_field": F.col("field")}).withColumns({"column": name, "null": nullable, "is_pk": pk, "plain": plain})
-    entry = F.struct(F.col("pos"), F.struct(F.col("column").alias("name"), F.col("kind").alias("data_type"), F.col("null").alias("nullable")).alias("f"))
-    grouped = found.groupBy("rel_path", "part", *keep).agg(F.array_sort(F.collect_list(F.when(F.col("plain"), entry))).alias("fs"), F.min_by("column", F.when(F.col("is_pk"), F.col("pos"))).alias("pk"))
+def _fields(own: DataFrame, *keep: str) -> DataFrame:
+    """A row for each field that a class declares itself: notes, kind, field, pos; `int a, b` declares two."""
+    found = members(own, *keep).where("params IS NULL AND NOT block").withColumn("kind", F.regexp_replace(type_of(F.col("words")), r"(\[\])+$", ""))
+    names = found.where("kind <> ''").withColumnRenamed("pos", "line").select("*", F.posexplode(names_of(F.col("words"))).alias("k", "field"))
+    return names.withColumn("pos", F.col("line") * 100 + F.col("k")).drop("line", "k")
+
+
+def _entities(found: DataFrame, keep: list[str], name: Column, nullable: Column, plain: Column) -> DataFrame:
+    """Plain fields by class, in their order, and the first key among them; a class without any is there too."""
+    entry = F.struct("pos", F.struct(name.alias("name"), F.col("kind").alias("data_type"), nullable.alias("nullable")).alias("f"))
+    key = F.when(has_note(F.col("notes"), "Id") & plain, F.col("pos"))
+    grouped = found.groupBy("rel_path", "part", *keep).agg(F.array_sort(F.collect_list(F.when(plain, entry))).alias("fs"), F.min_by(name, key).alias("pk"))
     return grouped.withColumn("fields", F.transform("fs", lambda x: x["f"]).cast(FIELDS))
 
 
-def _relations(own: DataFrame, pattern: str) -> DataFrame:
-    found = matches(own.withColumn("rest", F.expr("substr(body, length(head) + 1)")), pattern, ["relation", "kind"], "rest", ["fqn"])
-    return found.withColumn("target", F.coalesce(first(F.col("kind"), r"<(?:.*,\s*)?(\w+)>"), F.col("kind")))
+def _edges(found: DataFrame, annotations: list[str], scanner_id: str, technology: str) -> DataFrame:
+    edges = found.withColumn("relation", note(F.col("notes"), *annotations)["name"]).where("relation IS NOT NULL")
+    target = F.regexp_replace("kind", r"^(?:List|Set|Collection)<(.+)>$", "$1")
+    said = F.concat("relation", F.lit(" relation"))
+    return rows("relationships", edges, scanner_id, source_id=F.col("fqn"), target_id=target, type="DEPENDS_ON", description=said, technology=technology)
+
+
+def _collection() -> Column:
+    named = first(note(F.col("notes"), "Document")["args"], r"^\s*(?:collection\s*=\s*|value\s*=\s*)?\"([^\"]+)\"")
+    return F.coalesce(named, first(note(F.col("notes"), "Document")["args"], r"\bcollection\s*=\s*\"([^\"]+)\""), snake_case(F.col("name")))
 
 
 def jpa_entities(files: DataFrame) -> dict[str, DataFrame]:
-    own = classes(files, ["@Entity"]).where(F.col("head").rlike(r"@Entity\b"))
-    own = own.withColumn("tbl", F.coalesce(first(F.col("head"), r"@Table\s*\([^)]*name\s*=\s*\"([^\"]+)\""), snake_case(F.col("cls"))))
-    notes = F.col("notes")
-    name = F.coalesce(first(notes, r"@Column\s*\([^)]*name\s*=\s*\"([^\"]+)\""), snake_case(F.col("field")))
-    made = _fields(own, name, ~notes.rlike(r"nullable\s*=\s*false"), ~notes.rlike(f"@({RELATIONS})"), notes.rlike(r"@Id\b"), ["fqn", "cls", "tbl"])
-    edges = _relations(own, rf"@({RELATIONS})\b(?:\([^)]*\))?\s+(?:@\w+(?:\([^)]*\))?\s+)*(?:private|protected|public)\s+([\w.]+(?:<[^>]+>)?)")
+    """Classes marked as entities or documents, with each field that they declare, by its own name."""
+    own = types(files, "java", JAVA, ["@Entity", "@Document"]).where(has_note(F.col("notes"), "Entity", "Document"))
+    named = F.coalesce(first(note(F.col("notes"), "Table")["args"], r"\bname\s*=\s*\"([^\"]+)\""), snake_case(F.col("name")))
+    is_table = has_note(F.col("notes"), "Entity")
+    own = own.withColumns({"tbl": F.when(is_table, named).otherwise(_collection()), "what": F.when(is_table, "table").otherwise("collection")})
+    keep = ["fqn", "tbl", "what"]
+    found = _fields(own, *keep)
+    required = F.coalesce(note(F.col("notes"), "Column")["args"], F.lit("")).rlike(r"\bnullable\s*=\s*false\b")
+    made = _entities(found, keep, F.col("field"), ~required, ~has_note(F.col("notes"), *RELATIONS))
+    made = own.select("rel_path", "part", *keep).join(made, ["rel_path", "part", *keep], "left").withColumn("fields", F.coalesce("fields", F.array().cast(FIELDS)))
     return {
-        "data_entities": rows("data_entities", made, "jpa-entities", component_id=F.col("fqn"), name=F.col("tbl"), type="table", fields=F.col("fields"), primary_key=F.col("pk")),
-        "relationships": rows("relationships", edges, "jpa-entities", source_id=F.col("fqn"), target_id=F.col("target"), type="DEPENDS_ON", description=F.concat(F.col("relation"), F.lit(" relation")), technology="JPA"),
+        "data_entities": rows("data_entities", made, "jpa-entities", component_id=F.col("fqn"), name=F.col("tbl"), type=F.col("what"), fields=F.col("fields"), primary_key=F.col("pk")),
+        "relationships": _edges(found, RELATIONS, "jpa-entities", "JPA"),
     }
 
 
 def mongodb(files: DataFrame) -> dict[str, DataFrame]:
-    own = classes(files, ["data.mongodb"]).where(F.col("head").rlike(r"@Document\b"))
-    named = F.coalesce(first(F.col("head"), r"@Document\s*\(\s*(?:collection\s*=\s*|value\s*=\s*)?\"([^\"]+)\""), snake_case(F.col("cls")))
-    own = own.withColumn("tbl", named)
-    notes = F.col("notes")
-    name = F.coalesce(first(notes, r"@Field\s*\(\s*(?:name\s*=\s*|value\s*=\s*)?\"([^\"]+)\""), F.col("field"))
-    made = _fields(own, name, F.lit(True), ~notes.rlike("@DBRef"), notes.rlike(r"@Id\b"), ["fqn", "cls", "tbl"])
-    edges = _relations(own, r"@(DBRef)\b(?:\([^)]*\))?\s+(?:private|protected|public)\s+([\w.]+(?:<[^>]+>)?)")
+    own = types(files, "java", JAVA, ["data.mongodb"]).where(has_note(F.col("notes"), "Document")).withColumn("tbl", _collection())
+    keep = ["fqn", "tbl"]
+    found = _fields(own, *keep)
+    name = F.coalesce(first(note(F.col("notes"), "Field")["args"], r"^\s*(?:name\s*=\s*|value\s*=\s*)?\"([^\"]+)\""), F.col("field"))
+    made = _entities(found, keep, name, F.lit(True), ~has_note(F.col("notes"), "DBRef"))
     return {
         "data_entities": rows("data_entities", made, "mongodb", component_id=F.col("fqn"), name=F.col("tbl"), type="collection", fields=F.col("fields"), primary_key=F.col("pk")),
-        "relationships": rows("relationships", edges, "mongodb", source_id=F.col("fqn"), target_id=F.col("target"), type="DEPENDS_ON", description="DBRef relation", technology="MongoDB"),
+        "relationships": _edges(found, ["DBRef"], "mongodb", "MongoDB"),
     }
 
 
+# Hosts that are no services.
 PRIVATE_HOSTS = r"^(localhost|127\.0\.0\.1|192\.168\..*|10\..*|example\.com)$"
 
 
 def java_http_client(files: DataFrame) -> dict[str, DataFrame]:
-    own = select_files(files, JAVA, ["FeignClient", "RestTemplate", "restTemplate", "WebClient", "webClient"]).withColumn("source", F.coalesce(first(package(F.col("content")), r"^([^.]+)"), F.lit("default")))
+    own = code_files(files, JAVA, ["FeignClient", "RestTemplate", "restTemplate", "WebClient", "webClient"]).withColumn("source", F.coalesce(first(package(F.col("content")), r"^([^.]+)"), F.lit("default")))
     keep = ["source"]
     feign = matches(own, r"@FeignClient\s*\(([^)]*)\)", ["args"], keep=keep)
     named = F.coalesce(first(F.col("args"), r"\bname\s*=\s*\"([^\"]+)\""), first(F.col("args"), r"\bvalue\s*=\s*\"([^\"]+)\""), first(F.col("args"), r"^\s*\"([^\"]+)\""), first(F.col("args"), r"url\s*=\s*\"(?:https?://)?([^\"/:]+)"))

@@ -5,22 +5,17 @@ from __future__ import annotations
 import tomllib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.functions.text import first, folder_name, make_id, one_of, snake_case, unquoted
+from strataloom.functions.text import capitalised, first, folder_name, make_id, one_of, snake_case, unquoted
 from strataloom.model import FIELDS, rows
-from strataloom.sources.files import lines, matches, segments, select_files
+from strataloom.operators.declared import members
+from strataloom.sources.files import code_files, lines, matches, select_files
+from strataloom.sources.syntax import declarations
 
 PY = ["**/*.py"]
-#: The function a decorator stands before.
-DEF = r"(?:async\s+)?def\s+(\w+)\s*\(([^)]*)\)"
-#: Other decorators between one and its function.
-MORE = r"\s*(?:@[^\n]++\s*+)*+"
-#: What stands between parentheses, with others nested once; possessive, so matching does not use the stack.
-INSIDE = r"(?:[^()]++|\([^()]*+\))*+"
-CLASS = r"\bclass\s+(\w+)\s*\(([^)]*)\)\s*:"
 
 
 def module(path: Column) -> Column:
@@ -28,6 +23,28 @@ def module(path: Column) -> Column:
     return F.replace(F.regexp_replace(path, r"\.py$", ""), F.lit("/"), F.lit("."))
 
 
+def functions(own: DataFrame) -> DataFrame:
+    """A row for each decorator of each function of the files, nested ones included: rel_path, pos, component, decorator, args
+    (null without parentheses), fn, params.
+    """
+    found = declarations(own, "python").where("kind = 'file'").withColumn("component", module(F.col("rel_path")))
+    each = members(found, "component").select("*", F.posexplode("notes").alias("_k", "_n"))
+    return each.select(
+        "rel_path", (F.col("pos") * 100 + F.col("_k")).alias("pos"), "component", F.col("_n.name").alias("decorator"), F.col("_n.args").alias("args"),
+        F.regexp_extract("words", r"(\w+)$", 1).alias("fn"), "params",
+    )
+
+
+def classes(own: DataFrame) -> DataFrame:
+    """A row for each class: rel_path, part, name, bases, members, mod."""
+    return declarations(own, "python").where("kind = 'class'").withColumn("mod", module(F.col("rel_path")))
+
+
+def decorated_by(name: Column, methods: str) -> Column:
+    """Which of the methods a decorator `x.method` calls; null for others."""
+    return first(name, rf"^\w+\.({methods})$")
+
+
 REQUIREMENTS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("name", "version", "scope")]))
 
 
@@ -107,26 +124,37 @@ PRIMITIVE = "^(str|int|float|bool|dict|list|bytes|None|Optional|List|Dict|Reques
 
 
 def fastapi_rest(files: DataFrame) -> dict[str, DataFrame]:
-    own = select_files(files, PY, ["fastapi", "FastAPI"]).withColumn("component", module(F.col("rel_path")))
-    found = matches(own, rf"@\w+\.(get|post|put|delete|patch)\s*\(\s*['\"]([^'\"]*)['\"]{INSIDE}\){MORE}{DEF}", ["verb", "path", "fn", "args"], keep=["component"])
+    found = functions(select_files(files, PY, ["fastapi", "FastAPI"])).withColumn("verb", decorated_by(F.col("decorator"), "get|post|put|delete|patch"))
+    found = found.withColumn("path", F.regexp_extract("args", r"^\s*(?:path\s*=\s*)?[rf]?['\"]([^'\"]*)['\"]", 1))
+    found = found.where(F.col("verb").isNotNull() & F.col("args").rlike(r"^\s*(?:path\s*=\s*)?[rf]?['\"]"))
     in_path = F.regexp_extract_all("path", F.lit(r"\{(\w+)"), F.lit(1))
-    params = F.transform(F.filter(F.split(F.coalesce("args", F.lit("")), r",\s*"), lambda a: a.contains(":")), lambda a: F.struct(F.trim(F.regexp_extract(a, r"^([^:]+):", 1)).alias("n"), F.trim(F.regexp_extract(a, r":\s*([^=]+)", 1)).alias("t")))
+    typed = F.filter("params", lambda p: F.size(p["notes"]) > 0)
+    params = F.transform(typed, lambda p: F.struct(p["words"].alias("n"), p["notes"][0]["args"].alias("t")))
     shown = lambda label, keep: F.concat(F.lit(f"{label}: "), F.array_join(F.transform(F.filter(params, keep), lambda p: F.concat(p["n"], F.lit(": "), p["t"])), ", "))
     is_path = lambda p: F.array_contains(in_path, p["n"])
     is_body = lambda p: ~is_path(p) & ~p["t"].rlike(PRIMITIVE)
     parts = [(is_path, "Path"), (lambda p: ~is_path(p) & p["t"].rlike("^(str|int|float|bool)\\b"), "Query"), (is_body, "Body")]
-    schema = F.array_join(F.filter(F.array(*(F.when(F.size(F.filter(params, k)) > 0, shown(n, k)) for k, n in parts)), lambda x: x.isNotNull()), "; ")
-    return {"api_endpoints": rows("api_endpoints", found, "fastapi-rest", component_id=F.col("component"), type="REST", path=F.coalesce("path", F.lit("")), method=F.upper("verb"), description=F.concat(F.lit("Handler "), F.col("fn")), request_schema=F.nullif(schema, F.lit("")), response_schema="dict")}
+    schema = F.array_join(F.array_compact(F.array(*(F.when(F.size(F.filter(params, k)) > 0, shown(n, k)) for k, n in parts))), "; ")
+    made = rows(
+        "api_endpoints", found, "fastapi-rest", component_id=F.col("component"), type="REST", path=F.col("path"), method=F.upper("verb"),
+        description=F.concat(F.lit("Handler "), F.col("fn")), request_schema=F.nullif(schema, F.lit("")), response_schema="dict",
+    )
+    return {"api_endpoints": made}
 
 
 def flask_rest(files: DataFrame) -> dict[str, DataFrame]:
-    own = select_files(files, PY, ["flask", "Flask", "Blueprint"]).withColumn("component", module(F.col("rel_path")))
-    found = matches(own, rf"@\w+\.(get|post|put|delete|patch|route)\s*\(\s*['\"]([^'\"]+)['\"]({INSIDE})\){MORE}{DEF}", ["verb", "path", "rest", "fn", "args"], keep=["component"])
-    listed = F.regexp_extract_all(F.regexp_extract(F.coalesce("rest", F.lit("")), r"methods\s*=\s*[\[(]([^\])]*)", 1), F.lit(r"['\"](\w+)['\"]"), F.lit(1))
+    found = functions(select_files(files, PY, ["flask", "Flask", "Blueprint"])).withColumn("verb", decorated_by(F.col("decorator"), "get|post|put|delete|patch|route"))
+    found = found.withColumn("path", first(F.col("args"), r"^\s*(?:rule\s*=\s*)?['\"]([^'\"]+)['\"]")).where("verb IS NOT NULL AND path IS NOT NULL")
+    listed = F.regexp_extract_all(F.regexp_extract("args", r"methods\s*=\s*[\[({]([^\])}]*)", 1), F.lit(r"['\"](\w+)['\"]"), F.lit(1))
     verbs = F.when(F.col("verb") != "route", F.array(F.upper("verb"))).when(F.size(listed) > 0, F.transform(listed, F.upper)).otherwise(F.array(F.lit("GET")))
     each = found.withColumn("method", F.explode(verbs))
-    shown = F.transform(F.regexp_extract_all("path", F.lit(r"<(?:\w+:)?\w+>"), F.lit(0)), lambda p: F.concat(F.regexp_extract(p, r"(\w+)>$", 1), F.lit(": "), F.coalesce(first(p, r"<(\w+):"), F.lit("string"))))
-    return {"api_endpoints": rows("api_endpoints", each, "flask-rest", component_id=F.col("component"), type="REST", path=F.col("path"), method=F.col("method"), description=F.concat(F.lit("Handler "), F.col("fn")), request_schema=F.nullif(F.array_join(shown, ", "), F.lit("")))}
+    in_path = F.regexp_extract_all("path", F.lit(r"<(?:\w+:)?\w+>"), F.lit(0))
+    shown = F.transform(in_path, lambda p: F.concat(F.regexp_extract(p, r"(\w+)>$", 1), F.lit(": "), F.coalesce(first(p, r"<(\w+):"), F.lit("string"))))
+    made = rows(
+        "api_endpoints", each, "flask-rest", component_id=F.col("component"), type="REST", path=F.col("path"), method=F.col("method"),
+        description=F.concat(F.lit("Handler "), F.col("fn")), request_schema=F.nullif(F.array_join(shown, ", "), F.lit("")),
+    )
+    return {"api_endpoints": made}
 
 
 #: A text in either quotes, and one given to a keyword.
@@ -135,21 +163,31 @@ KEYWORD = r"\b{}\s*=\s*(\"[^\"\n]+\"|'[^'\n]+')"
 
 
 def celery_tasks(files: DataFrame) -> dict[str, DataFrame]:
-    own = select_files(files, PY, ["celery", "shared_task", ".delay", ".apply_async"]).withColumn("component", module(F.col("rel_path")))
-    defined = matches(own, rf"@(?:[\w.]+\.)?(?:shared_task|task)\b[ \t]*(?:\(({INSIDE})\))?{MORE}{DEF}", ["args", "fn", "params"], keep=["component"])
+    """A flow for each call of a task that is defined anywhere; of definitions of one name the last path's counts."""
+    words = ["celery", "shared_task", ".delay", ".apply_async"]
+    marked = functions(select_files(files, PY, words)).where(F.col("decorator").rlike(r"(?:^|\.)(?:shared_task|task)$"))
     args = F.coalesce("args", F.lit(""))
-    defined = defined.select("rel_path", "fn", F.col("component").alias("definer"), F.coalesce(unquoted(first(args, KEYWORD.format("queue"))), F.lit("celery")).alias("queue"), F.coalesce(unquoted(first(args, KEYWORD.format("name"))), F.concat("component", F.lit("."), "fn")).alias("task"))
-    last = defined.withColumn("rn", F.row_number().over(Window.partitionBy("fn").orderBy(F.desc("rel_path")))).where("rn = 1").drop("rn", "rel_path")  # one row a task name
+    queue = F.coalesce(unquoted(first(args, KEYWORD.format("queue"))), F.lit("celery"))
+    task = F.coalesce(unquoted(first(args, KEYWORD.format("name"))), F.concat("component", F.lit("."), "fn"))
+    one = F.struct(F.col("component").alias("definer"), queue.alias("queue"), task.alias("task"))
+    # an aggregate, so only the best row of a name such as `run` leaves each task
+    last = marked.groupBy("fn").agg(F.max_by(one, F.struct("rel_path", -F.col("pos"))).alias("d")).select("fn", "d.*")
+    own = code_files(files, PY, words, "python").withColumn("component", module(F.col("rel_path")))
     calls = matches(own, r"(\w+)\.(?:delay|apply_async)\s*\(([^\n]*)", ["fn", "rest"], keep=["component"])
     joined = calls.join(last, "fn")
     override = unquoted(first(F.coalesce("rest", F.lit("")), KEYWORD.format("queue")))
-    return {"message_flows": rows("message_flows", joined, "celery-tasks", publisher_component_id=F.col("component"), subscriber_component_id=F.col("definer"), topic=F.coalesce(override, F.col("queue")), message_type=F.col("task"), broker="celery")}
+    made = rows(
+        "message_flows", joined, "celery-tasks", publisher_component_id=F.col("component"), subscriber_component_id=F.col("definer"),
+        topic=F.coalesce(override, F.col("queue")), message_type=F.col("task"), broker="celery",
+    )
+    return {"message_flows": made}
 
 
 def faust_streaming(files: DataFrame) -> dict[str, DataFrame]:
-    own = select_files(files, PY, ["faust"]).withColumn("component", module(F.col("rel_path")))
+    own = code_files(files, PY, ["faust"], "python").withColumn("component", module(F.col("rel_path")))
     topics = matches(own, rf"\b(\w+)(?:\s*:\s*[\w.\[\], ]+)?\s*=\s*[\w.]+\.topic\(\s*(?:topics\s*=\s*)?{STRING}", ["var", "topic"]).withColumn("topic", unquoted(F.col("topic"))).groupBy("rel_path", "var").agg(F.min_by("topic", "pos").alias("topic"))
-    agents = matches(own, rf"@\w+\.agent\s*\(\s*(\w+)[^)]*\)\s*{DEF}", ["var", "fn", "args"], keep=["component"]).join(topics, ["rel_path", "var"], "left")
+    agents = functions(select_files(files, PY, ["faust"])).where(F.col("decorator").rlike(r"^\w+\.agent$"))
+    agents = agents.withColumn("var", first(F.col("args"), r"^\s*(\w+)")).where("var IS NOT NULL").join(topics, ["rel_path", "var"], "left")
     sends = matches(own, r"(\w+)\.send\s*\(", ["var"], keep=["component"]).join(topics, ["rel_path", "var"], "left")
     direct = matches(own, rf"\.stream\(\s*{STRING}", ["topic"], keep=["component"]).withColumn("topic", unquoted(F.col("topic")))
     flow = lambda df, topic, **side: rows("message_flows", df, "faust-streaming", topic=topic, broker="kafka", **side)
@@ -159,12 +197,10 @@ def faust_streaming(files: DataFrame) -> dict[str, DataFrame]:
     return {"message_flows": out.unionByName(flow(direct, F.col("topic"), subscriber_component_id=F.col("component")))}
 
 
-def _columns(own: DataFrame, pattern: str, names: list[str], keep: list[str]) -> DataFrame:
-    return matches(own, pattern, names, "body", ["part", *keep])
-
-
 def _entities(found: DataFrame, keep: list[str], entry: Column, pk: Column) -> DataFrame:
-    grouped = found.groupBy("rel_path", "part", *keep).agg(F.array_sort(F.collect_list(F.struct(F.col("pos"), entry.alias("f")))).alias("fs"), F.min_by("field", F.when(pk, F.col("pos"))).alias("pk"))
+    grouped = found.groupBy("rel_path", "part", *keep).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("pos"), entry.alias("f")))).alias("fs"), F.min_by("words", F.when(pk, F.col("pos"))).alias("pk"),
+    )
     return grouped.withColumn("fields", F.transform("fs", lambda x: x["f"]).cast(FIELDS))
 
 
@@ -172,9 +208,6 @@ def _field(name: Column, kind: Column, nullable: Column) -> Column:
     return F.struct(name.alias("name"), kind.alias("data_type"), nullable.alias("nullable"))
 
 
-SQLA_TYPES = [("BigInteger", "BIGINT"), ("Integer", "INTEGER"), ("String", "VARCHAR"), ("Text", "TEXT"), ("Boolean", "BOOLEAN"), ("DateTime", "TIMESTAMP"), ("Float", "FLOAT")]
-
-
 # Column types of Python types, in small letters; others stay as they are.
 HINT_TYPES = {
     "int": "Integer",
@@ -191,19 +224,37 @@ HINT_TYPES = {
 
 
 def sqlalchemy_entities(files: DataFrame) -> dict[str, DataFrame]:
-    own = select_files(files, PY, ["sqlalchemy", "sqlmodel"]).where(~F.col("content").rlike(r"(?m)^(from|import)\s+django")).withColumn("mod", module(F.col("rel_path")))
-    cut = segments(own, CLASS, ["cls", "bases"], keep=["mod"]).where((F.trim("bases") == "Base") | F.col("bases").rlike(r"table\s*=\s*True"))
-    cut = cut.withColumns({"fqn": F.concat("mod", F.lit("."), "cls"), "tbl": F.coalesce(first(F.col("body"), r"__tablename__\s*=\s*['\"]([^'\"]+)['\"]"), snake_case(F.col("cls")))})
-    found = _columns(cut, r"(?m)^[ \t]+(\w+)\s*(?::\s*(?:Mapped\[)?([\w\[\], |.]+?)\]?)?\s*=\s*(?:\w+\.)?(Column|mapped_column|Field)\s*\(([^\n]*)", ["field", "kind", "maker", "args"], ["fqn", "tbl"])
-    args = F.coalesce("args", F.lit(""))
-    hint = F.regexp_replace(F.regexp_replace("kind", r"^Optional\[(.*)\]?$", "$1"), r"[\[\]]|\s*\|\s*None", "")
-    kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in HINT_TYPES.items() for x in kv)), F.lower(hint)), hint, one_of(first(args, r"^\s*(?:['\"][^'\"]*['\"]\s*,\s*)?(?:\w+\.)?(\w+)"), SQLA_TYPES, F.coalesce(first(args, r"^\s*(\w+)"), F.lit("VARCHAR"))))
-    made = _entities(found, ["fqn", "tbl"], _field(F.col("field"), kind, ~args.rlike(r"nullable\s*=\s*False|primary_key\s*=\s*True")), args.rlike(r"primary_key\s*=\s*True"))
-    fks = _columns(cut, r"ForeignKey\s*\(\s*['\"](\w+)\.\w+['\"]", ["target"], ["fqn"]).withColumn("what", F.lit("Foreign key"))
-    rels = _columns(cut, r"relationship\s*\(\s*['\"](\w+)['\"]", ["target"], ["fqn"]).withColumn("what", F.lit("Relationship"))
+    """Classes below Base, or tables of SQLModel. Fields with a type hint are a class's fields, or if there are none, those with
+    a value; a column's type is its hint's, or the first argument's. Classes without fields are none.
+    """
+    own = select_files(files, PY, ["sqlalchemy", "sqlmodel"]).where(~F.col("content").rlike(r"(?m)^(from|import)\s+django"))
+    bases = F.transform(F.split(F.coalesce("bases", F.lit("")), ","), lambda b: F.trim(b))
+    cut = classes(own).where("name <> 'Base'").where(F.array_contains(bases, "Base") | F.col("bases").rlike(r"\btable\s*=\s*True\b"))
+    named = F.filter("members", lambda m: m["words"] == "__tablename__")
+    cut = cut.withColumn("tbl", F.coalesce(first(F.try_element_at(named, F.lit(1))["value"], r"^['\"]([^'\"]+)['\"]"), snake_case(F.col("name"))))
+    plain = F.filter("members", lambda m: m["params"].isNull() & m["words"].rlike("^[a-z][a-z0-9_]*$"))
+    hinted = F.filter(plain, lambda m: m["tail"].isNotNull())
+    cut = cut.withColumn("members", F.when(F.size(hinted) > 0, hinted).otherwise(F.filter(plain, lambda m: m["value"].isNotNull())))
+    found = members(cut.withColumn("fqn", F.concat("mod", F.lit("."), "name")), "fqn", "tbl")
+    value = F.coalesce("value", F.lit(""))
+    relates = value.rlike(r"\b[Rr]elationship\s*\(")
+    hint = F.regexp_replace(F.regexp_replace("tail", r"Mapped\[(.+)\]", "$1"), r"Optional\[(.+)\]", "$1")
+    known = F.create_map(*(F.lit(x) for kv in HINT_TYPES.items() for x in kv))
+    by_hint = F.when((F.col("tail") != "Any") & F.col("value").isNotNull(), F.coalesce(F.try_element_at(known, F.lower(hint)), hint))
+    kind = F.coalesce(by_hint, first(F.col("value"), r"\bColumn\s*\(\s*(?:['\"][^'\"]*['\"]\s*,\s*)?([\w.]+)"), F.lit("Unknown"))
+    columns = found.where(~relates)
+    nullable = F.coalesce(first(value, r"\bnullable\s*=\s*(True|False)") == "True", F.lit(True))
+    made = _entities(columns, ["fqn", "tbl"], _field(F.col("words"), kind, nullable), value.rlike(r"\bprimary_key\s*=\s*True"))
+    keyed = F.coalesce(first(value, r"\bforeign_key\s*=\s*['\"](\w+)"), first(value, r"\bForeignKey\s*\(\s*['\"](?:\w+\.)*?(\w+)\.\w+['\"]"))
+    entity = F.array_join(F.transform(F.split(keyed, "_"), capitalised), "")
+    fks = columns.withColumns({"target": entity, "what": F.lit("Foreign key reference")}).where("target IS NOT NULL")
+    quoted = F.coalesce(first(F.col("tail"), r"[Ll]ist\s*\[\s*['\"](.+?)['\"]\s*\]"), first(F.col("tail"), r"['\"]([A-Z]\w*)['\"]"))
+    target = F.coalesce(first(value, r"\brelationship\s*\(\s*['\"]([^'\"]+)['\"]"), quoted)
+    rels = found.where(relates).withColumns({"target": target, "what": F.lit("SQLAlchemy relationship")}).where("target IS NOT NULL")
+    edges = fks.unionByName(rels)
     return {
         "data_entities": rows("data_entities", made, "sqlalchemy-entities", component_id=F.col("fqn"), name=F.col("tbl"), type="table", fields=F.col("fields"), primary_key=F.col("pk")),
-        "relationships": rows("relationships", fks.unionByName(rels), "sqlalchemy-entities", source_id=F.col("fqn"), target_id=F.col("target"), type="DEPENDS_ON", description=F.col("what"), technology="SQLAlchemy"),
+        "relationships": rows("relationships", edges, "sqlalchemy-entities", source_id=F.col("fqn"), target_id=F.col("target"), type="DEPENDS_ON", description=F.col("what"), technology="SQLAlchemy"),
     }
 
 
@@ -228,17 +279,17 @@ DJANGO_TYPES = [
 
 
 def django_orm(files: DataFrame) -> dict[str, DataFrame]:
-    own = select_files(files, ["**/models.py", "**/*_models.py"], ["models.Model"]).where(~F.col("content").rlike(r"(?m)^(from|import)\s+sqlalchemy")).withColumn("mod", module(F.col("rel_path")))
-    cut = segments(own, CLASS, ["cls", "bases"], keep=["mod"]).where(F.col("bases").contains("models.Model")).withColumn("fqn", F.concat("mod", F.lit("."), "cls"))
-    found = _columns(cut, r"(?m)^[ \t]+(\w+)\s*=\s*models\.(\w+)\s*\(([^\n]*)", ["field", "kind", "args"], ["fqn", "cls"])
+    own = select_files(files, ["**/models.py", "**/*_models.py"], ["models.Model"]).where(~F.col("content").rlike(r"(?m)^(from|import)\s+sqlalchemy"))
+    cut = classes(own).where(F.col("bases").contains("models.Model")).withColumn("fqn", F.concat("mod", F.lit("."), "name"))
+    found = members(cut, "fqn", "name").withColumn("kind", first(F.col("value"), r"^models\.(\w+)\s*\(")).where("kind IS NOT NULL")
+    args = F.regexp_extract("value", r"^models\.\w+\s*(?s)\((.*)\)\s*$", 1)
     related = F.col("kind").isin("ForeignKey", "OneToOneField", "ManyToManyField")
-    args = F.coalesce("args", F.lit(""))
-    plain = found.where(~related)
-    made = _entities(plain, ["fqn", "cls"], _field(F.col("field"), one_of(F.col("kind"), DJANGO_TYPES, F.col("kind")), args.rlike(r"(null|blank)\s*=\s*True")), args.rlike(r"primary_key\s*=\s*True"))
-    implicit = F.array(F.struct(F.lit("id"), F.lit("INTEGER"), F.lit(False)).cast(FIELDS.removeprefix("array<")[:-1]))
+    entry = _field(F.col("words"), one_of(F.col("kind"), DJANGO_TYPES, F.col("kind")), args.rlike(r"\b(null|blank)\s*=\s*True"))
+    made = _entities(found.where(~related), ["fqn", "name"], entry, args.rlike(r"\bprimary_key\s*=\s*True"))
+    implicit = F.array(F.struct(F.lit("id"), F.lit("AutoField"), F.lit(False)).cast(FIELDS.removeprefix("array<")[:-1]))
     fields = F.when(F.col("pk").isNull(), F.concat(implicit, "fields")).otherwise(F.col("fields"))
-    edges = found.where(related).withColumn("target", first(F.col("args"), r"^\s*(?:to\s*=\s*)?['\"]?(?:\w+\.)?(\w+)"))
+    edges = found.where(related).withColumn("target", first(args, r"^\s*(?:to\s*=\s*)?['\"]?(?:\w+\.)?(\w+)"))
     return {
-        "data_entities": rows("data_entities", made, "django-orm", component_id=F.col("fqn"), name=snake_case(F.col("cls")), type="table", fields=fields, primary_key=F.coalesce("pk", F.lit("id"))),
+        "data_entities": rows("data_entities", made, "django-orm", component_id=F.col("fqn"), name=snake_case(F.col("name")), type="table", fields=fields, primary_key=F.coalesce("pk", F.lit("id"))),
         "relationships": rows("relationships", edges, "django-orm", source_id=F.col("fqn"), target_id=F.col("target"), type="DEPENDS_ON", description=F.col("kind"), technology="Django"),
     }

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.text import file_stem, first, folder_name, group_path, make_id, snake_case, unquoted
 from strataloom.model import FIELDS, rows
-from strataloom.sources.files import in_order, matches, segments, select_files
+from strataloom.operators.declared import has_note, members, types
+from strataloom.sources.files import code_files, in_order, matches, select_files
 from strataloom.sources.tables import written
 
 
@@ -30,7 +31,7 @@ def npm_dependencies(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def express_api(files: DataFrame) -> dict[str, DataFrame]:
-    own = select_files(files, ["**/*.js", "**/*.ts"], ["express", "Router"]).withColumn("component", file_stem(F.col("rel_path")))
+    own = code_files(files, ["**/*.js", "**/*.ts"], ["express", "Router"], "javascript").withColumn("component", file_stem(F.col("rel_path")))
     found = matches(own, r"\b(?:app|router)\.(get|post|put|delete|patch)\s*\(\s*['\"`]([^'\"`]+)['\"`]", ["verb", "path"], keep=["component"])
     return {"api_endpoints": rows("api_endpoints", found, "express-api", component_id=F.col("component"), type="REST", path=F.col("path"), method=F.upper("verb"))}
 
@@ -81,7 +82,7 @@ def _whole_prefixes(groups: DataFrame) -> DataFrame:
 
 
 def go_http_router(files: DataFrame) -> dict[str, DataFrame]:
-    own = select_files(files, ["**/*.go"], ["gin-gonic", "labstack/echo", "go-chi", "gorilla/mux", "gofiber", "net/http"]).withColumn("component", go_package(F.col("content")))
+    own = code_files(files, ["**/*.go"], ["gin-gonic", "labstack/echo", "go-chi", "gorilla/mux", "gofiber", "net/http"], "go").withColumn("component", go_package(F.col("content")))
     groups = matches(own, rf"\b(\w+)\s*:?=\s*(\w+)\s*\.\s*Group\s*\(\s*{GO_STRING}", ["var", "parent", "prefix"])
     groups = groups.groupBy("rel_path", "var").agg(F.min_by(F.struct("parent", unquoted(F.col("prefix")).alias("prefix")), "pos").alias("g")).select("rel_path", "var", "g.parent", "g.prefix")
     full = _whole_prefixes(groups)
@@ -95,7 +96,7 @@ def go_http_router(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def grpc_service_go(files: DataFrame) -> dict[str, DataFrame]:
-    own = select_files(files, ["**/*.go"], ["grpc", "pb."]).where(~F.col("rel_path").endswith(".pb.go")).withColumns({"component": go_package(F.col("content")), "service": first(F.col("content"), r"\bpb\.Register(\w+?)Server\(")}).where("service IS NOT NULL")
+    own = code_files(files, ["**/*.go"], ["grpc", "pb."], "go").where(~F.col("rel_path").endswith(".pb.go")).withColumns({"component": go_package(F.col("content")), "service": first(F.col("content"), r"\bpb\.Register(\w+?)Server\(")}).where("service IS NOT NULL")
     found = matches(own, r"func\s+\(\w+\s+\*?\w+\)\s+(\w+)\(\s*\w+\s+context\.Context\s*,\s*\w+\s+\*(?:pb\.)?(\w+)\s*\)\s*\(\s*\*(?:pb\.)?(\w+)", ["rpc", "req", "res"], keep=["component", "service"])
     return {"api_endpoints": rows("api_endpoints", found, "grpc-service-go", component_id=F.col("component"), type="GRPC", path=F.concat(F.lit("/"), "service", F.lit("/"), "rpc"), method="POST", request_schema=F.col("req"), response_schema=F.col("res"))}
 
@@ -120,9 +121,13 @@ GORM_FIELDS = [("id", "INTEGER", False), ("created_at", "TIMESTAMP", True), ("up
 
 
 def go_struct(files: DataFrame) -> dict[str, DataFrame]:
-    own = select_files(files, ["**/*.go"], ["`"]).withColumn("component", go_package(F.col("content")))
-    structs = matches(own, r"type\s+(\w+)\s+struct\s*\{([^}]*)\}", ["name", "body"], keep=["component"]).where(F.col("body").rlike(r"(gorm|xorm|db|sql):\"|gorm\.Model")).withColumnRenamed("pos", "part")
-    found = matches(structs, r"(?m)^\s*([A-Z]\w*)[ \t]+([\w.\[\]*]+)[ \t]*`([^`]*)`", ["field", "kind", "tags"], "body", ["part", "component", "name"])
+    own = types(files, "go", ["**/*.go"], ["`"], ["type"]).where(F.col("bases") == "struct").withColumn("component", F.coalesce("space", F.lit("main")))
+    embeds = F.exists("members", lambda m: m["words"] == "gorm.Model")
+    tagged = F.exists("members", lambda m: m["words"].rlike(r"`[^`]*\b(gorm|xorm|db|sql):\""))
+    structs = own.withColumn("gorm", embeds).where(tagged | F.col("gorm"))
+    line = r"^([A-Z]\w*)\s+([\w.\[\]*]+)\s*`([^`]*)`$"
+    part = lambda k: F.regexp_extract("words", line, k)
+    found = members(structs, "component", "name").where(F.col("words").rlike(line)).withColumns({"field": part(1), "kind": part(2), "tags": part(3)})
     tag = lambda p: first(F.col("tags"), p)
     column = F.coalesce(tag(r"xorm:\"[^\"]*'(\w+)'"), tag(r"gorm:\"[^\"]*column:(\w+)"), tag(r"\bdb:\"(\w+)"), tag(r"\bsql:\"(\w+)"), snake_case(F.col("field")))
     bare = F.regexp_replace("kind", r"\*", "")
@@ -131,7 +136,7 @@ def go_struct(files: DataFrame) -> dict[str, DataFrame]:
     entry = F.struct(F.col("pos"), F.struct(column.alias("name"), kind.alias("data_type"), (~F.lower("tags").rlike(r"not ?null|primary_?key|\bpk\b")).alias("nullable")).alias("f"))
     grouped = found.withColumn("column", column).groupBy("rel_path", "part").agg(F.array_sort(F.collect_list(entry)).alias("fs"), F.min_by("column", F.when(is_key, F.col("pos"))).alias("pk"))
     base = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(t).alias("data_type"), F.lit(x).alias("nullable")) for n, t, x in GORM_FIELDS)).cast(FIELDS)
-    made = structs.join(grouped, ["rel_path", "part"], "left").withColumn("gorm", F.col("body").contains("gorm.Model"))
+    made = structs.join(grouped, ["rel_path", "part"], "left")
     fields = F.concat(F.when(F.col("gorm"), base).otherwise(F.array().cast(FIELDS)), F.coalesce(F.transform("fs", lambda x: x["f"]).cast(FIELDS), F.array().cast(FIELDS)))
     return {"data_entities": rows("data_entities", made, "go-struct", component_id=F.col("component"), name=F.concat(snake_case(F.col("name")), F.lit("s")), type="table", fields=fields, primary_key=F.coalesce("pk", F.when(F.col("gorm"), "id")))}
 
@@ -169,13 +174,14 @@ def bundler_dependencies(files: DataFrame) -> dict[str, DataFrame]:
 
 #: The REST actions with their methods and path suffixes.
 ACTIONS = [("index", "GET", ""), ("show", "GET", "/:id"), ("new", "GET", "/new"), ("create", "POST", ""), ("edit", "GET", "/:id/edit"), ("update", "PUT", "/:id"), ("destroy", "DELETE", "/:id")]
-CONTROLLER = r"class\s+([\w:]+)Controller\s*<\s*([\w:]+)"
 
 
 def rails_api(files: DataFrame) -> dict[str, DataFrame]:
-    own = segments(select_files(files, ["**/*_controller.rb"]), CONTROLLER, ["name", "parent"]).where(F.col("parent").rlike("Controller(::Base|::API)?$"))
-    public = own.withColumn("body", F.regexp_replace("body", r"(?s)\n\s*(private|protected)\b.*$", ""))
-    defs = matches(public, r"\bdef\s+([a-z_]\w*[?!]?)", ["action"], "body", ["name"])
+    """Public methods of controllers; what follows `private` or `protected` in a class is not public."""
+    own = types(files, "ruby", ["**/*_controller.rb"], kinds=["class"]).where(F.col("bases").rlike("Controller(::Base|::API)?$"))
+    own = own.withColumn("name", first(F.col("name"), r"^([\w:]+)Controller$")).where("name IS NOT NULL")
+    defs = members(own, "name").where(~has_note(F.col("notes"), "hidden")).withColumn("action", first(F.col("words"), r"^def\s+([a-z_]\w*[?!]?)$"))
+    defs = defs.where("action IS NOT NULL")
     dimension = files.sparkSession.createDataFrame(ACTIONS, "action string, verb string, suffix string")
     base = F.concat(F.lit("/"), snake_case(F.replace("name", F.lit("::"), F.lit("/"))))
     found = defs.join(F.broadcast(dimension), "action", "left")  # seven rows
@@ -244,11 +250,16 @@ def rails_route(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def sidekiq_jobs(files: DataFrame) -> dict[str, DataFrame]:
-    own = select_files(files, ["**/*.rb"], ["Sidekiq", "ApplicationWorker", "perform_"])
-    outer = F.array_join(F.regexp_extract_all("content", F.lit(r"(?m)^\s*module\s+([A-Z]\w*)"), F.lit(1)), "::")
-    named = own.withColumn("outer", outer)
-    workers = segments(named, r"(?m)^[ \t]*class\s+([A-Z][\w:]*)", ["cls"], keep=["outer"]).withColumn("name", F.when(F.col("outer") != "", F.concat("outer", F.lit("::"), "cls")).otherwise(F.col("cls")))
-    defined = workers.where(F.col("body").rlike(r"include\s+(Sidekiq::(Worker|Job)|ApplicationWorker)")).select("name", F.coalesce(first(F.col("body"), r"\bsidekiq_options\b[^\n]*?\bqueue:?\s*(?:=>)?\s*(?::|['\"])([\w-]+)"), F.lit("default")).alias("queue")).groupBy("name").agg(F.min("queue").alias("queue"))
-    calls = matches(workers, r"\b((?:[A-Z]\w*::)*+[A-Z]\w*)\s*\.\s*(?:set\([^)]*\)\s*\.\s*)?perform_(?:async|in|at|bulk)\b", ["callee"], "body", ["name"]).withColumnRenamed("name", "caller")
+    """A flow for each call of a worker that is defined anywhere, by its full name."""
+    own = types(files, "ruby", ["**/*.rb"], ["Sidekiq", "ApplicationWorker", "perform_"], ["class"])
+    own = own.withColumn("name", F.concat_ws("::", "space", "name"))
+    lines_of = members(own, "name")
+    holds = lambda p: F.exists("members", lambda m: m["words"].rlike(p))
+    queue = first(F.col("words"), r"^sidekiq_options\b.*?\bqueue:?\s*(?:=>)?\s*(?::|['\"])([\w-]+)")
+    queues = lines_of.withColumn("queue", queue).where("queue IS NOT NULL").groupBy("name").agg(F.min("queue").alias("queue"))
+    workers = own.where(holds(r"^include\s+(Sidekiq::(Worker|Job)|ApplicationWorker)")).select("name").distinct()
+    defined = workers.join(queues, "name", "left").select("name", F.coalesce("queue", F.lit("default")).alias("queue"))
+    call = r"\b((?:[A-Z]\w*::)*+[A-Z]\w*)\s*\.\s*(?:set\([^)]*\)\s*\.\s*)?perform_(?:async|in|at|bulk)\b"
+    calls = lines_of.select("rel_path", "pos", F.col("name").alias("caller"), F.explode(F.regexp_extract_all("words", F.lit(call), F.lit(1))).alias("callee"))
     found = calls.join(defined, calls.callee == defined.name)
     return {"message_flows": rows("message_flows", found, "sidekiq-jobs", publisher_component_id=F.col("caller"), subscriber_component_id=F.col("name"), topic=F.col("queue"), message_type=F.col("name"), broker="sidekiq")}

@@ -81,11 +81,12 @@ SAMPLES = [
     Sample("kafka-streams", [(f"{P}/java/Topology.java", 'package st.s@K@;\npublic class Topology {\n  void build(StreamsBuilder builder) { builder.stream("raw@K@").through("mid@K@").to("done@K@"); builder.globalTable("dim@K@"); }\n}\n')],
         {"message_flows": (FLOW, [(None, "st.s@K@.Topology", "raw@K@"), (None, "st.s@K@.Topology", "dim@K@"), ("st.s@K@.Topology", None, "done@K@"), ("st.s@K@.Topology", None, "mid@K@"), (None, "st.s@K@.Topology", "mid@K@")])}),
     Sample("jpa-entities", [(f"{P}/java/OrderItem.java", 'package jpa.s@K@;\n@Entity\npublic class OrderItem {\n  @Id\n  private Long id;\n  @Column(name = "qty", nullable = false)\n  private int quantity;\n  private String noteText;\n  @ManyToOne\n  private Order@K@ parent;\n}\n')],
-        {"data_entities": (ENT, [("jpa.s@K@.OrderItem", "order_item", "id", "id:Long:true,qty:int:false,note_text:String:true")]),
+        {"data_entities": (ENT, [("jpa.s@K@.OrderItem", "order_item", "id", "id:Long:true,quantity:int:false,noteText:String:true")]),
          "relationships": (REL, [("jpa.s@K@.OrderItem", "Order@K@", "DEPENDS_ON")])}),
     Sample("mongodb", [(f"{P}/java/Profile.java", 'package mg.s@K@;\nimport org.springframework.data.mongodb.core.mapping.*;\n@Document(collection = "profiles@K@")\npublic class Profile {\n  @Id\n  private String id;\n  @Field("n")\n  private String name;\n  @DBRef\n  private List<Account@K@> accounts;\n}\n')],
         {"data_entities": (ENT, [("mg.s@K@.Profile", "profiles@K@", "id", "id:String:true,n:String:true")]),
-         "relationships": (REL, [("mg.s@K@.Profile", "Account@K@", "DEPENDS_ON")])}),
+         "relationships": (REL, [("mg.s@K@.Profile", "Account@K@", "DEPENDS_ON")])},
+        also=(("jpa-entities", "data_entities", ENT, ("mg.s@K@.Profile", "profiles@K@", "id", "id:String:true,name:String:true,accounts:List<Account@K@>:true")),)),
     Sample("java-http-client", [(f"{P}/java/Clients.java", 'package cl@K@.web;\n@FeignClient(name = "stock@K@", url = "http://x")\ninterface Clients { }\nclass C { void f() { restTemplate.getForObject("http://billing/pay", X.class); restTemplate.getForObject("http://localhost/pay", X.class); webClient.get().uri("https://geo@K@/find"); webClient.get().uri("https://a.b.com/find"); } }\n')],
         {"relationships": (REL + " technology", [("cl@K@", "stock@K@", "CALLS", "Feign"), ("cl@K@", "billing", "CALLS", "RestTemplate"), ("cl@K@", "geo@K@", "CALLS", "WebClient")])}),
     Sample("fastapi-rest", [(f"{P}/py/api.py", 'from fastapi import FastAPI\n@app.get("/items@K@/{item_id}", response_model=dict)\nasync def read(item_id: int, q: str = None):\n    pass\n\n@app.post("/items@K@")\ndef add(item: Item):\n    pass\n')],
@@ -93,10 +94,10 @@ SAMPLES = [
     Sample("flask-rest", [(f"{P}/py/web.py", "from flask import Flask\n@bp.route('/u@K@/<int:id>', methods=['GET', 'PUT'])\ndef user(id):\n    pass\n\n@bp.route('/health@K@')\ndef health():\n    pass\n\n@bp.delete('/u@K@')\ndef gone():\n    pass\n")],
         {"api_endpoints": (API + " request_schema", [("s@K@.py.web", "/u@K@/<int:id>", "GET", "id: int"), ("s@K@.py.web", "/u@K@/<int:id>", "PUT", "id: int"), ("s@K@.py.web", "/health@K@", "GET", None), ("s@K@.py.web", "/u@K@", "DELETE", None)])}),
     Sample("sqlalchemy-entities", [(f"{P}/py/tables.py", "from sqlalchemy import Column\nclass User@K@(Base):\n    __tablename__ = 'users@K@'\n    id = Column(Integer, primary_key=True)\n    name = Column(String(50), nullable=False)\n    team_id = Column(Integer, ForeignKey('teams@K@.id'))\n    posts = relationship('Post@K@')\n\nclass Plain(Mixin):\n    x = Column(Integer)\n")],
-        {"data_entities": (ENT, [("s@K@.py.tables.User@K@", "users@K@", "id", "id:INTEGER:false,name:VARCHAR:false,team_id:INTEGER:true")]),
-         "relationships": (REL, [("s@K@.py.tables.User@K@", "teams@K@", "DEPENDS_ON"), ("s@K@.py.tables.User@K@", "Post@K@", "DEPENDS_ON")])}),
+        {"data_entities": (ENT, [("s@K@.py.tables.User@K@", "users@K@", "id", "id:Integer:true,name:String:false,team_id:Integer:true")]),
+         "relationships": (REL, [("s@K@.py.tables.User@K@", "Teams@K@", "DEPENDS_ON"), ("s@K@.py.tables.User@K@", "Post@K@", "DEPENDS_ON")])}),
     Sample("django-orm", [(f"{P}/py/models.py", "from django.db import models\nclass Article(models.Model):\n    title = models.CharField(max_length=9)\n    views = models.BigIntegerField(null=True)\n    at = models.DateTimeField()\n    author = models.ForeignKey('auth.User@K@', on_delete=models.CASCADE)\n")],
-        {"data_entities": (ENT, [("s@K@.py.models.Article", "article", "id", "id:INTEGER:false,title:VARCHAR:false,views:INTEGER:true,at:DATETIME:false")]),
+        {"data_entities": (ENT, [("s@K@.py.models.Article", "article", "id", "id:AutoField:false,title:VARCHAR:false,views:INTEGER:true,at:DATETIME:false")]),
          "relationships": (REL, [("s@K@.py.models.Article", "User@K@", "DEPENDS_ON")])}),
     Sample("celery-tasks", [(f"{P}/py/tasks.py", "from celery import shared_task\n@shared_task(queue='mail@K@')\ndef send@K@(x):\n    pass\n\n@app.task\ndef work@K@(x):\n    pass\n"), (f"{P}/py/views.py", "from celery import x\ndef go():\n    send@K@.delay(1)\n    work@K@.apply_async((1,), queue='fast@K@')\n    unknown.delay(2)\n")],
         {"message_flows": (FLOW, [("s@K@.py.views", "s@K@.py.tasks", "mail@K@"), ("s@K@.py.views", "s@K@.py.tasks", "fast@K@")])}),
@@ -129,8 +130,24 @@ SAMPLES = [
     Sample("sidekiq-jobs", [(f"{P}/rb/mail.rb", "module Jobs@K@\n  class Mailer\n    include Sidekiq::Worker\n    sidekiq_options queue: :mail@K@\n  end\nend\n"), (f"{P}/rb/caller.rb", "class Caller@K@\n  def go\n    Jobs@K@::Mailer.perform_async(1)\n    Nobody.perform_in(1)\n  end\nend\n")],
         {"message_flows": (FLOW, [("Caller@K@", "Jobs@K@::Mailer", "mail@K@")])}),
     Sample("graphql-schema", [(f"{P}/schema/shop@K@.graphql", "type Query {\n  order(id: ID!): Order\n}\ntype Order {\n  id: ID!\n  lines: [Line!]\n}\n")],
-        {"api_endpoints": (API + " request_schema response_schema", [("shop@K@", "order", "QUERY", "id: ID!", "Order")]),
+        {"api_endpoints": (API + " request_schema response_schema", [("shop@K@", "order", "QUERY", "id: ID", "Order")]),
          "data_entities": (ENT, [("shop@K@", "Order", "id", "id:ID:false,lines:[Line]:true")])}),
+    Sample("graphql-schema", [(f"{P}/schema/deep@K@.gql", 'schema { query: Query }\ndirective @auth(role: Role = {a: "}"}) repeatable on OBJECT | FIELD_DEFINITION\n"""\ntype Old { gone: Int }\n"""\ntype Query @auth(role: {a: ["}", 1]}) {\n  "first { field }"\n  a(x: In = {k: 1, l: [{m: 2}]}, y: [Int!]! = [1, 2] @old): T!\n  b: [[T!]!]! @deprecated(reason: "none (yet)")\n}\nextend type Query { c: Int }\ninterface Node { id: ID! }\nunion Hit = | T | U\nenum Color { RED @old GREEN }\nscalar Date\ntype T implements Node & Other @key(fields: "id") {\n  # note: String\n  ref: ID!\n  note(size: Int = 3): String\n}\ninput In {\n  k: Int! = 3\n  l: [In] = [{k: 1}]\n}\n')],
+        {"api_endpoints": (API + " request_schema response_schema", [("deep@K@", "a", "QUERY", "x: In, y: [Int]", "T"), ("deep@K@", "b", "QUERY", None, "[[T]]"), ("deep@K@", "c", "QUERY", None, "Int")]),
+         "data_entities": (ENT, [("deep@K@", "T", "ref", "ref:ID:false,note:String:true"), ("deep@K@", "In", None, "k:Int:false,l:[In]:true")])}, when=(2, 0)),
+    Sample("protobuf-schema", [(f"{P}/schema/deep.proto", 'syntax = "proto3";\npackage deep.v@K@;\nmessage Outer {\n  /* string old = 9; */\n  string id = 1 [(rule) = {a: "}"}];\n  message Inner { required bool on = 1; }\n  oneof pick {\n    int32 num = 2;\n    string txt = 3;\n  }\n  map<string, Inner> all = 4;\n  reserved 5;\n}\nservice Deep {\n  rpc Watch (stream Outer) returns (stream .deep.Inner) {\n    option (http) = { get: "/x/{id}" };\n  }\n  rpc Next(Outer) returns (Outer);\n}\n')],
+        {"api_endpoints": (API, [("deep.v@K@", "/deep.v@K@.Deep/Watch", "POST"), ("deep.v@K@", "/deep.v@K@.Deep/Next", "POST")]),
+         "data_entities": (ENT, [("deep.v@K@", "Outer", None, "id:string:true,num:int32:true,txt:string:true,all:map<string, Inner>:true"), ("deep.v@K@", "Inner", None, "on:bool:false")])}, when=(2, 1)),
+    Sample("sql-migration", [(f"{P}/db/migration/V2__more@K@.sql", "/* CREATE TABLE old (x INT); */\nCREATE TABLE shop.lines@K@ (\n  \"code\" VARCHAR(9) DEFAULT 'a;b)' NOT NULL,\n  price NUMERIC(9, 2) CHECK (price > (1 + 2)),\n  head_id BIGINT NOT NULL REFERENCES heads@K@ (id) ON DELETE CASCADE,\n  at TIMESTAMP DEFAULT (now()),\n  CONSTRAINT pk PRIMARY KEY (code, head_id),\n  UNIQUE (code)\n);\nCREATE INDEX i ON lines@K@ (code);\n")],
+        {"data_entities": (ENT, [("V2__more@K@", "lines@K@", "code", "code:VARCHAR(9):false,price:NUMERIC(9, 2):true,head_id:BIGINT:false,at:TIMESTAMP:true")]),
+         "relationships": (REL, [("lines@K@", "heads@K@", "DEPENDS_ON")])}, when=(2, 0)),
+    Sample("express-api", [(f"{P}/web/late@K@.js", "const express = require('express');\n// app.get('/gone@K@', h);\n/* router.post('/gone@K@', h); */\nconst re = /[\"'`]\\/\\/app.get('\\/no')/;\nconst url = 'http://x/'; app.put(`/kept@K@`, h); // app.delete('/gone')\n")],
+        {"api_endpoints": (API, [("late@K@", "/kept@K@", "PUT")])}, when=(2, 1)),
+    Sample("aspnetcore-rest", [(f"{P}/net/DeepController.cs", 'namespace Deep.S@K@\n{\n    /* [HttpGet("gone")] public int Gone() { } */\n    [Route("v1/deep@K@"), Authorize(Policy = "a(b[c])")]\n    public sealed class DeepController : Base<Dictionary<string, int>>\n    {\n        // [HttpDelete] public void No() { }\n        [HttpPut("{id:int}/x"), Produces("a/b")]\n        public virtual async Task<ActionResult<List<Hit>>> Put([FromRoute] int id, [FromBody] Hit hit = default(Hit), CancellationToken stop = default) { return f("}"); }\n        private class Inner { [HttpGet("inner")] int No() { } }\n    }\n    public class Helper\n    {\n        [HttpGet("helper")]\n        public int Helps() { return 1; }\n    }\n}\n')],
+        {"api_endpoints": (API + " request_schema", [("Deep.S@K@.DeepController", "/v1/deep@K@/{id:int}/x", "PUT", "Route: id: int; Body: hit: Hit")])}, when=(2, 0)),
+    Sample("rails-api", [(f"{P}/rb/app/controllers/late_controller.rb", "class LateController < ApplicationController\n  # def gone\n  def show\n    items.each do |i|\n      puts \"end # def no\" if i\n    end\n    x = if y then 1 else 2 end\n  end\n  private\n  def secret; end\n  public\n  def open@K@\n  end\nend\nclass Helper\n  def helps\n  end\nend\n")],
+        {"components": (COMP, [("sha:rails|Late", "LateController", "SERVICE")]),
+         "api_endpoints": (API, [("sha:rails|Late", "/late/:id", "GET"), ("sha:rails|Late", "/late/open@K@", "GET")])}, when=(2, 0)),
     Sample("protobuf-schema", [(f"{P}/schema/shop.proto", 'syntax = "proto3";\npackage shop.v@K@;\nmessage Order {\n  string id = 1;\n  repeated Line lines = 2; // all\n}\nservice Orders {\n  rpc Get (Ask) returns (Order);\n}\n')],
         {"api_endpoints": (API, [("shop.v@K@", "/shop.v@K@.Orders/Get", "POST")]),
          "data_entities": (ENT, [("shop.v@K@", "Order", None, "id:string:true,lines:Line:true")])}),
@@ -152,7 +169,12 @@ SAMPLES = [
         {"components": (COMP, [("sha:bundler|nest@K@", "nest@K@", "SERVICE")]),
          "dependencies": (DEP, [("sha:bundler|nest@K@", "rubygems", "outer@K@", "*", "compile"), ("sha:bundler|nest@K@", "rubygems", "byebug@K@", "11", "test"), ("sha:bundler|nest@K@", "rubygems", "rspec@K@", "~> 3", "test"), ("sha:bundler|nest@K@", "rubygems", "late@K@", "*", "compile")])}, when=(3, 0)),
     Sample("spring-rest-api", [(f"{P}/java/SearchController.java", 'package se.s@K@;\n@RestController\npublic class SearchController {\n  @GetMapping(value = {"/find@K@", "/search@K@"}, produces = "x/y")\n  public Map<String, Hit> find(@RequestParam(name = "q", required = false) String q, @RequestHeader("X") String x, Pageable page) { return null; }\n  @RequestMapping(path = "any@K@", method = {RequestMethod.PUT, RequestMethod.PATCH})\n  ResponseEntity<?> any(@Valid @RequestBody final Hit hit) { return null; }\n}\nclass NoController {\n  @GetMapping("/no")\n  public String no() { return ""; }\n}\n')],
-        {"api_endpoints": (CALL, [("se.s@K@.SearchController", p, "GET", "RequestParam:q:String, RequestHeader:x:String", "Map<String, Hit>") for p in ("/find@K@", "/search@K@")] + [("se.s@K@.SearchController", "/any@K@", m, "RequestBody:hit:Hit", "ResponseEntity<?>") for m in ("PUT", "PATCH")] + [("se.s@K@.SearchController", "/no", "GET", None, "String")])}, when=(3, 1)),
+        {"api_endpoints": (CALL, [("se.s@K@.SearchController", p, "GET", "RequestParam:q:String, RequestHeader:x:String", "Map<String, Hit>") for p in ("/find@K@", "/search@K@")] + [("se.s@K@.SearchController", "/any@K@", m, "RequestBody:hit:Hit", "ResponseEntity<?>") for m in ("PUT", "PATCH")])}, when=(3, 1)),
+    Sample("spring-rest-api", [(f"{P}/java/DeepController.java", 'package de.s@K@;\n/* @RestController class Old { @PutMapping("/old") void no() {} } */\n@RestController\n@Guarded(rule = @Rule(any(of("a", b(c("}"))))))\n@RequestMapping(path = "/deep@K@")\npublic class DeepController extends Base<Map<String, Integer>> {\n  // @GetMapping("/gone") String gone() {}\n  @GetMapping("/x")\n  @PreAuthorize("hasPermission(#id, T(a.B).of(#id))")\n  public List<Map<String, Hit>> x(@PathVariable("id") final Long id, @RequestParam(defaultValue = "a,b=(") String q) { if (q != null) { return f(q); } return null; }\n  private final Map<String, Integer> seen = new HashMap<>() {{ put("a", 1); }};\n  static class Inner {\n    @GetMapping("/inner") String inner() { return "}"; }\n  }\n  public @ResponseBody @PostMapping(value = "/y", params = {"a", "b"}) Hit y(@RequestBody Hit hit) throws IOException { return hit; }\n}\nclass Helper {\n  @GetMapping("/helper") public String helper() { return ""; }\n}\n')],
+        {"api_endpoints": (CALL, [("de.s@K@.DeepController", "/deep@K@/x", "GET", "PathVariable:id:Long, RequestParam:q:String", "List<Map<String, Hit>>"), ("de.s@K@.DeepController", "/deep@K@/y", "POST", "RequestBody:hit:Hit", "Hit")])}, when=(3, 0)),
+    Sample("jpa-entities", [(f"{P}/java/Account.java", 'package ac.s@K@;\n@Table(name = "accounts@K@", indexes = @Index(columnList = "a(b(c))"))\n@Entity\npublic class Account {\n  public static final int MOST = 3;\n  @Id Long key;\n  private String first, last;\n  @Column(nullable = false, columnDefinition = "text default (now((1)))")\n  protected final String note = "a;b{";\n  private byte[] raw;\n  @OneToMany(mappedBy = "account", cascade = {CascadeType.ALL}) Set<Item@K@> items;\n  public String getNote() { String local = note; return local; }\n  enum Kind { A, B }\n}\nclass Plain {\n  private int notMine;\n}\n')],
+        {"data_entities": (ENT, [("ac.s@K@.Account", "accounts@K@", "key", "MOST:int:true,key:Long:true,first:String:true,last:String:true,note:String:false,raw:byte:true")]),
+         "relationships": (REL, [("ac.s@K@.Account", "Item@K@", "DEPENDS_ON")])}, when=(2, 1)),
     Sample("jaxrs-api", [(f"{P}/java/PetResource.java", 'package pe.s@K@;\nimport javax.ws.rs.*;\n@Path("/pets@K@")\n@Produces(MediaType.APPLICATION_JSON)\n@Consumes({"a/b", "c/d"})\npublic class PetResource {\n  @Path("list")\n  @GET\n  public List<Pet> list(@QueryParam("q") String q, @HeaderParam("h") int h, @Context Request r) { return null; }\n  @PUT\n  @Produces("text/plain")\n  public String put(Pet pet) { return ""; }\n}\n')],
         {"api_endpoints": (CALL, [("pe.s@K@.PetResource", "/pets@K@/list", "GET", "QueryParam:q:String, HeaderParam:h:int", "List<Pet> (application/json)"), ("pe.s@K@.PetResource", "/pets@K@", "PUT", "a/b, c/d", "String (text/plain)")])}, when=(3, 2)),
     Sample("entity-framework", [(f"{P}/net/Deep.cs", "namespace Deep.S@K@;\n\npublic class Root@K@ : AuditableEntity\n{\n    public TimeSpan Took { get; set; }\n    public Status State { get; set; }\n}\n\npublic class Mid@K@ : Root@K@\n{\n    public byte[] Raw { get; set; }\n}\n\npublic class Low@K@ : Mid@K@\n{\n    public DateTimeOffset? At { get; set; }\n}\n\npublic class Last@K@ : Low@K@\n{\n    public float Share { get; set; }\n    public List<Root@K@> Roots { get; set; }\n}\n\npublic class Other@K@ : Unrelated\n{\n    public int Id { get; set; }\n}\n")],
@@ -162,8 +184,16 @@ SAMPLES = [
         {"data_entities": (ENT, [("wide@K@", "orders", "id", "id:INTEGER:false,created_at:TIMESTAMP:true,updated_at:TIMESTAMP:true,deleted_at:TIMESTAMP:true,total:Money:true,lines:INTEGER:false,raw:BLOB:true")])}, when=(2, 0)),
     Sample("django-orm", [(f"{P}/py/blog_models.py", "from django.db import models\nclass Post@K@(models.Model):\n    key = models.BigAutoField(primary_key=True)\n    body = models.TextField(blank=True)\n    spot = models.PointField()\n    cost = models.DecimalField(max_digits=9)\n")],
         {"data_entities": (ENT, [("s@K@.py.blog_models.Post@K@", "post@K@", "key", "key:SERIAL:false,body:VARCHAR:true,spot:PointField:false,cost:DECIMAL:false")])}, when=(2, 1)),
+    Sample("sqlalchemy-entities", [(f"{P}/py/wide.py", 'import sqlalchemy as sa\nfrom sqlalchemy import Column\n\nclass Base(DeclarativeBase):\n    x = Column(Integer)\n\nclass Line@K@(Base):\n    """class Fake(Base):\n    y = Column(Integer)"""\n    __tablename__ = "lines@K@"\n    id = Column(\n        Integer,  # key (\n        primary_key=True,\n    )\n    note = Column(Text(fn(a(b))),\n        nullable=False)\n    head_id = Column(Integer, ForeignKey("order_heads@K@.id"))\n    head = relationship(\n        "Head@K@", back_populates="lines")\n    class Meta:\n        z = Column(Integer)\n    def f(self):\n        inner = Column(Integer)\n        return inner\n\ndef after():\n    late = Column(Integer)\n\nclass Item@K@(SQLModel, table=True):\n    id: int | None = Field(default=None, primary_key=True)\n    owner_id: int = Field(\n        foreign_key="user@K@.id", nullable=False)\n    owner: "User@K@" = Relationship()\n    other = Column(Integer)\n')],
+        {"data_entities": (ENT, [("s@K@.py.wide.Line@K@", "lines@K@", "id", "id:Integer:true,note:Text:false,head_id:Integer:true"), ("s@K@.py.wide.Item@K@", "item@K@", "id", "id:int | None:true,owner_id:Integer:false")]),
+         "relationships": (REL, [("s@K@.py.wide.Line@K@", "OrderHeads@K@", "DEPENDS_ON"), ("s@K@.py.wide.Line@K@", "Head@K@", "DEPENDS_ON"), ("s@K@.py.wide.Item@K@", "User@K@", "DEPENDS_ON"), ("s@K@.py.wide.Item@K@", "User@K@", "DEPENDS_ON")])}, when=(3, 1)),
+    Sample("django-orm", [(f"{P}/py/late_models.py", "from django.db import models\nclass Entry@K@(models.Model):\n    body = models.TextField(\n        blank=f(g(1)),\n        null=True,\n    )\n    owner = models.ForeignKey(\n        to='auth.Owner@K@',\n        on_delete=models.CASCADE)\n    class Meta:\n        ordering = ['x']\n        inner = models.CharField()\n\ndef after():\n    q = models.CharField()\n\nclass Other(Mixin):\n    z = models.CharField()\n")],
+        {"data_entities": (ENT, [("s@K@.py.late_models.Entry@K@", "entry@K@", "id", "id:AutoField:false,body:VARCHAR:true")]),
+         "relationships": (REL, [("s@K@.py.late_models.Entry@K@", "Owner@K@", "DEPENDS_ON")])}, when=(3, 2)),
+    Sample("fastapi-rest", [(f"{P}/py/deep.py", 'from fastapi import APIRouter\nrouter = APIRouter()\n# @router.get("/gone@K@")\n@router.get(\n    "/deep@K@/{key}",\n    dependencies=[Depends(f(g(h(1))))],\n)\n@other(x(y(z())))\nasync def read(key: str, limit: int = Query(10, ge=min(1, 2)), item: Dict[str, Item] = Depends(a(b(c)))):\n    pass\n\ndef make(app):\n    @app.delete("/inner@K@")\n    def gone(): pass\n')],
+        {"api_endpoints": (API + " request_schema", [("s@K@.py.deep", "/deep@K@/{key}", "GET", "Path: key: str; Query: limit: int"), ("s@K@.py.deep", "/inner@K@", "DELETE", None)])}, when=(2, 0)),
     Sample("sqlalchemy-entities", [(f"{P}/py/mapped.py", "from sqlalchemy.orm import Mapped, mapped_column\nclass Tag@K@(Base):\n    id: Mapped[int] = mapped_column(primary_key=True)\n    label: Mapped[Optional[str]] = mapped_column(String(9))\n    price: Mapped[Decimal] = mapped_column(nullable=False)\n")],
-        {"data_entities": (ENT, [("s@K@.py.mapped.Tag@K@", "tag@K@", "id", "id:Integer:false,label:String:true,price:Numeric:false")])}, when=(2, 0)),
+        {"data_entities": (ENT, [("s@K@.py.mapped.Tag@K@", "tag@K@", "id", "id:Integer:true,label:String:true,price:Numeric:false")])}, when=(2, 0)),
     Sample("dotnet-kafka-messaging", [(f"{P}/net/Two.cs", 'using Confluent.Kafka;\nnamespace Two.S@K@;\n\npublic class Hears\n{\n    [KafkaConsumer("heard@K@")]\n    public void On(string m) { }\n}\n\npublic class Says\n{\n    void F() { _p.Produce("said@K@", m); }\n}\n')],
         {"message_flows": (FLOW, [("unknown-publisher", "Two.S@K@.Hears", "heard@K@"), ("Two.S@K@.Hears", "unknown-subscriber", "said@K@"), ("Two.S@K@.Says", "unknown-subscriber", "said@K@")])}, when=(3, 0)),
     Sample("go-http-router", [(f"{P}/go/deep.go", 'package deep@K@\n\nimport "github.com/gorilla/mux"\n\nfunc main() {\n\ta := r.Group("/a")\n\tb := a.Group("/b")\n\tc := b.Group("/c")\n\td := c.Group("/d")\n\te := d.Group("/e")\n\tf := e.Group(`/f`)\n\tg := f.Group("/g")\n\tg.GET("/deep@K@", h)\n\tx := y.Group("/x")\n\ty := x.Group("/y")\n\tr.HandleFunc("/both@K@", h).Methods("GET", "PUT")\n}\n')],
@@ -208,6 +238,7 @@ def _rows_sql(names: list[str], row: tuple, when: tuple[int, int]) -> str:
 def expected_sql(scanner: str, table: str) -> str:
     """SQL for what the scanner has to find in derived_files(), from the supplier table."""
     parts = [_rows_sql(s.finds[table][0].split(), row, s.when) for s in SAMPLES if s.scanner == scanner and table in s.finds for row in s.finds[table][1]]
+    parts += [_rows_sql(c.split(), row, s.when) for s in SAMPLES for i, t, c, row in s.also if (i, t) == (scanner, table)]
     return "\nUNION ALL ".join(parts)
 
 

@@ -40,7 +40,7 @@ LOOKS: dict[str, tuple[list[str], list[str]]] = {
     "grpc-service-go": (GO, ["grpc", "pb."]),
     "graphql-schema": (["**/*.graphql", "**/*.gql"], []),
     "protobuf-schema": (["**/*.proto"], []),
-    "jpa-entities": (JAVA, ["@Entity"]),
+    "jpa-entities": (JAVA, ["@Entity", "@Document"]),
     "mongodb": (JAVA, ["data.mongodb"]),
     "sqlalchemy-entities": (PY, ["sqlalchemy", "sqlmodel"]),
     "django-orm": (["**/models.py", "**/*_models.py"], ["models.Model"]),

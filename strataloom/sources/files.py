@@ -43,6 +43,31 @@ def select_files(files: DataFrame, globs: Sequence[str], words: Sequence[str] =
     return chosen.where(holding(words)) if words else chosen
 
 
+#: By language: texts, which may hold what looks like a comment, and comments.
+_LEXIS = {
+    "java": (r'"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'', r"//[^\n]*+|(?s:/\*.*?\*/)"),
+    "csharp": (r'@"(?:[^"]|"")*+"|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'', r"//[^\n]*+|(?s:/\*.*?\*/)"),
+    "go": (r'`[^`]*+`|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'', r"//[^\n]*+|(?s:/\*.*?\*/)"),
+    # a regular expression in slashes goes like a comment: what it holds is neither a text nor code
+    "javascript": (
+        r'"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|`(?:[^`\\]|\\(?s:.))*+`',
+        r"//[^\n]*+|(?s:/\*.*?\*/)|(?<=[(,=:\[!&|?{};]\s{0,9})/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/",
+    ),
+    "python": (r'(?s:""".*?"""|\'\'\'.*?\'\'\')|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'', r"#[^\n]*+"),
+}
+
+
+def without_comments(text: Column, language: str) -> Column:
+    """A source text without its comments; texts in quotes stay as they are."""
+    texts, comments = _LEXIS[language]
+    return F.regexp_replace(text, f"({texts})|{comments}", "$1")
+
+
+def code_files(files: DataFrame, globs: Sequence[str], words: Sequence[str] = (), language: str = "java") -> DataFrame:
+    """The chosen files, without their comments."""
+    return select_files(files, globs, words).withColumn("content", without_comments(F.col("content"), language))
+
+
 def matches(df: DataFrame, pattern: str, names: Sequence[str], text: str = "content", keep: Sequence[str] = ()) -> DataFrame:
     """A row for each match of the pattern in the text column: rel_path, pos, the kept columns and the groups by name.
 
@@ -53,14 +78,6 @@ def matches(df: DataFrame, pattern: str, names: Sequence[str], text: str = "cont
     return found.select("rel_path", "pos", *keep, *groups)
 
 
-def segments(df: DataFrame, header: str, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """A row for each part of the content that begins with the header: rel_path, part, the groups and the body."""
-    marked = F.split(F.regexp_replace("content", F.lit(f"({header})"), F.lit("\u0002$1")), "\u0002", -1)
-    cut = F.slice(marked, F.lit(2), F.size(marked))  # what stands before the first header belongs to none
-    parts = df.select("rel_path", *keep, F.posexplode(cut).alias("part", "body"))
-    return parts.select("*", *(some(F.regexp_extract("body", f"^(?:{header})", k + 1)).alias(n) for k, n in enumerate(names)))
-
-
 def in_order(parts: Sequence[DataFrame]) -> DataFrame:
     """The matches of several patterns together; places go on from pattern to pattern, within each file."""
     each = [df.withColumn("_kind", F.lit(k)) for k, df in enumerate(parts)]
