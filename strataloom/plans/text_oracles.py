@@ -33,6 +33,8 @@ def runs_sql() -> str:
     return _files("") + ", rn AS (" + "\nUNION ALL ".join(parts) + "), broken AS (" + " UNION ALL ".join(torn) + ")"
 
 
+#: A text without its comments.
+BARE = r"""regexp_replace(regexp_replace(content, '/\*([^*]|\*[^/])*\*/', '', 'g'), '(^|[^:"])//[^\n]*', '\1', 'g')"""
 #: The Java or C# class of a file, with its package or namespace.
 OWNER = r"regexp_extract(content, '(?:package|namespace) ([\w.]+)', 1) || '.' || regexp_extract(content, 'class (\w+)', 1)"
 
@@ -66,17 +68,17 @@ s AS (SELECT me, line, split_part(line, ' ', 1) AS p, split_part(line, ' ', 2) A
 SELECT me AS source_component_id, regexp_replace(p, '/[^/]+(/v\d+)?$', '') AS group_id, regexp_extract(p, '([^/]+(?:/v\d+)?)$', 1) AS artifact_id,
   v AS version, 'compile' AS scope, NOT contains(line, '// indirect') AS direct FROM s""",
     "scan_express_api": rf"""{_files(".js", ".ts")},
-c AS (SELECT regexp_extract(rel_path, '([^/]+)\.[jt]s$', 1) AS me, unnest(regexp_extract_all(content, '(?:app|router)\.\w+\([''"`][^''"`]+')) AS call FROM f WHERE contains(content, 'express'))
+c AS (SELECT regexp_extract(rel_path, '([^/]+)\.[jt]s$', 1) AS me, unnest(regexp_extract_all({BARE}, '(?:app|router)\.\w+\([''"`][^''"`\\][^''"`]*')) AS call FROM f WHERE contains(content, 'express'))
 SELECT me AS component_id, regexp_extract(call, '[''"`](.+)$', 1) AS path, upper(regexp_extract(call, '\.(\w+)', 1)) AS method FROM c""",
     "scan_kafka_streams": _streams(".java", "StreamsBuilder", "stream|table|globalTable", "to", "through"),
     "scan_streamiz_kafka": _streams(".cs", "Streamiz", "Stream|Table|GlobalTable", "To", "Through"),
     "scan_protobuf_schema": rf"""{_files(".proto")},
-s AS (SELECT regexp_extract(content, 'package ([\w.]+);', 1) AS me, unnest(regexp_extract_all(content, 'service \w+ \{{[^}}]+\}}')) AS s FROM f),
-r AS (SELECT me, regexp_extract(s, 'service (\w+)', 1) AS service, unnest(regexp_extract_all(s, 'rpc (\w+)', 1)) AS rpc FROM s)
+r AS (SELECT regexp_extract(content, 'package ([\w.]+);', 1) AS me, regexp_extract(content, 'service (\w+)', 1) AS service, unnest(regexp_extract_all(content, 'rpc (\w+)', 1)) AS rpc FROM f)
 SELECT me AS component_id, '/' || me || '.' || service || '/' || rpc AS path, 'POST' AS method FROM r""",
     "scan_sql_migration_relationships": rf"""{_files(".sql")},
-t AS (SELECT unnest(string_split(regexp_replace(content, '--[^\n]*', '', 'g'), ';')) AS t FROM f),
-r AS (SELECT regexp_extract(t, 'CREATE TABLE (?:IF NOT EXISTS )?(\w+)', 1) AS source_id, unnest(regexp_extract_all(t, 'REFERENCES (\w+)', 1)) AS target_id FROM t)
+b AS (SELECT regexp_replace(regexp_replace(regexp_replace(content, '''[^'']*''', '', 'g'), '--[^\n]*', '', 'g'), '/\*[^*]*\*/', '', 'g') AS content FROM f),
+t AS (SELECT unnest(string_split(content, ';')) AS t FROM b),
+r AS (SELECT regexp_extract(t, 'CREATE TABLE (?:IF NOT EXISTS )?(?:\w+\.)?(\w+)', 1) AS source_id, unnest(regexp_extract_all(t, 'REFERENCES (\w+)', 1)) AS target_id FROM t)
 SELECT source_id, target_id, 'DEPENDS_ON' AS type FROM r WHERE source_id <> ''""",
     "scan_celery_tasks": rf"""{_files(".py")},
 p AS (SELECT replace(regexp_replace(rel_path, '\.py$', ''), '/', '.') AS me, content FROM f WHERE contains(content, 'celery')),
@@ -140,23 +142,31 @@ SELECT NULL AS publisher_component_id, a.me || '.' || regexp_extract(a, 'def (\w
 FROM a LEFT JOIN v ON v.me = a.me AND var = regexp_extract(a, '\((\w+)', 1)
 UNION ALL SELECT s.me, NULL, coalesce(topic, s.var) FROM s LEFT JOIN v ON v.me = s.me AND v.var = s.var""",
     "scan_graphql_schema": rf"""{_files(".graphql", ".gql")},
-q AS (SELECT regexp_extract(rel_path, '([^/]+)\.\w+$', 1) AS me, unnest(['Query', 'Mutation', 'Subscription']) AS root, content FROM f),
-b AS (SELECT me, upper(root) AS root, unnest(string_split(regexp_extract(content, 'type ' || root || ' \{{([^}}]*)\}}', 1), chr(10))) AS line FROM q)
-SELECT me AS component_id, regexp_extract(line, '(\w+)', 1) AS path, root AS method, nullif(regexp_extract(line, '\(([^)]*)\)', 1), '') AS request_schema, replace(regexp_extract(line, ': ([^:()]+)$', 1), '!', '') AS response_schema
-FROM b WHERE regexp_matches(line, '\w')""",
+b AS (SELECT regexp_extract(rel_path, '([^/]+)\.\w+$', 1) AS me, regexp_replace(regexp_replace(content, '"{{3}}[^"]*"{{3}}', '', 'g'), 'extend type (\w+) \{{ (.*) \}}', 'type \1 {{' || chr(10) || '  \2' || chr(10) || '}}', 'g') AS content FROM f),
+c AS (SELECT me, chr(10) || unnest(string_split(content, chr(10) || '}}')) AS c FROM b),
+q AS (SELECT me, regexp_extract(c, '\ntype (Query|Mutation|Subscription)\b', 1) AS root, c FROM c),
+l AS (SELECT me, upper(root) AS root, unnest(string_split(c, chr(10))) AS line FROM q WHERE root <> '')
+SELECT me AS component_id, regexp_extract(line, '(\w+)', 1) AS path, root AS method,
+  CASE WHEN regexp_matches(line, '^\s+\w+\(') THEN replace(array_to_string(regexp_extract_all(regexp_extract(line, '\((.*)\)', 1), '\w+: \[*[A-Z]\w*[!\]]*'), ', '), '!', '') END AS request_schema,
+  replace(CASE WHEN regexp_matches(line, '^\s+\w+\(') THEN regexp_extract(line, '\): (\S+)', 1) ELSE regexp_extract(line, '^\s+\w+: (\S+)', 1) END, '!', '') AS response_schema
+FROM l WHERE regexp_matches(line, '^\s+\w')""",
     "scan_mongodb_relationships": rf"""{_files(".java")},
 j AS (SELECT {OWNER} AS me, unnest(regexp_extract_all(content, '@DBRef\s+private [^;]+;')) AS d FROM f WHERE contains(content, '@Document'))
 SELECT me AS source_id, coalesce(nullif(regexp_extract(d, '<(\w+)>', 1), ''), regexp_extract(d, 'private (\w+)', 1)) AS target_id, 'DEPENDS_ON' AS type FROM j""",
     "scan_jpa_entities_relationships": rf"""{_files(".java")},
-j AS (SELECT {OWNER} AS me, unnest(regexp_extract_all(content, '@(?:OneToMany|ManyToOne|OneToOne|ManyToMany)\s+private [^;]+;')) AS d FROM f WHERE contains(content, '@Entity'))
+j AS (SELECT {OWNER} AS me, unnest(regexp_extract_all(content, '@(?:OneToMany|ManyToOne|OneToOne|ManyToMany)(?:\([^)]*\))?\s+[^;]+;')) AS d FROM f WHERE contains(content, '@Entity'))
 SELECT me AS source_id, coalesce(nullif(regexp_extract(d, '<(\w+)>', 1), ''), regexp_extract(d, 'private (\w+)', 1)) AS target_id, 'DEPENDS_ON' AS type FROM j""",
     "scan_django_orm_relationships": rf"""{_files("models.py")},
 p AS (SELECT replace(regexp_replace(rel_path, '\.py$', ''), '/', '.') || '.' || regexp_extract(content, 'class (\w+)\(models.Model', 1) AS me,
-  unnest(regexp_extract_all(content, 'models\.(?:ForeignKey|OneToOneField|ManyToManyField)\(''[^'']+')) AS k FROM f WHERE contains(content, 'models.Model'))
+  unnest(regexp_extract_all(content, 'models\.(?:ForeignKey|OneToOneField|ManyToManyField)\(\s*(?:to=)?''[^'']+')) AS k FROM f WHERE contains(content, 'models.Model'))
 SELECT me AS source_id, regexp_extract(k, '(\w+)$', 1) AS target_id, 'DEPENDS_ON' AS type FROM p""",
     "scan_sqlalchemy_entities_relationships": rf"""{_files(".py")},
-p AS (SELECT replace(regexp_replace(rel_path, '\.py$', ''), '/', '.') || '.' || regexp_extract(content, 'class (\w+)\(Base\)', 1) AS me, content FROM f WHERE contains(content, 'sqlalchemy'))
-SELECT me AS source_id, unnest(regexp_extract_all(content, '(?:ForeignKey|relationship)\(''(\w+)', 1)) AS target_id, 'DEPENDS_ON' AS type FROM p""",
+k AS (SELECT replace(regexp_replace(rel_path, '\.py$', ''), '/', '.') AS mod, unnest(string_split(content, chr(10) || 'class ')) AS k FROM f WHERE contains(content, 'sqlalchemy')),
+p AS (SELECT mod || '.' || regexp_extract(k, '^(\w+)', 1) AS me, k FROM k WHERE regexp_matches(k, '^\w+\((?:Base|SQLModel, table=True)\):')),
+t AS (SELECT me, unnest(regexp_extract_all(k, '(?:ForeignKey\(|foreign_key=)[''"](\w+)\.', 1)) AS t FROM p)
+SELECT me AS source_id, array_to_string(list_transform(string_split(t, '_'), lambda x: upper(x[1]) || x[2:]), '') AS target_id, 'DEPENDS_ON' AS type FROM t
+UNION ALL SELECT me, unnest(regexp_extract_all(k, 'relationship\(\s*[''"](\w+)', 1)), 'DEPENDS_ON' FROM p
+UNION ALL SELECT me, unnest(regexp_extract_all(k, ': "(\w+)" = Relationship', 1)), 'DEPENDS_ON' FROM p""",
     "scan_go_modules": f"""{_files("go.mod")}
 SELECT substr(sha256('go|' || split_part(line, ' ', 2)), 1, 16) AS id, split_part(line, ' ', 2) AS name, 'SERVICE' AS type FROM lines WHERE line LIKE 'module %'""",
     "scan_npm_dependencies": f"""{_files("package.json")}
@@ -164,9 +174,51 @@ SELECT substr(sha256('npm|' || (content::JSON->>'$.name')), 1, 16) AS id, conten
     "scan_gradle_dependencies": rf"""{_files("build.gradle")}, p AS (SELECT regexp_extract(rel_path, '([^/]+)/build.gradle$', 1) AS name FROM f)
 SELECT substr(sha256('gradle|' || name), 1, 16) AS id, name, 'SERVICE' AS type FROM p""",
     "scan_protobuf_schema_data_entities": rf"""{_files(".proto")},
-m AS (SELECT regexp_extract(content, 'package ([\w.]+);', 1) AS me, unnest(regexp_extract_all(content, 'message \w+ \{{[^}}]+\}}')) AS m FROM f),
-x AS (SELECT me, regexp_extract(m, 'message (\w+)', 1) AS name, regexp_extract_all(m, '(?:(?:repeated|optional) )?[\w.]+ \w+ = \d+') AS fs FROM m)
-SELECT me AS component_id, name, NULL AS primary_key, array_to_string(list_transform(fs, lambda y: regexp_extract(y, '(\w+) =', 1) || ':' || regexp_extract(y, '([\w.]+) \w+ =', 1) || ':true'), ',') AS fields FROM x""",
+b AS (SELECT regexp_extract(content, 'package ([\w.]+);', 1) AS me, string_split({BARE}, 'service ')[1] AS content FROM f),
+i AS (SELECT me, unnest(regexp_extract_all(content, 'message \w+ \{{[^{{}}\n]*\}}')) AS m FROM b),
+o AS (SELECT me, regexp_replace(content, 'message \w+ \{{[^{{}}\n]*\}}', '', 'g') AS m FROM b),
+x AS (SELECT me, regexp_extract(m, 'message (\w+)', 1) AS name, regexp_extract_all(m, '(?:(?:repeated|optional|required) )?(?:map<[^>]*>|[\w.]+) \w+ = \d+') AS fs FROM (SELECT * FROM i UNION ALL SELECT * FROM o))
+SELECT me AS component_id, name, NULL AS primary_key, array_to_string(list_transform(fs, lambda y: regexp_extract(y, '(\w+) =', 1) || ':' || regexp_extract(y, '(map<[^>]*>|[\w.]+) \w+ =', 1) || ':' || (NOT starts_with(y, 'required'))), ',') AS fields FROM x""",
     "scan_nuget_dependencies": rf"""{_files(".csproj")}, p AS (SELECT regexp_extract(rel_path, '([^/]+)\.csproj$', 1) AS name FROM f)
 SELECT substr(sha256('nuget|' || name), 1, 16) AS id, name, 'SERVICE' AS type FROM p""",
+    "scan_fastapi_rest": rf"""{_files(".py")},
+p AS (SELECT replace(regexp_replace(rel_path, '\.py$', ''), '/', '.') AS me, regexp_replace(content, '#[^\n]*', '', 'g') AS content FROM f WHERE contains(content, 'fastapi')),
+d AS (SELECT me, unnest(regexp_extract_all(content, '@\w+\.(?:get|post|put|delete|patch)\(\s*"[^@]*(?:@other[^\n]*\s*)?(?:async )?def \w+\([^\n]*\):')) AS d FROM p),
+e AS (SELECT me, regexp_extract(d, '"([^"]*)"', 1) AS path, upper(regexp_extract(d, '\.(\w+)', 1)) AS method, regexp_extract(d, 'def \w+\((.*)\):', 1) AS args FROM d),
+a AS (SELECT me, path, method, regexp_extract_all(args, '\w+: \w+') AS a FROM e),
+g AS (SELECT me, path, method, a, list_filter(a, lambda x: contains(path, '{{' || regexp_extract(x, '(\w+)', 1) || '}}')) AS inp FROM a),
+h AS (SELECT me, path, method, inp, list_filter(a, lambda x: NOT list_contains(inp, x) AND regexp_matches(x, ': (str|int|float|bool)$')) AS q,
+  list_filter(a, lambda x: NOT list_contains(inp, x) AND regexp_matches(x, ': [A-Z]\w*$') AND NOT regexp_matches(x, ': Dict')) AS bo FROM g)
+SELECT me AS component_id, path, method, nullif(array_to_string(list_filter([CASE WHEN len(inp) > 0 THEN 'Path: ' || array_to_string(inp, ', ') END, CASE WHEN len(q) > 0 THEN 'Query: ' || array_to_string(q, ', ') END,
+  CASE WHEN len(bo) > 0 THEN 'Body: ' || array_to_string(bo, ', ') END], lambda x: x IS NOT NULL), '; '), '') AS request_schema FROM h""",
+    "scan_jaxrs_api": rf"""{_files(".java")},
+j AS (SELECT {OWNER} AS me, content, regexp_extract(content, '@Path\("([^"]*)"\)', 1) AS base, regexp_extract(content, '@Produces\(MediaType\.(\w+)\)', 1) AS made,
+  regexp_extract(content, '@Consumes\(([^)]*)\)', 1) AS taken FROM f WHERE contains(content, 'ws.rs')),
+m AS (SELECT *, unnest(regexp_extract_all(content, '(?:@Path\("[^"]*"\)\s+)?@(?:GET|POST|PUT|DELETE)\s+(?:@\w+\("[^"]*"\)\s+)*public [^(]+\([^{{]*\{{')) AS m FROM j),
+n AS (SELECT *, regexp_extract(m, '@(GET|POST|PUT|DELETE)', 1) AS method, regexp_extract(m, '@Path\("([^"]*)"\)', 1) AS sub, regexp_extract(m, 'public (\S+) \w+\(', 1) AS ret, regexp_extract(m, '@Produces\("([^"]*)"\)', 1) AS own,
+  list_transform(regexp_extract_all(m, '@\w+Param\("\w+"\) \w+ \w+'), lambda x: regexp_extract(x, '@(\w+)', 1) || ':' || regexp_extract(x, '(\w+)$', 1) || ':' || regexp_extract(x, '(\w+) \w+$', 1)) AS ps FROM m),
+o AS (SELECT *, CASE WHEN own <> '' THEN own WHEN made = 'APPLICATION_JSON' THEN 'application/json' END AS produces FROM n)
+SELECT me AS component_id, CASE WHEN sub = '' THEN base ELSE base || '/' || ltrim(sub, '/') END AS path, method,
+  coalesce(nullif(array_to_string(ps, ', '), ''), nullif(regexp_replace(taken, '[{{}}"]', '', 'g'), '')) AS request_schema, ret || coalesce(' (' || produces || ')', '') AS response_schema FROM o""",
+    "scan_spring_rest_api": rf"""{_files(".java")},
+b AS (SELECT {BARE} AS bare FROM f WHERE regexp_matches(content, '@(Rest)?Controller')),
+j AS (SELECT regexp_extract(bare, 'package ([\w.]+)', 1) || '.' || regexp_extract(bare, 'class (\w+)', 1) AS me, regexp_extract(bare, '@RequestMapping\((?:path = )?"([^"]*)"\)\s+public class', 1) AS base,
+  regexp_replace(string_split(bare, chr(10) || 'class ')[1], 'static class \w+ \{{\n[^\n]*\n', '', 'g') AS c FROM b),
+m AS (SELECT me, base, unnest(regexp_extract_all(c, '@\w+Mapping[^\n]*\n(?: +@Pre[^\n]*\n)? +[^\n@][^\n]*\{{')) AS m FROM j UNION ALL SELECT me, base, unnest(regexp_extract_all(c, 'public @ResponseBody @\w+Mapping[^\n]*\{{')) FROM j),
+n AS (SELECT me, base, regexp_extract(m, '@(\w+)Mapping', 1) AS verb, regexp_extract(m, 'Mapping\(([^\n]*?)\)(?: Hit|\n)', 1) AS args, CASE WHEN contains(m, chr(10)) THEN string_split(m, chr(10))[-1] ELSE regexp_extract(m, '\) (Hit .*)$', 1) END AS sig FROM m),
+o AS (SELECT *, unnest(CASE WHEN args = '' THEN [''] ELSE regexp_extract_all(regexp_extract(args, '^(?:(?:value|path) = )?(\{{[^}}]*\}}|"[^"]*")', 1), '"([^"]*)"', 1) END) AS sub FROM n),
+p AS (SELECT *, unnest(CASE WHEN verb <> 'Request' THEN [upper(verb)] ELSE regexp_extract_all(args, 'RequestMethod\.(\w+)', 1) END) AS method,
+  list_transform(regexp_extract_all(sig, '@(?:PathVariable|RequestParam|RequestBody|RequestHeader)(?:\([^)]*\))? (?:final )?\w+ \w+'), lambda x: regexp_extract(x, '@(\w+)', 1) || ':' || regexp_extract(x, '(\w+)$', 1) || ':' || regexp_extract(x, '(\w+) \w+$', 1)) AS ps FROM o)
+SELECT me AS component_id, CASE WHEN sub = '' THEN base ELSE base || '/' || ltrim(sub, '/') END AS path, method, nullif(array_to_string(ps, ', '), '') AS request_schema,
+  regexp_extract(sig, '^ *(?:public )?(.*?) \w+\(', 1) AS response_schema FROM p""",
+    "scan_jpa_entities": rf"""{_files(".java")},
+b AS (SELECT content, regexp_extract(content, 'package ([\w.]+)', 1) || '.' || regexp_extract(content, 'class (\w+)', 1) AS me, regexp_extract(content, 'class (\w+)', 1) AS cls FROM f WHERE regexp_matches(content, '@Entity|@Document')),
+e AS (SELECT me, coalesce(nullif(regexp_extract(content, '@(?:Table\(name|Document\(collection) = "([^"]*)"', 1), ''), lower(regexp_replace(cls, '([a-z])([A-Z])', '\1_\2', 'g'))) AS name,
+  string_split(string_split(content, 'class ')[2], chr(10) || 'class ')[1] AS c FROM b),
+l AS (SELECT me, name, regexp_extract_all(regexp_replace(c, '\{{[^\n]*return[^\n]*\}}|enum[^\n]*', '', 'g'), '(?:@\w+(?:\([^\n]*\))?\s+)*(?:(?:public|private|protected|static|final) )*[\w<>]+(?:\[\])? \w+(?:, \w+)*(?: = [^\n]*)?;') AS ls FROM e),
+x AS (SELECT me, name, list_filter(ls, lambda y: NOT regexp_matches(y, '@(OneToMany|ManyToOne|OneToOne|ManyToMany)')) AS ls FROM l),
+y AS (SELECT me, name, ls, list_transform(ls, lambda y: regexp_extract(regexp_replace(y, ' = [^\n@]*;$', ';'), '([\w<>]+(?:\[\])? \w+(?:, \w+)*);$', 1)) AS ds, list_transform(ls, lambda y: NOT contains(y, 'nullable = false')) AS ns FROM x),
+z AS (SELECT me, name, regexp_extract(array_to_string(ls, ' '), '@Id\s+(?:private )?\w+ (\w+)', 1) AS pk, flatten(list_transform(range(1, len(ds) + 1), lambda i: list_transform(string_split(regexp_extract(ds[i], ' (.*)$', 1), ', '),
+  lambda n: n || ':' || replace(regexp_extract(ds[i], '^(\S+)', 1), '[]', '') || ':' || ns[i]))) AS fs FROM y)
+SELECT me AS component_id, name, pk AS primary_key, array_to_string(fs, ',') AS fields FROM z""",
 }
