@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from strataloom.functions.text import text_or_null
 from strataloom.model import KEYS, ORIGIN, TABLES
 from strataloom.operators import dotnet, jvm, python_lang, schema_lang, web_go_ruby
 from strataloom.operators.gates import GATES, applicable
-from strataloom.plans.staging import own_files, scan_runs, staged
-from strataloom.sources.tables import written
+from strataloom.plans.staging import LOOKS, own_files, scan_runs, staged
+from strataloom.sources.tables import committed, is_committed, scratch
 
 
 @dataclass(frozen=True)
@@ -108,33 +110,77 @@ def first_wins(df: DataFrame, table: str, count: str | None = None) -> DataFrame
     return best.select("c.row.*", *([F.col("_n").alias(count)] if count else []))
 
 
+#: Scanners that run at a time; each has jobs of its own.
+AT_ONCE = 8
+
+
+def _run_one(scanner: Scanner, files: DataFrame, root: str) -> dict[str, str]:
+    """Writes what a scanner finds, table by table, and returns the paths; jobs bear the scanner's id as their tag."""
+    spark, out = files.sparkSession, {}
+    spark.addTag(scanner.id)
+    try:
+        done = f"{root}/{scanner.id}/done"
+        if is_committed(spark, done):
+            return {r.table: r.path for r in spark.read.parquet(done).collect()}  # a row a table
+        for table, df in scanner.run(files).items():
+            out[table] = f"{root}/{scanner.id}/{table}"
+            committed(df, out[table])
+        spark.createDataFrame(list(out.items()), "table string, path string").coalesce(1).write.mode("overwrite").parquet(done)
+        return out
+    finally:
+        spark.removeTag(scanner.id)
+
+
+def run_scanners(chosen: Iterable[str], tree: DataFrame, root: str) -> tuple[dict[str, list[str]], dict[str, str]]:
+    """Runs scanners side by side, each by itself: (paths by table, what those that broke off said by scanner).
+
+    What a scanner finds counts when all its tables are there. One that breaks off leaves nothing but its error, and a
+    later run in the same folder repeats only what was not done.
+    """
+    paths: dict[str, list[str]] = {}
+    errors: dict[str, str] = {}
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        started = {i: pool.submit(inheritable_thread_target(tree.sparkSession)(_run_one), SCANNERS[i], own_files(tree, i), root) for i in chosen}
+        for i, one in started.items():
+            try:
+                for table, path in one.result().items():
+                    paths.setdefault(table, []).append(path)
+            except Exception as e:  # whatever it is, it is this scanner's alone
+                errors[i] = f"{type(e).__name__}: {str(e).strip().splitlines()[0][:300] if str(e).strip() else ''}"
+    return paths, errors
+
+
+def _read(spark: SparkSession, table: str, paths: list[str]) -> DataFrame:
+    blank = empty(spark, table)
+    return spark.read.schema(blank.schema).parquet(*paths) if paths else blank
+
+
 def scan_with_runs(
-    files: DataFrame, mode: str = "auto", enabled: Iterable[str] = (), groups: Iterable[str] = (), detect_crud: bool = True, gated: bool = True
+    files: DataFrame, mode: str = "auto", enabled: Iterable[str] = (), groups: Iterable[str] = (), detect_crud: bool = True, gated: bool = True, into: str | None = None
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """The catalog of a source tree, each model table with one row for each key; and the runs of the scanners.
 
-    The tree is read once. With `gated`, scanners that ask for a framework run only where the tree uses it.
+    The tree is read once. With `gated`, scanners that ask for a framework run only where the tree uses it. A scanner
+    that breaks off has a failed run with its error, and the others' findings stand. With a folder `into`, a scan that is
+    run again there goes on where the last one ended.
     """
     spark = files.sparkSession
     chosen = scanner_ids(mode, enabled, groups)
     runs = sorted((c for c in chosen if c in SCANNERS), key=lambda c: (SCANNERS[c].priority, c))
-    tree = staged(files, runs)
-    own = {i: own_files(tree, i) for i in runs}
+    root = into or scratch(spark, "scan")
+    tree = staged(files, runs, f"{root}/tree")
     first = [i for i in runs if SCANNERS[i].subject == "dependencies"]
-    found = [SCANNERS[i].run(own[i]) for i in first]
-    dependencies = written(union_all(spark, found)["dependencies"], "dependencies")
+    paths, errors = run_scanners(first, tree, root)
     if gated and set(runs) & set(GATES):
-        sources = tree.where(F.col("scanned") & F.col("scanner_id").isin(list(GATES)))
-        off = {r.scanner_id for r in applicable(sources, dependencies).where("NOT applies").collect()}  # a row a scanner
+        dependencies = _read(spark, "dependencies", paths.get("dependencies", []))
+        off = {r.scanner_id for r in applicable(tree, dependencies, LOOKS).where("NOT applies").collect()}  # a row a scanner
         runs = [i for i in runs if i not in off]
-    found += [SCANNERS[i].run(own[i]) for i in runs if i not in first]
-    tables = union_all(spark, found)
-    tables["dependencies"] = dependencies
-    tables = {t: df if t == "dependencies" else written(df, t) for t, df in tables.items()}
+    more, broke = run_scanners([i for i in runs if i not in first], tree, root)
+    tables = {t: _read(spark, t, paths.get(t, []) + more.get(t, [])) for t in TABLES}
     if DERIVED in chosen:
         flows = schema_lang.rest_event_flow(first_wins(tables["api_endpoints"], "api_endpoints"), detect_crud)["message_flows"]
         tables["message_flows"] = tables["message_flows"].unionByName(flows)
-    return {t: first_wins(df, t) for t, df in tables.items()}, scan_runs(tree)
+    return {t: first_wins(df, t) for t, df in tables.items()}, scan_runs(tree, errors | broke)
 
 
 def scan(files: DataFrame, *args, **how) -> dict[str, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -63,6 +64,30 @@ def without_comments(text: Column, language: str) -> Column:
     return F.regexp_replace(text, f"({texts})|{comments}", "$1")
 
 
+def unbalanced(text: Column, language: str) -> Column:
+    """Whether a source text has more or fewer closing brackets than opening ones, texts and comments aside."""
+    texts, comments = _LEXIS[language]
+    bare = F.regexp_replace(text, f"{texts}|{comments}", "")
+    count = lambda c: F.length(F.replace(bare, F.lit(c), F.lit("")))
+    return (count("(") != count(")")) | (count("[") != count("]")) | (count("{") != count("}"))
+
+
+def one_pass(words: Sequence[str]) -> str:
+    """A pattern whose matches, at any place, are the longest of the words that begin there: a tree of their letters."""
+
+    def tree(rest: Sequence[str]) -> str:
+        by: dict[str, list[str]] = {}
+        for w in sorted(set(rest)):
+            by.setdefault(w[:1], []).append(w[1:])
+        ends = "" in by
+        parts = [re.escape(c) + tree(own) for c, own in by.items() if c]
+        if not parts:
+            return ""
+        return f"(?:{'|'.join(parts)})" + "?" * ends
+
+    return f"(?=({tree(words)}))"
+
+
 def code_files(files: DataFrame, globs: Sequence[str], words: Sequence[str] = (), language: str = "java") -> DataFrame:
     """The chosen files, without their comments."""
     return select_files(files, globs, words).withColumn("content", without_comments(F.col("content"), language))

@@ -43,6 +43,19 @@ def written(df: DataFrame, what: str, by: Sequence[str] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_committed(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written there to its end."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def committed(df: DataFrame, path: str, by: Sequence[str] = ()) -> DataFrame:
+    """The rows of df as a Parquet table at path; what an earlier run has written there to its end is used as it is."""
+    if not is_committed(df.sparkSession, path):
+        df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes all tables that this application has written; what reads them must be over."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))

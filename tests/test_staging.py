@@ -1,5 +1,6 @@
 """The tree read once, broken files among it, gates, runs, configuration and the JSON document."""
 
+import dataclasses
 import json
 
 import pytest
@@ -11,7 +12,9 @@ from strataloom.operators import gates
 from strataloom.operators import relational as rel
 from strataloom.plans import render, staging
 from strataloom.plans.corpus import derived_files
+from strataloom.plans import scan as scan_module
 from strataloom.plans.scan import SCANNERS, scan, scan_with_runs
+from strataloom.sources.files import one_pass
 from strataloom.sources.tables import release, scratch, written
 
 SF = "/root/testdata/sf0.001"
@@ -72,7 +75,8 @@ def test_gates(spark):
     assert value(gates.has_files("**/*.py") & ~gates.has_files("**/*.java")) and value(gates.uses("kafka") | gates.always())
     assert not value(gates.never()) and not value(gates.has_file_containing("flask")) and value(gates.has_file_containing("os", "flask"))
     assert not value(gates.has_files("**/*"), none.limit(0), dep.limit(0))
-    applies = {r.scanner_id: r.applies for r in gates.applicable(none, dep).collect()}
+    tree = staging.staged(none, list(SCANNERS))
+    applies = {r.scanner_id: r.applies for r in gates.applicable(tree, dep.where("group_id = 'x'"), staging.LOOKS).collect()}
     assert set(applies) == set(gates.GATES) and not any(applies.values())
     service = tree_of(spark, [("a/S.java", SERVICE)])
     assert scan(service)["components"].count() == 0 and scan(service, gated=False)["components"].count() == 1
@@ -138,3 +142,39 @@ def test_scratch_is_released(spark, tmp_path):
     release(spark)
     with pytest.raises(Exception, match="."):
         spark.read.parquet(folder).count()
+
+
+def test_a_scanner_that_breaks_off_leaves_the_others(spark, monkeypatch, tmp_path):
+    calls = []
+
+    def counted(scanner):
+        def run(files):
+            calls.append(scanner.id)
+            return scanner.run(files)
+
+        return dataclasses.replace(scanner, run=run)
+
+    def torn(files):
+        return {"components": files.select(F.raise_error(F.lit("torn")).alias("id"))}
+
+    own = {i: counted(s) for i, s in SCANNERS.items()}
+    monkeypatch.setattr(scan_module, "SCANNERS", own | {"go-modules": dataclasses.replace(SCANNERS["go-modules"], run=torn)})
+    files = derived_files(spark, SF).where("rel_path RLIKE '(7|8)/'")
+    catalog, runs = scan_with_runs(files, into=f"{tmp_path}/scan")
+    assert [(r.scanner_id, r.severity) for r in rel.quality_gaps(runs).where("severity = 'ERROR'").collect() if "torn" in r.message] == [("go-modules", "ERROR")]
+    assert {r.id for r in catalog["components"].collect()} and not catalog["dependencies"].where("scanner_id = 'go-modules'").count()
+    assert catalog["dependencies"].where("scanner_id = 'maven-dependencies'").count()
+    monkeypatch.setattr(scan_module, "SCANNERS", own)
+    calls.clear()
+    again, runs = scan_with_runs(files, into=f"{tmp_path}/scan")
+    assert calls == ["go-modules"] and again["dependencies"].where("scanner_id = 'go-modules'").count()
+    assert not [r for r in rel.quality_gaps(runs).collect() if "torn" in r.message]
+
+
+def test_words_are_found_in_one_pass(spark):
+    words = ["KafkaListener", "Kafka", "Listener", "net/http", "`", ".Map", "a.b"]
+    texts = ["x KafkaListenerX", "Kafka KafkaListene", "`net/http`", "aab a.b.Map", "", "none"]
+    df = spark.createDataFrame([(t,) for t in texts], "content string")
+    found = df.select("content", F.array_distinct(F.regexp_extract_all("content", F.lit(one_pass(words)), F.lit(1))).alias("w")).collect()
+    for r in found:
+        assert {w for w in words if any(f.startswith(w) for f in r.w)} == {w for w in words if w in r.content}
