@@ -57,7 +57,8 @@ class Config:
     def from_file(cls, spark: SparkSession, path: str) -> Config:
         """The configuration in a YAML or JSON file, wherever Spark can read it; the default if there is none or it is bad.
 
-        YAML needs a YAML library; without one the file must be JSON, which is YAML too.
+        YAML needs a YAML library; without one the file must be JSON, which is YAML too, and a YAML file that is not is an
+        error: its restrictions would be lost in silence.
         """
         try:
             import yaml
@@ -68,7 +69,11 @@ class Config:
         try:
             text = spark.read.text(path, wholetext=True).first()
             given = load(text.value) if text else None
-        except (bad, AnalysisException):
+        except AnalysisException:
+            return cls()
+        except bad:
+            if load is json.loads and path.endswith((".yaml", ".yml")):
+                raise RuntimeError(f"{path} cannot be read: no YAML library is installed, and it is no JSON") from None
             return cls()
         return cls.from_dict(given) if isinstance(given, dict) else cls()
 
@@ -110,6 +115,18 @@ def project_type(files: DataFrame) -> DataFrame:
     return files.agg(out.alias("type"))
 
 
+#: What documents are made by and where they go.
+GENERATORS = {"mermaid": "diagrams of components, dependencies, entities, flows and calls", "markdown": "catalogs, the scan's quality and an index", "json": "the system's configuration"}
+RENDERERS = {"filesystem": "one file a document", "console": "the first lines of a document"}
+
+
+def listing(spark: SparkSession) -> DataFrame:
+    """(kind, id, about): the scanners, generators and renderers that there are."""
+    own = [("generator", k, v) for k, v in GENERATORS.items()] + [("renderer", k, v) for k, v in RENDERERS.items()]
+    about = F.concat_ws(", ", "language", "subject")
+    return registry(spark).select(F.lit("scanner").alias("kind"), F.col("scanner_id").alias("id"), about.alias("about")).unionByName(spark.createDataFrame(own, "kind string, id string, about string"))
+
+
 def scanners(spark: SparkSession) -> DataFrame:
     return registry(spark)
 

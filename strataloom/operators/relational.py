@@ -113,13 +113,17 @@ def quality_gaps(runs: DataFrame, most_failures: float = 20.0) -> DataFrame:
 def error_details(outcomes: DataFrame, most: int = 10) -> DataFrame:
     """(error_type, n, details): the first `most` details of each error type, in order; the limit is the report's.
 
-    Each task keeps no more than the first of its own, so a frequent error gathers nothing unbounded.
+    The filter on the rank is the window's own limit, so each task passes on its first `most` of a type and no more; a
+    frequent error's details are dealt out to buckets and ranked there before the buckets' first meet.
     """
-    order = Window.partitionBy("error_type").orderBy("detail")
-    counted = outcomes.where(F.col("error_type").isNotNull()).groupBy("error_type", "detail").agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(order))
-    listed = ranked.groupBy("error_type").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.col("detail")))).alias("details"))
-    return listed
+    known = outcomes.where(F.col("error_type").isNotNull())
+    bucket = F.pmod(F.xxhash64("detail"), F.lit(64)).alias("bucket")
+    by = lambda *keys: F.row_number().over(Window.partitionBy("error_type", *keys).orderBy("detail"))
+    distinct = known.select("error_type", "detail", bucket).distinct()
+    few = distinct.withColumn("rank", by("bucket")).where(F.col("rank") <= most).drop("rank")
+    first = few.withColumn("rank", by()).where(F.col("rank") <= most)
+    listed = first.groupBy("error_type").agg(F.array_sort(F.collect_list("detail")).alias("details"))
+    return known.groupBy("error_type").agg(F.count("*").alias("n")).join(listed, "error_type")
 
 
 def error_histogram(outcomes: DataFrame, most: int = 10) -> DataFrame:

@@ -164,6 +164,21 @@ SAMPLES = [
 <dependencyManagement><dependencies><dependency><groupId>man.g@K@</groupId><artifactId>aged</artifactId><version>7</version><scope>runtime</scope></dependency></dependencies></dependencyManagement>
 <build><plugins><plugin><groupId>x</groupId><artifactId>y</artifactId><dependencies><dependency><groupId>no.g@K@</groupId><artifactId>no</artifactId></dependency></dependencies></plugin></plugins></build></project>""")],
         {"components": (COMP, [("sha:maven|pl.g@K@|plug@K@", "plug@K@", "SERVICE")]), "dependencies": (DEP, [("plug@K@", "man.g@K@", "aged", "7", "runtime")])}, when=(4, 1)),
+    # broken code files: what can be read of them is read
+    Sample("spring-rest-api", [(f"{P}/java/TornController.java", 'package to.s@K@;\n@RestController\npublic class TornController {\n  @GetMapping("/torn@K@")\n  public String get() {\n    return f("";\n')],
+        {"api_endpoints": (CALL, [("to.s@K@.TornController", "/torn@K@", "GET", None, "String")])}, when=(4, 3)),
+    Sample("fastapi-rest", [(f"{P}/py/torn.py", 'from fastapi import FastAPI\n@app.get("/torn@K@")\ndef read(key: str):\n    x = f(\n')],
+        {"api_endpoints": (API + " request_schema", [("s@K@.py.torn", "/torn@K@", "GET", "Query: key: str")])}, when=(4, 2)),
+    Sample("go-struct", [(f"{P}/go/torn.go", 'package torn@K@\n\ntype Torn struct {\n\tID int64 `gorm:"primaryKey"`\n')],
+        {"data_entities": (ENT, [("torn@K@", "torns", "id", "id:INTEGER:false")])}, when=(4, 1)),
+    Sample("aspnetcore-rest", [(f"{P}/net/TornController.cs", 'namespace To.S@K@;\n[ApiController]\npublic class TornController : ControllerBase\n{\n    [HttpGet("a@K@")]\n    public int Get(int id) { return f(1; }\n')],
+        {"api_endpoints": (API + " request_schema", [("To.S@K@.TornController", "/api/torn/a@K@", "GET", "Query: id: int")])}, when=(4, 0)),
+    Sample("graphql-schema", [(f"{P}/schema/torn@K@.graphql", 'type Query {\n  kept(id: ID!): Int\n}\ntype Torn {\n  id: ID!\n')],
+        {"api_endpoints": (API + " request_schema response_schema", [("torn@K@", "kept", "QUERY", "id: ID", "Int")])}, when=(4, 3)),
+    Sample("protobuf-schema", [(f"{P}/schema/torn.proto", 'syntax = "proto3";\npackage torn.v@K@;\nmessage Torn {\n  string id = 1;\n')],
+        {"data_entities": (ENT, [("torn.v@K@", "Torn", None, "id:string:true")])}, when=(4, 2)),
+    Sample("express-api", [(f"{P}/web/torn@K@.js", "const express = require('express');\napp.get('/torn@K@', function () {\n")],
+        {"api_endpoints": (API, [("torn@K@", "/torn@K@", "GET")])}, when=(4, 1)),
     Sample("npm-dependencies", [(f"{P}/torn/package.json", '{"name": "torn@K@", "dependencies": {')], {}, when=(4, 2)),
     Sample("bundler-dependencies", [("rb/nest@K@/Gemfile", "source 'https://rubygems.org' do\n  gem 'outer@K@'\n  group :development, :test do\n    platforms :ruby do\n      gem 'byebug@K@', '11'\n    end\n    gem 'rspec@K@', '~> 3'\n  end\n  gem 'late@K@'\nend\n")],
         {"components": (COMP, [("sha:bundler|nest@K@", "nest@K@", "SERVICE")]),

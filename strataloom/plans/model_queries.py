@@ -349,7 +349,7 @@ def tree_confidence(spark, sf):
     return outcomes(_tree(spark, sf)).where("confidence IS NOT NULL").groupBy("confidence").agg(F.count("*").alias("n"))
 
 
-@query(f"""{TREE_RUNS} SELECT error_type, count(*) AS n, array_to_string(list_sort(list(rel_path || ': ' || error_type))[1:10], ';') AS details FROM broken GROUP BY 1""")
+@query(f"""{TREE_RUNS} SELECT error_type, count(*) AS n, array_to_string(list_sort(list(DISTINCT rel_path || ': ' || error_type))[1:10], ';') AS details FROM broken GROUP BY 1""")
 def tree_error_details(spark, sf):
     return rel.error_details(outcomes(_tree(spark, sf))).withColumn("details", F.array_join("details", ";"))
 

@@ -6,11 +6,15 @@ on disk. `part` orders the sections, `at` the lines within.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import markdown_cell, node_id
 from strataloom.operators.relational import component_counts, component_names, external_systems, inferred_keys, quality_gaps, scan_rates
+from strataloom.sources.tables import written
 
 LINE = "path string, part int, at string, line string"
 
@@ -217,18 +221,58 @@ def documents(catalog: dict[str, DataFrame], counts: DataFrame, project: str = "
     )
 
 
-def write_documents(lines: DataFrame, folder: str, partitions: int | None = None) -> None:
-    """Writes the lines below folder, a subfolder for each document, its files in the order of the lines.
+#: Lines up to which a document is one file.
+FILE_LINES = 200_000
 
-    Range partitioning keeps a long document in several files and short ones together; nothing goes through the driver.
-    """
-    key = ["path", "part", "at", "line"]
-    ranged = lines.repartitionByRange(partitions, *key) if partitions else lines.repartitionByRange(*key)
-    name = F.regexp_replace("path", "[^A-Za-z0-9]+", "_")
-    ranged.sortWithinPartitions(*key).select(name.alias("document"), F.col("line").alias("value")).write.mode("overwrite").partitionBy("document").text(folder)
 
+def write_documents(lines: DataFrame, folder: str, file_lines: int = FILE_LINES) -> list[str]:
+    """Writes each document below folder under its own path and returns the paths, in order.
 
-def show(lines: DataFrame, path: str, most: int = 200) -> None:
-    """Prints the first lines of one document; the limit is that of a console."""
+    A document of more than `file_lines` lines goes on in files with numbers before their extension. The lines are
+    written by Spark, which commits whole files, to a folder beside, and get their names by renaming: a task that runs
+    again leaves nothing behind, and a document is there whole or as it was. No lines go through the driver.
+    """
+    spark = lines.sparkSession
+    lines = written(lines, "lines")
+    sizes = {r.path: r["count"] for r in lines.groupBy("path").count().collect()}  # a row a document, of which there are some fifteen kinds
+    key, beside = ["path", "part", "at", "line"], f"{folder.rstrip('/')}/_writing-{uuid.uuid4().hex}"
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    try:
+        for k, long in enumerate((False, True)):
+            chosen = [p for p, n in sizes.items() if (n > file_lines) == long]
+            if not chosen:
+                continue
+            own = lines.where(F.col("path").isin(chosen))
+            dealt = own.repartitionByRange(max(2, sum(sizes[p] for p in chosen) // file_lines), *key) if long else own.repartition("path")
+            ordered = dealt.withColumn("document", F.md5("path")).sortWithinPartitions("document", *key)  # as the writer asks for it
+            ordered.select("document", F.col("line").alias("value")).write.partitionBy("document").text(f"{beside}/{k}")
+            for path in chosen:
+                made = fs.listStatus(fs_path(f"{beside}/{k}/document={hashlib.md5(path.encode()).hexdigest()}"))
+                stem, dot, ext = path.rpartition(".")
+                for n, at in enumerate(sorted(str(x.getPath()) for x in made), 1):
+                    name = path if n == 1 else f"{stem}.{n}{dot}{ext}"
+                    target = fs_path(f"{folder}/{name}")
+                    fs.mkdirs(target.getParent())
+                    fs.delete(target, False)
+                    if not fs.rename(fs_path(at), target):
+                        raise OSError(f"{at} cannot be renamed to {target}")
+                    out.append(name)
+    finally:
+        fs.delete(fs_path(beside), True)
+    return sorted(out)
+
+
+#: What a terminal takes as a colour, and as its end.
+_COLOUR, _PLAIN = "\033[1;36m", "\033[0m"
+
+
+def show(lines: DataFrame, path: str, most: int = 200, colours: bool = False, width: int = 80) -> None:
+    """Prints the first lines of one document below its name, headings in colour if asked for; the limit is a console's."""
+    bright = lambda text: f"{_COLOUR}{text}{_PLAIN}" if colours else text
+    print(bright(path))
+    print("=" * width)
     for r in lines.where(F.col("path") == path).orderBy("part", "at", "line").limit(most).collect():
-        print(r.line)
+        print(bright(r.line) if r.line.startswith("#") else r.line)
+    print("-" * width)

@@ -91,7 +91,7 @@ def _broken(kind: Column) -> Column:
     )
     for ext, language in BRACKETS.items():
         out = out.when((kind == ext) & (F.size("wanted") > 0) & unbalanced(F.col("content"), language), "unbalanced brackets")
-    return out
+    return out.when(F.contains("content", F.lit("\ufffd")), "malformed UTF-8")
 
 
 def staged(files: DataFrame, chosen: Iterable[str], into: str | None = None) -> DataFrame:
@@ -125,7 +125,7 @@ def staged(files: DataFrame, chosen: Iterable[str], into: str | None = None) ->
     holding = F.array_compact(F.array(*(F.when(held(i) if LOOKS[i][1] else F.lit(True), F.lit(i)) for i in chosen)))
     tagged = tagged.withColumn("wanted", F.array_intersect("looking", holding)).withColumn("looked", F.array_except("looking", "wanted"))
     tagged = tagged.withColumn("broken", _broken(F.col("kind")))
-    partial = F.col("broken").isNotNull() & ((F.col("broken") == "unbalanced brackets") | ((F.col("broken") == "malformed XML") & F.col("content").contains("<dependency>")))
+    partial = F.col("broken").isNotNull() & (F.col("broken").isin("unbalanced brackets", "malformed UTF-8") | ((F.col("broken") == "malformed XML") & F.col("content").contains("<dependency>")))
     large = (F.octet_length("content") > LARGE) & F.col("kind").isin("graphql", "gql")
     rows = tagged.select(
         "rel_path", F.when(F.size("wanted") > 0, F.col("content")).alias("content"), "wanted", "looked", "words", "broken", partial.alias("partial"), large.alias("large"), "kind",

@@ -14,23 +14,37 @@ def _files(*endings: str) -> str:
     return "WITH f AS (" + " UNION ALL ".join(parts) + "), lines AS (SELECT rel_path, unnest(string_split(content, chr(10))) AS line FROM f)"
 
 
+#: By the end of a path: what is no code in such files.
+_NO_CODE = {
+    ("java", "cs", "go", "proto"): r"""`[^`]*`|"(\\.|[^"\\\n])*"|''(\\.|[^''\\\n])*''|//[^\n]*|/\*([^*]|\*[^/])*\*/""",
+    ("js", "ts"): r"""= /[^/*\n][^\n]*/;|`[^`]*`|"(\\.|[^"\\\n])*"|''(\\.|[^''\\\n])*''|//[^\n]*|/\*([^*]|\*[^/])*\*/""",
+    ("py", "graphql", "gql"): r""""{3}[^"]*"{3}|"(\\.|[^"\\\n])*"|''(\\.|[^''\\\n])*''|#[^\n]*""",
+}
+
+
 def runs_sql() -> str:
-    """SQL for the runs of all scanners over the derived tree: rn, a row a scanner; broken, a row for each broken file."""
+    """SQL for the runs of all scanners over the derived tree: rn, a row a scanner; broken, a row for each broken file.
+
+    A file of code is broken if, texts and comments aside, its brackets do not add up.
+    """
     parts, torn = [], []
+    bare = " ".join(f"WHEN regexp_matches(rel_path, '\\.({'|'.join(ends)})$') THEN regexp_replace(content, '{no_code}', '', 'g')" for ends, no_code in _NO_CODE.items())
+    differ = " OR ".join(f"len(replace(bare, '{a}', '')) <> len(replace(bare, '{z}', ''))" for a, z in ("()", "[]", "{}"))
+    marked = f", b AS MATERIALIZED (SELECT *, CASE {bare} ELSE '' END AS bare FROM f), g AS MATERIALIZED (SELECT rel_path, content, {differ} AS uneven FROM b)"
     for i, (globs, words) in LOOKS.items():
         glob = "|".join(glob_regex(g) for g in globs)
         held = " OR ".join(f"contains(content, '{w}')" for w in words) or "true"
         xml, data = i == "maven-dependencies", i in ("npm-dependencies", "avro-schema")
-        bad = "NOT contains(content, '</project>')" if xml else "NOT json_valid(content)" if data else "false"
-        fallback = "contains(content, '<dependency>')" if xml else "false"
+        bad = "NOT contains(content, '</project>')" if xml else "NOT json_valid(content)" if data else "uneven"
+        fallback = "contains(content, '<dependency>')" if xml else "false" if data else "true"
         parts.append(
             f"""SELECT '{i}' AS scanner_id, count(*) AS discovered, count(*) FILTER ({held}) AS scanned, count(*) FILTER (({held}) AND NOT {bad}) AS parsed,
   count(*) FILTER (({held}) AND {bad} AND {fallback}) AS fallback, count(*) FILTER (({held}) AND {bad} AND NOT {fallback}) AS failed
-  FROM f WHERE regexp_matches(rel_path, '{glob}') HAVING count(*) > 0"""
+  FROM g WHERE regexp_matches(rel_path, '{glob}') HAVING count(*) > 0"""
         )
-        if xml or data:
-            torn.append(f"SELECT rel_path, '{'malformed XML' if xml else 'malformed JSON'}' AS error_type FROM f WHERE regexp_matches(rel_path, '{glob}') AND ({held}) AND {bad}")
-    return _files("") + ", rn AS (" + "\nUNION ALL ".join(parts) + "), broken AS (" + " UNION ALL ".join(torn) + ")"
+        kind = "malformed XML" if xml else "malformed JSON" if data else "unbalanced brackets"
+        torn.append(f"SELECT rel_path, '{kind}' AS error_type FROM g WHERE regexp_matches(rel_path, '{glob}') AND ({held}) AND {bad}")
+    return _files("") + marked + ", rn AS (" + "\nUNION ALL ".join(parts) + "), broken AS (" + " UNION ALL ".join(torn) + ")"
 
 
 #: A text without its comments.

@@ -13,13 +13,16 @@ from strataloom.functions.text import glob_regex, some
 
 
 def read_files(spark: SparkSession, root: str, most_bytes: int | None = None) -> DataFrame:
-    """(rel_path, content) of all files below root, read once for all scanners; larger files are left out unread."""
+    """(rel_path, content) of all files below root, read once for all scanners; larger files are left out unread.
+
+    Bytes that are no UTF-8 become U+FFFD, by which staged() knows such files.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     if most_bytes is not None:
         raw = raw.where(F.col("length") <= most_bytes)
     base = root.rstrip("/") + "/"
     rel = F.element_at(F.split(F.col("path"), F.lit(rf"\Q{base.split('://')[-1]}\E"), 2), -1)
-    return raw.select(rel.alias("rel_path"), F.col("content").cast("string").alias("content"))
+    return raw.select(rel.alias("rel_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def lines(files: DataFrame) -> DataFrame:

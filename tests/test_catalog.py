@@ -1,9 +1,11 @@
 """Text functions, keys, derived flows, quality figures, documents, streaming and the driver contract."""
 
-import __spark_entry__ as entry
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from strataloom import api
 from strataloom.functions import text
 from strataloom.operators import relational as rel
@@ -90,8 +92,10 @@ def test_whole_scan_of_a_tree_on_disk(spark, tmp_path):
         p.write_text(r.content)
     got = api.scan_tree(spark, str(tmp_path / "src"), api.Config.from_dict({"scanners": {"groups": ["go", "java"]}}), output=str(tmp_path / "out"))
     assert {r.technology for r in got["components"].collect()} == {"Go", "Maven", "Gradle", "Spring"}
-    lines = {p.parent.name for p in (tmp_path / "out").glob("*/part-*")}
-    assert {"document=mermaid_dependency_graph_md", "document=markdown_index_md", "document=json_system_json", "document=markdown_quality_md"} <= lines
+    made = {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.*")}
+    assert {"mermaid/dependency-graph.md", "markdown/index.md", "json/system.json", "markdown/quality.md"} <= made
+    links = re.findall(r"\]\(([^)]+)\)", (tmp_path / "out/markdown/index.md").read_text())
+    assert len(links) == 6 and {f"markdown/{x}" for x in links} <= made
     assert got["scan_runs"].where("scanner_id = 'go-modules' AND discovered = 1 AND parsed = 1").count() == 1
     assert api.project_type(spark.createDataFrame([("go.mod",), ("a/pom.xml",)], "rel_path string")).first().type == "go"
 
@@ -99,8 +103,8 @@ def test_whole_scan_of_a_tree_on_disk(spark, tmp_path):
 def test_documents_and_their_order(spark):
     found = scan(derived_files(spark, SF).where("rel_path LIKE 's1/%'"), "explicit", ["jpa-entities", "sql-migration"])
     lines = [r.line.strip() for r in render.er_diagram(found["data_entities"]).orderBy("part", "at", "line").collect()]
-    assert lines[:2] == ["```mermaid", "erDiagram"] and "Long id PK" in lines and lines.count("}") == 2
-    assert lines.index("ORDER_ITEM {") < lines.index("Long id PK") < lines.index("int qty")
+    assert lines[:2] == ["```mermaid", "erDiagram"] and "Long id PK" in lines and lines.count("}") == 4
+    assert lines.index("ORDER_ITEM {") < lines.index("Long id PK") < lines.index("int quantity")
 
 
 def test_diff_and_streaming(spark, tmp_path):

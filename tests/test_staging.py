@@ -2,6 +2,7 @@
 
 import dataclasses
 import json
+from importlib.util import find_spec
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,10 +12,10 @@ from strataloom.functions import text
 from strataloom.operators import gates
 from strataloom.operators import relational as rel
 from strataloom.plans import render, staging
-from strataloom.plans.corpus import derived_files
 from strataloom.plans import scan as scan_module
+from strataloom.plans.corpus import derived_files
 from strataloom.plans.scan import SCANNERS, scan, scan_with_runs
-from strataloom.sources.files import one_pass
+from strataloom.sources.files import one_pass, read_files
 from strataloom.sources.tables import release, scratch, written
 
 SF = "/root/testdata/sf0.001"
@@ -96,7 +97,12 @@ def test_configuration(spark, tmp_path):
         (tmp_path / where / "go.mod").write_text(f"module {where}\n")
     got = api.scan_tree(spark, f"{tmp_path}/root", c)
     assert {r.rel_path: r.name for r in got["components"].collect()} == {"a/go.mod": "root/a", "r/b/go.mod": "r/b"}
-    assert {p.parent.name for p in (tmp_path / "out").glob("*/part-*")} == {"document=json_system_json"}
+    assert {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file() and p.suffix != ".crc"} == {"json/system.json"}
+    (tmp_path / "c.yaml").write_text("scanners:\n  mode: groups\n")
+    if find_spec("yaml") is None:
+        with pytest.raises(RuntimeError, match="YAML"):
+            api.Config.from_file(spark, f"{tmp_path}/c.yaml")
+    assert {r.kind for r in api.listing(spark).collect()} == {"scanner", "generator", "renderer"} and api.listing(spark).where("kind = 'scanner'").count() == 42
 
 
 def test_json_document(spark):
@@ -178,3 +184,26 @@ def test_words_are_found_in_one_pass(spark):
     found = df.select("content", F.array_distinct(F.regexp_extract_all("content", F.lit(one_pass(words)), F.lit(1))).alias("w")).collect()
     for r in found:
         assert {w for w in words if any(f.startswith(w) for f in r.w)} == {w for w in words if w in r.content}
+
+
+def test_documents_bear_their_names(spark, tmp_path, capsys):
+    lines = [("markdown/index.md", 0, f"{k:04}", f"line {k}") for k in range(40)] + [("json/a.json", 0, "0", "{}"), ("markdown/b.md", 0, "0", "# b")]
+    df = spark.createDataFrame(lines, render.LINE).repartition(7)
+    for _ in range(2):
+        assert render.write_documents(df, f"{tmp_path}/out") == ["json/a.json", "markdown/b.md", "markdown/index.md"]
+        assert (tmp_path / "out/markdown/index.md").read_text() == "".join(f"line {k}\n" for k in range(40))
+    split = render.write_documents(df, f"{tmp_path}/split", file_lines=10)
+    assert len(split) > 3 and all(x.startswith("markdown/index.") for x in split if x not in ("json/a.json", "markdown/b.md"))
+    parts = sorted((x for x in split if "index" in x), key=lambda x: int(x.split(".")[1]) if x.count(".") > 1 else 1)
+    assert "".join((tmp_path / "split" / x).read_text() for x in parts) == "".join(f"line {k}\n" for k in range(40))
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
+    render.show(df, "markdown/b.md", colours=True)
+    assert capsys.readouterr().out == f"\033[1;36mmarkdown/b.md\033[0m\n{'=' * 80}\n\033[1;36m# b\033[0m\n{'-' * 80}\n"
+
+
+def test_bytes_that_are_no_utf8_are_flagged(spark, tmp_path):
+    (tmp_path / "in/a").mkdir(parents=True)
+    (tmp_path / "in/a/go.mod").write_bytes(b"module x\xff\n")
+    files = read_files(spark, f"{tmp_path}/in")
+    found = staging.outcomes(staging.staged(files, ["go-modules"])).first()
+    assert (found.outcome, found.error_type) == ("fallback", "malformed UTF-8")
