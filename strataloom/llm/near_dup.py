@@ -81,12 +81,14 @@ def table_keys(classes: DataFrame, side: int, rows: int) -> DataFrame:
     return classes.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def _least_agreement(percent: int, n: int) -> int:
+def _least_agreement(percent: int, n: int, sigmas: float | None) -> int:
+    if sigmas is None:
+        return 0
     p = percent / 100
-    return int(np.floor(n * p - SIGMAS * np.sqrt(n * p * (1 - p))))
+    return int(np.floor(n * p - sigmas * np.sqrt(n * p * (1 - p))))
 
 
-def _promising(pairs: DataFrame, classes: DataFrame, percent: int, n: int) -> DataFrame:
+def _promising(pairs: DataFrame, classes: DataFrame, percent: int, n: int, sigmas: float | None) -> DataFrame:
     """(a, b, agree) of the pairs whose sizes allow the similarity and whose signatures make it likely enough."""
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -96,7 +98,7 @@ def _promising(pairs: DataFrame, classes: DataFrame, percent: int, n: int) -> Da
         u, v = (np.frombuffer(b"".join(z), np.uint32).reshape(-1, n) for z in (x, y))
         return pd.Series((u == v).sum(axis=1).astype(np.int32))
 
-    return both.withColumn("agree", agree("sig_a", "sig_b")).where(F.col("agree") >= _least_agreement(percent, n)).select("a", "b", "agree")
+    return both.withColumn("agree", agree("sig_a", "sig_b")).where(F.col("agree") >= _least_agreement(percent, n, sigmas)).select("a", "b", "agree")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -137,12 +139,12 @@ def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
     return pairs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "p", "q")
 
 
-def _likely_across(unresolved: DataFrame, percent: int, n: int) -> DataFrame:
+def _likely_across(unresolved: DataFrame, percent: int, n: int, sigmas: float | None) -> DataFrame:
     """(a, b): edges that join components which share a bucket and hold classes there that are likely to be linked.
 
     What is joined through others gets no edge of its own: families are all that is asked for.
     """
-    least = _least_agreement(percent, n)
+    least = _least_agreement(percent, n, sigmas)
 
     def run(group: pa.Table) -> pa.Table:
         comp, size = (group.column(c).to_numpy() for c in ("comp", "n"))
@@ -205,8 +207,9 @@ def _links_within(members: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, side: int = SIDE, rows: int = ROWS
-) -> DataFrame:
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, side: int = SIDE, rows: int = ROWS,
+    sigmas: float | None = SIGMAS,
+) -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row: documents linked, in one step or more, share a component.
 
     A document's set holds the distinct `width`-word shingles of its text, A-Z lower-cased, words being the runs of
@@ -214,7 +217,11 @@ def near_duplicates(
     set and no links. Documents are linked if 100 * intersection >= percent * union. component_id is the smallest id
     reached, kept tells whether that is the row's own. Repeated rows share their result. Rows of one id but different
     texts go each by its own text; a link to one of those texts may then count for the id's others.
-    Rows with a null id have no links: their component_id is null and they are kept. An empty table gives no rows.
+    Rows with a null id have no links: their component_id is null and they are kept. An empty table gives no rows. Very
+    long texts are one set like others; other columns, whatever their names, are not read.
+
+    Candidates whose signatures agree less than is to be expected, by so many standard deviations as `sigmas` says, are
+    not compared; with None every candidate is.
     """
     n_sig = 2 * side * rows
     with_id = df.where(F.col(id_col).isNotNull())
@@ -226,13 +233,13 @@ def near_duplicates(
     heads = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").drop("z")
     buckets = written(keys.join(heads, "key").withColumnRenamed("id", "b"), "buckets")  # only those of two or more
     stars = buckets.where("a <> b").select("a", "b").distinct()
-    nearest = written(_best(_promising(stars, classes, percent, n_sig)), "nearest")
+    nearest = written(_best(_promising(stars, classes, percent, n_sig, sigmas)), "nearest")
     links = written(_confirmed(df, id_col, text_col, nearest, width, percent), "links")
     labels = connected(links)
     named = buckets.select("key", F.col("b").alias("id")).join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     rest = named.join(several, "key").join(classes.select("id", "n", "sig"), "id")
-    families = connected(_likely_across(rest, percent, n_sig)).select(F.col("id").alias("comp"), F.col("comp").alias("family"))
+    families = connected(_likely_across(rest, percent, n_sig, sigmas)).select(F.col("id").alias("comp"), F.col("comp").alias("family"))
     members = written(classes.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")).join(families, "comp"), "members")
     if not members.isEmpty():
         texts = _texts(df, id_col, text_col, members.select("id"))

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the Zstandard and seekable formats.
@@ -122,17 +122,18 @@ def frame(data: bytes, k: int) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data[at : at + packed], max_output_size=size)
 
 
-def revisits(df: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int = 0) -> DataFrame:
-    """(_id, _digest, _first, _first_url): the rows whose payload a row of larger id holds too, that id, and its url.
+def revisits(df: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int = 0, date: Column | None = None) -> DataFrame:
+    """(_id, _digest, _first, _first_url, _first_date): the rows whose payload a row of larger id holds too, that id, its url and
+    its date.
 
     Counts by payload are added up before the shuffle, so a payload that a third of all rows share is one row of each
     task there; joining it back is an equi-join whose large keys Spark splits.
     """
-    own = df.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.sha1(F.coalesce(F.encode(payload_col, "UTF-8"), F.lit(b""))).alias("_digest"), F.coalesce(F.octet_length(payload_col), F.lit(0)).alias("_size"))
+    own = df.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.sha1(F.coalesce(F.encode(payload_col, "UTF-8"), F.lit(b""))).alias("_digest"), F.coalesce(F.octet_length(payload_col), F.lit(0)).alias("_size"), (F.lit(None).cast("string") if date is None else date).alias("_date"))
     own = own.where(F.col("_size") >= least_bytes).drop("_size")
-    shared = own.groupBy("_digest").agg(F.max(F.struct("_id", "_url")).alias("f"), F.count("*").alias("_n"))
-    shared = shared.where("_n > 1 AND f._id IS NOT NULL").select("_digest", F.col("f._id").alias("_first"), F.col("f._url").alias("_first_url"))
-    return own.join(shared, "_digest").where(~F.col("_id").eqNullSafe(F.col("_first"))).select("_id", "_digest", "_first", "_first_url").distinct()
+    shared = own.groupBy("_digest").agg(F.max(F.struct("_id", "_url", "_date")).alias("f"), F.count("*").alias("_n"))
+    shared = shared.where("_n > 1 AND f._id IS NOT NULL").select("_digest", F.col("f._id").alias("_first"), F.col("f._url").alias("_first_url"), F.col("f._date").alias("_first_date"))
+    return own.join(shared, "_digest").where(~F.col("_id").eqNullSafe(F.col("_first"))).select("_id", "_digest", "_first", "_first_url", "_first_date").distinct()
 
 
 def write_archives(
@@ -145,20 +146,21 @@ def write_archives(
     are revisits of it, without a block; the rest are responses. A null payload is empty. A null id counts as smaller
     than any and leaves no id header; where all equal rows have a null id, all are responses, as are repeated rows
     that tie for the largest id. Null urls give no target. Records are dated by date_col where it is given and not null,
-    else by date. Other columns are not read. An empty table gives a folder
-    without bundles. Rows stay in their tasks: a task holds one bundle and one record at a time.
+    else by date; a revisit tells the date of the response that it refers to. Other columns, whatever their names, are not
+    read. Very long payloads are records of frames and bundles of their own. An empty table gives a folder without
+    bundles. Rows stay in their tasks: a task holds one bundle and one record at a time.
     """
     when = F.lit(date) if date_col is None else F.coalesce(F.date_format(F.to_utc_timestamp(F.col(date_col), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(date))
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), F.encode(payload_col, "UTF-8").alias("_payload"), F.sha1(F.coalesce(F.encode(payload_col, "UTF-8"), F.lit(b""))).alias("_digest"), when.alias("_date"))
-    again = revisits(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, url_col, payload_col, least_bytes).select(F.col("_id").alias("_id2"), F.col("_digest").alias("_digest2"), "_first", "_first_url")
-    joined = rows.join(again, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_digest") == F.col("_digest2")), "left").select("_id", "_url", "_payload", "_first", "_first_url", "_date")
+    again = revisits(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, url_col, payload_col, least_bytes, when).select(F.col("_id").alias("_id2"), F.col("_digest").alias("_digest2"), "_first", "_first_url", "_first_date")
+    joined = rows.join(again, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_digest") == F.col("_digest2")), "left").select("_id", "_url", "_payload", "_first", "_first_url", "_first_date", "_date")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle, count = Bundle(frame_bytes), 0
         out = lambda: pa.RecordBatch.from_arrays([pa.array([bundle.to_bytes()[:-1]], pa.binary())], ["value"])
         for batch in batches:
             for row in zip(*(c for c in batch.columns), strict=True):
-                page, url, payload, first, first_url, day = (x.as_py() for x in row)
+                page, url, payload, first, first_url, first_day, day = (x.as_py() for x in row)
                 payload = payload or b""
                 digest = digest32(payload)
                 count += 1  # a task that is run again gives its records the same ids, and repeated rows differ
@@ -169,7 +171,7 @@ def write_archives(
                     block = http_message(payload)
                     data = record("response", record_id, [*headers, ("WARC-Block-Digest", f"sha1:{digest32(block)}"), ("Content-Type", "application/http; msgtype=response")], block)
                 else:
-                    data = record("revisit", record_id, [*headers, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Date", day), ("X-Refers-To-Source-ID", str(first)), *[("WARC-Refers-To-Target-URI", first_url)] * (first_url is not None)], b"")
+                    data = record("revisit", record_id, [*headers, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Date", first_day), ("X-Refers-To-Source-ID", str(first)), *[("WARC-Refers-To-Target-URI", first_url)] * (first_url is not None)], b"")
                 bundle.add(record_id, data)
                 if bundle.size >= bundle_bytes:
                     yield out()

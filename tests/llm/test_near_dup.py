@@ -124,3 +124,12 @@ def test_recall_at_and_just_above_the_threshold(spark):
     sims = [len(plain_set(a, 2) & plain_set(b, 2)) / len(plain_set(a, 2) | plain_set(b, 2)) for (_, a), (_, b) in zip(rows[:40:2], rows[1:40:2], strict=True)]
     print("linked pairs", len(exact), "found", len(got & exact), "similarities", min(sims), max(sims))
     assert min(sims) < 0.8 <= max(sims) < 0.83 and 2000 < len(exact) < 3000 and got <= exact and len(got) >= 0.999 * len(exact)
+
+
+def test_without_the_bound_every_candidate_is_compared(spark):
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(w if rng.random() > 0.04 else f"x{rng.randrange(900)}" for w in base)) for k in range(40)] + [(90, "long " * 200_000), (91, "long " * 200_000), (92, None)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, key int, comp string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(df, width=2, sigmas=None).collect()}
+    assert got == brute(rows, 2)

@@ -5,6 +5,7 @@ import random
 import tempfile
 
 import zstandard
+from pyspark.sql import functions as F
 
 from strataloom.llm import queries, warc
 
@@ -56,3 +57,19 @@ def test_empty_table(spark):
 def test_query(spark):
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
     assert sorted([tuple(r) for r in queries.op5_warc(spark, "/root/testdata/sf0.001").collect()], key=str) == expected(rows)
+
+
+def test_revisits_tell_the_date_of_what_they_refer_to_and_long_payloads_are_whole(spark):
+    long = "x" * 3_000_000
+    rows = [(1, "a", "same", "2020-01-01", 9), (2, "b", "same", "2021-02-03", 9), (3, "c", long, None, 9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, day string, _first long").withColumn("day", F.to_timestamp("day"))
+    path = tempfile.mkdtemp() + "/w"
+    warc.write_archives(df, path, date_col="day")
+    dates = {}
+    for name in glob.glob(path + "/part-*"):
+        data = open(name, "rb").read()
+        for _, k, offset, _ in warc.record_index(data):
+            headers, _, _ = warc.parse(warc.frame(data, k), offset)
+            dates[headers["x-source-id"]] = headers["warc-date"], headers.get("warc-refers-to-date")
+    assert dates == {"1": ("2020-01-01T00:00:00Z", "2021-02-03T00:00:00Z"), "2": ("2021-02-03T00:00:00Z", None), "3": ("2024-01-01T00:00:00Z", None)}
+    assert {r.source_id: len(r.block) for r in warc.read_records(spark, path).where("block IS NOT NULL").collect()} == {2: 4, 3: len(long)}
