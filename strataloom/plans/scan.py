@@ -15,7 +15,7 @@ from strataloom.model import KEYS, ORIGIN, TABLES
 from strataloom.operators import dotnet, jvm, python_lang, schema_lang, web_go_ruby
 from strataloom.operators.gates import GATES, applicable
 from strataloom.plans.staging import LOOKS, own_files, scan_runs, staged
-from strataloom.sources.tables import committed, is_committed, scratch
+from strataloom.sources.tables import Place, committed, is_committed, scratch
 
 
 @dataclass(frozen=True)
@@ -116,17 +116,15 @@ AT_ONCE = 8
 
 def _run_one(scanner: Scanner, files: DataFrame, root: str) -> dict[str, str]:
     """Writes what a scanner finds, table by table, and returns the paths; jobs bear the scanner's id as their tag."""
-    spark, out = files.sparkSession, {}
+    spark, own = files.sparkSession, f"{root}/{scanner.id}"
+    done = Place(spark, f"{own}/done")
     spark.addTag(scanner.id)
     try:
-        done = f"{root}/{scanner.id}/done"
-        if is_committed(spark, done):
-            return {r.table: r.path for r in spark.read.parquet(done).collect()}  # a row a table
-        for table, df in scanner.run(files).items():
-            out[table] = f"{root}/{scanner.id}/{table}"
-            committed(df, out[table])
-        spark.createDataFrame(list(out.items()), "table string, path string").coalesce(1).write.mode("overwrite").parquet(done)
-        return out
+        if not done.exists():
+            for table, df in scanner.run(files).items():
+                committed(df, f"{own}/{table}")
+            done.mark()
+        return {t: f"{own}/{t}" for t in TABLES if is_committed(spark, f"{own}/{t}")}
     finally:
         spark.removeTag(scanner.id)
 

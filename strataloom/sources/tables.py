@@ -43,10 +43,24 @@ def written(df: DataFrame, what: str, by: Sequence[str] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Place:
+    """A place on whatever file system Spark has for it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return self.fs.exists(self.path)
+
+    def mark(self) -> None:
+        """An empty file that says that something is done."""
+        self.fs.create(self.path, True).close()
+
+
 def is_committed(spark: SparkSession, path: str) -> bool:
     """Whether a table has been written there to its end."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return Place(spark, f"{path}/_SUCCESS").exists()
 
 
 def committed(df: DataFrame, path: str, by: Sequence[str] = ()) -> DataFrame:
