@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -256,3 +257,38 @@ def test_reparameterised_questions_are_found_and_other_texts_are_not(spark):
 def test_a_very_long_text_is_read_whole(spark):
     filler = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(150_000))
     assert set(found(spark, [(1, f"{filler} {other(1, QUESTION)}"), (2, filler)], THREE)) == {(1, 1)}
+
+
+def plain_features(text):
+    """The buckets of a text's n-grams, one n-gram at a time."""
+    out, chars = set(), f" {(text or '').lower()} "
+    for n in toxicity.ORDERS:
+        for i in range(len(chars) - n + 1):
+            h = 0
+            for c in chars[i : i + n]:
+                h = ((h ^ ord(c)) * 0x9E3779B1) % 2**32
+                h ^= h >> 15
+            out.add(((h * 0x85EBCA6B) % 2**32) >> (32 - toxicity.BITS))
+    return out
+
+
+def test_scores_and_ratios_by_a_plain_reckoning(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    features = {i: plain_features(t) for i, t in texts.items()}
+    learned = [(r.doc_id, r.toxic) for r in labels.collect() if r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5]
+    held = {y: {} for y in (0, 1)}
+    for i, y in learned:
+        for f in features[i]:
+            held[y][f] = held[y].get(f, 0) + 1
+    n = {y: sum(t == y for _, t in learned) for y in (0, 1)}
+    for f in list(held[0] | held[1])[:3000]:
+        a, b = held[0].get(f, 0), held[1].get(f, 0)
+        want = math.log((b + 1) / (n[1] + 2)) - math.log((a + 1) / (n[0] + 2)) if a + b > 1 else 0
+        assert abs(model.ratio[f] - want) < 1e-9
+    for r in toxicity.score(docs, model).collect():
+        own = features[r.doc_id]
+        length = max(1e-9, math.sqrt(sum(model.ratio[f] ** 2 for f in own)))
+        z = model.bias + sum(model.ratio[f] * model.weight[f] for f in own) / length
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-6 and r.predicted == (r.score >= 0.5)
