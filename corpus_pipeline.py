@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. Null texts have no words, so the first stage drops them.
-Rows with a null id are judged like others. Empty tables stay empty throughout.
+Rows with a null id are judged like others. Very long texts are read whole by every stage, and columns of other names go
+along. Empty tables stay empty throughout.
 """
 
 from __future__ import annotations
