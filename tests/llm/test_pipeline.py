@@ -72,3 +72,14 @@ def test_nulls_repeats_clashes_and_no_rows(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/empty/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_a_very_long_text_goes_through_all_stages(spark, tmp_path):
+    long = " ".join(f"word{k % 977}x{k}" for k in range(120_000))
+    leak = " ".join(f"term{k % 977}y{k}" for k in range(120_000)) + f" {QUESTION}"
+    rows = [(1, long, 7, "a"), (2, leak, 7, "b"), (3, long + " end", 7, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int, kept string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, QUESTION)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.decoded_sha256) for r in out] == [(1, hashlib.sha256(long.encode()).hexdigest())]
