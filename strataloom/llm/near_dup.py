@@ -28,8 +28,10 @@ from strataloom.llm.shingles import C1, C3, digest, mix, shingle_sets, similar
 SIDE, ROWS = 9, 2
 #: Standard deviations below the expected agreement of signatures at which a pair is left out: 1 of 50,000 links.
 SIGMAS = 4.2
-#: Classes that are compared in one block: of a bucket by signature, of a family by their full sets.
-BLOCK, FAMILY_BLOCK = 1500, 400
+#: Classes of a bucket that are compared in one block by signature.
+BLOCK = 1500
+#: Classes of a family that make a block, compared on full sets, and bytes of their texts.
+FAMILY_LEAST, FAMILY_MOST, FAMILY_BYTES = 200, 2000, 8_000_000
 #: Shingles of a family that are counted in one matrix product.
 COLUMNS = 4096
 
@@ -172,38 +174,97 @@ def _likely_across(unresolved: DataFrame, percent: int, n: int, sigmas: float |
     return _blocks(unresolved, "key", BLOCK).groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
 
 
+def _family_blocks(members: DataFrame) -> DataFrame:
+    """(p, q, right) beside members (family, comp, id, text): each member once for each pair of blocks it is compared in.
+
+    A block holds a sixteenth of its family, within FAMILY_LEAST and FAMILY_MOST members and FAMILY_BYTES of text, so a
+    member is sent some sixteen times, or in families of very many members once for each FAMILY_MOST of them. Components
+    that fill a block have blocks of their own, which never meet each other: their members are joined already. right
+    tells the members of block q where p and q differ.
+    """
+    per_comp = members.groupBy("family", "comp").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+    size = F.least(F.lit(FAMILY_MOST), F.greatest(F.lit(FAMILY_LEAST), F.ceil(F.sum("n") / 16)))
+    per_comp = per_comp.join(per_comp.groupBy("family").agg(size.alias("size")), "family")
+    large = F.col("n") >= F.col("size")
+    per_comp = per_comp.withColumn("g", F.struct(large.alias("large"), F.when(large, F.col("comp")).otherwise(0).alias("comp")))
+    count = F.greatest(F.ceil(F.sum("n") / F.first("size")), F.ceil(F.sum("bytes") / FAMILY_BYTES), F.lit(1)).cast("int")
+    groups = per_comp.groupBy("family", "g").agg(count.alias("nb"))
+    numbered = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct("g", k.alias("k")))
+    blocks = groups.groupBy("family").agg(F.flatten(F.collect_list(numbered)).alias("blocks"))
+    dealt = members.join(per_comp.join(groups, ["family", "g"]).select("family", "comp", "g", "nb"), ["family", "comp"]).join(blocks, "family")
+    dealt = dealt.withColumn("own", F.struct("g", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("k")))
+    dealt = dealt.withColumn("other", F.explode(F.filter("blocks", lambda x: ~x["g"]["large"] | (x["g"] != F.col("g")))))
+    pairs = dealt.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).withColumn("right", (F.col("p") != F.col("q")) & (F.col("own") == F.col("q")))
+    pairs = pairs.select("family", F.struct("p", "q").alias("pq"), "right", "comp", "id", "text")
+    # so many partitions, however few bytes they hold: the work on a pair of blocks is large against its bytes
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "family", "pq")
+
+
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of each set on the left with each on the right, by products of 0/1 matrices."""
+    sides = []
+    for sets in (left, right):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        sides.append((np.concatenate(sets), owner))
+    shared = np.intersect1d(sides[0][0], sides[1][0])  # others are in no intersection
+    found = []
+    for flat, owner in sides:
+        at = np.searchsorted(shared, flat)
+        at[at == len(shared)] = 0
+        keep = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        order = np.argsort(at[keep], kind="stable")
+        found.append((at[keep][order], owner[keep][order]))
+    both = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, len(shared), COLUMNS):
+        parts = []
+        for (column, owner), sets in zip(found, (left, right), strict=True):
+            a, b = np.searchsorted(column, (begin, begin + COLUMNS))
+            part = np.zeros((len(sets), min(COLUMNS, len(shared) - begin)), np.float32)
+            part[owner[a:b], column[a:b] - begin] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    return both
+
+
+def _joining(linked: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+    """Places (i, j) of links that join all components u[i], v[j] which the links join: fewer than there are components."""
+    names, number = np.unique(np.concatenate((u, v)), return_inverse=True)
+    u, v = number[: len(u)], number[len(u) :]
+    label, out = np.arange(len(names)), []
+    for i in np.flatnonzero(linked.any(axis=1)):
+        at = np.flatnonzero(linked[i])
+        reached, first = np.unique(label[v[at]], return_index=True)
+        new = reached != label[u[i]]
+        if new.any():
+            out += [(int(i), int(at[k])) for k in first[new]]
+            label[np.isin(label, reached[new])] = label[u[i]]
+    return out
+
+
 def _links_within(members: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): one link for any two components of a family that have one, all pairs being compared on their full sets.
+    """(a, b): links that join all components of a family that are linked, all pairs across being compared on full sets.
 
-    Members (family, comp, id, text) are compared block by block within tasks: intersections are products of 0/1
-    matrices, so a pair costs no row. One row a pair of components and block leaves a task.
+    Members (family, comp, id, text) are compared block by block within tasks. A pair costs no row: fewer rows than a
+    pair of blocks has components leave a task.
     """
 
     def run(group: pa.Table) -> pa.Table:
-        comp, ids = group.column("comp").to_numpy(), group.column("id").to_numpy()
+        comp, ids, right = (group.column(c).to_numpy() for c in ("comp", "id", "right"))
         sets = shingle_sets([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in group.column("text")], width)
         sizes = np.array([len(x) for x in sets], np.int64)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        number = np.cumsum(np.concatenate(([0], flat[1:] != flat[:-1]))) if len(flat) else flat
-        common = np.bincount(number.astype(np.int64)) > 1  # a shingle of one member meets no other
-        keep = common[number.astype(np.int64)]
-        column = (np.cumsum(common) - 1)[number.astype(np.int64)][keep]
-        owner = owner[keep]
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        for at in range(0, int(common.sum()), COLUMNS):
-            a, b = np.searchsorted(column, (at, at + COLUMNS))
-            part = np.zeros((len(sets), COLUMNS), np.float32)
-            part[owner[a:b], column[a:b] - at] = 1
-            both += part @ part.T
-        linked = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (comp[:, None] < comp[None, :])
-        found = {(int(comp[i]), int(comp[j])): (int(ids[i]), int(ids[j])) for i, j in np.argwhere(linked)}
-        a, b = (pa.array([x[c] for x in found.values()], pa.int64()) for c in (0, 1))
+        i, j = np.flatnonzero(~right), np.flatnonzero(right)
+        if not len(j) or not len(i):  # a block with itself, or the other one is empty
+            pq = group.column("pq")[0].as_py()
+            i = j = np.arange(len(sets)) if pq["p"] == pq["q"] else i[:0]
+        found = []
+        if len(i):
+            both = _intersections([sets[k] for k in i], [sets[k] for k in j])
+            linked = (100 * both >= percent * (sizes[i][:, None] + sizes[j][None, :] - both)) & (comp[i][:, None] != comp[j][None, :])
+            found = [(int(ids[i[x]]), int(ids[j[y]])) for x, y in _joining(linked, comp[i], comp[j])]
+        a, b = (pa.array([x[c] for x in found], pa.int64()) for c in (0, 1))
         return pa.Table.from_arrays([a, b], ["a", "b"])
 
-    return _blocks(members, "family", FAMILY_BLOCK).groupBy("family", "p", "q").applyInArrow(run, "a long, b long")
+    return _family_blocks(members).groupBy("family", "pq").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(

@@ -77,7 +77,8 @@ def test_chains_groups_and_copies_by_brute_force(spark):
 
 def test_a_bucket_of_several_components_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 4)
-    monkeypatch.setattr(near_dup, "FAMILY_BLOCK", 7)
+    monkeypatch.setattr(near_dup, "FAMILY_LEAST", 4)
+    monkeypatch.setattr(near_dup, "FAMILY_MOST", 7)
     monkeypatch.setattr(near_dup, "COLUMNS", 16)
     rng = random.Random(4)
     base = [f"w{k}" for k in range(60)]
@@ -86,6 +87,25 @@ def test_a_bucket_of_several_components_is_compared_in_blocks(spark, monkeypatch
     assert result(near_dup.near_duplicates(df, width=2)) == brute(rows, 2)
 
 
+def test_blocks_of_a_family_meet_once_and_those_of_one_component_never(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "FAMILY_LEAST", 5)
+    monkeypatch.setattr(near_dup, "FAMILY_MOST", 8)
+    monkeypatch.setattr(near_dup, "FAMILY_BYTES", 60)
+    rows = [(1, 100 if k < 40 else 200 if k < 52 else k, k, "w" * (k % 7)) for k in range(90)] + [(2, 500 + k, 500 + k, None) for k in range(3)]
+    comp = {r[2]: (r[0], r[1]) for r in rows}
+    df = spark.createDataFrame(rows, "family long, comp long, id long, text string")
+    met, large = {}, (100, 200)
+    for r in near_dup._family_blocks(df).collect():
+        met.setdefault((r.family, r.pq), ([], []))[r.right].append(r.id)
+    pairs = []
+    for (_, pq), (left, right) in met.items():
+        assert len(left) <= 30 and len(right) <= 30
+        pairs += [(min(a, b), max(a, b)) for a in left for b in (right if pq.p != pq.q else left) if pq.p != pq.q or a < b]
+    assert len(pairs) == len(set(pairs))
+    wanted = {(a, b) for a in comp for b in comp if a < b and comp[a][0] == comp[b][0] and not (comp[a] == comp[b] and comp[a][1] in large)}
+    assert set(pairs) == wanted
+
+
 def test_null_ids_repeated_rows_and_no_rows(spark):
     rows = [(None, "a b c"), (None, "a b c"), (1, "a b c"), (2, "a b c"), (2, "a b c"), (3, "x y z"), (3, "a b c")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
