@@ -61,6 +61,18 @@ SELECT NULL AS publisher_component_id, me AS subscriber_component_id, topic FROM
 UNION ALL SELECT me, NULL, topic FROM k WHERE NOT regexp_matches(op, '^(?:{read})$')"""
 
 
+def _element(text: str, name: str) -> str:
+    return f"nullif(regexp_extract({text}, '<{name}>([^<]*)<', 1), '')"
+
+
+def _maven() -> str:
+    """WITH o: of each pom its own group g, artifact a and version v, its text without parent and plugins, and whether it ends."""
+    return rf"""{_files("/pom.xml")},
+b AS (SELECT contains(content, '</project>') AS whole, regexp_extract(content, '(?s)<parent>.*</parent>') AS up, regexp_replace(regexp_replace(content, '(?s)<!--.*?-->|<parent>.*</parent>', '', 'g'), '(?s)<plugins>.*</plugins>', '', 'g') AS body FROM f),
+c AS (SELECT whole, up, body, regexp_replace(body, '(?s)<dependencies>.*', '') AS own FROM b),
+o AS (SELECT whole, body, own, coalesce({_element("own", "groupId")}, {_element("up", "groupId")}) AS g, {_element("own", "artifactId")} AS a, coalesce({_element("own", "version")}, {_element("up", "version")}) AS v FROM c)"""
+
+
 ORACLES = {
     "scan_gradle_dependencies_dependencies": rf"""{_files("build.gradle")},
 m AS (SELECT regexp_extract(rel_path, '([^/]+)/build.gradle$', 1) AS p, regexp_extract(line, '^\s*(\w+)', 1) AS c, regexp_extract_all(line, '[''"]([^''"]+)[''"]', 1) AS q
@@ -235,4 +247,64 @@ y AS (SELECT me, name, ls, list_transform(ls, lambda y: regexp_extract(regexp_re
 z AS (SELECT me, name, regexp_extract(array_to_string(ls, ' '), '@Id\s+(?:private )?\w+ (\w+)', 1) AS pk, flatten(list_transform(range(1, len(ds) + 1), lambda i: list_transform(string_split(regexp_extract(ds[i], ' (.*)$', 1), ', '),
   lambda n: n || ':' || replace(regexp_extract(ds[i], '^(\S+)', 1), '[]', '') || ':' || ns[i]))) AS fs FROM y)
 SELECT me AS component_id, name, pk AS primary_key, array_to_string(fs, ',') AS fields FROM z""",
+    "scan_bundler_dependencies": rf"""{_files("/Gemfile")}, p AS (SELECT DISTINCT regexp_extract(rel_path, '([^/]+)/Gemfile$', 1) AS name FROM f)
+SELECT substr(sha256('bundler|' || name), 1, 16) AS id, name, 'SERVICE' AS type FROM p""",
+    "scan_bundler_dependencies_dependencies": rf"""{_files("/Gemfile", "/Gemfile.lock")},
+l AS (SELECT rel_path, regexp_extract(rel_path, '([^/]+)/Gemfile', 1) AS me, unnest(string_split(content, chr(10))) AS line, unnest(range(len(string_split(content, chr(10))))) AS i FROM f),
+k AS (SELECT me, regexp_extract(line, '^    (\S+)', 1) AS gem, regexp_extract(line, '\((.*)\)', 1) AS v FROM l WHERE rel_path LIKE '%.lock' AND regexp_matches(line, '^    \S+ \(')),
+d AS (SELECT me, line, i, sum(CASE WHEN regexp_matches(line, '\bdo\s*$') THEN 1 WHEN trim(line) = 'end' THEN -1 ELSE 0 END) OVER (PARTITION BY me ORDER BY i) AS depth FROM l WHERE rel_path NOT LIKE '%.lock'),
+g AS (SELECT a.me, a.i, min(z.depth) FILTER (z.depth < a.depth) AS under, min(z.i) FILTER (z.depth < a.depth) AS til FROM d a JOIN d z ON z.me = a.me AND z.i > a.i
+  WHERE regexp_matches(a.line, '^\s*group .*:(test|development)') GROUP BY a.me, a.i),
+e AS (SELECT me, i, regexp_extract_all(regexp_extract(line, '^\s*gem (.*)$', 1), '''([^'']*)''', 1) AS q FROM d WHERE regexp_matches(line, '^\s*gem '''))
+SELECT substr(sha256('bundler|' || e.me), 1, 16) AS source_component_id, 'rubygems' AS group_id, q[1] AS artifact_id, coalesce(v, q[2], '*') AS version,
+  CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.me = e.me AND g.i < e.i AND e.i < g.til) THEN 'test' ELSE 'compile' END AS scope
+FROM e LEFT JOIN k ON k.me = e.me AND k.gem = q[1]""",
+    "scan_avro_schema": rf"""{_files(".avsc", ".avro")},
+r AS (SELECT content::JSON AS j FROM f WHERE json_valid(content) AND content::JSON->>'$.type' = 'record'),
+x AS (SELECT j, list_transform(CAST(json_extract(j, '$.fields[*].name') AS VARCHAR[]), lambda n: trim(n, '"')) AS ns, json_extract(j, '$.fields[*].type') AS ts FROM r),
+y AS (SELECT j, ns, ts, list_transform(ts, lambda t: CASE WHEN json_type(t) = 'ARRAY' THEN CASE WHEN t->>'$[0]' = 'null' THEN t->'$[1]' ELSE t->'$[0]' END ELSE t END) AS us FROM x)
+SELECT j->>'$.namespace' AS component_id, j->>'$.name' AS name, NULL AS primary_key, array_to_string(list_transform(range(1, len(ns) + 1), lambda i: ns[i] || ':' ||
+  CASE WHEN json_type(us[i]) <> 'OBJECT' THEN trim(us[i]::VARCHAR, '"') WHEN us[i]->>'$.type' = 'array' THEN 'array<' || (us[i]->>'$.items') || '>' WHEN us[i]->>'$.type' = 'map' THEN 'map<' || (us[i]->>'$.values') || '>'
+  ELSE coalesce(us[i]->>'$.name', us[i]->>'$.type') END || ':' || (json_type(ts[i]) = 'ARRAY' AND contains(ts[i]::VARCHAR, '"null"'))), ',') AS fields FROM y""",
+    "scan_avro_schema_message_flows": rf"""{_files(".avsc", ".avro")},
+r AS (SELECT content::JSON AS j FROM f WHERE json_valid(content) AND content::JSON->>'$.type' = 'record')
+SELECT j->>'$.namespace' AS publisher_component_id, NULL AS subscriber_component_id, j->>'$.name' AS topic FROM r
+WHERE regexp_matches(lower((j->>'$.namespace') || '.' || (j->>'$.name')), 'event|message|command|kafka')""",
+    "scan_pip_poetry_dependencies": rf"""{_files("/requirements.txt", "/pyproject.toml")},
+p AS (SELECT DISTINCT regexp_extract(rel_path, '([^/]+)/[^/]+$', 1) AS name FROM f WHERE rel_path LIKE '%.txt' OR regexp_matches(content, '(^|\n)\[(tool\.poetry|project)'))
+SELECT substr(sha256('python|' || name), 1, 16) AS id, name, 'SERVICE' AS type FROM p""",
+    "scan_pip_poetry_dependencies_dependencies": rf"""{_files("/requirements.txt", "/pyproject.toml")},
+l AS (SELECT rel_path, regexp_extract(rel_path, '([^/]+)/[^/]+$', 1) AS me, unnest(string_split(content, chr(10))) AS line, unnest(range(len(string_split(content, chr(10))))) AS i FROM f),
+h AS (SELECT *, last_value(nullif(regexp_extract(line, '^\[([^\]]+)\]', 1), '') IGNORE NULLS) OVER (PARTITION BY rel_path ORDER BY i) AS head FROM l),
+d AS (SELECT me, regexp_extract(line, '^([A-Za-z][\w.-]*)', 1) AS n, regexp_extract(line, '(?:==|>=|~=|<=|!=|>|<)\s*([^\s,;#]+)', 1) AS v, 'compile' AS scope FROM h
+  WHERE rel_path LIKE '%.txt' AND regexp_matches(line, '^[A-Za-z][\w.-]*(\[[^\]]*\])?\s*[=<>~!]')
+  UNION ALL SELECT me, regexp_extract(line, '^([\w.-]+)', 1), regexp_replace(regexp_extract(line, '"([^"]*)"', 1), '^[\^~><=]+', ''), CASE WHEN head LIKE '%.group.%' OR head LIKE '%dev-%' THEN 'test' ELSE 'compile' END FROM h
+  WHERE rel_path LIKE '%.toml' AND regexp_matches(head, '^tool\.poetry\.(group\.\w+\.|dev-)?dependencies$') AND regexp_matches(line, '^[\w.-]+ = "') AND NOT starts_with(line, 'python '))
+SELECT substr(sha256('python|' || me), 1, 16) AS source_component_id, 'pypi' AS group_id, n AS artifact_id, v AS version, scope FROM d""",
+    "scan_maven_dependencies": rf"""{_maven()}
+SELECT substr(sha256('maven|' || g || '|' || a), 1, 16) AS id, a AS name, CASE WHEN contains(own, '<packaging>war<') THEN 'SERVICE' ELSE 'LIBRARY' END AS type FROM o WHERE whole""",
+    "scan_maven_dependencies_dependencies": rf"""{_maven()},
+d AS (SELECT o.*, unnest(regexp_extract_all(body, '(?s)<dependency>.*?</dependency>')) AS d FROM o),
+e AS (SELECT *, {_element("d", "groupId")} AS dg, {_element("d", "artifactId")} AS da, {_element("d", "version")} AS dv, {_element("d", "scope")} AS ds, regexp_extract(d, '<version>\$\{{([^}}]+)\}}<', 1) AS asked FROM d)
+SELECT CASE WHEN whole THEN a ELSE 'unknown' END AS source_component_id, CASE WHEN dg = '${{project.groupId}}' THEN g ELSE dg END AS group_id, da AS artifact_id,
+  CASE WHEN asked = 'project.version' THEN v WHEN asked <> '' AND contains(body, '<' || asked || '>') THEN string_split(string_split(body, '<' || asked || '>')[2], '<')[1] ELSE dv END AS version, coalesce(ds, 'compile') AS scope FROM e""",
+    "scan_nuget_dependencies_dependencies": rf"""{_files(".csproj")},
+r AS (SELECT regexp_extract(rel_path, '([^/]+)\.csproj$', 1) AS me, unnest(regexp_extract_all(content, '<(?:Package)?Reference [^>]*>')) AS r FROM f),
+s AS (SELECT me, starts_with(r, '<Package') AS pack, regexp_extract(r, 'Include="([^",]+)', 1) AS name, nullif(regexp_extract(r, 'Version="?=?"?(\d[\w.-]*)', 1), '') AS v FROM r)
+SELECT substr(sha256('nuget|' || me), 1, 16) AS source_component_id, 'nuget' AS group_id, name AS artifact_id,
+  CASE WHEN pack THEN coalesce(v, '*') ELSE regexp_extract(v, '^(\d+\.\d+\.\d+)', 1) END AS version, 'compile' AS scope FROM s WHERE pack OR NOT regexp_matches(name, '^(System|Microsoft|mscorlib)')""",
+    "scan_django_apps": rf"""{_files("/settings.py", "/apps.py", "/__init__.py")},
+s AS (SELECT regexp_extract(rel_path, '^([^/]+)/', 1) AS top, unnest(regexp_extract_all(regexp_extract(content, 'INSTALLED_APPS = \[([^\]]*)\]', 1), '''([^'']+)''', 1)) AS app FROM f WHERE rel_path LIKE '%/settings.py'),
+a AS (SELECT regexp_extract(rel_path, '^([^/]+)/', 1) AS top, regexp_extract(rel_path, '([^/]+)/[^/]+$', 1) AS app, max(nullif(regexp_extract(content, 'verbose_name = ''([^'']+)''', 1), '')) AS title FROM f WHERE rel_path NOT LIKE '%/settings.py' GROUP BY ALL)
+SELECT substr(sha256('django|' || s.app), 1, 16) AS id, coalesce(title, s.app) AS name, CASE WHEN a.app IS NULL THEN 'LIBRARY' ELSE 'MODULE' END AS type
+FROM s LEFT JOIN a USING (top, app) WHERE s.app NOT LIKE 'django.%'""",
+    "scan_go_struct": rf"""{_files(".go")},
+s AS (SELECT regexp_extract(content, 'package (\w+)', 1) AS me, unnest(regexp_extract_all(content, 'type \w+ struct \{{[^}}]*')) AS s FROM f WHERE regexp_matches(content, 'gorm:|db:|gorm\.Model')),
+n AS (SELECT me, regexp_extract(s, 'type (\w+)', 1) AS cls, contains(s, 'gorm.Model') AS based, regexp_extract_all(s, '\w+\s+\S+\s+`[^`]*`') AS ls FROM s),
+t AS (SELECT *, list_transform(ls, lambda x: regexp_extract(x, '^\w+\s+\*?(\S+)', 1)) AS ts, list_transform(ls, lambda x: coalesce(nullif(regexp_extract(x, '(?:column:|db:")(\w+)', 1), ''),
+  lower(regexp_replace(regexp_extract(x, '^(\w+)', 1), '([a-z])([A-Z])', '\1_\2', 'g')))) AS cs FROM n WHERE based OR len(ls) > 0),
+u AS (SELECT me, cls, list_concat(CASE WHEN based THEN ['id:INTEGER:false', 'created_at:TIMESTAMP:true', 'updated_at:TIMESTAMP:true', 'deleted_at:TIMESTAMP:true'] ELSE [] END,
+  list_transform(range(1, len(ls) + 1), lambda i: cs[i] || ':' || CASE WHEN regexp_matches(ts[i], '^u?int\d*$') THEN 'INTEGER' WHEN ts[i] = 'string' THEN 'VARCHAR' WHEN ts[i] LIKE 'float%' THEN 'FLOAT' WHEN ts[i] = '[]byte' THEN 'BLOB' ELSE ts[i] END
+    || ':' || (NOT regexp_matches(ls[i], 'not null|primaryKey')))) AS fs FROM t)
+SELECT me AS component_id, lower(regexp_replace(cls, '([a-z])([A-Z])', '\1_\2', 'g')) || 's' AS name, CASE WHEN starts_with(fs[1], 'id:') THEN 'id' END AS primary_key, array_to_string(fs, ',') AS fields FROM u""",
 }
