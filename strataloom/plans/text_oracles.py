@@ -307,4 +307,39 @@ u AS (SELECT me, cls, list_concat(CASE WHEN based THEN ['id:INTEGER:false', 'cre
   list_transform(range(1, len(ls) + 1), lambda i: cs[i] || ':' || CASE WHEN regexp_matches(ts[i], '^u?int\d*$') THEN 'INTEGER' WHEN ts[i] = 'string' THEN 'VARCHAR' WHEN ts[i] LIKE 'float%' THEN 'FLOAT' WHEN ts[i] = '[]byte' THEN 'BLOB' ELSE ts[i] END
     || ':' || (NOT regexp_matches(ls[i], 'not null|primaryKey')))) AS fs FROM t)
 SELECT me AS component_id, lower(regexp_replace(cls, '([a-z])([A-Z])', '\1_\2', 'g')) || 's' AS name, CASE WHEN starts_with(fs[1], 'id:') THEN 'id' END AS primary_key, array_to_string(fs, ',') AS fields FROM u""",
+    "scan_spring_components": rf"""{_files(".java")},
+j AS (SELECT {OWNER} AS me, regexp_extract(content, 'class (\w+)', 1) AS name, unnest(regexp_extract_all({BARE}, '(?m)^@(?:[^\n]* @)?(Service|Component|Repository|RestController|Controller|Configuration)\b', 1)) AS kind
+  FROM f WHERE contains(content, 'org.springframework.stereotype'))
+SELECT substr(sha256(me), 1, 16) AS id, name, CASE WHEN kind IN ('Service', 'RestController', 'Controller') THEN 'SERVICE' ELSE 'MODULE' END AS type FROM j""",
+    "scan_sql_migration": rf"""{_files(".sql")},
+b AS (SELECT regexp_extract(rel_path, '([^/]+)\.sql$', 1) AS me, regexp_replace(regexp_replace(regexp_replace(content, '''[^'']*''', '', 'g'), '--[^\n]*', '', 'g'), '/\*[^*]*\*/', '', 'g') AS content FROM f),
+t AS (SELECT me, unnest(string_split(content, ';')) AS t FROM b),
+c AS (SELECT me, regexp_extract(t, 'CREATE TABLE (?:IF NOT EXISTS )?(?:\w+\.)?(\w+)', 1) AS name, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^"?\w+"? \w') AND NOT starts_with(x, 'CREATE')) AS ls
+  FROM t WHERE contains(t, 'CREATE TABLE')),
+k AS (SELECT me, name, list_filter(ls, lambda x: NOT regexp_matches(x, '^(PRIMARY|FOREIGN|CONSTRAINT|UNIQUE|CHECK)\b')) AS cs,
+  coalesce(nullif(regexp_extract(array_to_string(ls, chr(10)), '(?m)^(?:CONSTRAINT \w+ )?PRIMARY KEY \((\w+)', 1), ''), nullif(regexp_extract(array_to_string(ls, chr(10)), '(?m)^(\w+) [^\n]*PRIMARY KEY', 1), '')) AS pk FROM c)
+SELECT me AS component_id, name, pk AS primary_key, array_to_string(list_transform(cs, lambda x: regexp_extract(x, '^"?(\w+)', 1) || ':' || regexp_extract(x, '^"?\w+"? (\w+(?:\([^)]*\))?)', 1) || ':' || (NOT regexp_matches(x, 'NOT NULL|PRIMARY KEY'))), ',') AS fields FROM k""",
+    "scan_dotnet_kafka_messaging": rf"""{_files(".cs")},
+k AS (SELECT regexp_extract(content, 'namespace ([\w.]+)', 1) || '.' AS space, content, regexp_extract_all(content, 'class (\w+)', 1) AS cs, string_split_regex(content, 'class ') AS parts FROM f WHERE contains(content, 'Confluent.Kafka')),
+c AS (SELECT unnest(list_transform(range(1, len(cs) + 1), lambda i: {{'me': space || cs[i], 'c': parts[i + 1]}})) AS x FROM k),
+h AS (SELECT x.me AS me, unnest(regexp_extract_all(x.c, '(?:Subscribe|\[KafkaConsumer)\("([^"]+)"', 1)) AS topic FROM c),
+s AS (SELECT space, cs, unnest(regexp_extract_all(content, '\.Produce(?:Async)?\("([^"]+)"', 1)) AS topic FROM k)
+SELECT 'unknown-publisher' AS publisher_component_id, me AS subscriber_component_id, topic FROM h
+UNION ALL SELECT space || unnest(cs), 'unknown-subscriber', topic FROM s
+UNION ALL SELECT space || unnest(cs), 'unknown-subscriber', 'unknown-topic' FROM k WHERE contains(content, 'IProducer<')""",
+    "scan_go_http_router": rf"""{_files(".go").replace("WITH f", "WITH RECURSIVE f")},
+s AS (SELECT rel_path, regexp_extract(content, 'package (\w+)', 1) AS me, content FROM f WHERE regexp_matches(content, 'gin-gonic|gorilla/mux|labstack/echo|go-chi')),
+g AS (SELECT me, unnest(regexp_extract_all(content, '(?m)^\s*(\w+ := \w+\.Group\([^)]*)\)', 1)) AS g FROM s),
+e AS (SELECT me, regexp_extract(g, '^(\w+)', 1) AS var, regexp_extract(g, ':= (\w+)', 1) AS up, regexp_extract(g, '["`]([^"`]*)', 1) AS own FROM g),
+w AS (SELECT me, var, own AS path FROM e WHERE NOT EXISTS (SELECT 1 FROM e u WHERE u.me = e.me AND u.var = e.up) UNION ALL SELECT e.me, e.var, w.path || e.own FROM e JOIN w ON w.me = e.me AND w.var = e.up),
+r AS (SELECT me, unnest(regexp_extract_all(content, '\w+\.(?:GET|POST|PUT|DELETE|PATCH)\(["`][^"`]+')) AS r FROM s),
+m AS (SELECT me, unnest(regexp_extract_all(content, '\w+\.HandleFunc\("[^\n]*')) AS r FROM s)
+SELECT r.me AS component_id, coalesce(w.path, '') || regexp_extract(r, '["`](.+)$', 1) AS path, regexp_extract(r, '\.([A-Z]+)\(', 1) AS method FROM r LEFT JOIN w ON w.me = r.me AND w.var = regexp_extract(r, '^(\w+)', 1)
+UNION ALL SELECT me, regexp_extract(r, '\("([^"]+)"', 1), unnest(regexp_extract_all(regexp_extract(r, 'Methods\((.*)\)', 1), '\w+')) FROM m""",
+    "scan_mongodb": rf"""{_files(".java")},
+j AS (SELECT {OWNER} AS me, regexp_extract(content, '@Document\(collection = "([^"]+)"', 1) AS name, regexp_extract_all(content, '(?:@\w+(?:\([^)]*\))?\s+)*private [^;]+;') AS ls FROM f WHERE contains(content, 'data.mongodb')),
+k AS (SELECT me, name, list_filter(ls, lambda x: NOT contains(x, '@DBRef')) AS ls FROM j),
+n AS (SELECT me, name, ls, list_transform(ls, lambda x: coalesce(nullif(regexp_extract(x, '@Field\("([^"]+)"', 1), ''), regexp_extract(x, '(\w+);', 1))) AS ns FROM k)
+SELECT me AS component_id, name, list_filter(ls, lambda x: contains(x, '@Id'))[1].regexp_extract('(\w+);', 1) AS primary_key,
+  array_to_string(list_transform(range(1, len(ls) + 1), lambda i: ns[i] || ':' || regexp_extract(ls[i], 'private (\S+)', 1) || ':' || (NOT contains(ls[i], '@NotNull'))), ',') AS fields FROM n""",
 }
