@@ -342,4 +342,15 @@ k AS (SELECT me, name, list_filter(ls, lambda x: NOT contains(x, '@DBRef')) AS l
 n AS (SELECT me, name, ls, list_transform(ls, lambda x: coalesce(nullif(regexp_extract(x, '@Field\("([^"]+)"', 1), ''), regexp_extract(x, '(\w+);', 1))) AS ns FROM k)
 SELECT me AS component_id, name, list_filter(ls, lambda x: contains(x, '@Id'))[1].regexp_extract('(\w+);', 1) AS primary_key,
   array_to_string(list_transform(range(1, len(ls) + 1), lambda i: ns[i] || ':' || regexp_extract(ls[i], 'private (\S+)', 1) || ':' || (NOT contains(ls[i], '@NotNull'))), ',') AS fields FROM n""",
+    "scan_rails_api": rf"""{_files("_controller.rb")},
+n AS (SELECT regexp_extract(content, 'class ([\w:]+)Controller < ', 1) AS name FROM f)
+SELECT substr(sha256('rails|' || name), 1, 16) AS id, name || 'Controller' AS name, 'SERVICE' AS type FROM n WHERE name <> ''""",
+    "scan_rails_api_api_endpoints": rf"""{_files("_controller.rb")},
+c AS (SELECT regexp_extract(content, 'class ([\w:]+)Controller < ', 1) AS name, string_split(string_split_regex(content, '(^|\n)class ')[2], chr(10)) AS ls FROM f),
+l AS (SELECT name, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM c WHERE name <> ''),
+v AS (SELECT name, line, last_value(nullif(regexp_extract(line, '^\s*(private|protected|public)\s*$', 1), '') IGNORE NULLS) OVER (PARTITION BY name ORDER BY i) AS seen FROM l),
+a AS (SELECT name, regexp_extract(line, '^  def (\w+)', 1) AS act, '/' || lower(regexp_replace(replace(name, '::', '/'), '([a-z])([A-Z])', '\1_\2', 'g')) AS base FROM v
+  WHERE coalesce(seen, 'public') = 'public' AND regexp_matches(line, '^  def \w'))
+SELECT substr(sha256('rails|' || name), 1, 16) AS component_id, CASE WHEN act IN ('index', 'create') THEN base WHEN act IN ('show', 'update', 'destroy') THEN base || '/:id' ELSE base || '/' || act END AS path,
+  CASE act WHEN 'create' THEN 'POST' WHEN 'update' THEN 'PUT' WHEN 'destroy' THEN 'DELETE' ELSE 'GET' END AS method FROM a""",
 }
