@@ -6,14 +6,16 @@ passages are confirmed from a row a context: a context of which there is an equa
 anchor has different contexts, the windows of the first of each are counted one by one.
 
 Documents are dealt out to buckets of some size, and each bucket has automata of its own: its patterns are the confirmed
-passages, each read from the first place in the bucket where it stands. All documents of the bucket are streamed through
-them word by word, so every occurrence is located on the words themselves. A passage that is found in very many documents
-is one pattern in each bucket, no text travels but to its own bucket, and an automaton is as large as its bucket at most.
+passages, each read from the first place in the bucket where it stands. Passages overlap, so windows in a row that stand
+in the bucket only together are joined to one pattern. All documents of the bucket are streamed through them word by word,
+so every occurrence is located on the words themselves. A passage that is found in very many documents is one pattern in
+each bucket, no text travels but to its own bucket, and an automaton is as large as its bucket at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, compress, count
 
 import ahocorasick
 import numpy as np
@@ -194,21 +196,59 @@ def patterns(rows: DataFrame, length: int = LENGTH, k: int = GRAM) -> tuple[Data
     return written(wholes.unionByName(single), "patterns"), recurring
 
 
-def mark(texts: list[list[int]], found: list[tuple[int, int, int]], length: int) -> list[np.ndarray]:
-    """Of each text the words that some pattern covers; a pattern (text, lo, hi) is what stands there."""
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are equal where entries of x are, and how often each entry stands in x."""
+    order = np.argsort(x)
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(np.append(False, x[order[1:]] != x[order[:-1]]))
+    return number, np.bincount(number)[number]
+
+
+def joined(texts: list[tuple[int, ...]], found: list[tuple[int, int, int]], length: int) -> list[tuple[int, int, int]]:
+    """The windows of patterns (text, lo, hi), as patterns that are as long as can be.
+
+    Two windows in a row go into one pattern if they are equally frequent in these texts and the first always has the same
+    next word: then each stands nowhere without the other, and the pattern stands wherever any of its windows does. A clash
+    of hashes joins no others, as windows that differ in their first word alone have different sums.
+    """
+    sizes = np.array([len(x) for x in texts], np.int64)
+    begin = np.cumsum(np.append(0, sizes))
+    end = begin[-1]
+    told = np.zeros(end + 1, np.int32)
+    t, lo, hi = np.array(found, np.int64).T
+    np.add.at(told, begin[t] + lo, 1)
+    np.add.at(told, begin[t] + hi + 1, -1)
+    words = np.fromiter(chain.from_iterable(texts), np.uint64, end)
+    left = np.repeat(begin[1:], sizes) - np.arange(end)  # words to the end of the text
+    windows = np.flatnonzero(left >= length)
+    kind, n = np.zeros(end + 1, np.int64), np.zeros(end + 1, np.int64)
+    kind[windows], n[windows] = _numbered(_Sums(words, C1 | np.uint64(1))(windows, windows + length))
+    link = (left > length) & (n[:-1] == n[1:])
+    several = np.flatnonzero((left > length) & (n[:-1] > 1))
+    following = kind[several] * (int(words.max()) + 1) + words[several + length].astype(np.int64)
+    link[several] &= _numbered(following)[1] == n[several]
+    own = np.flatnonzero(np.cumsum(told)[:-1] > 0)
+    cut = np.flatnonzero((own[1:] != own[:-1] + 1) | ~link[own[:-1]])
+    lo, hi = own[np.append(0, cut + 1)], own[np.append(cut, len(own) - 1)]
+    t = np.searchsorted(begin, lo, "right") - 1
+    return list(zip(t.tolist(), (lo - begin[t]).tolist(), (hi - begin[t]).tolist(), strict=True))
+
+
+def mark(texts: list[tuple[int, ...]], found: list[tuple[int, int, int]], length: int) -> list[np.ndarray]:
+    """Of each text the words that some window of a pattern covers; a pattern (text, lo, hi) is what stands there."""
     marks = [np.zeros(len(x) + 1, np.int32) for x in texts]
-    streams = [tuple(x) for x in texts]
+    found = joined(texts, found, length) if found else []
     at = 0
     while at < len(found):
         automaton, size = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), 0
         while at < len(found) and size < PATTERN_WORDS:
             t, lo, hi = found[at]
-            automaton.add_word(streams[t][lo : hi + length], hi + length - lo)
+            automaton.add_word(texts[t][lo : hi + length], hi + length - lo)
             size += hi + length - lo
             at += 1
         automaton.make_automaton()
-        for stream, own in zip(streams, marks, strict=True):
-            for end, n in automaton.iter(stream):
+        for text, own in zip(texts, marks, strict=True):
+            for end, n in automaton.iter(text):
                 own[end + 1 - n] += 1
                 own[end + 1] -= 1
     return [np.cumsum(x)[:-1] > 0 for x in marks]
@@ -243,12 +283,12 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     def cut(docs: pa.Table, found: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
         words = [x.as_buffer().to_pybytes().split() for x in docs.column("text")]
-        numbers: dict[bytes, int] = {}
+        numbers, places = {}, count()
+        streams = [tuple(map(numbers.setdefault, x, places)) for x in words]  # a word's number is its first place
         row = {d: i for i, d in enumerate(docs.column("doc").to_pylist())}
-        streams = [[numbers.setdefault(w, len(numbers)) for w in x] for x in words]
         own = [(row[d], lo, hi) for d, lo, hi in zip(*(found.column(c).to_pylist() for c in ("doc", "lo", "hi")), strict=True)]
         marks = mark(streams, own, length)
-        kept = [b" ".join(w for w, m in zip(x, gone.tolist(), strict=True) if not m) for x, gone in zip(words, marks, strict=True)]
+        kept = [b" ".join(compress(w, (~gone).tolist())) for w, gone in zip(words, marks, strict=True)]
         counts = [pa.array(x, _LONG) for x in ([len(x) for x in words], [int(m.sum()) for m in marks])]
         return pa.Table.from_arrays([docs.column("_id"), *counts, pa.array(kept, pa.binary())], names)
 

@@ -55,6 +55,65 @@ def test_removal_by_brute_force(spark, monkeypatch, length, k, small):
     assert removed(df.limit(0)) == []
 
 
+def covered(texts, found, length):
+    """Of each text the words that stand in an occurrence of a window of some pattern."""
+    told = {texts[t][s : s + length] for t, lo, hi in found for s in range(lo, hi + 1)}
+    out = []
+    for x in texts:
+        gone = [False] * len(x)
+        for s in range(len(x) - length + 1):
+            if x[s : s + length] in told:
+                gone[s : s + length] = [True] * length
+        out.append(gone)
+    return out
+
+
+def words_of_automata(monkeypatch):
+    """The lengths of the patterns that automata get from now on."""
+    got, real = [], repeated_phrases.ahocorasick.Automaton
+
+    class Automaton:
+        def __init__(self, *how):
+            self.own = real(*how)
+
+        def add_word(self, key, value):
+            got.append(len(key))
+            return self.own.add_word(key, value)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    monkeypatch.setattr(repeated_phrases.ahocorasick, "Automaton", Automaton)
+    return got
+
+
+def test_overlapping_passages_are_one_pattern(monkeypatch):
+    got, length = words_of_automata(monkeypatch), 35
+    passage, other = tuple(range(1000)), tuple(range(2000, 2100))
+    texts = [other + passage, passage + other[:50], (7, *passage, 8)]
+    found = [(0, s, s) for s in [*range(66), *range(100, 1066)]]
+    marks = [x.tolist() for x in repeated_phrases.mark(texts, found, length)]
+    assert marks == covered(texts, found, length)
+    assert marks[2] == [False, *[True] * 1000, False]
+    assert sum(got) < 1300  # 36,120 if each window were a pattern
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_joined_patterns_cover_what_their_windows_do(seed):
+    rng = random.Random(seed)
+    length = rng.randint(1, 6)
+    some = lambda n: tuple(rng.randrange(1 + seed % 3) for _ in range(n))
+    passages = [some(rng.randint(length, 25)) for _ in range(3)]
+    texts = [some(rng.randint(0, 9)) + rng.choice(passages)[rng.randint(0, 3) :] + some(rng.randint(0, 9)) for _ in range(6)] + [()]
+    found = []
+    for _ in range(rng.randint(1, 8)):
+        t = rng.choice([t for t, x in enumerate(texts) if len(x) >= length] or [None])
+        if t is not None:
+            lo = rng.randint(0, len(texts[t]) - length)
+            found.append((t, lo, rng.randint(lo, len(texts[t]) - length)))
+    assert [x.tolist() for x in repeated_phrases.mark(texts, found, length)] == covered(texts, found, length)
+
+
 def test_null_ids_and_repeated_rows(spark):
     text, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(50))
     rows = [(None, text), (3, other), (3, other), (None, None), (2, "short")]
